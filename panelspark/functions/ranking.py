@@ -42,43 +42,43 @@ def cross_rank(
     cuts = (
         df.filter(F.col(value).isNotNull() & (F.pmod(F.xxhash64(tiebreak), F.lit(boundary_share)) == 0))
         .groupBy(*by)
-        .agg(F.sort_array(F.collect_list(pair)).alias("_s"))
+        .agg(F.sort_array(F.collect_list(pair)).alias("__s"))
         .select(
             *by,
             F.transform(
                 F.sequence(F.lit(1), F.lit(splits - 1)),
-                lambda i: F.element_at("_s", F.ceil(i * F.size("_s") / F.lit(splits)).cast("int")),
-            ).alias("_cuts"),
+                lambda i: F.element_at("__s", F.ceil(i * F.size("__s") / F.lit(splits)).cast("int")),
+            ).alias("__cuts"),
         )
     )
     keyed = (
         df.join(cuts, by, "left")
-        .withColumn("_p", pair)
+        .withColumn("__p", pair)
         .withColumn(
-            "_cell",
-            F.when(F.col(value).isNull(), F.lit(-1)).otherwise(
-                F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_p"))), F.lit(0))
+            "__cell",
+            F.when(F.col(value).isNull(), -1 - F.pmod(F.xxhash64(tiebreak), F.lit(splits)).cast("int")).otherwise(
+                F.coalesce(F.size(F.filter("__cuts", lambda c: c <= F.col("__p"))), F.lit(0))
             ),
         )
-        .drop("_cuts", "_p")
+        .drop("__cuts", "__p")
     )
-    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = (
-        keyed.groupBy(*by, "_cell")
-        .agg(F.count(value).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
-        .drop("_n")
+        keyed.groupBy(*by, "__cell")
+        .agg(F.count(value).alias("__n"))
+        .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        .withColumn("__all", F.sum("__n").over(Window.partitionBy(*by)))
+        .drop("__n")
     )
-    local = Window.partitionBy(*by, "_cell").orderBy(key.asc_nulls_last(), F.col(tiebreak).asc())
+    local = Window.partitionBy(*by, "__cell").orderBy(key.asc_nulls_last(), F.col(tiebreak).asc())
     out = (
-        keyed.withColumn("_rn", F.row_number().over(local))
-        .join(cells, [*by, "_cell"])
-        .withColumn(name, F.when(F.col(value).isNotNull(), (F.col("_rn") + F.col("_before")).cast("int")))
+        keyed.withColumn("__local", F.row_number().over(local))
+        .join(cells, [*by, "__cell"])
+        .withColumn(name, F.when(F.col(value).isNotNull(), (F.col("__local") + F.col("__before")).cast("int")))
     )
     if count is not None:
-        out = out.withColumn(count, F.col("_total"))
-    return out.drop("_cell", "_rn", "_before", "_total")
+        out = out.withColumn(count, F.col("__all"))
+    return out.drop("__cell", "__local", "__before", "__all")
 
 
 def cross_quantile(
