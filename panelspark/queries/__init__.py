@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 import pkgutil
 
-_SUPPORT = {"registry", "ctes", "base"}
+_SUPPORT = {"registry", "ctes", "base", "booksql"}
 
 
 def load() -> dict:

@@ -25,3 +25,53 @@ def tracks(spark: SparkSession, sf: str) -> DataFrame:
     p = daily(spark, sf).filter("xret is not null")
     both = p.withColumn("track", F.explode(F.array("bucket", F.lit("ALL"))))
     return both.groupBy("date", "track").agg(F.avg("xret").alias("ret"))
+
+
+def point_sides(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense quotes with bid and ask points (half a hundred-thousandth of the spread each side)."""
+    from panelspark.functions.calendar import densify
+
+    q = densify(tables.quotes_daily(spark, sf)).join(tables.conventions(spark, sf), "asset")
+    half = (F.col("ask") - F.col("bid")) / F.lit(1e5)
+    return q.withColumn("points_bid", F.col("points") - half).withColumn("points_ask", F.col("points") + half)
+
+
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly panel once per named sample."""
+    from panelspark.queries.convert import SAMPLES
+
+    return convert.expand_samples(monthly(spark, sf), SAMPLES)
+
+
+def sample_books(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly equal-weight legs per sample: strategy, month_end, asset, weight, basket, k, n, realized."""
+    from panelspark.operators.cross_section import adaptive_leg_size, equal_leg_weights
+
+    s = samples(spark, sf).withColumnRenamed("sample", "strategy")
+    return equal_leg_weights(s, ["strategy", "month_end"], "carry_signal", adaptive_leg_size, "realized")
+
+
+def unit_book(spark: SparkSession, sf: str, **kw) -> tuple[DataFrame, DataFrame]:
+    """Daily panel and daily unit weights of the sorted book."""
+    from panelspark.operators.book import apply_daily, sorted_book
+
+    p = daily(spark, sf)
+    return p, apply_daily(sorted_book(p, **kw), p)
+
+
+def target_book(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    from panelspark.operators.book import vol_target
+
+    p, w = unit_book(spark, sf)
+    return p, vol_target(w, p)
+
+
+def book_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """date, gross, cost, net of the volatility-targeted book."""
+    from panelspark.operators.book import book_returns
+    from panelspark.operators.costs import filled_spreads, half_spreads, roundtrip_cost
+
+    p, w = target_book(spark, sf)
+    g = book_returns(w, p, out="gross")
+    c = roundtrip_cost(w, filled_spreads(half_spreads(point_sides(spark, sf))))
+    return g.join(c, "date", "left").withColumn("net", F.col("gross") - F.col("cost"))
