@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.session import cut_lineage
+
 
 def period_label(date: Column, freq: str, anchor: Column | None = None) -> Column:
     """Label of the period a date falls in: the calendar end of the period.
@@ -56,6 +58,7 @@ def densify(
     date: str = "date",
     full: bool = True,
     static: Sequence[str] = (),
+    stage: bool = True,
 ) -> DataFrame:
     """One row per (key, calendar date); measures are NULL where nothing was quoted.
 
@@ -63,8 +66,14 @@ def densify(
     ``sequence(first, last)`` cut down by an equi-join with the calendar, so no cross join is
     planned.  ``full=False`` starts each key at its own first date.  ``static`` columns depend
     on the key only and are repeated on the filled rows.
+
+    The input is read four times (calendar, its ends, spans, values), so by default it is staged
+    in the checkpoint folder first: what lies below, often one pass over the largest table, then
+    runs once.
     """
     keys = list(keys)
+    if stage:
+        df = cut_lineage(df)
     calendar = df.select(date).distinct()
     bounds = calendar.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
     start = bounds.select("lo").scalar() if full else F.col("_first")

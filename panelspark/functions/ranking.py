@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.session import cut_lineage
+
 
 def cross_rank(
     df: DataFrame,
@@ -38,6 +40,7 @@ def cross_rank(
         out = df.withColumn(name, F.when(F.col(value).isNotNull(), F.row_number().over(order)))
         return out if count is None else out.withColumn(count, F.count(value).over(w))
 
+    df = cut_lineage(df)  # read three times below: boundaries, cell counts, ranks
     pair = F.struct(key.alias("k"), F.col(tiebreak).alias("a"))
     cuts = (
         df.filter(F.col(value).isNotNull() & (F.pmod(F.xxhash64(tiebreak), F.lit(boundary_share)) == 0))

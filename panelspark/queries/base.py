@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.stats import div
-from panelspark.operators import convert
+from panelspark.operators import book, convert, costs
+from panelspark.operators.cross_section import adaptive_leg_size, equal_leg_weights
+from panelspark.session import cut_lineage
 from panelspark.sources import tables
 
 
@@ -27,13 +29,15 @@ def tracks(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("date", "track").agg(F.avg("xret").alias("ret"))
 
 
-def point_sides(spark: SparkSession, sf: str) -> DataFrame:
-    """Dense quotes with bid and ask points (half a hundred-thousandth of the spread each side)."""
-    from panelspark.functions.calendar import densify
+def staged_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily panel written once to the checkpoint folder: books read it several times."""
+    return cut_lineage(daily(spark, sf))
+
 
-    q = densify(tables.quotes_daily(spark, sf)).join(tables.conventions(spark, sf), "asset")
+def point_sides(panel: DataFrame) -> DataFrame:
+    """Dense quotes with bid and ask points (half a hundred-thousandth of the spread each side)."""
     half = (F.col("ask") - F.col("bid")) / F.lit(1e5)
-    return q.withColumn("points_bid", F.col("points") - half).withColumn("points_ask", F.col("points") + half)
+    return panel.withColumn("points_bid", F.col("points") - half).withColumn("points_ask", F.col("points") + half)
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,33 +49,27 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 
 def sample_books(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly equal-weight legs per sample: strategy, month_end, asset, weight, basket, k, n, realized."""
-    from panelspark.operators.cross_section import adaptive_leg_size, equal_leg_weights
-
     s = samples(spark, sf).withColumnRenamed("sample", "strategy")
     return equal_leg_weights(s, ["strategy", "month_end"], "carry_signal", adaptive_leg_size, "realized")
 
 
 def unit_book(spark: SparkSession, sf: str, **kw) -> tuple[DataFrame, DataFrame]:
     """Daily panel and daily unit weights of the sorted book."""
-    from panelspark.operators.book import apply_daily, sorted_book
-
-    p = daily(spark, sf)
-    return p, apply_daily(sorted_book(p, **kw), p)
+    p = staged_daily(spark, sf)
+    return p, book.apply_daily(book.sorted_book(p, **kw), p)
 
 
 def target_book(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    from panelspark.operators.book import vol_target
-
     p, w = unit_book(spark, sf)
-    return p, vol_target(w, p)
+    return p, cut_lineage(book.vol_target(w, p))
+
 
+def spreads(panel: DataFrame) -> DataFrame:
+    return costs.filled_spreads(costs.half_spreads(point_sides(panel)))
 
-def book_tracks(spark: SparkSession, sf: str) -> DataFrame:
-    """date, gross, cost, net of the volatility-targeted book."""
-    from panelspark.operators.book import book_returns
-    from panelspark.operators.costs import filled_spreads, half_spreads, roundtrip_cost
 
-    p, w = target_book(spark, sf)
-    g = book_returns(w, p, out="gross")
-    c = roundtrip_cost(w, filled_spreads(half_spreads(point_sides(spark, sf))))
+def book_tracks(panel: DataFrame, weights: DataFrame) -> DataFrame:
+    """date, gross, cost, net of a weighted book."""
+    g = book.book_returns(weights, panel, out="gross")
+    c = costs.roundtrip_cost(weights, spreads(panel))
     return g.join(c, "date", "left").withColumn("net", F.col("gross") - F.col("cost"))

@@ -259,8 +259,8 @@ def _(spark, sf):
 
 
 _COVW = 120
-_B20 = bs.legs("b") + f""", ix AS (SELECT date, row_number() OVER (ORDER BY date)-1 AS t FROM (SELECT DISTINCT date FROM dp)), at AS (SELECT l.label, max(ix.t) AS t0 FROM (SELECT DISTINCT label FROM bl) l JOIN ix ON ix.date<=l.label GROUP BY 1),
- hx AS (SELECT l.label, l.leg, l.asset, l.k, ix.t, dp.xret AS r FROM bl l JOIN at ON at.label=l.label JOIN ix ON ix.t BETWEEN at.t0-{_COVW - 1} AND at.t0 JOIN dp ON dp.date=ix.date AND dp.asset=l.asset),
+_B20 = bs.legs("b") + f""", ix AS (SELECT date, row_number() OVER (ORDER BY date)-1 AS t FROM (SELECT DISTINCT date FROM dp)), att AS (SELECT l.label, max(ix.t) AS t0 FROM (SELECT DISTINCT label FROM bl) l JOIN ix ON ix.date<=l.label GROUP BY 1),
+ hx AS (SELECT l.label, l.leg, l.asset, l.k, ix.t, dp.xret AS r FROM bl l JOIN att ON att.label=l.label JOIN ix ON ix.t BETWEEN att.t0-{_COVW - 1} AND att.t0 JOIN dp ON dp.date=ix.date AND dp.asset=l.asset),
  ok AS (SELECT label, leg, t FROM hx GROUP BY 1,2,3 HAVING count(r)=max(k)), hc AS (SELECT hx.*, r-avg(r) OVER (PARTITION BY hx.label, hx.leg, asset) AS d FROM hx JOIN ok ON ok.label=hx.label AND ok.leg=hx.leg AND ok.t=hx.t),
  ss AS (SELECT a.label, a.leg, a.asset AS i, b.asset AS j, count(*) AS m, sum(a.d*b.d)/count(*) AS s, sum(a.d*a.d*b.d*b.d)/count(*) AS q, max(a.k) AS k FROM hc a JOIN hc b ON a.label=b.label AND a.leg=b.leg AND a.t=b.t GROUP BY 1,2,3,4),
  mu AS (SELECT label, leg, sum(s) FILTER (WHERE i=j)/max(k) AS mu FROM ss GROUP BY 1,2),
