@@ -31,8 +31,8 @@ def fan_out(tab: DataFrame, names: Sequence[str]) -> DataFrame:
 def leave_one_out(tab: DataFrame, base: str = "base") -> DataFrame:
     """``base`` and one ``ex_<asset>`` scenario per asset of the table."""
     names = tab.agg(F.sort_array(F.collect_set("asset")).alias("a")).scalar()
-    scen = F.concat(F.array(F.lit(base)), F.transform(names, lambda a: F.concat(F.lit("ex_"), a)))
-    return tab.withColumn("scenario", F.explode(scen)).filter(F.col("scenario") != F.concat(F.lit("ex_"), "asset"))
+    out = tab.withColumn("_x", F.explode(F.concat(F.array(F.lit("")), names))).filter("_x <> asset")
+    return out.withColumn("scenario", F.when(F.col("_x") == "", base).otherwise(F.concat(F.lit("ex_"), "_x"))).drop("_x")
 
 
 def drop_top(tab: DataFrame, order: DataFrame, most: int = 5) -> DataFrame:

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.stats import div
 from panelspark.operators import book, convert, costs
-from panelspark.operators.cross_section import adaptive_leg_size, equal_leg_weights
+from panelspark.operators.cross_section import adaptive_leg_size, divided_leg_size, equal_leg_weights
 from panelspark.session import cut_lineage
 from panelspark.sources import tables
 
+# thirds: legs of the 25-name panel stay large enough for weights to differ under the cap
+BUCKETS = 3
+LEG_SIZE = divided_leg_size(BUCKETS)
+
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
     return convert.daily_panel(tables.quotes_daily(spark, sf), tables.conventions(spark, sf))
@@ -56,7 +60,7 @@ def sample_books(spark: SparkSession, sf: str) -> DataFrame:
 def unit_book(spark: SparkSession, sf: str, **kw) -> tuple[DataFrame, DataFrame]:
     """Daily panel and daily unit weights of the sorted book."""
     p = staged_daily(spark, sf)
-    return p, book.apply_daily(book.sorted_book(p, **kw), p)
+    return p, book.apply_daily(book.sorted_book(p, n_buckets=BUCKETS, **kw), p)
 
 
 def target_book(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

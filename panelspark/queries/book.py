@@ -65,7 +65,7 @@ def _(spark, sf):
 
 @query("b4_inverse_vol_book", "WITH " + (bs.legs("b") + bs.weights("b"))[2:] + " SELECT label, asset, weight FROM bw", use="dp", floats="weight")
 def _(spark, sf):
-    return bk.sorted_book(base.daily(spark, sf))
+    return bk.sorted_book(base.daily(spark, sf), n_buckets=base.BUCKETS)
 
 
 @query("b4_equal_tight_cap", "WITH " + (bs.legs("b", n=3, least=1) + bs.weights("b", cap=0.15, raw="vol"))[2:] + " SELECT label, asset, leg, share FROM bc10", use="dp", floats="share")
@@ -85,7 +85,7 @@ def _(spark, sf):
 @query("f7_directional_filter", "WITH m AS (SELECT *, CASE WHEN count(xret) OVER w>=31 THEN sum(xret) OVER w END AS mom FROM dp WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW))" + bs.legs("b", src="m", filt="mom") + bs.weights("b") + " SELECT label, asset, weight FROM bw", use="dp", floats="weight")
 def _(spark, sf):
     p = tr.momentum(base.daily(spark, sf), "xret", 63)
-    return bk.sorted_book(p, filter_signal="mom")
+    return bk.sorted_book(p, n_buckets=base.BUCKETS, filter_signal="mom")
 
 
 @query("b5_fraction_book", """WITH v AS (SELECT date, asset, carry, CASE WHEN count(xret) OVER w>=20 THEN stddev_samp(xret) OVER w*sqrt(252.0) END AS vol FROM dp WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
@@ -270,7 +270,7 @@ _B20 = bs.legs("b") + f""", ix AS (SELECT date, row_number() OVER (ORDER BY date
 def held_legs(spark, sf):
     p = base.daily(spark, sf)
     tab = bk.rebalance_table(p, "carry").filter("carry is not null and _vol > 0")
-    legs = xs.assign_legs(tab, ["label"], "carry", xs.divided_leg_size(5), ties="first").filter("k >= 2 and leg <> 0")
+    legs = xs.assign_legs(tab, ["label"], "carry", base.LEG_SIZE, ties="first").filter("k >= 2 and leg <> 0")
     return p, legs
 
 
@@ -282,12 +282,12 @@ def _(spark, sf):
 
 @query("b21_equal_risk_book")
 def _(spark, sf):
-    return bk.sorted_book(base.daily(spark, sf), weighting="erc", cov_window=250).withColumn("weight", F.round("weight", 6))
+    return bk.sorted_book(base.daily(spark, sf), n_buckets=base.BUCKETS, weighting="erc", cov_window=250).withColumn("weight", F.round("weight", 6))
 
 
 @query("b22_max_ratio_book")
 def _(spark, sf):
-    return bk.sorted_book(base.daily(spark, sf), weighting="mvo", cov_window=250).withColumn("weight", F.round("weight", 6))
+    return bk.sorted_book(base.daily(spark, sf), n_buckets=base.BUCKETS, weighting="mvo", cov_window=250).withColumn("weight", F.round("weight", 6))
 
 
 @query("j6_scalar_asof", "WITH " + _RANK[2:] + " SELECT date, pct FROM rd", use="od", floats="pct")

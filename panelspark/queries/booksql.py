@@ -15,7 +15,7 @@ LABELS = {"M": "last_day(date)", "W": "CAST(date + CAST((7-isodow(date)) AS INT)
           "2W": "CAST(anchor + CAST(14*ceil((date-anchor)/14.0) AS INT) AS DATE)"}
 
 
-def legs(p: str, src: str = "dp", key: str = "", signal: str = "carry", n: int | str = 5, vw: int = 60, least: int = 2, freq: str = "M", filt: str = "") -> str:
+def legs(p: str, src: str = "dp", key: str = "", signal: str = "carry", n: int | str = 3, vw: int = 60, least: int = 2, freq: str = "M", filt: str = "") -> str:
     k = f"{key}," if key else ""
     f, fl = (f", {filt} AS f", ", max_by(f, date) AS f") if filt else ("", "")
     keep = "(leg=1 AND f>=0) OR (leg=-1 AND f<=0)" if filt else "leg<>0"
