@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.config import ANN_DAYS, MONTHS_PER_YEAR
+from panelspark.functions import rolling as roll
 from panelspark.functions.calendar import period_label
 from panelspark.functions.stats import div, gated, kurt_agg, positive_only, rows_frame, share, skew_agg
 
@@ -238,7 +239,11 @@ def signal_split(df: DataFrame, signal: str, ret: str, key: str = "asset", min_o
 
 def rolling_ratio(tracks: DataFrame, window: int | None, min_periods: int, out: str, keys: Keys = ("track",), date: str = "date", ret: str = "ret") -> DataFrame:
     """Trailing (or expanding, ``window=None``) arithmetic Sharpe."""
-    w = rows_frame(keys, date, window)
+    if window is not None:
+        ratio = div(roll.mean() * F.sqrt(F.lit(float(ANN_DAYS))), positive_only(roll.std()))
+        m = roll.rolling_moments(tracks, ret, window, keys, date)
+        return roll.done(m.withColumn(out, F.when(roll.count() >= min_periods, ratio)))
+    w = rows_frame(keys, date, None)
     expr = div(F.avg(ret).over(w) * F.sqrt(F.lit(float(ANN_DAYS))), positive_only(F.stddev_samp(ret).over(w)))
     return tracks.withColumn(out, gated(expr, F.col(ret), w, min_periods))
 

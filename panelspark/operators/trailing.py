@@ -15,24 +15,24 @@ from pyspark.sql import functions as F
 
 from panelspark.config import ANN_DAYS
 from panelspark.functions.calendar import calendar_index
-from panelspark.functions.stats import adjusted_skew, div, gated, positive_only, rows_frame
+from panelspark.functions import rolling as roll
+from panelspark.functions.stats import div, gated, positive_only, rows_frame
 
 Keys = Sequence[str]
 
 
 def momentum(df: DataFrame, ret: str, lookback: int, skip: int = 0, out: str = "mom", keys: Keys = ("asset",), date: str = "date", min_periods: int | None = None) -> DataFrame:
     """Sum of the last ``lookback`` returns, optionally leaving out the latest ``skip`` rows."""
-    w = rows_frame(keys, date, lookback)
     mp = lookback // 2 if min_periods is None else min_periods
-    df = df.withColumn(out, gated(F.sum(ret).over(w), F.col(ret), w, mp))
+    m = roll.rolling_moments(df, ret, lookback, keys, date)
+    df = roll.done(m.withColumn(out, F.when(roll.count() >= mp, roll.total())))
     return df.withColumn(out, F.lag(out, skip).over(Window.partitionBy(*keys).orderBy(date))) if skip else df
 
 
 def trailing_vol(df: DataFrame, ret: str, window: int = 60, min_periods: int | None = None, annual: bool = False, out: str = "vol", keys: Keys = ("asset",), date: str = "date") -> DataFrame:
-    w = rows_frame(keys, date, window)
-    sd = F.stddev_samp(ret).over(w)
-    sd = sd * F.sqrt(F.lit(float(ANN_DAYS))) if annual else sd
-    return df.withColumn(out, gated(sd, F.col(ret), w, window // 2 if min_periods is None else min_periods))
+    mp = window // 2 if min_periods is None else min_periods
+    sd = roll.std() * F.sqrt(F.lit(float(ANN_DAYS))) if annual else roll.std()
+    return roll.done(roll.rolling_moments(df, ret, window, keys, date).withColumn(out, F.when(roll.count() >= mp, sd)))
 
 
 def vol_min_periods(window: int) -> int:
@@ -41,9 +41,9 @@ def vol_min_periods(window: int) -> int:
 
 
 def trailing_skew(df: DataFrame, ret: str, window: int = 252, min_periods: int | None = None, out: str = "skew", keys: Keys = ("asset",), date: str = "date") -> DataFrame:
-    w = rows_frame(keys, date, window)
-    g1 = adjusted_skew(F.skewness(ret).over(w), F.count(ret).over(w))
-    return df.withColumn(out, gated(g1, F.col(ret), w, window // 2 if min_periods is None else min_periods))
+    mp = window // 2 if min_periods is None else min_periods
+    m = roll.rolling_moments(df, ret, window, keys, date, third=True)
+    return roll.done(m.withColumn(out, F.when(roll.count() >= mp, roll.skew())))
 
 
 def trailing_rank(df: DataFrame, value: str, lookback: int = 756, min_periods: int | None = None, out: str = "pct", keys: Keys = ("asset",), date: str = "date") -> DataFrame:
@@ -76,14 +76,13 @@ def trailing_product(df: DataFrame, ret: str, window: int, out: str, keys: Keys
 
 
 def trailing_zscore(df: DataFrame, value: str, window: int = 252, min_periods: int | None = None, out: str = "z", keys: Keys = ("asset",), date: str = "date") -> DataFrame:
-    w = rows_frame(keys, date, window)
-    z = div(F.col(value) - F.avg(value).over(w), F.nullif(F.stddev_samp(value).over(w), F.lit(0.0)))
-    return df.withColumn(out, gated(z, F.col(value), w, window // 4 if min_periods is None else min_periods))
+    mp = window // 4 if min_periods is None else min_periods
+    z = div(F.col(value) - roll.mean(), F.nullif(roll.std(), F.lit(0.0)))
+    return roll.done(roll.rolling_moments(df, value, window, keys, date).withColumn(out, F.when(roll.count() >= mp, z)))
 
 
 def trailing_mean(df: DataFrame, value: str, window: int, min_periods: int, out: str, keys: Keys = ("asset",), date: str = "date") -> DataFrame:
-    w = rows_frame(keys, date, window)
-    return df.withColumn(out, gated(F.avg(value).over(w), F.col(value), w, min_periods))
+    return roll.done(roll.rolling_moments(df, value, window, keys, date).withColumn(out, F.when(roll.count() >= min_periods, roll.mean())))
 
 
 def cumulative(df: DataFrame, value: str, out: str, keys: Keys = ("asset",), date: str = "date") -> DataFrame:
