@@ -25,6 +25,18 @@ def to_date(c: Column) -> Column:
     return c.cast("string").try_cast("timestamp").cast("date")
 
 
+def date_of(df: DataFrame, name: str) -> Column:
+    """Date of a column: text, timestamp or date, or nanoseconds since the epoch (BIGINT)."""
+    c = F.col(f"`{name}`")
+    return F.timestamp_micros(F.floor(c / 1000)).cast("date") if dict(df.dtypes)[name] == "bigint" else to_date(c)
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet files with nanosecond timestamps, as pandas writes them, read those as BIGINT."""
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    return spark.read.parquet(path)
+
+
 def bare_ticker(c: Column) -> Column:
     """Ticker without its market suffix (``AUD Curncy`` -> ``AUD``)."""
     return F.regexp_replace(c, rf" ({'|'.join(TICKER_SUFFIXES)})$", "")
@@ -71,7 +83,7 @@ def to_long(df: DataFrame, field: str | None = None) -> DataFrame:
     if is_long(df):
         by_lower = {c.lower(): c for c in df.columns}
         out = df.select(
-            to_date(F.col(f"`{dcol}`")).alias("date"),
+            date_of(df, dcol).alias("date"),
             F.col(by_lower["ticker"]).cast("string").alias("ticker"),
             F.col(by_lower["field"]).cast("string").alias("field"),
             to_double(F.col(by_lower["value"])).alias("value"),
@@ -87,12 +99,12 @@ def to_long(df: DataFrame, field: str | None = None) -> DataFrame:
             cells.append(F.struct(F.lit(tick).alias("ticker"), F.lit(fld).alias("field"), to_double(F.col(f"`{c}`")).alias("value")))
     if not cells:
         raise ValueError(f"no column carries field {field!r}")
-    return df.select(to_date(F.col(f"`{dcol}`")).alias("date"), F.explode(F.array(*cells)).alias("c")).select("date", "c.*")
+    return df.select(date_of(df, dcol).alias("date"), F.explode(F.array(*cells)).alias("c")).select("date", "c.*")
 
 
 def load_wide(spark: SparkSession, path: str, field: str = "PX_LAST") -> DataFrame:
     """One field of a wide parquet file as ``(date, ticker, value)`` with bare tickers."""
-    return select_field(spark.read.parquet(path), field)
+    return select_field(read_parquet(spark, path), field)
 
 
 def select_field(df: DataFrame, field: str = "PX_LAST") -> DataFrame:
@@ -101,7 +113,7 @@ def select_field(df: DataFrame, field: str = "PX_LAST") -> DataFrame:
 
 def read_long(spark: SparkSession, base: str) -> tuple[DataFrame, str]:
     """Long quotes from ``base.parquet``, else ``base.csv``; with a status word."""
-    for reader, suffix in ((spark.read.parquet, "parquet"), (lambda p: spark.read.csv(p, header=True), "csv")):
+    for reader, suffix in ((lambda p: read_parquet(spark, p), "parquet"), (lambda p: spark.read.csv(p, header=True), "csv")):
         try:
             df = reader(f"{base}.{suffix}")
         except AnalysisException:
@@ -128,7 +140,7 @@ def empty_long(spark: SparkSession) -> DataFrame:
 def safe_read(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     """Parquet frame, or an empty long frame with the reason."""
     try:
-        return spark.read.parquet(path), "ok"
+        return read_parquet(spark, path), "ok"
     except AnalysisException as e:
         return empty_long(spark), e.getCondition() or "unreadable"
 
@@ -140,7 +152,7 @@ def normalise_frame(df: DataFrame) -> DataFrame:
     """
     dcol = date_column(df)
     flat = {c: "__".join(parse_wide_name(c)) for c in df.columns if c != dcol}
-    out = df.select(to_date(F.col(f"`{dcol}`")).alias("date"), *[to_double(F.col(f"`{c}`")).alias(n) for c, n in flat.items()])
+    out = df.select(date_of(df, dcol).alias("date"), *[to_double(F.col(f"`{c}`")).alias(n) for c, n in flat.items()])
     out = keep_last(out.filter("date is not null").withColumn("_seq", F.monotonically_increasing_id()), ["date"], "_seq").drop("_seq")
     counts = out.agg(*[F.count(f"`{n}`").alias(n) for n in flat.values()]).first()
     return out.select("date", *[f"`{n}`" for n in flat.values() if counts[n]])
