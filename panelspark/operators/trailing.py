@@ -101,29 +101,34 @@ def sign_flips(df: DataFrame, value: str, keys: Keys = ("asset",), date: str = "
     return df.withColumn("_p", prev).filter(F.col(value).isNotNull() & (F.col("_p").isNull() | (s != F.col("_p")))).drop("_p").withColumn("sign", s)
 
 
-def pairwise_rolling_corr(df: DataFrame, value: str, window: int = 126, min_obs: int = 80, date: str = "date", asset: str = "asset", block: int | None = None) -> DataFrame:
+def pairwise_rolling_corr(df: DataFrame, value: str, window: int = 126, min_obs: int = 80, date: str = "date", asset: str = "asset", block: int | None = None, tiles: int = 1) -> DataFrame:
     """Average pairwise correlation over each trailing window; assets need ``min_obs`` values in it.
 
     Dates are cut into blocks; each block also receives the ``window - 1`` dates before it, so a
-    row is shuffled at most twice.  Inside a block correlations come from masked matrix products;
-    no row pair is ever emitted.
+    row is shuffled at most twice per tile.  Inside a block correlations come from masked matrix
+    products; no row pair is ever emitted, only a sum and a count per date.  Assets are hashed into
+    ``tiles``; a task sees the assets of one tile pair, so a large universe splits over tasks.
     """
     block = block or window
     idx = df.join(calendar_index(df, date), date)
     reach = 1 + (window - 2 + block) // block
     tagged = idx.filter(F.col(value).isNotNull()).select(
-        date, asset, "t", F.col(value).alias("v"),
+        date, F.col(asset).alias("asset"), "t", F.col(value).alias("v"),
+        F.pmod(F.xxhash64(asset), F.lit(tiles)).cast("int").alias("tile"),
         F.explode(F.sequence(F.floor(F.col("t") / block), F.floor(F.col("t") / block) + reach)).alias("b"),
     ).filter(F.col("t") >= F.col("b") * block - (window - 1))
-    spans = calendar_index(df, date).withColumn("b", F.floor(F.col("t") / block))
+    sides = F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda o: F.struct(F.least("tile", o).alias("ti"), F.greatest("tile", o).alias("tj")))
+    tagged = tagged.withColumn("_t", F.explode(sides)).select("*", "_t.ti", "_t.tj").drop("_t")
 
     def corr_block(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(key[0])
+        b, ti, tj = (int(k) for k in key)
         lo = b * block - (window - 1)
         names, col = np.unique(pdf["asset"].to_numpy(), return_inverse=True)
         x = np.full((window - 1 + block, len(names)), np.nan)
         x[pdf["t"].to_numpy() - lo, col] = pdf["v"].to_numpy()
-        ts, vals = [], []
+        tile = np.zeros(len(names), dtype=int)
+        tile[col] = pdf["tile"].to_numpy()
+        ts, sums, counts = [], [], []
         for i in range(block):
             end = b * block + i
             if end < window - 1:
@@ -141,15 +146,20 @@ def pairwise_rolling_corr(df: DataFrame, value: str, window: int = 126, min_obs:
                 cov = z.T @ z - sx * sx.T / n
                 vx = sq - sx * sx / n
                 c = cov / np.sqrt(vx * vx.T)
-            up = c[np.triu_indices(len(c), 1)]
+            i, j = np.triu_indices(len(c), 1)
+            own = tile[keep]
+            mine = ((own[i] == ti) & (own[j] == tj)) | ((own[i] == tj) & (own[j] == ti))
+            up = c[i[mine], j[mine]]
             up = up[np.isfinite(up)]
             if len(up):
                 ts.append(end)
-                vals.append(up.mean())
-        return pd.DataFrame({"t": np.array(ts, dtype="int32"), "avg_corr": np.array(vals, dtype=float)})
+                sums.append(up.sum())
+                counts.append(len(up))
+        return pd.DataFrame({"t": np.array(ts, dtype="int32"), "s": np.array(sums, dtype=float), "n": np.array(counts, dtype="int64")})
 
-    out = tagged.groupBy("b").applyInPandas(corr_block, "t int, avg_corr double")
-    return out.join(spans.select(date, "t"), "t").select(date, "avg_corr")
+    part = tagged.groupBy("b", "ti", "tj").applyInPandas(lambda key, pdf: corr_block(key, pdf), "t int, s double, n long")
+    out = part.groupBy("t").agg((F.sum("s") / F.sum("n")).alias("avg_corr"))
+    return out.join(calendar_index(df, date), "t").select(date, "avg_corr")
 
 
 def pair_moments(df: DataFrame, value: str, keys: Keys = (), date: str = "date", asset: str = "asset", tiles: int = 1, block_days: int = 366, diagonal: bool = False) -> DataFrame:

@@ -142,5 +142,6 @@ def test_rolling_pair_correlation_matches_a_loop(spark):
         if s.shape[1] >= 2:
             c = s.corr().to_numpy()
             exp[w.index[end - 1]] = np.nanmean(c[np.triu_indices(len(c), 1)])
-    got = tr.pairwise_rolling_corr(spark.createDataFrame(pdf), "v", 30, 20, block=17).toPandas().set_index("date")["avg_corr"]
-    assert set(got.index) == set(exp) and np.allclose([got[d] for d in exp], list(exp.values()))
+    for tiles in (1, 2):
+        got = tr.pairwise_rolling_corr(spark.createDataFrame(pdf), "v", 30, 20, block=17, tiles=tiles).toPandas().set_index("date")["avg_corr"]
+        assert set(got.index) == set(exp) and np.allclose([got[d] for d in exp], list(exp.values()))
