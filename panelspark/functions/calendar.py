@@ -62,29 +62,29 @@ def densify(
 ) -> DataFrame:
     """One row per (key, calendar date); measures are NULL where nothing was quoted.
 
-    The calendar is the distinct dates of ``df``.  The grid comes from a per-key
-    ``sequence(first, last)`` cut down by an equi-join with the calendar, so no cross join is
-    planned.  ``full=False`` starts each key at its own first date.  ``static`` columns depend
-    on the key only and are repeated on the filled rows.
-
-    The input is read four times (calendar, its ends, spans, values), so by default it is staged
-    in the checkpoint folder first: what lies below, often one pass over the largest table, then
-    runs once.
+    The calendar is the distinct dates of ``df``; (key, date) is unique.  Each row fills the
+    calendar positions up to the key's next row, so the grid needs one shuffle by key, shared with
+    the windows that follow, and neither a cross join nor a join with a spine.  ``full=False``
+    starts each key at its own first date.  ``static`` columns depend on the key only and are
+    repeated on the filled rows.
+
+    The input is read three times (twice for the calendar), so by default it is staged in the
+    checkpoint folder first: what lies below, often one pass over the largest table, then runs once.
+    The broadcast side is the calendar itself: one row per date, however many assets there are.
     """
     keys = list(keys)
     if stage:
         df = cut_lineage(df)
-    calendar = df.select(date).distinct()
-    bounds = calendar.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
-    start = bounds.select("lo").scalar() if full else F.col("_first")
-    spine = (
-        df.groupBy(*keys)
-        .agg(F.min(date).alias("_first"), *[F.first(c, ignorenulls=True).alias(c) for c in static])
-        .withColumn(date, F.explode(F.sequence(start, bounds.select("hi").scalar(), F.expr("interval 1 day"))))
-        .drop("_first")
-        .join(calendar, date)
-    )
-    return spine.join(df.drop(*static), [*keys, date], "left")
+    days = df.agg(F.sort_array(F.collect_set(date)).alias("_cal")).scalar()
+    x = df.join(F.broadcast(calendar_index(df, date, "__t")), date)
+    w = Window.partitionBy(*keys).orderBy("__t")
+    last = F.coalesce(F.lead("__t").over(w), F.size(days)) - 1
+    start = F.when(F.lag("__t").over(w).isNull(), F.lit(0)).otherwise(F.col("__t")) if full else F.col("__t")
+    x = x.withColumn("__lo", start).withColumn("__hi", F.greatest(last, F.col("__t")))
+    x = x.withColumn("__pos", F.explode(F.sequence("__lo", "__hi")))
+    here = F.col("__pos") == F.col("__t")
+    rest = [c for c in df.columns if c not in (*keys, date, *static)]
+    return x.select(*keys, F.get(days, F.col("__pos")).alias(date), *static, *[F.when(here, F.col(c)).alias(c) for c in rest])
 
 
 def densify_monthly(

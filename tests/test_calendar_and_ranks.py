@@ -145,3 +145,14 @@ def test_rolling_pair_correlation_matches_a_loop(spark):
     for tiles in (1, 2):
         got = tr.pairwise_rolling_corr(spark.createDataFrame(pdf), "v", 30, 20, block=17, tiles=tiles).toPandas().set_index("date")["avg_corr"]
         assert set(got.index) == set(exp) and np.allclose([got[d] for d in exp], list(exp.values()))
+
+
+def test_densify_can_start_at_the_first_quote_and_shares_its_shuffle(spark):
+    rows = [("a", dt.date(2024, 1, 1), 1.0, "x"), ("a", dt.date(2024, 1, 3), 3.0, "x"), ("b", dt.date(2024, 1, 2), 2.0, "y")]
+    df = spark.createDataFrame(rows, "asset string, date date, v double, bucket string")
+    got = sorted(map(tuple, cal.densify(df, full=False, static=["bucket"]).select("asset", "date", "bucket", "v").collect()), key=str)
+    d = [dt.date(2024, 1, i) for i in (1, 2, 3)]
+    assert got == sorted([("a", d[0], "x", 1.0), ("a", d[1], "x", None), ("a", d[2], "x", 3.0), ("b", d[1], "y", 2.0), ("b", d[2], "y", None)], key=str)
+    out = tr.trailing_vol(cal.densify(df), "v", 2)
+    main = out._jdf.queryExecution().executedPlan().toString()
+    assert main.count("Exchange hashpartitioning") == 1
