@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe
+from panelspark.llm import bpe, fingerprints
 from panelspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,8 @@ def query(name: str, sql: str | None = None):
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
     return out.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op4_syncmer_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.against_next(table(spark, sf_dir, "documents"))
