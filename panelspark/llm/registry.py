@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, fingerprints
+from panelspark.llm import bpe, fingerprints, minhash
 from panelspark.llm.common import table
 
+ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -33,3 +35,25 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_syncmer_fingerprints")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_next(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_minhash_near_duplicates",
+    f"""
+    WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex({ASCII_LOWER}, '[\\x20\\x09-\\x0D]+'), x -> x <> '') w FROM documents),
+    sets AS (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i : i + 3], ' '))) END s FROM words),
+    items AS (SELECT doc_id, unnest(s) item FROM sets),
+    pairs AS (
+        SELECT a.doc_id x, b.doc_id y, count(*) both_n FROM items a JOIN items b ON a.item = b.item AND a.doc_id > b.doc_id GROUP BY 1, 2),
+    links AS (
+        SELECT x, y FROM pairs JOIN sets p ON p.doc_id = x JOIN sets q ON q.doc_id = y WHERE 100 * both_n >= 80 * (len(p.s) + len(q.s) - both_n)),
+    edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+    reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.y FROM reach r JOIN edges e ON e.x = r.b),
+    roots AS (SELECT a, min(b) c FROM reach GROUP BY a)
+    SELECT doc_id, CAST(len(s) AS BIGINT) n_shingles, c component_id, doc_id = c AS kept FROM sets JOIN roots ON a = doc_id
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
