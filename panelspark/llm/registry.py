@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, fingerprints, minhash
+from panelspark.llm import bpe, fingerprints, langid, licenses, minhash
 from panelspark.llm.common import table
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -57,3 +57,37 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return langid.predict(docs, langid.train(docs, ~held)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def _license_sql() -> str:
+    phrases = ", ".join(
+        f"list_transform(list_filter(range(1, len(w) + 1), i -> {' AND '.join(f'w[i + {k}] = {chr(39)}{x}{chr(39)}' for k, x in enumerate(p.split()))}), i -> {{'at': i - 1, 'label': '{label}'}})"
+        for p, label in licenses.PHRASES.items()
+    )
+    templates = ", ".join(f"('{label}', {sorted(set(t.split()))!r})" for label, ts in licenses.TEMPLATES.items() for t in ts)
+    half = licenses.BLOCK // 2
+    return f"""
+    WITH texts AS (SELECT doc_id, list_filter(string_split_regex({ASCII_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') w FROM documents),
+    base AS (SELECT doc_id, len(w) n, flatten([{phrases}]) p FROM texts),
+    blocks AS (SELECT doc_id, unnest(list_transform(range(0, CAST(greatest(len(w) - {half} - 1, 0) // {half} + 1 AS BIGINT)), k -> w[k * {half} + 1 : k * {half} + {licenses.BLOCK}])) b FROM texts),
+    templates(label, t) AS (VALUES {templates}),
+    found AS (
+        SELECT doc_id, list(DISTINCT label) found, max(len(list_intersect(b, t)) / len(t)) best FROM blocks, templates
+        WHERE len(list_intersect(b, t)) >= ceil({licenses.THRESHOLD} * len(t) - 1e-9) GROUP BY doc_id)
+    SELECT doc_id, CAST(n AS BIGINT) n_words, CAST(len(p) AS BIGINT) n_base, CAST(list_min(list_transform(p, x -> x.at)) AS BIGINT) first_word,
+        CAST(list_max(list_transform(p, x -> x.at)) AS BIGINT) last_word, array_to_string(list_sort(list_distinct(list_transform(p, x -> x.label))), ',') base_labels,
+        array_to_string(list_sort(list_distinct(list_concat(list_transform(p, x -> x.label), coalesce(found, [])))), ',') labels,
+        CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE score
+    FROM base LEFT JOIN found USING (doc_id)"""
+
+
+@query("op3_license_notices", _license_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
