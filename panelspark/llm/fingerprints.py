@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -111,11 +110,15 @@ def beside_next(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("o"))
     cuts = rows.agg(F.percentile_approx("o", [i / parts for i in range(1, parts)], 100 * parts)).first()[0]
-    bounds = np.unique(np.array(cuts if cuts else [], np.int64))
+    bounds = sorted(set(cuts or []))
+    steps = [1 << i for i in range(len(bounds).bit_length())][::-1]
 
-    @F.pandas_udf("int")
-    def bucket(o: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, o.to_numpy(), side="right").astype(np.int32))
+    def bucket(o: str):
+        """How many bounds are at most o, by bisection."""
+        if not bounds:
+            return F.lit(0)
+        known, column = F.lit(bounds), F.col(o)
+        return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(known, at + step - 1) <= column), at + step).otherwise(at))
 
     firsts = rows.select(bucket("o").alias("b"), "o", F.xxhash64("text").alias("h")).groupBy("b").agg(F.max(F.struct("o", "h")).alias("f")).orderBy(F.desc("b")).collect()
     before = [firsts[i - 1].b for i in range(len(firsts))]  # for the first range: the last
@@ -147,7 +150,7 @@ def _against_next(batches):
                 pairs.append((last[1], last[2], text))
                 size += len(last[2]) + len(text)
             last = None if extra else (bucket, doc_id, text)
-            if size > 400_000 or len(pairs) >= 512:
+            if size > 100_000 or len(pairs) >= 256:
                 yield emit(pairs)
                 pairs, size = [], 0
     if pairs:
