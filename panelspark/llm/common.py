@@ -25,7 +25,7 @@ def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder of ``spark.checkpoint.dir`` and read it back: the lineage is cut, and what
     several later jobs read is computed once. The files stay until the owner of that folder clears it."""
     path = f"{checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
