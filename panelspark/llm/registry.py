@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, fingerprints, langid, licenses, minhash, packing
+from panelspark.llm import bpe, fingerprints, langid, licenses, lines, minhash, packing
 from panelspark.llm.common import table
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -96,3 +96,28 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_hilbert_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
+LINES_SQL = f"""
+    WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) a FROM documents),
+    numbered AS (SELECT doc_id, unnest(a) line, unnest(range(len(a))) i FROM texts),
+    worded AS (SELECT doc_id, i, line, list_filter(string_split_regex({ASCII_LOWER.replace("coalesce(text, '')", "line")}, '[\\x20\\x09-\\x0D]+'), x -> x <> '') w FROM numbered),
+    placed AS (SELECT doc_id, i, line, w, array_to_string(w, ' ') k, doc_id::HUGEINT * 4294967296 + i o FROM worded),
+    firsts AS (SELECT k, any_value(w) w, min(o) o FROM placed WHERE len(w) > 0 GROUP BY k),
+    some AS (SELECT * FROM firsts WHERE len(w) >= 10),
+    less AS (SELECT k, o, p, array_to_string(w[1 : p] || w[p + 2 :], ' ') v, len(w) n FROM (SELECT k, w, o, unnest(range(len(w))) p FROM some)),
+    early AS (SELECT v, p, n, min(o) o FROM less GROUP BY ALL),
+    near AS (
+        SELECT l.k FROM less l JOIN early e ON l.v = e.v AND l.p = e.p AND l.n = e.n WHERE l.o > e.o
+        UNION SELECT s.k FROM some s JOIN less l ON l.v = s.k WHERE s.o > l.o
+        UNION SELECT l.k FROM some s JOIN less l ON l.v = s.k WHERE l.o > s.o),
+    kept AS (
+        SELECT doc_id, i, line, len(w) > 0 AND (p.o > f.o OR p.k IN (FROM near)) gone FROM placed p LEFT JOIN firsts f ON p.k = f.k)
+    SELECT doc_id, count(*) n_lines, count(*) FILTER (gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT coalesce(gone, false)), '')) kept_sha256
+    FROM kept GROUP BY doc_id"""
+
+
+@query("op1_line_dedupe", LINES_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedupe(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
