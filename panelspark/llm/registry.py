@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, fingerprints, langid, licenses, lines, minhash, packing
+from panelspark.llm import bpe, fingerprints, langid, licenses, lines, minhash, packing, tokenfile
 from panelspark.llm.common import table
+from panelspark.session import checkpoint_dir
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -121,3 +123,10 @@ LINES_SQL = f"""
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedupe(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op5_token_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    tokenfile.write(table(spark, sf_dir, "documents"), path)
+    return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
