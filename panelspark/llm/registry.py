@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, fingerprints, langid, licenses, lines, minhash, packing, tokenfile
+from panelspark.llm import bpe, fingerprints, langid, licenses, lines, minhash, packing, tokenfile, vectors
 from panelspark.llm.common import table
 from panelspark.session import checkpoint_dir
 
@@ -130,3 +130,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
     tokenfile.write(table(spark, sf_dir, "documents"), path)
     return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+VECTORS_SQL = """
+    WITH RECURSIVE ok AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    links AS (SELECT a.vec_id x, b.vec_id y FROM ok a JOIN ok b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+    reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.y FROM reach r JOIN links l ON l.x = r.b),
+    roots AS (SELECT a, min(b) c FROM reach GROUP BY a)
+    SELECT e.vec_id, coalesce(n, 0) n_links, c component_id, e.vec_id = c AS kept
+    FROM embeddings e JOIN roots ON a = e.vec_id LEFT JOIN (SELECT x, count(*) n FROM links GROUP BY x) ON x = e.vec_id"""
+
+
+@query("op9_embedding_near_duplicates", VECTORS_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
