@@ -145,14 +145,14 @@ class _Scores:
         return [self.rows[np.fromiter(map(get, d), np.int64, len(d))].sum(axis=0) if d else np.zeros(self.rows.shape[1]) for d in docs]
 
 
-def _predict(name: str, model, path: str):
+def _predict(name: str, model, path: str, keep: list[str], text: int):
     def run(batches):
         if name not in _CACHE:
             _CACHE.clear()
             _CACHE[name] = (_Scores(vocabulary(path), model.value[1]), model.value[0])
         scores, langs = _CACHE[name]
         for b in slices(batches, 256):
-            docs = [words_of(t) for t in b.column(1).to_pylist()]
+            docs = [words_of(t) for t in b.column(text).to_pylist()]
             pred, best = [], []
             for d, s in zip(docs, scores.of(docs), strict=True):
                 if not langs or not has_letter(d):
@@ -162,7 +162,7 @@ def _predict(name: str, model, path: str):
                 z = np.exp((s - s.max()) / np.sqrt(len(d)))
                 pred.append(langs[int(s.argmax())])
                 best.append(float(z.max() / z.sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(best, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(best, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return run
 
@@ -190,10 +190,13 @@ def train(docs: DataFrame, learn, vocab_path: str | None = None, sample: int = S
     return fit(counts, vocabulary(vocab_path or public_tokenizers.path(VOCABULARY)))
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab_path: str | None = None) -> DataFrame:
-    """(doc_id, text) -> (doc_id, lang_pred, score); the text alone decides."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab_path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` with lang_pred and score; the text alone decides."""
     spark = docs.sparkSession
     ship(spark)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
+    text = keep.index("text") if "text" in keep else len(keep)
+    given = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[: len(keep)])
     sent = spark.sparkContext.broadcast(model)  # vocabulary size times number of languages
-    return docs.select("doc_id", "text").mapInArrow(_predict(uuid.uuid4().hex, sent, vocab_path or public_tokenizers.path(VOCABULARY)), f"doc_id {kind}, lang_pred string, score double")
+    return given.mapInArrow(_predict(uuid.uuid4().hex, sent, vocab_path or public_tokenizers.path(VOCABULARY), keep, text), f"{fields}, lang_pred string, score double")
