@@ -5,10 +5,13 @@
   least ``MEET`` of them (expected 25.6 of 32 at 0.8; fewer than 14 has a chance of about 1e-6), so pairs that no other class holds
   are dropped, classes left with fewer than ``MEET`` have no partner, and of the rest only the rarest (left - MEET + 1) are merged: two
   classes that agree on MEET share one of those (prefix filter under the global order of frequency).
-* Lists are not expanded into pairs. Each list takes a pivot and its members are compared with it: first by the count of equal
+* Lists are not expanded into pairs. Each list takes as pivot the member whose own lists are longest together (the text that copies were
+  made from shares most with the others) and its members are compared with it: first by the count of equal
   coordinates among all ``COORDS`` (at least ``MATCHES``; 0.8 expects 102 of 128 with deviation 4.5), then exactly on full shingle
   sets. Members of one component need no further links. Lists that still hold several components are finished exactly: members outside
-  the list's largest component against all others, in blocks, skipping pairs already in one component.
+  the list's largest component against all others, in blocks, skipping pairs already in one component and pairs met in a list before,
+  by the same count and then by a finer sketch (one value in each of ``BINS`` bins of the hash range; with about as many bins as
+  shingles it is nearly the set itself). What is left is compared exactly.
 
 Null and wordless texts have empty sets and link with nothing. Rows with a null doc_id join their class but can't represent it; alone
 they have a null component. Repeated rows share their class. Other columns are ignored.
@@ -26,7 +29,9 @@ from panelspark.llm.common import WordHashes, ship, slices, stage
 from panelspark.llm.components import components
 
 COORDS, POSTED, MEET, MATCHES = 128, 32, 14, 80
-BLOCK = 1024
+BLOCK, BINS, EMPTY = 1024, 1024, 255
+#: Class ids up to this many rows are broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 200_000
 _WORDS = WordHashes()
 _A = np.random.default_rng(8).integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(9).integers(0, 1 << 63, COORDS, dtype=np.uint64)
@@ -67,11 +72,29 @@ def _summary(size: int):
     return run
 
 
+def fine(s: np.ndarray) -> bytes:
+    """Of each bin (highest bits) the smallest item's lowest byte; EMPTY where there is none. Items are sorted."""
+    out = np.full(BINS, EMPTY, np.uint8)
+    bins, first = np.unique(s >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+    out[bins.astype(np.int64)] = np.minimum(s[first] & np.uint64(255), EMPTY - 1)
+    return out.tobytes()
+
+
+def alike(one: np.ndarray, n_one: int, others: np.ndarray, n_others: np.ndarray, percent: int) -> np.ndarray:
+    """Which others may reach the similarity: equal bins against filled bins, less 4.75 deviations of drawing that many of the union."""
+    filled = ((others != EMPTY) | (one != EMPTY)).sum(axis=1)
+    equal = ((others == one) & (one != EMPTY)).sum(axis=1)
+    p = percent / 100
+    union = np.minimum(n_one, n_others) / p
+    slack = 2 + 4.75 * np.sqrt(p * (1 - p) * filled * np.clip(1 - filled / union, 0, 1))
+    return equal >= p * filled - slack
+
+
 def _sets(size: int):
     def run(batches):
         for b in slices(batches, 256):
             sets = [shingles(t, size) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "set_key", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([fine(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "set_key", "n", "fine", "items"])
 
     return run
 
@@ -101,34 +124,40 @@ def _confirm(percent: int):
     return run
 
 
-def _blocks(batches):
+def _blocks(percent: int):
     """Rows sorted by (token, f, g, side): the few (side 0) against the block's others (side 1); pairs of different components that
-    agree often enough."""
-    key, few, many = None, [], []
+    may be similar, each in the first list that both are in."""
 
-    def emit():
+    def pairs(token: int, few: list, many: list):
         if not few or not many:
-            return
-        sig = lambda rows: np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(-1, COORDS)
-        ids, comp = (np.array([r[i] for r in many], np.int64) for i in (0, 1))
-        other = sig(many)
-        for k, s in enumerate(sig(few)):
-            hit = ((other == s).sum(axis=1) >= MATCHES) & (comp != few[k][1])
-            for j in np.flatnonzero(hit):
-                yield max(few[k][0], int(ids[j])), min(few[k][0], int(ids[j]))
-
-    def batch(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["b", "a"])
+            return []
+        stacked = lambda rows, i, kind, width: np.frombuffer(b"".join(r[i] for r in rows), kind).reshape(-1, width)
+        comp, n = (np.array([r[i] for r in many], np.int64) for i in (1, 4))
+        rough, close, out = stacked(many, 2, np.uint16, COORDS), stacked(many, 5, np.uint8, BINS), []
+        for k, own in enumerate(stacked(few, 2, np.uint16, COORDS)):
+            cls, root, _, tokens, size, sketch = few[k]
+            at = np.flatnonzero((comp != root) & ((rough == own).sum(axis=1) >= MATCHES))
+            at = at[alike(np.frombuffer(sketch, np.uint8), size, close[at], n[at], percent)]
+            mine = set(tokens)
+            out += [(max(cls, many[j][0]), min(cls, many[j][0])) for j in at.tolist() if min(mine & set(many[j][3])) == token]
+        return out
 
-    for b in slices(batches, 4096):
-        for token, f, g, side, cls, comp, sig in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-            if key != (token, f, g):
-                if pairs := list(emit()):
-                    yield batch(pairs)
-                key, few, many = (token, f, g), [], []
-            (many if side else few).append((cls, comp, sig))
-    if pairs := list(emit()):
-        yield batch(pairs)
+    def run(batches):
+        key, sides = None, ([], [])
+
+        def batch():
+            found = pairs(key[0], *sides) if key else []
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["b", "a"])
+
+        for b in slices(batches, 1024):
+            for token, f, g, side, *row in zip(*(b.column(i).to_pylist() for i in range(10)), strict=True):
+                if key != (token, f, g):
+                    yield batch()
+                    key, sides = (token, f, g), ([], [])
+                sides[side].append(row)
+        yield batch()
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -146,7 +175,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     often = posts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     lists = (
         posts.join(often, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-        .filter(F.size("t") >= MEET).select("cls", F.explode(F.expr(f"slice(t, 1, size(t) - {MEET} + 1)")).alias("t")).select("cls", F.col("t.token").alias("token"))
+        .filter(F.size("t") >= MEET).select("cls", F.expr("aggregate(t, 0L, (a, x) -> a + x.df)").alias("mass"), F.expr(f"transform(slice(t, 1, size(t) - {MEET} + 1), x -> x.token)").alias("tokens"))
+        .select("cls", "mass", "tokens", F.explode("tokens").alias("token"))
     )
     lists = stage(lists)
 
@@ -156,18 +186,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         two = pairs.join(sigs.withColumnRenamed("cls", "b").withColumnRenamed("sig", "sb"), "b").join(sigs.withColumnRenamed("cls", "a").withColumnRenamed("sig", "sa"), "a")
         return two.select("a", "b", "sa", "sb").mapInArrow(_agree, "a bigint, b bigint, agree int").filter(F.col("agree") >= MATCHES)
 
+    need = lists.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a < z").select("token")
+    need = stage(lists.join(need, "token").select("cls").distinct())
+    need = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
+    sets = docs.join(need, docs["doc_id"] == need["cls"]).select("cls", "text").mapInArrow(_sets(size), "cls bigint, set_key binary, n bigint, fine binary, items binary")
+    sets = stage(sets.join(reps.select("cls", "set_key"), ["cls", "set_key"]).select("cls", "n", "fine", "items").dropDuplicates(["cls"]))
+    items = sets.select("cls", "items")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose full sets are similar enough; b's set travels once per pair, a's once per 256 pairs."""
         salts = pairs.groupBy("a").agg(F.expr("cast((count(*) - 1) div 256 + 1 as int)").alias("s"))
-        need = pairs.select(F.col("b").alias("cls")).unionByName(pairs.select(F.col("a").alias("cls"))).distinct()
-        sets = docs.join(need, docs["doc_id"] == need["cls"]).select("cls", "text").mapInArrow(_sets(size), "cls bigint, set_key binary, items binary")
-        sets = stage(sets.join(reps.select("cls", "set_key"), ["cls", "set_key"]).select("cls", "items").dropDuplicates(["cls"]))
-        members = pairs.join(salts, "a").select("a", F.expr("cast(pmod(xxhash64(b), s) as int)").alias("salt"), "b").join(sets.withColumnRenamed("cls", "b"), "b").select("a", "salt", "b", "items")
-        pivots = salts.select(F.col("a").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt")).join(sets, "cls").select(F.col("cls").alias("a"), "salt", F.lit(None).cast("bigint").alias("b"), "items")
+        members = pairs.join(salts, "a").select("a", F.expr("cast(pmod(xxhash64(b), s) as int)").alias("salt"), "b").join(items.withColumnRenamed("cls", "b"), "b").select("a", "salt", "b", "items")
+        pivots = salts.select(F.col("a").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt")).join(items, "cls").select(F.col("cls").alias("a"), "salt", F.lit(None).cast("bigint").alias("b"), "items")
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return members.unionByName(pivots).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_confirm(percent), "u bigint, v bigint")
 
-    pivots = lists.groupBy("token").agg(F.min_by("cls", F.xxhash64("cls", "token")).alias("pivot"))
+    pivots = lists.groupBy("token").agg(F.max_by("cls", F.col("mass") * (1 << 20) + F.pmod(F.xxhash64("cls"), F.lit(1 << 20))).alias("pivot"))
     star = lists.join(pivots, "token").filter("cls <> pivot").select(F.greatest("cls", "pivot").alias("b"), F.least("cls", "pivot").alias("a")).distinct()
     star = stage(agreeing(star))
     best = star.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
@@ -187,12 +221,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sizes = open_lists.groupBy("token", "comp").agg(F.count("*").alias("k"))
     rest = sizes.groupBy("token").agg(F.sum("k").alias("all"), F.max("k").alias("most"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
     rest = rest.select("token", "main", F.expr(f"cast((all - most - 1) div {BLOCK} as int)").alias("fs"), F.expr(f"cast((all - 1) div {BLOCK} as int)").alias("gs"))
-    rest = stage(open_lists.join(rest, "token").join(sigs, "cls"))
+    rest = open_lists.join(rest, "token").join(sigs.join(sets.select("cls", "n", "fine"), "cls"), "cls")
     place = F.xxhash64("cls", F.lit(3))
-    few = rest.filter("comp <> main").select("token", F.expr("cast(pmod(xxhash64(cls, 3), fs + 1) as int)").alias("f"), F.explode(F.sequence(F.lit(0), "gs")).alias("g"), F.lit(0).alias("side"), "cls", "comp", "sig")
-    many = rest.select("token", F.explode(F.sequence(F.lit(0), "fs")).alias("f"), F.pmod(place, F.col("gs") + 1).cast("int").alias("g"), F.lit(1).alias("side"), "cls", "comp", "sig")
+    few = rest.filter("comp <> main").select("token", F.expr("cast(pmod(xxhash64(cls, 3), fs + 1) as int)").alias("f"), F.explode(F.sequence(F.lit(0), "gs")).alias("g"), F.lit(0).alias("side"), "cls", "comp", "sig", "tokens", "n", "fine")
+    many = rest.select("token", F.explode(F.sequence(F.lit(0), "fs")).alias("f"), F.pmod(place, F.col("gs") + 1).cast("int").alias("g"), F.lit(1).alias("side"), "cls", "comp", "sig", "tokens", "n", "fine")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    final = few.unionByName(many).repartition(parts, "token", "f", "g").sortWithinPartitions("token", "f", "g", "side").mapInArrow(_blocks, "b bigint, a bigint").distinct()
+    final = few.unionByName(many).repartition(parts, "token", "f", "g").sortWithinPartitions("token", "f", "g", "side").mapInArrow(_blocks(percent), "b bigint, a bigint").distinct()
     tried = star.select("a", "b")
     final = stage(final.join(tried, ["a", "b"], "left_anti"))
     if final.limit(1).count():
