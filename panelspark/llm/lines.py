@@ -18,6 +18,8 @@ another text they are told apart. A document whose lines all go keeps its row wi
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,14 +34,15 @@ BROADCAST_ROWS = 200_000
 _WORDS = WordHashes()
 _BASE = 0xD1342543DE82EF95
 _BACK = np.uint64(pow(_BASE, -1, 1 << 64))
-_POWERS = np.ones(1, np.uint64)
+_TABLES = {_BASE: np.ones(1, np.uint64), int(_BACK): np.ones(1, np.uint64)}
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    while len(_POWERS) < n:
-        _POWERS = np.concatenate([_POWERS, _POWERS * np.uint64(pow(_BASE, len(_POWERS), 1 << 64))])
-    return _POWERS[:n]
+def _powers(n: int, base: int = _BASE) -> np.ndarray:
+    """The first n powers of the base modulo 2^64."""
+    while len(_TABLES[base]) < n:
+        known = _TABLES[base]
+        _TABLES[base] = np.concatenate([known, known * np.uint64(pow(base, len(known), 1 << 64))])
+    return _TABLES[base][:n]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,15 +60,21 @@ def sums(h: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(len(h)), dtype=np.uint64)])
 
 
-def halves(h: np.ndarray) -> list[int]:
-    """Hashes of the first and last half, as seen with a partner of the same length or one word less, or one more."""
-    n, p = len(h), sums(h)
-    out = []
-    for least in (n, n - 1):
-        a = least // 2
-        skip = n - (least - a)
-        out += [int(p[a]) + 4 * least + 1, (int(p[n]) - int(p[skip])) * pow(int(_BACK), skip, 1 << 64) + 4 * least + 2]
-    return _mix(np.array([x % (1 << 64) for x in out], np.uint64)).view(np.int64).tolist()
+def halves(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For lines of such sizes, one after the other in h: hashes [line, 4] of the first and last half, as seen with a partner of the
+    same length or one word less, or one more."""
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    place = np.arange(len(h)) - np.repeat(starts, sizes)
+    longest = int(sizes.max(initial=0)) + 1
+    p = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(longest)[place], dtype=np.uint64)])
+    back, out = _powers(longest, int(_BACK)), []
+    for least in (sizes, sizes - 1):
+        first = least // 2
+        skip = sizes - (least - first)
+        tag = least.astype(np.uint64) * np.uint64(4)
+        out += [p[starts + first] - p[starts] + tag + np.uint64(1), (p[ends] - p[starts + skip]) * back[skip] + tag + np.uint64(2)]
+    return _mix(np.stack(out, axis=1)).view(np.int64)
 
 
 def variants(h: np.ndarray) -> np.ndarray:
@@ -85,18 +94,22 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
 
 def _line_rows(batches):
     for b in slices(batches, 128):
-        doc, text_hash, at, ident, n, keys = [], [], [], [], [], []
-        for d, th, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            for i, line in enumerate(text.split("\n")):
-                h = word_hashes(line)
-                if len(h):
-                    doc.append(d)
-                    text_hash.append(th)
-                    at.append(i)
-                    ident.append(xxhash.xxh3_128_digest(h.tobytes()))
-                    n.append(len(h))
-                    keys.append(halves(h) if len(h) >= EDIT_WORDS else [])
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(text_hash, pa.int64()), pa.array(at, pa.int32()), pa.array(ident, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "text_hash", "at", "line", "n", "keys"])
+        words, rows, at = [], [], []
+        for r, text in enumerate(b.column(2).to_pylist()):
+            found = [line.split() for line in text.encode().lower().split(b"\n")]
+            own = [i for i, w in enumerate(found) if w]
+            rows += [r] * len(own)
+            at += own
+            words += [found[i] for i in own]
+        sizes = np.array([len(w) for w in words], np.int64)
+        h = np.fromiter(map(_WORDS.__getitem__, itertools.chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+        raw, ends = h.tobytes(), (np.cumsum(sizes) * 8).tolist()
+        ident = [xxhash.xxh3_128_digest(raw[e - 8 * n : e]) for e, n in zip(ends, sizes.tolist(), strict=True)]
+        long = sizes >= EDIT_WORDS
+        keys = halves(h, sizes)[long].ravel()
+        offsets = np.concatenate([[0], np.cumsum(np.where(long, 4, 0))]).astype(np.int32)
+        rows = pa.array(rows, pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(at, pa.int32()), pa.array(ident, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys, pa.int64()))], names=["doc", "text_hash", "at", "line", "n", "keys"])
 
 
 def _some_lines(batches):
