@@ -32,8 +32,16 @@ def _stack(col: pd.Series, *shape: int) -> np.ndarray:
     return np.array(col.tolist(), dtype=float).reshape(len(col), *shape)
 
 
+def _inverse(sxx: np.ndarray) -> np.ndarray:
+    """Pseudo-inverses of covariance matrices [row, k, k], on the scale of correlations."""
+    scale = np.sqrt(np.maximum(np.einsum("rii->ri", sxx), 0))
+    inv = np.divide(1.0, scale, out=np.zeros_like(scale), where=scale > 0)
+    grid = inv[:, :, None] * inv[:, None, :]
+    return np.linalg.pinv(sxx * grid, rcond=1e-12, hermitian=True) * grid
+
+
 def _solve(m: DataFrame, keys: Keys, k: int) -> DataFrame:
-    """Slopes, intercept and R2 per key; singular designs are dropped."""
+    """Slopes, intercept and R2 per key; singular designs get the smallest slopes that fit."""
     types = dict(m.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in keys] + ["n long, _mx array<double>, _cxx array<double>, _alpha double, _beta array<double>, r2 double, _vy double"])
     names = [c.split()[0] for c in schema.split(", ")]
@@ -43,14 +51,8 @@ def _solve(m: DataFrame, keys: Keys, k: int) -> DataFrame:
             if pdf.empty:
                 continue
             sxx, sxy, mx = _stack(pdf["_cxx"], k, k), _stack(pdf["_cxy"], k), _stack(pdf["_mx"], k)
-            scale = np.sqrt(np.maximum(np.einsum("rii->ri", sxx), 0))
-            norm = sxx / np.maximum(scale[:, :, None] * scale[:, None, :], 1e-300)
-            ok = (scale > 0).all(axis=1) & np.isfinite(norm).all(axis=(1, 2))
-            ok[ok] = np.abs(np.linalg.det(norm[ok])) > 1e-12
-            pdf, sxx, sxy, mx = pdf[ok].copy(), sxx[ok], sxy[ok], mx[ok]
-            if pdf.empty:
-                continue
-            beta = np.linalg.solve(sxx, sxy[:, :, None])[:, :, 0]
+            pdf = pdf.copy()
+            beta = (_inverse(sxx) @ sxy[:, :, None])[:, :, 0]
             pdf["_beta"] = list(beta)
             pdf["_alpha"] = pdf["_my"].to_numpy() - (beta * mx).sum(axis=1)
             vy = pdf["_vy"].to_numpy()
@@ -78,7 +80,7 @@ def ols(df: DataFrame, keys: Keys, y: str, xs: Sequence[str]) -> DataFrame:
             n = pdf["n"].to_numpy(dtype=float)
             sxx, mx, beta = _stack(pdf["_cxx"], k, k), _stack(pdf["_mx"], k), _stack(pdf["_beta"], k)
             sig = pdf["_vy"].to_numpy() * (1 - pdf["r2"].to_numpy(dtype=float)) * n / np.maximum(n - k - 1, 1)
-            inv = np.linalg.inv(sxx) / n[:, None, None]
+            inv = _inverse(sxx) / n[:, None, None]
             v0 = 1 / n + np.einsum("ri,rij,rj->r", mx, inv, mx)
             co = np.column_stack([pdf["_alpha"].to_numpy(), beta])
             se = np.sqrt(sig[:, None] * np.column_stack([v0, np.einsum("rii->ri", inv)]))
@@ -133,7 +135,7 @@ def newey_west(df: DataFrame, keys: Keys, y: str, xs: Sequence[str], lags: int =
             mx, beta, mid_ = _stack(pdf["_mx"], k), _stack(pdf["_beta"], k), _stack(pdf["_s"], k + 1, k + 1)
             bread = np.zeros((len(pdf), k + 1, k + 1))
             bread[:, 0, 0] = 1 / n
-            bread[:, 1:, 1:] = np.linalg.inv(_stack(pdf["_cxx"], k, k)) / n[:, None, None]
+            bread[:, 1:, 1:] = _inverse(_stack(pdf["_cxx"], k, k)) / n[:, None, None]
             v = bread @ mid_ @ bread
             t = np.tile(np.eye(k + 1), (len(pdf), 1, 1))
             t[:, 0, 1:] = -mx

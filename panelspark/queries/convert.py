@@ -331,11 +331,11 @@ def _(spark, sf):
     return m.join(tb.orders_monthly(spark, sf), ["month_end", "asset"])
 
 
-@query("j2_asset_intersection", "SELECT DISTINCT asset FROM mp0 WHERE points>0.004 INTERSECT SELECT DISTINCT asset FROM om WHERE value>300000", use="mp0 om")
+@query("j2_asset_intersection", "SELECT DISTINCT asset FROM mp0 INTERSECT SELECT DISTINCT CASE WHEN asset IN ('N03','N11') THEN 'X'||asset ELSE asset END FROM om", use="mp0 om")
 def _(spark, sf):
-    a = base.monthly(spark, sf).filter("points > 0.004").select("asset")
-    b = tb.orders_monthly(spark, sf).filter("value > 300000").select("asset")
-    return a.intersect(b)
+    """Two names are renamed on one side, so that each side has keys of its own."""
+    own = F.when(F.col("asset").isin("N03", "N11"), F.concat(F.lit("X"), "asset")).otherwise(F.col("asset"))
+    return base.monthly(spark, sf).select("asset").intersect(tb.orders_monthly(spark, sf).select(own.alias("asset")))
 
 
 @query("j5_outer_align", "SELECT coalesce(a.month_end,b.month_end) AS month_end, coalesce(a.asset,b.asset) AS asset, spot, value FROM mp0 a FULL JOIN om b ON a.asset=b.asset AND a.month_end=b.month_end",

@@ -11,20 +11,20 @@ from panelspark.queries.registry import query
 from panelspark.sources import quotes as sq
 from panelspark.sources import tables as tb
 
-FIVE = ["N00", "N01", "N02", "N03", "N04"]
+ASSETS = [f"N{i:02d}" for i in range(25)]
 
 
 def wide_frame(spark, sf):
-    """Wide layout with ``('T', 'F')`` column names for five assets, as a wide quote file holds it."""
-    q = tb.quotes_daily(spark, sf).filter(F.col("asset").isin(*FIVE))
+    """Wide layout with ``('T', 'F')`` column names for all assets, as a wide quote file holds it."""
+    q = tb.quotes_daily(spark, sf)
     aggs = []
-    for a in FIVE:
+    for a in ASSETS:
         for f, c in (("PX_LAST", "mid"), ("PX_BID", "bid"), ("PX_ASK", "ask")):
             aggs.append(F.max(F.when(F.col("asset") == a, F.col(c))).cast("string").alias(f"('{a} Curncy', '{f}')"))
     return q.groupBy("date").agg(*aggs)
 
 
-_WIDE = "(SELECT date, a.asset, mid, bid, ask FROM (SELECT DISTINCT date FROM qd WHERE asset<='N04') d CROSS JOIN (SELECT DISTINCT asset FROM qd WHERE asset<='N04') a LEFT JOIN qd USING (date, asset))"
+_WIDE = "(SELECT date, a.asset, mid, bid, ask FROM (SELECT DISTINCT date FROM qd) d CROSS JOIN (SELECT printf('N%02d', i) AS asset FROM range(25) r(i)) a LEFT JOIN qd USING (date, asset))"
 
 
 @query("s1_wide_scan", f"SELECT date, asset AS ticker, mid AS value FROM {_WIDE}", use="qd", floats="value")
@@ -55,19 +55,19 @@ def _(spark, sf):
 
 
 @query("s5_normalise_frame", """SELECT CAST(o_orderdate AS DATE) AS date, max_by(o_totalprice, o_orderkey) AS price__last, max_by(CAST(o_custkey AS DOUBLE), o_orderkey) AS cust
- FROM orders WHERE o_orderstatus<>'P' GROUP BY 1""", floats="price__last cust")
+ FROM orders GROUP BY 1""", floats="price__last cust")
 def _(spark, sf):
-    o = tb.table(spark, sf, "orders").filter("o_orderstatus <> 'P'")
+    o = tb.table(spark, sf, "orders")
     latest = sq.keep_last(o.select(F.to_date("o_orderdate").alias("Order Date"), "o_orderkey", "o_totalprice", "o_custkey"), ["Order Date"], "o_orderkey")
     return sq.normalise_frame(latest.select(
         F.col("Order Date").cast("string").alias("Order Date"), F.col("o_totalprice").alias("('price', 'last')"),
         F.col("o_custkey").cast("string").alias("cust"), F.lit("none").alias("junk")))
 
 
-@query("s6_detect_shape", f"SELECT 'wide' AS shape, date, asset||' Curncy' AS ticker, 'PX_BID' AS field, bid AS value FROM {_WIDE} UNION ALL SELECT 'long', date, ticker, field, value FROM lq WHERE ticker='N05 Curncy'", use="lq", floats="value")
+@query("s6_detect_shape", f"SELECT 'wide' AS shape, date, asset||' Curncy' AS ticker, 'PX_BID' AS field, bid AS value FROM {_WIDE} UNION ALL SELECT 'long', date, ticker, field, value FROM lq", use="lq", floats="value")
 def _(spark, sf):
     a = sq.to_long(wide_frame(spark, sf), "PX_BID").withColumn("shape", F.lit("wide"))
-    b = sq.to_long(tb.long_quotes(spark, sf).filter("ticker = 'N05 Curncy'")).withColumn("shape", F.lit("long"))
+    b = sq.to_long(tb.long_quotes(spark, sf)).withColumn("shape", F.lit("long"))
     return a.unionByName(b)
 
 
@@ -94,10 +94,10 @@ def _(spark, sf):
 
 @query("s9_any_shape_to_long", f"""SELECT 'pair' AS src, date, asset||' Curncy' AS ticker, 'PX_ASK' AS field, ask AS value FROM {_WIDE}
  UNION ALL SELECT 'flat', date, 'value', 'UNKNOWN', value FROM od UNION ALL SELECT 'deep', date, 'EQ|N00', 'value', value FROM od
- UNION ALL SELECT 'long', date, ticker, field, value FROM lq WHERE ticker='N06 Curncy'""", use="lq od", floats="value")
+ UNION ALL SELECT 'long', date, ticker, field, value FROM lq""", use="lq od", floats="value")
 def _(spark, sf):
     od = tb.orders_daily(spark, sf)
-    lq = tb.long_quotes(spark, sf).filter("ticker = 'N06 Curncy'").toDF("Date", "Ticker", "Field", "Value")
+    lq = tb.long_quotes(spark, sf).toDF("Date", "Ticker", "Field", "Value")
     parts = {"pair": sq.to_long(wide_frame(spark, sf), "PX_ASK"), "flat": sq.to_long(od),
              "deep": sq.to_long(od.withColumnRenamed("value", "('EQ', 'N00', 'value')")), "long": sq.to_long(lq)}
     return sq.stack_groups(parts).withColumnRenamed("group", "src")
@@ -118,13 +118,13 @@ def _(spark, sf):
     return out.select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-@query("s11_pivot_export", "SELECT date, " + ", ".join(f"max(mid) FILTER (WHERE asset='{a}') AS {a}_last, max(bid) FILTER (WHERE asset='{a}') AS {a}_bid" for a in FIVE) + " FROM qd GROUP BY date",
-       use="qd", floats=" ".join(f"{a}_last {a}_bid" for a in FIVE))
+@query("s11_pivot_export", "SELECT date, " + ", ".join(f"max(mid) FILTER (WHERE asset='{a}') AS {a}_last, max(bid) FILTER (WHERE asset='{a}') AS {a}_bid, max(ask) FILTER (WHERE asset='{a}') AS {a}_ask" for a in ASSETS) + " FROM qd GROUP BY date",
+       use="qd", floats=" ".join(f"{a}_last {a}_bid {a}_ask" for a in ASSETS))
 def _(spark, sf):
     lq = tb.long_quotes(spark, sf).filter("ticker not like '%1M %'")
-    role = F.when(F.col("field") == "PX_LAST", "last").when(F.col("field") == "PX_BID", "bid")
+    role = F.when(F.col("field") == "PX_LAST", "last").when(F.col("field") == "PX_BID", "bid").otherwise("ask")
     keyed = lq.withColumn("k", F.concat(sq.bare_ticker(F.col("ticker")), F.lit("_"), role))
-    return sq.pivot_last(keyed, "k", [f"{a}_{r}" for a in FIVE for r in ("last", "bid")])
+    return sq.pivot_last(keyed, "k", [f"{a}_{r}" for a in ASSETS for r in ("last", "bid", "ask")])
 
 
 @query("s12_block_to_groups", f"""SELECT date, CASE WHEN asset<='N01' THEN 'low' ELSE 'high' END AS "group", asset AS ticker, mid AS value FROM {_WIDE} WHERE mid IS NOT NULL""", use="qd", floats="value")
@@ -145,14 +145,14 @@ def _(spark, sf):
     return sq.unique_keep_order(li)
 
 
-@query("s15_long_to_wide", "SELECT month_end, " + ", ".join(f"max(value) FILTER (WHERE asset='{a}') AS {a}" for a in FIVE) + " FROM om GROUP BY 1", use="om", floats=" ".join(FIVE))
+@query("s15_long_to_wide", "SELECT month_end, " + ", ".join(f"max(value) FILTER (WHERE asset='{a}') AS {a}" for a in ASSETS) + " FROM om GROUP BY 1", use="om", floats=" ".join(ASSETS))
 def _(spark, sf):
-    return sq.pivot_last(tb.orders_monthly(spark, sf), "asset", FIVE, date="month_end")
+    return sq.pivot_last(tb.orders_monthly(spark, sf), "asset", ASSETS, date="month_end")
 
 
-@query("s16_wide_to_long", "SELECT m.month_end, a.asset, value FROM (SELECT DISTINCT month_end FROM om) m CROSS JOIN (SELECT unnest(['N00','N01','N02','N03','N04']) AS asset) a LEFT JOIN om ON om.month_end=m.month_end AND om.asset=a.asset", use="om", floats="value")
+@query("s16_wide_to_long", "SELECT m.month_end, a.asset, value FROM (SELECT DISTINCT month_end FROM om) m CROSS JOIN (SELECT printf('N%02d', i) AS asset FROM range(25) r(i)) a LEFT JOIN om ON om.month_end=m.month_end AND om.asset=a.asset", use="om", floats="value")
 def _(spark, sf):
-    wide = sq.pivot_last(tb.orders_monthly(spark, sf), "asset", FIVE, date="month_end")
+    wide = sq.pivot_last(tb.orders_monthly(spark, sf), "asset", ASSETS, date="month_end")
     return sq.melt(wide, ["month_end"])
 
 

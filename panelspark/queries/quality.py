@@ -145,9 +145,9 @@ def _(spark, sf):
 
 
 @query("q18_usable_features", """WITH n AS (SELECT count(DISTINCT date) AS n FROM lq), keep AS (SELECT ticker FROM lq, n GROUP BY ticker, n.n HAVING count(value)*1.0/n.n>=0.6 AND count(DISTINCT value)>2)
- SELECT date, ticker, field, value FROM lq WHERE ticker IN (SELECT ticker FROM keep) AND field='PX_LAST'""", use="lq", floats="value")
+ SELECT date, ticker, field, value FROM lq WHERE ticker IN (SELECT ticker FROM keep)""", use="lq", floats="value")
 def _(spark, sf):
-    return ql.usable_features(tb.long_quotes(spark, sf)).filter("field = 'PX_LAST'")
+    return ql.usable_features(tb.long_quotes(spark, sf))
 
 
 @query("q19_carry_validation", "SELECT asset, median(carry) AS median, quantile_cont(carry,0.05) AS p05, quantile_cont(carry,0.95) AS p95, count(carry) AS n FROM dp WHERE carry IS NOT NULL GROUP BY 1", use="dp", floats="median p05 p95", digits=7)

@@ -109,14 +109,19 @@ def _(spark, sf):
     return pf.cash_nav(scaled(spark, sf), cash).select("date", "track", "nav")
 
 
-@query("w14_rolling_pair_corr", """WITH ix AS (SELECT date, dense_rank() OVER (ORDER BY date)-1 AS t FROM (SELECT DISTINCT date FROM dp)), v AS (SELECT t, asset, xret AS v FROM dp JOIN ix USING(date) WHERE asset<='N07'),
- ends AS (SELECT t, date FROM ix WHERE t>=125), ok AS (SELECT e.t AS e, asset FROM ends e JOIN v ON v.t BETWEEN e.t-125 AND e.t GROUP BY 1,2 HAVING count(v)>=80),
- pr AS (SELECT a.t, a.asset AS i, b.asset AS j, a.v AS x, b.v AS y FROM v a JOIN v b ON a.t=b.t AND a.asset<b.asset WHERE a.v IS NOT NULL AND b.v IS NOT NULL),
- c AS (SELECT e.t AS e, i, j, corr(x,y) AS c FROM ends e JOIN pr ON pr.t BETWEEN e.t-125 AND e.t GROUP BY 1,2,3)
- SELECT ends.date, avg(c) AS avg_corr FROM c JOIN ok a ON a.e=c.e AND a.asset=i JOIN ok b ON b.e=c.e AND b.asset=j JOIN ends ON ends.t=c.e WHERE NOT isnan(c) GROUP BY 1""", use="dp", floats="avg_corr")
+_PAIR_FRAME = "OVER (PARTITION BY i, j ORDER BY t RANGE BETWEEN 125 PRECEDING AND CURRENT ROW)"
+
+
+@query("w14_rolling_pair_corr", f"""WITH ix AS (SELECT date, dense_rank() OVER (ORDER BY date)-1 AS t FROM (SELECT DISTINCT date FROM dp)),
+ grid AS (SELECT t, date, asset FROM ix CROSS JOIN (SELECT DISTINCT asset FROM dp)), v AS (SELECT g.t, g.date, g.asset, xret AS v FROM grid g LEFT JOIN dp USING (date, asset)),
+ ok AS (SELECT t, date, asset, v, count(v) OVER (PARTITION BY asset ORDER BY t RANGE BETWEEN 125 PRECEDING AND CURRENT ROW) AS n FROM v),
+ pr AS (SELECT a.t, a.date, a.asset AS i, b.asset AS j, a.n>=80 AND b.n>=80 AND a.t>=125 AS live, CASE WHEN b.v IS NOT NULL THEN a.v END AS x, CASE WHEN a.v IS NOT NULL THEN b.v END AS y FROM ok a JOIN ok b ON a.t=b.t AND a.asset<b.asset),
+ m AS (SELECT date, live, count(x) {_PAIR_FRAME} AS n, sum(x) {_PAIR_FRAME} AS sx, sum(y) {_PAIR_FRAME} AS sy, sum(x*x) {_PAIR_FRAME} AS sxx, sum(y*y) {_PAIR_FRAME} AS syy, sum(x*y) {_PAIR_FRAME} AS sxy FROM pr),
+ c AS (SELECT date, (sxy-sx*sy/n)/sqrt((sxx-sx*sx/n)*(syy-sy*sy/n)) AS c FROM m WHERE live AND n>1 AND sxx-sx*sx/n>0 AND syy-sy*sy/n>0)
+ SELECT date, avg(c) AS avg_corr FROM c WHERE NOT isnan(c) GROUP BY 1""", use="dp", floats="avg_corr")
 def _(spark, sf):
     p = base.daily(spark, sf).select("date", "asset", "xret")
-    return tr.pairwise_rolling_corr(p.filter("asset <= 'N07'"), "xret")
+    return tr.pairwise_rolling_corr(p, "xret", tiles=2)
 
 
 @query("w15_cumulative", "SELECT date, asset, sum(xret) OVER (PARTITION BY asset ORDER BY date ROWS UNBOUNDED PRECEDING) AS cum FROM dp", use="dp", floats="cum")

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", app: str = "panelspark") -> SparkSession:
+def local_session(cpus: int | str = "*", app: str = "panelspark", checkpoints: str | None = None) -> SparkSession:
+    """One-machine session of tests and the bench; ``checkpoints`` defaults to a new temporary folder."""
     cores = os.cpu_count() if cpus == "*" else int(cpus)
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.checkpoint.dir", checkpoints or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
@@ -28,10 +32,33 @@ def local_session(cpus: int | str = "*", app: str = "panelspark") -> SparkSessio
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers once per session, so that tasks import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_panelspark_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "panelspark.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._panelspark_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is named (tests)."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where none is named, a session whose executors are threads of this process gets a temporary one; any other is refused, because
+    its executors could not read each other's data.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)

@@ -156,3 +156,27 @@ def test_densify_can_start_at_the_first_quote_and_shares_its_shuffle(spark):
     out = tr.trailing_vol(cal.densify(df), "v", 2)
     main = out._jdf.queryExecution().executedPlan().toString()
     assert main.count("Exchange hashpartitioning") == 1
+
+
+def test_rolling_moments_ignore_what_left_the_window(spark):
+    import numpy as np
+    import pandas as pd
+
+    from panelspark.functions import rolling as roll
+
+    rng = np.random.default_rng(3)
+    x = [*rng.normal(size=50), *(1e-7 * rng.normal(size=80)), *(5 + rng.normal(size=40))]
+    rows = [(i, "a", None if i % 17 == 5 else float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "t int, k string, v double")
+    for window in (1, 2, 12, 30):
+        out = roll.rolling_moments(df, "v", window, ["k"], "t", third=True).select("t", roll.count().alias("n"), roll.mean().alias("mean"), roll.std().alias("std"), roll.skew().alias("skew"))
+        got = out.toPandas().sort_values("t")
+        r = pd.Series([v for _, _, v in rows], dtype=float).rolling(window, min_periods=1)
+        assert (got["n"].to_numpy() == r.count().to_numpy()).all()
+        for name, exp in (("mean", r.mean()), ("std", r.std()), ("skew", r.skew())):
+            for i in range(len(x)):
+                part = pd.Series([v for _, _, v in rows], dtype=float)[max(0, i - window + 1) : i + 1].dropna()
+                e = ((part * 1e8).skew() if name == "skew" else getattr(part, name)()) if len(part) else np.nan
+                g = got[name].iloc[i]
+                if not np.isnan(e) and not (name == "skew" and len(part) < 3):
+                    assert g is not None and np.isclose(float(g), e, rtol=1e-6, atol=1e-13), (name, window, i)
