@@ -20,11 +20,12 @@ BITS, TOTAL = 14, 1 << 14
 _GAP, _RATE = 24, 4
 _LOW_ROWS = 512
 _U = np.uint64
-_j = np.arange(17)
+_j = np.arange(16)
 _PULL = np.array([np.where(_j <= s, _j * _GAP, TOTAL - (16 - _j) * _GAP) for s in range(16)], np.int16)
 _ROWS = 1 + 16 + 256 + _LOW_ROWS
 _T1, _T2 = 1 << 10, 1 << 12
 _TOP, _TIGHT, _MASK, _WORD, _SHIFT, _BITS, _ZERO = (_U(x) for x in (1 << 48, 1 << 32, (1 << 32) - 1, 16, 48, BITS, 0))
+_FULL = np.int16(TOTAL)
 _ONES, _TOPBYTE = _U(0x0101010101010101), _U(56)
 _LEAST, _MOST = 64, TOTAL - 64  # estimates move towards these, so that every decision keeps a share
 
@@ -45,7 +46,7 @@ class Lanes:
                 self.code = (self.code << _U(16)) | self.words[:, k].astype(_U)
         self.words = self.words.ravel()
         self.pos = np.arange(n) * self.room + 4 * self.reads
-        self.lane = np.arange(n)
+        self.lane, self.sixteen = np.arange(n), np.arange(0, 16 * n, 16)
         self.rows = np.tile((_j * (TOTAL // 16)).astype(np.int16), (n * _ROWS, 1))
         self.own = np.full((2, n * 8), TOTAL // 2, np.int32)
         self.joint = np.full((2, n * 128), TOTAL // 2, np.int32)
@@ -109,11 +110,12 @@ class Lanes:
         rows = self.rows.take(place, axis=0)
         low, r = self.low.take(at), self.range.take(at) >> _BITS
         if value is None:
-            below = (rows[:, 1:] <= self.target(at, low, r).astype(np.int16)[:, None]).view(_U)
-            value = ((below[:, 0] + below[:, 1]) * _ONES >> _TOPBYTE).astype(np.int64)
-        flat, i = rows.ravel(), np.arange(0, 17 * len(at), 17) + value
+            below = (rows <= self.target(at, low, r).astype(np.int16)[:, None]).view(_U)
+            value = ((below[:, 0] + below[:, 1]) * _ONES >> _TOPBYTE).astype(np.int64) - 1
+        flat, i = rows.ravel(), self.sixteen[: len(at)] + value
         start = flat.take(i)
-        self.narrow(at, low, r, start, flat.take(i + 1) - start)
+        end = np.where(value == 15, _FULL, flat.take(i + 1, mode="clip"))
+        self.narrow(at, low, r, start, end - start)
         step = _PULL.take(value, axis=0)
         step -= rows
         step >>= _RATE

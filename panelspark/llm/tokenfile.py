@@ -28,7 +28,7 @@ from panelspark.llm.chunks import chunks
 from panelspark.llm.common import ship, slices
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
-SEGMENT_IDS = 1536 * coder.BLOCK
+SEGMENT_IDS = 2048 * coder.BLOCK
 _HEAD = struct.Struct("<4sIIIII")
 
 
