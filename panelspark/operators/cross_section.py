@@ -7,6 +7,7 @@ several tasks; universes of bounded size use one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,11 @@ def adaptive_leg_size(n: Column) -> Column:
     return F.when(n < 2, F.lit(0)).when(n >= 6, big).otherwise(small)
 
 
+def capped_leg_size(rule: Callable[[Column], Column], weight_cap: float) -> Callable[[Column], Column]:
+    """``rule``, but never so few names that an equal weight exceeds the cap."""
+    return lambda n: F.greatest(rule(n), F.lit(math.ceil(1 / weight_cap)))
+
+
 def divided_leg_size(parts: int) -> Callable[[Column], Column]:
     return lambda n: F.floor(n / F.lit(parts)).cast("int")
 

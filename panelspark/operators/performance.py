@@ -254,3 +254,10 @@ def regime_counts(labels: DataFrame, date: str = "date", regime: str = "regime")
     s = live.groupBy("period", regime).agg(F.count(F.lit(1)).alias("days"))
     t = live.groupBy("period").agg(F.count(F.lit(1)).alias("_n"))
     return s.join(t, "period").select("period", regime, "days", (F.col("days") / F.col("_n")).alias("share"))
+
+
+def rule_agreement(a: DataFrame, b: DataFrame, on: str = "date", scalar: str = "scalar") -> DataFrame:
+    """Two exposure rules on common dates: share of dates each cuts exposure, and share on which both decide alike."""
+    cut = lambda df, out: df.select(on, (F.col(scalar) < 1).cast("double").alias(out))
+    j = cut(a, "_a").join(cut(b, "_b"), on).dropna(subset=["_a", "_b"])
+    return j.agg(F.count(F.lit(1)).alias("n"), F.avg("_a").alias("derisked_a"), F.avg("_b").alias("derisked_b"), F.avg((F.col("_a") == F.col("_b")).cast("double")).alias("agreement"))

@@ -169,11 +169,19 @@ def in_blocks(df: DataFrame, first: str, second: str, lags: int, rows: int = 100
 def pooled_newey_west(df: DataFrame, y: str, xs: Sequence[str], lags: int, min_obs: int = 24, periods: float = 12.0, asset: str = "asset", date: str = "month_end", rows: int = 100_000) -> DataFrame:
     """All assets as one sample in (asset, date) order, lags running across asset borders."""
     live = df.dropna(subset=[y, *xs]).select(asset, date, y, *xs)
-    b = in_blocks(live, asset, date, lags, rows).withColumn("_pool", F.lit("POOLED"))
+    # a value taken from the rows, so that the join on it stays an equi-join
+    b = in_blocks(live, asset, date, lags, rows).withColumn("_pool", F.substring(F.concat(F.lit("POOLED"), asset), 1, 6))
     out = newey_west(b, ["_pool"], y, xs, lags, min_obs, ["_i"], "_block", "_context", periods)
     return out.withColumnRenamed("_pool", asset)
 
 
+def factor_correlation(df: DataFrame, keys: Keys, value: str, factors: Sequence[str]) -> DataFrame:
+    """Correlation of ``value`` with each factor, and the number of complete pairs, one row per key and factor."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("x")) for f in factors])).alias("_f")
+    live = df.select(*keys, F.col(value).alias("_y"), pairs).select(*keys, "_y", "_f.factor", "_f.x").dropna(subset=["_y", "x"])
+    return live.groupBy(*keys, "factor").agg(F.count(F.lit(1)).alias("n"), F.corr("_y", "x").alias("corr"))
+
+
 def mean_standard_error(df: DataFrame, keys: Keys, ret: str, lags: int = 5, order: Sequence[str] = ("date",)) -> DataFrame:
     """Mean, Newey-West standard error of the mean and its t, without leaving SQL."""
     keys = list(keys)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.config import LONG_BASKET, SHORT_BASKET
 from panelspark.functions.stats import div
-from panelspark.operators.cross_section import adaptive_leg_size, apply_filter, assign_legs, equal_leg_weights
+from panelspark.operators.cross_section import adaptive_leg_size, apply_filter, assign_legs, capped_leg_size, equal_leg_weights
 from panelspark.operators.performance import monthly_stats, wealth_curve
 
 
@@ -54,6 +54,19 @@ def filtered_strategy(df: DataFrame, variant: str, lam: float = 0.0, gam: float
     return m.withColumn("gross_return", F.col("gross_return") * both).withColumn("roll_notional", F.col("roll_notional") * F.abs(both))
 
 
+def monthly_strategy(df: DataFrame, signal: str, ret: str, name: str = "strategy", leg_size=adaptive_leg_size, exclude: Sequence[str] = (), start: str | None = None, weight_cap: float | None = None, lookback: int = 12, splits: int = 1) -> DataFrame:
+    """Monthly long/short track of a universe without ``exclude`` from ``start`` on, no weight above ``weight_cap`` (legs grow to
+    1/cap names): return, notional, sizes, wealth, drawdown and the wealth change over ``lookback`` months."""
+    if exclude:
+        df = df.filter(~F.col("asset").isin(list(exclude)))
+    if start:
+        df = df.filter(F.col("month_end") >= F.lit(start).cast("date"))
+    size = leg_size if weight_cap is None else capped_leg_size(leg_size, weight_cap)
+    w = equal_leg_weights(df, ["month_end"], signal, size, ret, splits=splits)
+    m = w.groupBy("month_end").agg(F.sum(F.col("weight") * F.col(ret)).alias("ret"), F.sum(F.abs("weight")).alias("roll_notional"), F.max("n").alias("n_universe"), F.max("k").alias("leg_size"))
+    return wealth_curve(m.withColumn("track", F.lit(name)), date="month_end", lookback=lookback)
+
+
 def carry_track(panel: DataFrame, signal: str, ret: str, leg_size=adaptive_leg_size, splits: int = 1) -> DataFrame:
     """Monthly long/short return with wealth and drawdown: the minimum end-to-end slice."""
     w = equal_leg_weights(panel, ["month_end"], signal, leg_size, ret, splits=splits)

@@ -114,6 +114,18 @@ def _(spark, sf):
     return pm.strategy_frame(base.sample_books(spark, sf))
 
 
+@query("b7_monthly_strategy_options", f"""WITH u AS (SELECT *, count(*) OVER (PARTITION BY month_end) AS n, row_number() OVER (PARTITION BY month_end ORDER BY carry_signal, asset) AS rn FROM mp
+  WHERE asset NOT IN ('N02','N08') AND month_end>=DATE '1993-01-01' AND carry_signal IS NOT NULL AND realized IS NOT NULL),
+ l AS (SELECT *, greatest({_K}, 6) AS k FROM u), w AS (SELECT *, CASE WHEN rn>n-k THEN 1.0::DOUBLE/k WHEN rn<=k THEN -1.0::DOUBLE/k ELSE 0.0::DOUBLE END AS weight FROM l WHERE n>=2*k),
+ r AS (SELECT month_end, sum(weight*realized) AS ret, sum(abs(weight)) AS roll_notional, max(n) AS n_universe, max(k) AS leg_size FROM w GROUP BY 1),
+ c AS (SELECT *, product(1+ret) OVER (ORDER BY month_end ROWS UNBOUNDED PRECEDING) AS wealth FROM r)
+ SELECT month_end, ret, roll_notional, n_universe, leg_size, wealth, wealth/max(wealth) OVER (ORDER BY month_end ROWS UNBOUNDED PRECEDING)-1 AS drawdown, wealth/lag(wealth,12) OVER (ORDER BY month_end)-1 AS trailing_return FROM c""",
+       use="mp", floats="ret roll_notional wealth drawdown trailing_return", digits=6)
+def _(spark, sf):
+    m = pm.monthly_strategy(base.monthly(spark, sf), "carry_signal", "realized", exclude=["N02", "N08"], start="1993-01-01", weight_cap=0.18)
+    return m.select("month_end", "ret", "roll_notional", "n_universe", "leg_size", "wealth", "drawdown", "trailing_return")
+
+
 @query("f6_well_formed_books", "WITH " + _SB[2:] + """ SELECT strategy, month_end, sum(weight) FILTER (WHERE weight>0) AS gross_long, sum(weight) FILTER (WHERE weight<0) AS gross_short, sum(weight) AS net, sum(abs(weight)) AS gross FROM wt GROUP BY 1,2
  HAVING abs(sum(weight) FILTER (WHERE weight>0)-1)<1e-8 AND abs(sum(weight) FILTER (WHERE weight<0)+1)<1e-8 AND abs(sum(weight))<1e-8 AND abs(sum(abs(weight))-2)<1e-8""", use="mp", floats="gross_long gross_short net gross")
 def _(spark, sf):
@@ -164,6 +176,18 @@ def _(spark, sf):
 _OLD = """, lv AS (SELECT month_end, 'a' AS asset, avg(value) AS value FROM om GROUP BY 1 UNION ALL SELECT month_end, 'b', max(value) FROM om GROUP BY 1), lq36 AS (SELECT asset, month_end, CASE WHEN count(value) OVER w>=12 AND value>quantile_cont(value,0.8) OVER w THEN 0.5 ELSE 1.0 END AS scalar FROM lv WINDOW w AS (PARTITION BY asset ORDER BY month_end ROWS BETWEEN 35 PRECEDING AND CURRENT ROW))"""
 
 
+@query("m18_rule_agreement", "WITH " + (_RANK + _OLD)[2:] + """, a AS (SELECT month_end, max_by(CASE WHEN pct>0.8 THEN 0.5 ELSE 1.0 END, date) AS s FROM (SELECT *, last_day(date) AS month_end FROM rd) GROUP BY 1),
+ b AS (SELECT month_end, min(scalar) AS s FROM lq36 GROUP BY 1) SELECT count(*) AS n, avg(CAST(a.s<1 AS DOUBLE)) AS derisked_a, avg(CAST(b.s<1 AS DOUBLE)) AS derisked_b, avg(CAST((a.s<1)=(b.s<1) AS DOUBLE)) AS agreement FROM a JOIN b USING (month_end)""",
+       use="od om", floats="derisked_a derisked_b agreement")
+def _(spark, sf):
+    from panelspark.functions.calendar import resample_last
+    from panelspark.operators.performance import rule_agreement
+    a = resample_last(bk.exposure_scalar(indicator(spark, sf), lookback=252, method="binary").withColumn("asset", F.lit("x")), ["scalar"])
+    o = tb.orders_monthly(spark, sf).groupBy("month_end").agg(F.avg("value").alias("a"), F.max("value").alias("b"))
+    b = bk.combine_scalars(bk.level_scalar(o.select(F.col("month_end").alias("date"), F.expr("stack(2, 'a', a, 'b', b) as (asset, value)"))))
+    return rule_agreement(a, b, on="month_end")
+
+
 @query("b11_level_rule", "WITH " + _OLD[2:] + " SELECT month_end, min(scalar) AS scalar FROM lq36 GROUP BY 1", use="om", floats="scalar")
 def _(spark, sf):
     o = tb.orders_monthly(spark, sf).groupBy("month_end").agg(F.avg("value").alias("a"), F.max("value").alias("b"))

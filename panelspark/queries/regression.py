@@ -73,6 +73,13 @@ def _(spark, sf):
     return rg.newey_west(p.join(f, "date"), ["asset"], "y", ["x1", "x2"], 5, 250).select("asset", "n", "beta_x1", "t_x1", "beta_x2", "t_x2")
 
 
+@query("m16_asset_factor_correlations", """SELECT p.asset, b.track AS factor, count(*) AS n, corr(p.xret, b.ret) AS corr FROM dp p JOIN bt b ON b.date=p.date WHERE p.xret IS NOT NULL AND b.ret IS NOT NULL AND b.track IN ('ALL','ASIA') GROUP BY 1,2""", use="dp bt", floats="corr")
+def _(spark, sf):
+    p = base.staged_daily(spark, sf).select("date", "asset", "bucket", F.col("xret").alias("y"))
+    f = p.filter("y is not null").groupBy("date").agg(F.avg("y").alias("ALL"), F.avg(F.when(F.col("bucket") == "ASIA", F.col("y"))).alias("ASIA"))
+    return rg.factor_correlation(p.join(f, "date"), ["asset"], "y", ["ALL", "ASIA"])
+
+
 @query("g2_mean_standard_error", "WITH " + (_ST + _NW)[2:] + " SELECT c0.track, count(r) AS n, avg(r) AS mean, max(se) AS nw_se, avg(r)/max(se) AS nw_t FROM c0 JOIN nw ON nw.track=c0.track GROUP BY 1", use="bt", floats="mean nw_se nw_t")
 def _(spark, sf):
     return rg.mean_standard_error(scaled(spark, sf), ["track"], "ret")

@@ -114,10 +114,11 @@ def _(spark, sf):
 _LAG = BOOK + """, cx AS (SELECT date, row_number() OVER (ORDER BY date) AS t FROM (SELECT DISTINCT date FROM bvt)), dl AS (SELECT CAST(k AS VARCHAR) AS scenario, c2.date, w.asset, w.weight FROM bvt w JOIN cx c1 ON c1.date=w.date CROSS JOIN (SELECT unnest([0,1,2,3,5]) AS k) JOIN cx c2 ON c2.t=c1.t+k)""" + trk("e", "dl", "v", "scenario")
 
 
-@query("z6_lag_stress", "WITH " + _LAG[2:] + f" SELECT scenario, {_SH.format(c='gross')} AS gross_sharpe, {_SH.format(c='net')} AS net_sharpe, count(net) AS n_days FROM v GROUP BY 1", use="dp dense", floats="gross_sharpe net_sharpe", digits=6)
+@query("z6_lag_stress", "WITH " + _LAG[2:] + f" SELECT scenario, {_SH.format(c='gross')} AS gross_sharpe, {_SH.format(c='net')} AS net_sharpe, count(net) AS n_days FROM v WHERE date BETWEEN (SELECT min(date) FROM v WHERE scenario='0' AND net IS NOT NULL) AND (SELECT max(date) FROM v WHERE scenario='0' AND net IS NOT NULL) GROUP BY 1", use="dp dense", floats="gross_sharpe net_sharpe", digits=6)
 def _(spark, sf):
     p, w, _ = staged_book(spark, sf)
-    return sc.ratio_table(sc.tracks_of(cut_lineage(sc.delay(w)), p, base.spreads(p)))
+    t = cut_lineage(sc.tracks_of(cut_lineage(sc.delay(w)), p, base.spreads(p)))
+    return sc.ratio_table(sc.common_window(t, t.filter("scenario = '0'")))
 
 
 @query("z7_scorecard", "WITH " + (BOOK + _STRESS)[2:] + f""" SELECT 'net sharpe' AS axis, {_SH.format(c='net')} AS value FROM t UNION ALL SELECT 'recent net sharpe', {_SH.format(c='net')} FROM t WHERE date>=DATE '1999-01-01' UNION ALL SELECT 'break-even multiple', min(multiple) FILTER (WHERE net_sharpe<=0) FROM st

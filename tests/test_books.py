@@ -134,3 +134,26 @@ def test_delay_shifts_on_the_calendar(spark):
     x = w.toPandas().pivot(index="date", columns="asset", values="weight").sort_index()
     have = got[got["scenario"] == "2"].pivot(index="date", columns="asset", values="weight").sort_index()
     pd.testing.assert_frame_equal(have, x.shift(2).dropna(), check_names=False)
+
+
+def test_signal_may_be_a_function(spark):
+    p = panel(spark, days=140)
+    fn = lambda d: d.select("date", "asset", (-F.col("carry")).alias("score"))
+    a = bk.sorted_book(p, fn, n_buckets=3, vol_window=30).toPandas().sort_values(["label", "asset"])
+    b = bk.sorted_book(p.withColumn("neg", -F.col("carry")), "neg", n_buckets=3, vol_window=30).toPandas().sort_values(["label", "asset"])
+    assert np.allclose(a["weight"], b["weight"]) and a["weight"].abs().sum() > 0
+
+
+def test_unequal_fractions_keep_half_the_gross_on_each_side(spark):
+    p = panel(spark, days=90)
+    w = bk.fraction_book(p, long_share=0.4, short_share=0.2, vol_window=30).toPandas()
+    g = w[w["date"] > w["date"].min() + dt.timedelta(days=60)].groupby("date")["weight"]
+    assert np.allclose(g.apply(lambda x: x[x > 0].sum()), 0.5) and np.allclose(g.apply(lambda x: x[x < 0].sum()), -0.5)
+    assert (g.apply(lambda x: (x > 0).sum()) > g.apply(lambda x: (x < 0).sum())).all()
+
+
+def test_large_legs_have_covariances(spark):
+    p = panel(spark, days=60)
+    held = p.select(F.lit("2023-03-01").cast("date").alias("label"), "asset").distinct().withColumns({"leg": F.lit(1), "k": F.lit(9)})
+    out = bk.leg_covariance(held, p, ["label"], window=12).toPandas()
+    assert len(out) == 45 and (out["n_rows"] == 12).all()
