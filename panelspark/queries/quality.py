@@ -83,9 +83,10 @@ def _(spark, sf):
 
 @query("q9_field_availability", """SELECT dim.asset, coalesce(bool_or(ticker=dim.asset||' Curncy' AND field='PX_LAST'),false) AS has_spot, coalesce(bool_or(ticker=dim.asset||'1M Curncy' AND field='PX_LAST'),false) AS has_forward,
  coalesce(bool_or(ticker=dim.asset||' Curncy' AND field='PX_BID'),false) AND coalesce(bool_or(ticker=dim.asset||' Curncy' AND field='PX_ASK'),false) AS has_bid_ask
- FROM dim LEFT JOIN (SELECT * FROM lq WHERE NOT (ticker LIKE 'N03%' AND field='PX_ASK') AND ticker NOT LIKE 'N041M%') q ON substr(ticker,1,3)=dim.asset GROUP BY 1""", use="lq dim")
+ FROM dim LEFT JOIN (SELECT * REPLACE (CASE WHEN (ticker LIKE 'N03%' AND field='PX_ASK') OR ticker LIKE 'N041M%' THEN 'Z'||ticker ELSE ticker END AS ticker) FROM lq) q ON substr(ticker,1,3)=dim.asset GROUP BY 1""", use="lq dim")
 def _(spark, sf):
-    lq = tb.long_quotes(spark, sf).filter("not (ticker like 'N03%' and field = 'PX_ASK') and ticker not like 'N041M%'")
+    away = F.expr("(ticker like 'N03%' and field = 'PX_ASK') or ticker like 'N041M%'")  # under other names, so that gaps are seen
+    lq = tb.long_quotes(spark, sf).withColumn("ticker", F.when(away, F.concat(F.lit("Z"), "ticker")).otherwise(F.col("ticker")))
     return ql.field_availability(lq, tb.conventions(spark, sf))
 
 
@@ -96,13 +97,14 @@ def _(spark, sf):
     return tb.long_quotes(spark, sf).select(lab.alias("label")).distinct().withColumns(ql.parse_label(F.col("label")))
 
 
-@query("q11_discover_columns", """WITH src AS (SELECT date, CASE WHEN ticker='N071M Curncy' THEN 'Z071M Curncy' ELSE ticker END AS ticker, field, value FROM lq WHERE NOT (ticker='N05 Curncy' AND field='PX_LAST') AND NOT (ticker='N061M Curncy')),
+@query("q11_discover_columns", """WITH src AS (SELECT date, CASE WHEN ticker='N071M Curncy' THEN 'Z071M Curncy' ELSE ticker END AS ticker, field, CASE WHEN (ticker='N05 Curncy' AND field='PX_LAST') OR ticker='N061M Curncy' THEN NULL ELSE value END AS value FROM lq),
  cov AS (SELECT ticker||'__'||field AS label, ticker, field, count(value)*1.0/(SELECT count(DISTINCT date) FROM src) AS c FROM src GROUP BY 1,2,3 HAVING c>=0.5),
  sp AS (SELECT substr(ticker,1,3) AS asset, arg_min(label, (CASE field WHEN 'PX_LAST' THEN 0 WHEN 'PX_BID' THEN 1 ELSE 2 END)*10-c) AS spot_label FROM cov WHERE ticker NOT LIKE '%1M %' GROUP BY 1),
  fw AS (SELECT CASE WHEN ticker LIKE 'Z07%' THEN 'N07' ELSE substr(ticker,1,3) END AS asset, substr(ticker,1,3) AS forward_root, label AS forward_label FROM cov WHERE ticker LIKE '%1M %')
  SELECT sp.asset, spot_label, forward_label, forward_root, CASE WHEN forward_label IS NULL THEN 'missing_1m_forward' ELSE 'ok' END AS status FROM sp LEFT JOIN fw ON fw.asset=sp.asset""", use="lq")
 def _(spark, sf):
-    lq = tb.long_quotes(spark, sf).filter("not (ticker = 'N05 Curncy' and field = 'PX_LAST') and ticker <> 'N061M Curncy'")
+    gone = F.expr("(ticker = 'N05 Curncy' and field = 'PX_LAST') or ticker = 'N061M Curncy'")
+    lq = tb.long_quotes(spark, sf).withColumn("value", F.when(~gone, F.col("value")))
     lq = lq.withColumn("ticker", F.when(F.col("ticker") == "N071M Curncy", "Z071M Curncy").otherwise(F.col("ticker")))
     return ql.discover_columns(lq, {"Z07": "N07"})
 
