@@ -181,8 +181,11 @@ def train(docs: DataFrame, learn, vocab_path: str | None = None, sample: int = S
     """Fit on rows of (doc_id, text, lang) where ``learn`` holds, at most ``sample`` for each language."""
     ship(docs.sparkSession)
     rows = docs.filter(learn).filter("lang is not null and doc_id is not null")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= sample).select("doc_id", "lang").distinct()
+    ids = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(256)).alias("salt"))
+    for keys in (["lang", "salt"], ["lang"]):  # a language may hold most rows: first within salts, then among what they keep
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample).drop("r")
+    ids = ids.select("doc_id", "lang").distinct()
     words = rows.join(ids, ["doc_id", "lang"]).select("lang", "text").mapInArrow(_sample_words, "lang string, w string")
     counts: dict = {}
     for r in words.groupBy("lang", "w").count().collect():  # words of the bounded sample
