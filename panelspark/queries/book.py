@@ -309,6 +309,19 @@ def _(spark, sf):
     return bk.sorted_book(base.daily(spark, sf), n_buckets=base.BUCKETS, weighting="erc", cov_window=250).withColumn("weight", F.round("weight", 6))
 
 
+@query("b21_risk_shares", "WITH " + _B20[2:] + """ SELECT label, leg, i AS asset, max(1.0::DOUBLE/k) AS risk_share FROM ss WHERE i=j AND m>=greatest(2*k,60) GROUP BY 1,2,3""", use="dp", floats="risk_share", digits=6)
+def _(spark, sf):
+    """Share of each held name in its leg's variance under the solved weights: all alike, for every leg with enough complete rows."""
+    p, legs = held_legs(spark, sf)
+    w = bk.optimised_legs(legs, p, ["label"], "carry", "xret", "erc", _COVW, 60, 1.0)
+    half = bk.leg_covariance(legs, p, ["label"], window=_COVW)
+    full = half.unionByName(half.filter("asset_i <> asset_j").select("label", "leg", F.col("asset_j").alias("asset_i"), F.col("asset_i").alias("asset_j"), "cov", "n_rows"))
+    j = full.join(w.select("label", "leg", F.col("asset").alias("asset_i"), F.col("_opt").alias("wi")), ["label", "leg", "asset_i"]).join(w.select("label", "leg", F.col("asset").alias("asset_j"), F.col("_opt").alias("wj")), ["label", "leg", "asset_j"])
+    own = j.groupBy("label", "leg", F.col("asset_i").alias("asset")).agg(F.sum(F.col("wi") * F.col("cov") * F.col("wj")).alias("r"))
+    total = own.groupBy("label", "leg").agg(F.sum("r").alias("t"))
+    return own.join(total, ["label", "leg"]).select("label", "leg", "asset", (F.col("r") / F.col("t")).alias("risk_share"))
+
+
 @query("b22_max_ratio_book")
 def _(spark, sf):
     return bk.sorted_book(base.daily(spark, sf), n_buckets=base.BUCKETS, weighting="mvo", cov_window=250).withColumn("weight", F.round("weight", 6))
