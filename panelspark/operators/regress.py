@@ -83,7 +83,8 @@ def ols(df: DataFrame, keys: Keys, y: str, xs: Sequence[str]) -> DataFrame:
             inv = _inverse(sxx) / n[:, None, None]
             v0 = 1 / n + np.einsum("ri,rij,rj->r", mx, inv, mx)
             co = np.column_stack([pdf["_alpha"].to_numpy(), beta])
-            se = np.sqrt(sig[:, None] * np.column_stack([v0, np.einsum("rii->ri", inv)]))
+            se = np.sqrt(np.maximum(sig[:, None] * np.column_stack([v0, np.einsum("rii->ri", inv)]), 0))
+            se[se == 0] = np.nan  # no t-statistic without an error
             for i, name in enumerate(["const", *xs]):
                 out = pdf[keys].copy()
                 out["variable"], out["coefficient"], out["t_stat"], out["n_obs"] = name, co[:, i], co[:, i] / se[:, i], pdf["n"]
@@ -140,7 +141,8 @@ def newey_west(df: DataFrame, keys: Keys, y: str, xs: Sequence[str], lags: int =
             t = np.tile(np.eye(k + 1), (len(pdf), 1, 1))
             t[:, 0, 1:] = -mx
             v = t @ v @ t.transpose(0, 2, 1)
-            se = np.sqrt(np.einsum("rii->ri", v))
+            se = np.sqrt(np.maximum(np.einsum("rii->ri", v), 0))
+            se[se == 0] = np.nan  # no t-statistic without an error
             out = pdf[[*keys, "n", "r2"]].copy()
             out["alpha_ann"] = pdf["_alpha"] * periods
             out["alpha_t"] = pdf["_alpha"].to_numpy() / se[:, 0]

@@ -36,8 +36,10 @@ def test_newey_west_with_three_regressors(spark):
     df = spark.createDataFrame(rows, "key string, date int, y double, a double, b double, c double")
     out = rg.newey_west(df, ["key"], "y", ["a", "b", "c"], 4, 100, periods=1).toPandas()
     b, t = brute_nw(y, x, 4)
-    assert list(out["key"]) == ["k"]
-    r = out.iloc[0]
+    out = out.set_index("key")
+    assert sorted(out.index) == ["flat", "k"]  # a singular design keeps its key: the smallest slopes that fit, no t-statistics
+    flat, r = out.loc["flat"], out.loc["k"]
+    assert flat["alpha_ann"] == 1 and flat["beta_a"] == 0 and np.isnan(flat["t_a"])
     assert np.allclose([r["alpha_ann"], r["beta_a"], r["beta_b"], r["beta_c"]], b) and np.allclose([r["alpha_t"], r["t_a"], r["t_b"], r["t_c"]], t)
 
 
