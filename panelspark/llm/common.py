@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.session import checkpoint_dir
+from panelspark.session import ship_package as ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,25 +28,6 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the workers once per session, so that tasks import it wherever the driver was started."""
-    sc = spark.sparkContext
-    if getattr(sc, "_panelspark_shipped", False):
-        return
-    import tempfile
-
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "panelspark.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(path)
-    sc._panelspark_shipped = True
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Bounded slices, so that Python objects of a few hundred rows live at a time."""
     for b in batches:
@@ -70,7 +50,3 @@ class WordHashes(dict):
 def lower_ascii(c):
     """A-Z lower-cased, all other letters as they are."""
     return F.translate(c, UPPER, LOWER)
-
-
-def rounded_sql(expr: str, digits: int) -> str:
-    return f"floor({expr}*1e{digits}+0.5)/1e{digits}"
