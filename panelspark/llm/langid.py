@@ -186,7 +186,7 @@ def train(docs: DataFrame, learn, vocab_path: str | None = None, sample: int = S
         order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
         ids = ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample).drop("r")
     ids = ids.select("doc_id", "lang").distinct()
-    words = rows.join(ids, ["doc_id", "lang"]).select("lang", "text").mapInArrow(_sample_words, "lang string, w string")
+    words = rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text").mapInArrow(_sample_words, "lang string, w string")
     counts: dict = {}
     for r in words.groupBy("lang", "w").count().collect():  # words of the bounded sample
         counts.setdefault(r.lang, {})[r.w] = r["count"]
