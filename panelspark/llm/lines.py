@@ -153,8 +153,8 @@ def dedupe(docs: DataFrame) -> DataFrame:
     firsts = lines.groupBy("line").agg(F.min("o").alias("first"))
     placed = lines.join(firsts, "line")
 
-    reps = placed.filter(f"o = first and n >= {EDIT_WORDS}").select("o", "doc", "text_hash", "at", F.explode("keys").alias("key"))
-    shared = reps.groupBy("key").agg(F.min("o").alias("a"), F.max("o").alias("z")).filter("a < z").select("key")
+    reps = placed.filter(f"o = first and n >= {EDIT_WORDS}").select(F.xxhash64("line").alias("id"), "doc", "text_hash", "at", F.explode("keys").alias("key"))
+    shared = reps.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("key")
     near = stage(reps.join(shared, "key").select("doc", "text_hash", "at").distinct().groupBy("doc", "text_hash").agg(F.collect_list("at").alias("wanted")))
     wanted = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
     texts = plain.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc", "text_hash"]).select("doc", "text", "wanted")
