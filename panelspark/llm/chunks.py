@@ -10,11 +10,11 @@ A chunk of letters with one mark of punctuation at its end is two pre-tokens for
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 from tokenizers import Tokenizer
 
+from panelspark.llm.common import held
+
 MARKS = frozenset(".,;:!?")
 
 
@@ -77,6 +77,5 @@ class Chunks(dict):
         return b"".join(map(self.__getitem__, chunks))
 
 
-@lru_cache(maxsize=4)
 def chunks(path: str, kind: str) -> Chunks:
-    return Chunks(path, kind)
+    return held((path, kind), lambda: Chunks(path, kind))

@@ -47,6 +47,21 @@ class WordHashes(dict):
         return v
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """The one cache of this worker: workers serve stage after stage, and what another stage remembered is let go."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def word_hashes() -> WordHashes:
+    return held("words", WordHashes)
+
+
 def lower_ascii(c):
     """A-Z lower-cased, all other letters as they are."""
     return F.translate(c, UPPER, LOWER)

@@ -23,12 +23,11 @@ import sentencepiece
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import ship, slices
+from panelspark.llm.common import held, ship, slices
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE, ROUNDS, LONGEST, WIDEST = 400, 4, 24, 10
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE: dict = {}
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -147,10 +146,7 @@ class _Scores:
 
 def _predict(name: str, model, path: str, keep: list[str], text: int):
     def run(batches):
-        if name not in _CACHE:
-            _CACHE.clear()
-            _CACHE[name] = (_Scores(vocabulary(path), model.value[1]), model.value[0])
-        scores, langs = _CACHE[name]
+        scores, langs = held(name, lambda: (_Scores(vocabulary(path), model.value[1]), model.value[0]))
         for b in slices(batches, 256):
             docs = [words_of(t) for t in b.column(text).to_pylist()]
             pred, best = [], []

@@ -26,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import WordHashes, ship, slices, stage
+from panelspark.llm import common
+from panelspark.llm.common import ship, slices, stage
 
 EDIT_WORDS = 10
 #: Lists of lines by document up to this many rows are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
-_WORDS = WordHashes()
 _BASE = 0xD1342543DE82EF95
 _BACK = np.uint64(pow(_BASE, -1, 1 << 64))
 _TABLES = {_BASE: np.ones(1, np.uint64), int(_BACK): np.ones(1, np.uint64)}
@@ -52,7 +52,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(line: str) -> np.ndarray:
     words = line.encode().lower().split()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(common.word_hashes().__getitem__, words), np.uint64, len(words))
 
 
 def sums(h: np.ndarray) -> np.ndarray:
@@ -102,7 +102,7 @@ def _line_rows(batches):
             at += own
             words += [found[i] for i in own]
         sizes = np.array([len(w) for w in words], np.int64)
-        h = np.fromiter(map(_WORDS.__getitem__, itertools.chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+        h = np.fromiter(map(common.word_hashes().__getitem__, itertools.chain.from_iterable(words)), np.uint64, int(sizes.sum()))
         raw, ends = h.tobytes(), (np.cumsum(sizes) * 8).tolist()
         ident = [xxhash.xxh3_128_digest(raw[e - 8 * n : e]) for e, n in zip(ends, sizes.tolist(), strict=True)]
         long = sizes >= EDIT_WORDS
@@ -126,7 +126,7 @@ def _variant_rows(batches):
         keys, places, doc, at = [], [], [], []
         for d, i, words in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
             w = words.split()
-            v = variants(np.fromiter(map(_WORDS.__getitem__, w), np.uint64, len(w)))
+            v = variants(np.fromiter(map(common.word_hashes().__getitem__, w), np.uint64, len(w)))
             keys.append(v)
             places.append(np.arange(-1, len(w), dtype=np.int32))
             doc.append(np.full(len(v), d))

@@ -25,14 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import WordHashes, ship, slices, stage
+from panelspark.llm.common import ship, slices, stage, word_hashes
 from panelspark.llm.components import components
 
 COORDS, POSTED, MEET, MATCHES = 128, 32, 14, 80
 BLOCK, BINS, EMPTY = 1024, 1024, 255
 #: Class ids up to this many rows are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
-_WORDS = WordHashes()
 _A = np.random.default_rng(8).integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(9).integers(0, 1 << 63, COORDS, dtype=np.uint64)
 _M = np.uint64(0x9FB21C651E98DF25)
@@ -43,7 +42,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     words = (text or "").encode().lower().split()  # bytes: only A-Z change, only x20 and x09-x0D separate
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
     width = min(size, len(h))
     out = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
