@@ -6,6 +6,9 @@ A text is cut where its tokenizer always begins anew, whatever stands around, so
 * ``byte`` (a pre-token may begin with one space): before every space that stands between two characters that aren't white space.
 
 A chunk of letters with one mark of punctuation at its end is two pre-tokens for either and is put together from both.
+
+The library finds added tokens (``<|endoftext|>``) before anything else and treats what stands around them apart: a text that holds one
+is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ class Chunks(dict):
     def __init__(self, path: str, kind: str):
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder().values()
+        self.added = [a.content for a in added]
+        self.normalized = any(a.normalized for a in added)  # such a token can be met in texts that don't spell it
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.kind = kind
 
@@ -51,6 +56,8 @@ class Chunks(dict):
         return v
 
     def encode(self, text: str) -> bytes:
+        if self.normalized or any(a in text for a in self.added):
+            return self.direct(text)
         get = self.__getitem__
         if self.kind == "word":
             return b"".join(map(get, text.replace("\n", " ").split(" ")))

@@ -71,3 +71,16 @@ def test_edge_cases(spark):
     docs = spark.createDataFrame([(a, b, 7) for a, b in rows], "doc_id long, text string, start int")
     check(rows, packing.pack(docs).collect())
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y <|startoftext|>  Z", "a\n<|endoftext|>\n b. ", "<|endoftext| > <|ENDOFTEXT|>", "<|endoftext|><|endoftext|> 漢"]
+
+
+@pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_added_tokens_are_the_plain_librarys(name, kind):
+    lib = Tokenizer.from_file(public_tokenizers.path(name))
+    enc = chunks.Chunks(public_tokenizers.path(name), kind)
+    for t in STRANGE + ADDED:
+        assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    end = lib.token_to_id("<|endoftext|>")
+    assert np.frombuffer(enc.encode(ADDED[0]), enc.dtype).tolist().count(end) == 1

@@ -59,3 +59,10 @@ def test_edge_cases(spark, tmp_path):
     assert got == [((d is not None, d), *x) for d, *x in expected(rows)]
     tokenfile.write(docs.limit(0), f"{tmp_path}/b")
     assert tokenfile.read(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_added_tokens_are_kept_as_one_id(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "after")], "doc_id long, text string")
+    tokenfile.write(docs, f"{tmp_path}/a")
+    got = sorted((r.doc_id, r.start, np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in tokenfile.read(spark, f"{tmp_path}/a").collect())
+    assert got[0] == (1, 0, [64, 220, 50256, 275, tokenfile.END]) and got[1][:2] == (2, 5)
