@@ -27,6 +27,7 @@ from panelspark.llm.common import held, ship, slices
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE, ROUNDS, LONGEST, WIDEST = 400, 4, 24, 10
+LOW = 0.05
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -144,13 +145,15 @@ class _Scores:
         return [self.rows[np.fromiter(map(get, d), np.int64, len(d))].sum(axis=0) if d else np.zeros(self.rows.shape[1]) for d in docs]
 
 
-def _predict(name: str, model, path: str, keep: list[str], text: int):
+def _predict(name: str, model, path: str, keep: list[str], text: int, fit: bool):
     def run(batches):
         scores, langs = held(name, lambda: (_Scores(vocabulary(path), model.value[1]), model.value[0]))
         for b in slices(batches, 256):
             docs = [words_of(t) for t in b.column(text).to_pylist()]
-            pred, best = [], []
+            pred, best, fits, sizes = [], [], [], []
             for d, s in zip(docs, scores.of(docs), strict=True):
+                sizes.append(len(d))
+                fits.append(float(s.max()) / sum(map(len, d)) if langs and d else None)
                 if not langs or not has_letter(d):
                     pred.append("und")
                     best.append(0.0)
@@ -158,7 +161,8 @@ def _predict(name: str, model, path: str, keep: list[str], text: int):
                 z = np.exp((s - s.max()) / np.sqrt(len(d)))
                 pred.append(langs[int(s.argmax())])
                 best.append(float(z.max() / z.sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(best, pa.float64())], names=[*keep, "lang_pred", "score"])
+            more = [pa.array(fits, pa.float64()), pa.array(sizes, pa.int64())] if fit else []
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(best, pa.float64()), *more], names=[*keep, "lang_pred", "score", *["fit", "n_words"][: len(more)]])
 
     return run
 
@@ -173,24 +177,36 @@ def _sample_words(batches):
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string())], names=["lang", "w"])
 
 
-def train(docs: DataFrame, learn, vocab_path: str | None = None, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Fit on rows of (doc_id, text, lang) where ``learn`` holds, at most ``sample`` for each language."""
-    ship(docs.sparkSession)
+def _sampled(docs: DataFrame, learn, sample: int) -> DataFrame:
+    """Rows (doc_id, lang, text) to learn from."""
     rows = docs.filter(learn).filter("lang is not null and doc_id is not null")
     ids = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(256)).alias("salt"))
     for keys in (["lang", "salt"], ["lang"]):  # a language may hold most rows: first within salts, then among what they keep
         order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
         ids = ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample).drop("r")
     ids = ids.select("doc_id", "lang").distinct()
-    words = rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text").mapInArrow(_sample_words, "lang string, w string")
+    return rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+
+
+def train(docs: DataFrame, learn, vocab_path: str | None = None, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """Fit on rows of (doc_id, text, lang) where ``learn`` holds, at most ``sample`` for each language."""
+    ship(docs.sparkSession)
+    words = _sampled(docs, learn, sample).select("lang", "text").mapInArrow(_sample_words, "lang string, w string")
     counts: dict = {}
     for r in words.groupBy("lang", "w").count().collect():  # words of the bounded sample
         counts.setdefault(r.lang, {})[r.w] = r["count"]
     return fit(counts, vocabulary(vocab_path or public_tokenizers.path(VOCABULARY)))
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab_path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with lang_pred and score; the text alone decides."""
+def low_fits(docs: DataFrame, learn, model: tuple[list[str], np.ndarray], vocab_path: str | None = None, sample: int = SAMPLE) -> dict[str, float]:
+    """Language -> the ``LOW`` quantile of ``fit`` (see ``predict``) among the rows that ``train`` learns from."""
+    fits = predict(_sampled(docs, learn, sample), model, vocab_path, fit=True).filter("lang_pred <> 'und'")
+    return {r.lang_pred: r.low for r in fits.groupBy("lang_pred").agg(F.percentile("fit", F.lit(LOW)).alias("low")).collect()}  # a row for each language
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab_path: str | None = None, keep: tuple[str, ...] = ("doc_id",), fit: bool = False) -> DataFrame:
+    """The columns ``keep`` with lang_pred and score; the text alone decides. ``fit`` adds the columns fit, the mean log-probability a
+    letter in the best language (null without a letter or a language), and n_words."""
     spark = docs.sparkSession
     ship(spark)
     keep = [c for c in keep if c not in ("lang_pred", "score")]
@@ -198,4 +214,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab_path: st
     given = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[: len(keep)])
     sent = spark.sparkContext.broadcast(model)  # vocabulary size times number of languages
-    return given.mapInArrow(_predict(uuid.uuid4().hex, sent, vocab_path or public_tokenizers.path(VOCABULARY), keep, text), f"{fields}, lang_pred string, score double")
+    return given.mapInArrow(_predict(uuid.uuid4().hex, sent, vocab_path or public_tokenizers.path(VOCABULARY), keep, text, fit), f"{fields}, lang_pred string, score double" + (", fit double, n_words bigint" if fit else ""))

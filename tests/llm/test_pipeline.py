@@ -57,3 +57,17 @@ def test_empty_table(spark):
     for _, step in cp.STAGES:
         docs = step(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_texts_that_no_language_fits_go(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = np.random.default_rng(4)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(30)) for _ in range(20)]
+    strange = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "Все люди рождаются свободными и равными в своем достоинстве и правах", *noise]
+    short = [" ".join(r.text.split()[:k]) for r in table.filter("lang is not null").orderBy("doc_id").limit(20).collect() for k in (3, 8)]
+    rows = [(20_000 + k, t, None, "x", len(t)) for k, t in enumerate(strange)] + [(30_000 + k, t, None, "x", len(t)) for k, t in enumerate(short)]
+    kept = {r.doc_id for r in cp.keep_languages(spark, table.unionByName(spark.createDataFrame(rows, table.schema)), SF).collect()}
+    assert not [t for k, t in enumerate(strange) if 20_000 + k in kept]
+    assert not [t for k, t in enumerate(short) if 30_000 + k not in kept]
+    unlabelled = spark.createDataFrame([(1, "some words", None, "x", 10), (2, "12 !!", None, "x", 5), (3, None, None, "x", 0)], table.schema)
+    assert [r.doc_id for r in cp.keep_languages(spark, unlabelled, SF).collect()] == [1]
