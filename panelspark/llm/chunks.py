@@ -5,7 +5,9 @@ A text is cut where its tokenizer always begins anew, whatever stands around, so
 * ``word`` (lower case, white space dropped): before and after every space and line feed; neither composes with its neighbours.
 * ``byte`` (a pre-token may begin with one space): before every space that stands between two characters that aren't white space.
 
-A chunk of letters with one mark of punctuation at its end is two pre-tokens for either and is put together from both.
+A chunk of letters with marks of punctuation at its end is two pre-tokens for either and is put together from both. A chunk of composed
+Latin letters is one pre-token, which the library's model takes as it is: what stands before the model (normalising, splitting) is most
+of the time of a short text.
 
 The library finds added tokens (``<|endoftext|>``) before anything else and treats what stands around them apart: a text that holds one
 is encoded as a whole.
@@ -13,12 +15,28 @@ is encoded as a whole.
 
 from __future__ import annotations
 
+import unicodedata
+from array import array
+
 import numpy as np
 from tokenizers import Tokenizer
 
 from panelspark.llm.common import held
 
-MARKS = frozenset(".,;:!?")
+#: No apostrophe: with letters behind it a pre-token of its own.
+MARKS = '.,;:!?"#$%&()*+-/<=>@[]^_`{|}~\\'
+#: Letters below this code point are Latin and in lower case one character each (the one exception is U+0130).
+LATIN = "\u0250"
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from U+0100 on."""
+    out, more = [], 0x100
+    for b in range(256):
+        shown = 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF
+        out.append(chr(b if shown else more))
+        more += not shown
+    return out
 
 
 class Chunks(dict):
@@ -26,29 +44,37 @@ class Chunks(dict):
 
     LIMIT = 1 << 20
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, plain: bool = False):
+        """``plain``: strings of special tokens inside a text are text like any other."""
         super().__init__()
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = plain
+        self.model = self.library.model
+        self.letters = dict(enumerate(byte_letters()))
         added = self.library.get_added_tokens_decoder().values()
-        self.added = [a.content for a in added]
-        self.normalized = any(a.normalized for a in added)  # such a token can be met in texts that don't spell it
+        self.added = [a.content for a in added if not (plain and a.special)]
+        self.normalized = any(a.normalized and not (plain and a.special) for a in added)  # such a token can be met in texts that don't spell it
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = self.dtype.char  # of the array module: native and little-endian
         self.kind = kind
 
     def direct(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        word, mark = chunk[:-1], chunk[-1:]
+        word = chunk.rstrip(MARKS)
         letters = word.removeprefix(" ") if self.kind == "byte" else word
         if not chunk:
             v = b""
-        elif mark in MARKS and letters.isalpha():
-            v = self[word] + self[mark]
-        elif self.kind == "word" and chunk.isalpha() and chunk.isascii() and not chunk.islower():
-            v = self[chunk.lower()]
-        else:
+        elif not letters.isalpha() or not letters.isascii() and (max(letters) >= LATIN or "\u0130" in letters or not unicodedata.is_normalized("NFC", letters)):
             v = self.direct(chunk)
+        elif word != chunk:
+            v = self[word] + self[chunk[len(word) :]]
+        elif self.kind == "word" and letters != (low := letters.lower()):
+            v = self[low]
+        else:
+            raw = chunk if letters is chunk and chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)
+            v = array(self.code, [t.id for t in self.model.tokenize(raw)]).tobytes()
         if len(self) >= self.LIMIT:
             self.clear()
         if len(chunk) <= 64:
@@ -84,5 +110,5 @@ class Chunks(dict):
         return b"".join(map(self.__getitem__, chunks))
 
 
-def chunks(path: str, kind: str) -> Chunks:
-    return held((path, kind), lambda: Chunks(path, kind))
+def chunks(path: str, kind: str, plain: bool = False) -> Chunks:
+    return held((path, kind, plain), lambda: Chunks(path, kind, plain))

@@ -172,9 +172,9 @@ def dedupe(docs: DataFrame) -> DataFrame:
 
     equal = placed.filter("o > first").select("doc", "text_hash", "at")
     edited = lines.select("doc", "text_hash", "at", "o").join(gone.withColumnRenamed("late", "o"), "o").select("doc", "text_hash", "at")
-    drops = equal.unionByName(edited).groupBy("doc", "text_hash").agg(F.collect_set("at").alias("_drops"))
-    out = docs.withColumn("doc", key).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = out.join(drops, ["doc", "text_hash"], "left")
+    drops = equal.unionByName(edited).groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_text_hash")).agg(F.collect_set("at").alias("_drops"))
+    out = docs.withColumn("_doc", key).withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = out.join(drops, ["_doc", "_text_hash"], "left")
     parts = F.split(F.coalesce("text", F.lit("")), "\n")
     kept = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_drops"), lambda i: F.get(parts, i)), "\n"))
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]

@@ -42,10 +42,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op8_minhash_near_duplicates",
     f"""
-    WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex({ASCII_LOWER}, '[\\x20\\x09-\\x0D]+'), x -> x <> '') w FROM documents),
+    WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex({ASCII_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w FROM documents),
     sets AS (
         SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-            ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i : i + 3], ' '))) END s FROM words),
+            ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END s FROM words),
     items AS (SELECT doc_id, unnest(s) item FROM sets),
     pairs AS (
         SELECT a.doc_id x, b.doc_id y, count(*) both_n FROM items a JOIN items b ON a.item = b.item AND a.doc_id > b.doc_id GROUP BY 1, 2),
@@ -70,22 +70,22 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _license_sql() -> str:
     phrases = ", ".join(
-        f"list_transform(list_filter(range(1, len(w) + 1), i -> {' AND '.join(f'w[i + {k}] = {chr(39)}{x}{chr(39)}' for k, x in enumerate(p.split()))}), i -> {{'at': i - 1, 'label': '{label}'}})"
+        f"list_transform(list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f'w[i + {k}] = {chr(39)}{x}{chr(39)}' for k, x in enumerate(p.split()))}), lambda i: {{'at': i - 1, 'label': '{label}'}})"
         for p, label in licenses.PHRASES.items()
     )
     templates = ", ".join(f"('{label}', {sorted(set(t.split()))!r})" for label, ts in licenses.TEMPLATES.items() for t in ts)
     half = licenses.BLOCK // 2
     return f"""
-    WITH texts AS (SELECT doc_id, list_filter(string_split_regex({ASCII_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') w FROM documents),
+    WITH texts AS (SELECT doc_id, list_filter(string_split_regex({ASCII_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') w FROM documents),
     base AS (SELECT doc_id, len(w) n, flatten([{phrases}]) p FROM texts),
-    blocks AS (SELECT doc_id, unnest(list_transform(range(0, CAST(greatest(len(w) - {half} - 1, 0) // {half} + 1 AS BIGINT)), k -> w[k * {half} + 1 : k * {half} + {licenses.BLOCK}])) b FROM texts),
+    blocks AS (SELECT doc_id, unnest(list_transform(range(0, CAST(greatest(len(w) - {half} - 1, 0) // {half} + 1 AS BIGINT)), lambda k: w[k * {half} + 1 : k * {half} + {licenses.BLOCK}])) b FROM texts),
     templates(label, t) AS (VALUES {templates}),
     found AS (
         SELECT doc_id, list(DISTINCT label) found, max(len(list_intersect(b, t)) / len(t)) best FROM blocks, templates
         WHERE len(list_intersect(b, t)) >= ceil({licenses.THRESHOLD} * len(t) - 1e-9) GROUP BY doc_id)
-    SELECT doc_id, CAST(n AS BIGINT) n_words, CAST(len(p) AS BIGINT) n_base, CAST(list_min(list_transform(p, x -> x.at)) AS BIGINT) first_word,
-        CAST(list_max(list_transform(p, x -> x.at)) AS BIGINT) last_word, array_to_string(list_sort(list_distinct(list_transform(p, x -> x.label))), ',') base_labels,
-        array_to_string(list_sort(list_distinct(list_concat(list_transform(p, x -> x.label), coalesce(found, [])))), ',') labels,
+    SELECT doc_id, CAST(n AS BIGINT) n_words, CAST(len(p) AS BIGINT) n_base, CAST(list_min(list_transform(p, lambda x: x.at)) AS BIGINT) first_word,
+        CAST(list_max(list_transform(p, lambda x: x.at)) AS BIGINT) last_word, array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') base_labels,
+        array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda x: x.label), coalesce(found, [])))), ',') labels,
         CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE score
     FROM base LEFT JOIN found USING (doc_id)"""
 
@@ -103,18 +103,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_SQL = f"""
     WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) a FROM documents),
     numbered AS (SELECT doc_id, unnest(a) line, unnest(range(len(a))) i FROM texts),
-    worded AS (SELECT doc_id, i, line, list_filter(string_split_regex({ASCII_LOWER.replace("coalesce(text, '')", "line")}, '[\\x20\\x09-\\x0D]+'), x -> x <> '') w FROM numbered),
+    worded AS (SELECT doc_id, i, line, list_filter(string_split_regex({ASCII_LOWER.replace("coalesce(text, '')", "line")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w FROM numbered),
     placed AS (SELECT doc_id, i, line, w, array_to_string(w, ' ') k, doc_id::HUGEINT * 4294967296 + i o FROM worded),
     firsts AS (SELECT k, any_value(w) w, min(o) o FROM placed WHERE len(w) > 0 GROUP BY k),
-    some AS (SELECT * FROM firsts WHERE len(w) >= 10),
-    less AS (SELECT k, o, p, array_to_string(w[1 : p] || w[p + 2 :], ' ') v, len(w) n FROM (SELECT k, w, o, unnest(range(len(w))) p FROM some)),
+    lengthy AS (SELECT * FROM firsts WHERE len(w) >= 10),
+    less AS (SELECT k, o, p, array_to_string(w[1 : p] || w[p + 2 :], ' ') v, len(w) n FROM (SELECT k, w, o, unnest(range(len(w))) p FROM lengthy)),
     early AS (SELECT v, p, n, min(o) o FROM less GROUP BY ALL),
     near AS (
         SELECT l.k FROM less l JOIN early e ON l.v = e.v AND l.p = e.p AND l.n = e.n WHERE l.o > e.o
-        UNION SELECT s.k FROM some s JOIN less l ON l.v = s.k WHERE s.o > l.o
-        UNION SELECT l.k FROM some s JOIN less l ON l.v = s.k WHERE l.o > s.o),
+        UNION SELECT s.k FROM lengthy s JOIN less l ON l.v = s.k WHERE s.o > l.o
+        UNION SELECT l.k FROM lengthy s JOIN less l ON l.v = s.k WHERE l.o > s.o),
     kept AS (
-        SELECT doc_id, i, line, len(w) > 0 AND (p.o > f.o OR p.k IN (FROM near)) gone FROM placed p LEFT JOIN firsts f ON p.k = f.k)
+        SELECT doc_id, i, line, len(p.w) > 0 AND (p.o > f.o OR p.k IN (FROM near)) gone FROM placed p LEFT JOIN firsts f ON p.k = f.k)
     SELECT doc_id, count(*) n_lines, count(*) FILTER (gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT coalesce(gone, false)), '')) kept_sha256
     FROM kept GROUP BY doc_id"""
 
@@ -134,7 +134,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VECTORS_SQL = """
     WITH RECURSIVE ok AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings
-        WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
     links AS (SELECT a.vec_id x, b.vec_id y FROM ok a JOIN ok b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
     reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.y FROM reach r JOIN links l ON l.x = r.b),
     roots AS (SELECT a, min(b) c FROM reach GROUP BY a)

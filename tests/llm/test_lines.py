@@ -21,8 +21,9 @@ def brute(rows):
 
 
 def run(spark, rows):
-    docs = spark.createDataFrame([(a, b, "x", 1) for a, b in rows], "doc_id long, text string, doc string, n int")
-    out = lines.dedupe(docs.drop("doc")).collect()
+    docs = spark.createDataFrame([(a, b, "x", 1, 2) for a, b in rows], "doc_id long, text string, doc string, text_hash int, at int")
+    out = lines.dedupe(docs).collect()
+    assert {(x.doc, x.text_hash, x.at) for x in out} == {("x", 1, 2)}  # own columns of those names come back as they were
     return out
 
 

@@ -49,7 +49,17 @@ def test_query_on_whole_table(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not y, k, known, n) and abs(r.base_score - base) < 1e-6 and r.score < 0
     held = [r for r in got.values() if r.held_out]
     size = sum(r.n_tokens for r in held)
-    assert lm.perplexity(sum(r.score for r in held), size) < lm.perplexity(sum(r.base_score for r in held), size)
+    plain = spelled_unigram([t for (_, t), y in zip(rows, learns, strict=True) if y], [t for (_, t), y in zip(rows, learns, strict=True) if not y])
+    assert lm.perplexity(sum(r.score for r in held), size) < lm.perplexity(plain, size)
+
+
+def spelled_unigram(train, held):
+    """log10 of held-out texts: add-one word counts, an unknown word taking the unknown's share by its bytes' frequencies."""
+    c = Counter(w for t in train for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    b = Counter(x for w in c for x in [*w, 10])
+    m = sum(b.values()) + 256
+    return sum(math.log10((c[w] + 1) / (n + v + 1)) + (0 if c[w] else sum(math.log10((b[x] + 1) / m) for x in [*w, 10])) for t in held for w in tokens(t))
 
 
 def test_edge_cases(spark):

@@ -14,7 +14,6 @@ STRANGE = ["", " ", "  a", "a ", "a  b", "Hello, WORLD. it's don't 'tis x's.", "
 @pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
 def test_chunked_ids_are_the_librarys(spark, name, kind):
     lib = Tokenizer.from_file(public_tokenizers.path(name))
-    lib.encode_special_tokens = True
     enc = chunks.Chunks(public_tokenizers.path(name), kind)
     texts = STRANGE + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     rng = np.random.default_rng(3)
@@ -35,7 +34,6 @@ def test_hilbert_is_a_curve():
 
 def check(rows, pieces, size=packing.SIZE):
     lib = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    lib.encode_special_tokens = True
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for p in pieces:
         by_doc[p.doc_id].append(p)

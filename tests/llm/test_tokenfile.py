@@ -33,7 +33,6 @@ def test_damage_is_found():
 
 def expected(rows):
     lib = Tokenizer.from_file(public_tokenizers.path(tokenfile.VOCABULARY))
-    lib.encode_special_tokens = True
     at, out = 0, []
     for d, t in rows:
         ids = np.array(lib.encode(t or "", add_special_tokens=False).ids + [tokenfile.END], "<u4")
