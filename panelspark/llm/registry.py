@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, fingerprints, langid, licenses, lines, lm, minhash, packing, tokenfile, vectors
+from panelspark.llm import bpe, fingerprints, langid, licenses, lines, lm, minhash, packing, patterns, tokenfile, vectors
 from panelspark.llm.common import table
 from panelspark.session import checkpoint_dir
 
@@ -152,3 +152,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     out = lm.score(table(spark, sf_dir, "documents"), ~held)
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op12_pattern_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.pack(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
