@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, fingerprints, langid, licenses, lines, lm, minhash, packing, patterns, tokenfile, vectors
+from panelspark.llm import align, bpe, fingerprints, langid, licenses, lines, lm, minhash, packing, patterns, tokenfile, vectors
 from panelspark.llm.common import table
 from panelspark.session import checkpoint_dir
 
@@ -157,3 +157,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_pattern_packing")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.pack(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op11_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))[0]
