@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import align, bpe, fingerprints, langid, licenses, lines, lm, minhash, packing, patterns, tokenfile, vectors
+from panelspark.llm import align, bpe, fingerprints, langid, licenses, lines, lm, minhash, packing, patterns, ranked, tokenfile, vectors
 from panelspark.llm.common import table
 from panelspark.session import checkpoint_dir
 
@@ -162,3 +162,27 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_tokenizer_alignment")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"))[0]
+
+
+def _terms_sql(text: str) -> str:
+    return f"list_filter(string_split_regex({ASCII_LOWER.replace('text', text)}, '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+
+RANKED_SQL = f"""
+    WITH words AS (SELECT doc_id, unnest({_terms_sql('text')}) t FROM documents),
+    sizes AS (SELECT doc_id, count(*) n FROM words GROUP BY doc_id),
+    whole AS (SELECT count(*) docs, CAST(sum(n) AS BIGINT) terms FROM sizes),
+    tfs AS (SELECT doc_id, t, count(*) tf FROM words GROUP BY doc_id, t),
+    dfs AS (SELECT t, count(*) df FROM tfs GROUP BY t),
+    asked AS (SELECT item_id, unnest({_terms_sql('text')}) t FROM benchmark),
+    scores AS (
+        SELECT item_id, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+            * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) score
+        FROM asked JOIN tfs USING (t) JOIN dfs USING (t) JOIN sizes USING (doc_id), whole GROUP BY item_id, doc_id),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) rank FROM scores WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20"""
+
+
+@query("op13_pair_bound_search", RANKED_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
