@@ -5,13 +5,14 @@ passes over the corpus, each staged or reduced to a few numbers:
 
 * ``postings``: lengths and term counts of a block's documents for the terms that the queries use; the corpus's document count, token
   count and document frequencies are aggregates over blocks.
-* ``impacts``: with them every posting gets its impact (what it adds to a score) and every term its highest one in the block. For pairs
-  of terms, neighbours in a query by rarity, the intersection list is stored with the joint impacts and the highest of them.
+* ``impacts``: with them every posting gets its impact (what it adds to a score, but for the term's weight) and every term its highest
+  one in the block. For pairs of terms, neighbours in a query by rarity, the intersection list is stored with its highest joint impact.
 * ``best_few``, then ``search``: each block scores the few documents that its strongest lists name; the corpus's k-th best of those is a
   threshold from the start. A query's bound in a block takes, along its chain of terms by rarity, the cheapest choice of single maxima
   and pair bounds (a pair adds at most its joint maximum where both terms meet, else the larger single one). A block below the threshold
-  is skipped; else lists are left out, weakest first, while their bounds together stay below it, documents come from the others, and the
-  left-out lists are looked up only for documents that can still reach it.
+  is skipped; else lists are left out, weakest first, while their bounds together stay below it; of further pairs, while the larger single
+  ones still fit, only the intersection list names documents, of the rest both lists do. The lists left out are looked up only for
+  documents that can still reach the threshold.
 
 Results are exact. Queries are taken in groups of about ``GROUP`` terms, so what is sent to tasks is bounded whatever their number.
 
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import ship, slices, stage
 
 K = 20
-#: Query terms of a group; documents and postings that close a block; strongest lists that name the first few documents.
-GROUP, DOCS, POSTINGS, STRONGEST = 1 << 17, 1 << 14, 1 << 21, 8
+#: Query terms of a group; documents (at most 2^16) and postings that close a block; strongest lists that name the first few documents.
+GROUP, DOCS, POSTINGS, STRONGEST = 1 << 17, 1 << 13, 1 << 20, 8
 #: Digits, letters and all bytes of characters beyond ASCII are kept; the rest parts terms.
 _KEPT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -97,7 +98,8 @@ def _impacts(n_docs: int, n_terms: int, weights: np.ndarray, pairs: np.ndarray):
             term, df = np.array(r["terms"][0], np.int64), np.array(r["df"][0], np.int64)
             doc, tf = (np.frombuffer(r[c][0], "<u4").astype(np.int64) for c in ("doc", "times"))
             m = 75 + 25 * np.array(r["sizes"][0], np.int64) * n_docs // max(n_terms, 1)
-            impact = np.repeat(weights[term], df) * (1_000_000_000 * tf // (1000 * tf + 12 * m[doc]))
+            plain = 1_000_000_000 * tf // (1000 * tf + 12 * m[doc])  # at most a million
+            impact = np.repeat(weights[term], df) * plain
             cuts = np.concatenate([[0], np.cumsum(df)])
             at = np.full(len(weights), -1)
             at[term] = np.arange(len(term))
@@ -112,19 +114,18 @@ def _impacts(n_docs: int, n_terms: int, weights: np.ndarray, pairs: np.ndarray):
                 dense[short] = np.arange(cuts[x], cuts[x + 1])
                 meet = np.nonzero(dense[long] >= 0)[0]
                 both.append(long[meet])
-                joint.append(impact[dense[long[meet]]] + impact[cuts[y] + meet])
+                joint.append(int((impact[dense[long[meet]]] + impact[cuts[y] + meet]).max(initial=0)))
                 sizes.append(len(meet))
                 dense[short] = -1
-            none = [np.zeros(0, np.int64)]
-            lists = (term, cuts, [int(impact[x:y].max()) for x, y in zip(cuts, cuts[1:], strict=False)], here, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), [int(j.max()) if len(j) else 0 for j in joint])
-            blobs = [doc.astype("<u4"), impact.astype("<i8"), np.concatenate(both + none).astype("<u4"), np.concatenate(joint + none).astype("<i8")]
+            lists = (term, cuts, [int(impact[x:y].max()) for x, y in zip(cuts, cuts[1:], strict=False)], here, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), joint)
+            blobs = [doc.astype("<u2"), plain.astype("<u4"), np.concatenate([*both, doc[:0]]).astype("<u2")]
             cols = [b.column(0), b.column(b.schema.get_field_index("docs")), *(pa.array([x], pa.list_(pa.int64())) for x in lists), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)]
             yield pa.RecordBatch.from_arrays(cols, names=list(IMPACT))
 
     return run
 
 
-IMPACT = {"block": "bigint", "docs": "array<bigint>"} | {c: "array<bigint>" for c in ("terms", "cuts", "highest", "pairs", "pair_cuts", "pair_highest")} | {c: "binary" for c in ("doc", "impact", "both", "joint")}
+IMPACT = {"block": "bigint", "docs": "array<bigint>"} | {c: "array<bigint>" for c in ("terms", "cuts", "highest", "pairs", "pair_cuts", "pair_highest")} | {c: "binary" for c in ("doc", "impact", "both")}
 
 
 class Queries:
@@ -150,42 +151,48 @@ class Queries:
 class Block:
     """One block of the index, with lists found by number of term or pair."""
 
-    def __init__(self, r: dict, n_terms: int, n_pairs: int):
-        self.docs = r["docs"][0]
+    def __init__(self, r: dict, weights: np.ndarray, n_pairs: int):
+        self.docs, self.weights = r["docs"][0], weights
         self.cuts, self.pair_cuts = np.array(r["cuts"][0]), np.array(r["pair_cuts"][0])
-        self.doc, self.both = (np.frombuffer(r[c][0], "<u4") for c in ("doc", "both"))
-        self.impact, self.joint = (np.frombuffer(r[c][0], "<i8") for c in ("impact", "joint"))
-        self.at, self.pair_at = np.full(n_terms, -1), np.full(n_pairs, -1)
+        self.doc, self.both = (np.frombuffer(r[c][0], "<u2") for c in ("doc", "both"))
+        self.plain = np.frombuffer(r["impact"][0], "<u4")
+        self.at, self.pair_at = np.full(len(weights), -1), np.full(n_pairs, -1)
         self.at[r["terms"][0]] = np.arange(len(r["terms"][0]))
         self.pair_at[r["pairs"][0]] = np.arange(len(r["pairs"][0]))
         self.highest, self.pair_highest = np.array([*r["highest"][0], 0]), np.array([*r["pair_highest"][0], 0])
 
     def postings(self, term: int):
         k = self.at[term]
-        return (self.doc[self.cuts[k] : self.cuts[k + 1]], self.impact[self.cuts[k] : self.cuts[k + 1]]) if k >= 0 else (self.doc[:0], self.impact[:0])
+        a, z = (self.cuts[k], self.cuts[k + 1]) if k >= 0 else (0, 0)
+        return self.doc[a:z], self.plain[a:z] * self.weights[term]
 
-    def units(self, terms_: np.ndarray, often: np.ndarray, pairs: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
-        """(bound, places in the chain) of singles and disjoint neighbours, chosen so that the bounds' sum is least."""
+    def meeting(self, pair: int) -> np.ndarray:
+        k = self.pair_at[pair]
+        return self.both[self.pair_cuts[k] : self.pair_cuts[k + 1]]
+
+    def units(self, terms_: np.ndarray, often: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int, tuple[int, ...]]]:
+        """(bound, bound where a pair's terms don't meet, places in the chain) of singles and disjoint neighbours, chosen so that the
+        bounds' sum is least; weakest first."""
         single = (self.highest[self.at[terms_]] * often).tolist()
         met = (self.pair_highest[self.pair_at[pairs]]).tolist()
         often, present = often.tolist(), (self.at[terms_] >= 0).tolist()
         best, take = [0], []
         for k, u in enumerate(single):
-            bound, how = best[-1] + u, (u, (k,) if present[k] else ())
+            bound, how = best[-1] + u, (u, u, (k,) if present[k] else ())
             if k and present[k] and present[k - 1]:
                 both = min(often[k - 1 : k + 1])
                 pair = both * met[k - 1] + sum((o - both) * s // o for o, s in zip(often[k - 1 : k + 1], single[k - 1 : k + 1], strict=True)) if met[k - 1] else 0
-                pair = max(pair, u, single[k - 1])
+                apart = max(u, single[k - 1])
+                pair = max(pair, apart)
                 if best[-2] + pair < bound:
-                    bound, how = best[-2] + pair, (pair, (k - 1, k))
+                    bound, how = best[-2] + pair, (pair, apart, (k - 1, k))
             best.append(bound)
             take.append(how)
         out, k = [], len(single) - 1
         while k >= 0:
-            bound, places = take[k]
-            if places:
-                out.append((bound, places))
-            k -= max(len(places), 1)
+            if take[k][2]:
+                out.append(take[k])
+            k -= max(len(take[k][2]), 1)
         return sorted(out)
 
     def exact(self, docs: np.ndarray, terms_: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -212,7 +219,7 @@ def few(block: Block, terms_, often, pairs, k: int):
     """Some of the block's best documents with their scores: those that rank first on the strongest lists alone."""
     units = block.units(terms_, often, pairs)[-STRONGEST:]
     part = np.zeros(len(block.docs), np.int64)
-    for _, places in units:
+    for *_, places in units:
         for p in places:
             d, imp = block.postings(int(terms_[p]))
             part[d] += imp * often[p]
@@ -226,16 +233,22 @@ def scan(block: Block, terms_, often, pairs, threshold: int, k: int):
     """(documents, scores) of all that can be among the k best at ``threshold``; the rest of the block is skipped. Third: documents
     that were looked at."""
     units = block.units(terms_, often, pairs)
-    below = np.cumsum([0] + [u for u, _ in units]).tolist()  # below[i]: bound of the i weakest units
+    below = np.cumsum([0] + [u for u, *_ in units]).tolist()  # below[i]: bound of the i weakest units
     if below[-1] < threshold:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     weak = sum(x < threshold for x in below[1:])
-    score = np.zeros(len(block.docs), np.int64)
-    for _, places in units[weak:]:
+    apart, score, named = below[weak], np.zeros(len(block.docs), np.int64), np.zeros(len(block.docs), bool)
+    for _, single, places in sorted(units[weak:], key=lambda u: u[1]):
+        apart += single
+        half = len(places) == 2 and apart < threshold
         for p in places:
             d, imp = block.postings(int(terms_[p]))
             score[d] += imp * often[p]
-    docs = np.nonzero(score)[0]
+            if not half:
+                named[d] = True
+        if half:
+            named[block.meeting(pairs[places[0]])] = True
+    docs = np.nonzero(named)[0]
     score = score[docs]
     looked = len(docs)
     for i in range(weak - 1, -1, -1):
@@ -245,18 +258,18 @@ def scan(block: Block, terms_, often, pairs, threshold: int, k: int):
         docs, score = docs[alive], score[alive]
         if not len(docs):
             break
-        places = list(units[i][1])
+        places = list(units[i][2])
         score = score + block.exact(docs, terms_[places], often[places])
     return docs, score, looked
 
 
-def _per_block(queries: Queries, n_terms: int, n_pairs: int, thresholds: np.ndarray | None, k: int):
+def _per_block(queries: Queries, weights: np.ndarray, n_pairs: int, thresholds: np.ndarray | None, k: int):
     """Rows (query, doc_id, score): with thresholds the results of each block, without them its first few."""
     chains = list(zip(queries.chains, queries.often, queries.chained, strict=True))
 
     def run(batches):
         for b in slices(batches, 1):
-            block = Block(b.to_pydict(), n_terms, n_pairs)
+            block = Block(b.to_pydict(), weights, n_pairs)
             out = []
             for q, chained in enumerate(chains):
                 docs, scores = few(block, *chained, k) if thresholds is None else scan(block, *chained, int(thresholds[q]), k)[:2]
@@ -278,7 +291,7 @@ def _group(docs: DataFrame, ids: list, texts: list, k: int, max_docs: int, max_p
     spark, q = docs.sparkSession, Queries(texts)
     schema = {c: t for c, t in (("query", "int"), ("doc_id", "bigint"), ("score", "bigint"))}
     ddl = lambda s: ", ".join(f"{c} {t}" for c, t in s.items())
-    postings = stage(docs.mapInArrow(_postings(q.vocabulary, max_docs, max_postings), ddl(POSTING)))
+    postings = stage(docs.mapInArrow(_postings(q.vocabulary, min(max_docs, 1 << 16), max_postings), ddl(POSTING)))
     n_docs, n_terms = (x or 0 for x in postings.agg(F.sum("n_docs"), F.sum("n_terms")).first())
     df = np.zeros(len(q.vocabulary), np.int64)
     counted = postings.select(F.explode(F.arrays_zip("terms", "df")).alias("t")).groupBy("t.terms").agg(F.sum("t.df").alias("n"))
@@ -287,11 +300,11 @@ def _group(docs: DataFrame, ids: list, texts: list, k: int, max_docs: int, max_p
     pairs = q.order(df)
     weights = np.array([weight(n_docs, int(x)) for x in df], np.int64)
     index = stage(postings.mapInArrow(_impacts(n_docs, n_terms, weights, pairs), ddl(IMPACT)))
-    best = _ranked(index.mapInArrow(_per_block(q, len(df), len(pairs), None, k), ddl(schema)), k).filter(F.col("rank") == k)
+    best = _ranked(index.mapInArrow(_per_block(q, weights, len(pairs), None, k), ddl(schema)), k).filter(F.col("rank") == k)
     thresholds = np.ones(len(texts), np.int64)
     for r in best.select("query", "score").collect():  # a row for each query of the group
         thresholds[r.query] = r.score
-    found = _ranked(index.mapInArrow(_per_block(q, len(df), len(pairs), thresholds, k), ddl(schema)), k)
+    found = _ranked(index.mapInArrow(_per_block(q, weights, len(pairs), thresholds, k), ddl(schema)), k)
     named = spark.createDataFrame(list(enumerate(ids)), "query int, item_id bigint")
     return found.join(named, "query").select("item_id", "rank", "doc_id", "score")
 

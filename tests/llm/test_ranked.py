@@ -70,7 +70,7 @@ def block_of(tfs, sizes, queries):
     df[r["terms"][0]] = r["df"][0]
     pairs = queries.order(df)
     weights = np.array([ranked.weight(r["n_docs"][0], int(x)) for x in df], np.int64)
-    return ranked.Block(list(ranked._impacts(r["n_docs"][0], r["n_terms"][0], weights, pairs)(first))[0].to_pydict(), len(df), len(pairs))
+    return ranked.Block(list(ranked._impacts(r["n_docs"][0], r["n_terms"][0], weights, pairs)(first))[0].to_pydict(), weights, len(pairs))
 
 
 @settings(max_examples=80, deadline=None)
@@ -81,11 +81,14 @@ def test_bounds_hold_and_nothing_is_lost(texts, asked, k):
     chain, often, pairs = q.chains[0], q.often[0], q.chained[0]
     every = block.exact(np.arange(len(block.docs)), chain, often)
     units = block.units(chain, often, pairs)
-    covered = sorted(p for _, places in units for p in places)
+    covered = sorted(p for *_, places in units for p in places)
     assert covered == [p for p, v in enumerate(chain) if block.at[v] >= 0]
-    for bound, places in units:
+    for bound, apart, places in units:
         part = block.exact(np.arange(len(block.docs)), chain[list(places)], often[list(places)])
         assert len(part) == 0 or part.max() <= bound
+        if len(places) == 2:
+            alone = np.setdiff1d(np.arange(len(block.docs)), block.meeting(pairs[places[0]]))
+            assert part[alone].max(initial=0) <= apart
     for threshold in {1, *every.tolist()}:
         docs, scores, _ = ranked.scan(block, chain, often, pairs, max(int(threshold), 1), k)
         assert (every[docs] == scores).all()
