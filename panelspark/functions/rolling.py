@@ -9,7 +9,7 @@ depends on the values inside its window only, whatever came before.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.stats import adjusted_skew
 
 _PARTS = ("h", "t", "l")
-_TMP = ("__rn", "__blk", *(f"__{p}{m}" for p in _PARTS for m in "cnabe"), "__n", "__mean", "__m2", "__m3")
+_TMP = ("__rn", "__blk", *(f"__{p}{m}" for p in _PARTS for m in "cnabef"), "__n", "__mean", "__m2", "__m3", "__fold")
 
 
 def _totals(df: DataFrame, value: str, order, part: str, third: bool) -> DataFrame:
@@ -42,6 +42,28 @@ def _central(part: str, third: bool) -> tuple[Column, Column, Column, Column]:
     return n, F.col(f"__{part}c") + m, F.coalesce(m2, F.lit(0.0)), F.coalesce(m3, F.lit(0.0))
 
 
+def _before(df: DataFrame, names: str, window: int, keys: Sequence[str]) -> DataFrame:
+    """The tail of the block before, from the first row of the window; sorted as the heads are, so Spark does not sort again."""
+    split = (F.col("__rn") % window < window - 1) if window > 1 else F.lit(False)
+    order = Window.partitionBy(*keys).orderBy("__blk", "__rn")
+    return df.withColumns({f"__l{k}": F.when(split, F.lag(f"__t{k}", max(window - 1, 1)).over(order)) for k in names})
+
+
+def rolling_fold(df: DataFrame, value: Column, window: int, keys: Sequence[str], date: str, fold: Callable[[Column], Column], two: Callable[[Column, Column], Column]) -> DataFrame:
+    """Add ``__n`` and ``__fold``, an aggregate over the trailing window that knows no inverse (a maximum, a product): the fold of the
+    block's head and of the tail of the block before, put together by ``two``."""
+    order = Window.partitionBy(*keys).orderBy(date)
+    out = df.withColumn("__rn", F.row_number().over(order) - 1).withColumn("__blk", F.floor(F.col("__rn") / window)).withColumn("__c", value)
+    block = Window.partitionBy(*keys, "__blk")
+    for part, by in (("t", F.desc("__rn")), ("h", F.asc("__rn"))):
+        upto = block.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumns({f"__{part}n": F.count("__c").over(upto), f"__{part}f": fold(F.col("__c")).over(upto)})
+    out = _before(out.drop("__c"), "nf", window, keys)
+    n = F.col("__hn") + F.coalesce("__ln", F.lit(0))
+    head, tail = F.when(F.col("__hn") > 0, F.col("__hf")), F.when(F.col("__ln") > 0, F.col("__lf"))
+    return out.withColumns({"__n": n, "__fold": F.when(head.isNull(), tail).when(tail.isNull(), head).otherwise(two(head, tail))})
+
+
 def rolling_moments(df: DataFrame, value: str, window: int, keys: Sequence[str], date: str, third: bool = False) -> DataFrame:
     """Add ``__n``, ``__mean`` and the central sums ``__m2 __m3`` of the trailing window."""
     order = Window.partitionBy(*keys).orderBy(date)
@@ -49,10 +71,7 @@ def rolling_moments(df: DataFrame, value: str, window: int, keys: Sequence[str],
     block = Window.partitionBy(*keys, "__blk")
     out = _totals(out, value, block.orderBy(F.desc("__rn")), "t", third)
     out = _totals(out, value, block.orderBy("__rn"), "h", third)
-    names = "cnabe" if third else "cnab"
-    split = (F.col("__rn") % window < window - 1) if window > 1 else F.lit(False)
-    back = max(window - 1, 1)
-    out = out.withColumns({f"__l{k}": F.when(split, F.lag(f"__t{k}", back).over(Window.partitionBy(*keys).orderBy("__rn"))) for k in names})
+    out = _before(out, "cnabe" if third else "cnab", window, keys)
     n1, mu1, s1, c1 = _central("h", third)
     n2, mu2, s2, c2 = _central("l", third)
     n = n1 + n2
@@ -72,6 +91,10 @@ def count() -> Column:
     return F.col("__n")
 
 
+def folded() -> Column:
+    return F.col("__fold")
+
+
 def total() -> Column:
     return F.when(F.col("__n") > 0, F.col("__mean") * F.col("__n"))
 

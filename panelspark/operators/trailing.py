@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from panelspark.config import ANN_DAYS
 from panelspark.functions.calendar import calendar_index
+from panelspark.functions import orderstat as order
 from panelspark.functions import rolling as roll
-from panelspark.functions.stats import div, gated, positive_only, rows_frame
+from panelspark.functions.stats import div, positive_only, rows_frame
 
 Keys = Sequence[str]
 
@@ -48,31 +49,25 @@ def trailing_skew(df: DataFrame, ret: str, window: int = 252, min_periods: int |
 
 def trailing_rank(df: DataFrame, value: str, lookback: int = 756, min_periods: int | None = None, out: str = "pct", keys: Keys = ("asset",), date: str = "date") -> DataFrame:
     """Percentile rank of the current value in its trailing frame, average rank for ties."""
-    w = rows_frame(keys, date, lookback)
-    arr = F.collect_list(value).over(w)
     mp = lookback // 2 if min_periods is None else min_periods
-    tmp = df.withColumn("_arr", F.when(F.col(value).isNotNull(), arr))
-    less = F.size(F.filter("_arr", lambda x: x < F.col(value)))
-    same = F.size(F.filter("_arr", lambda x: x == F.col(value)))
-    rank = (less + (same + 1) / 2.0) / F.size("_arr")
-    return tmp.withColumn(out, F.when(F.col("_arr").isNotNull() & (F.size("_arr") >= mp), rank)).drop("_arr")
+    return order.trailing_order(df, value, lookback, order.percentile_rank(mp), out, keys, date)
 
 
 def trailing_quantile(df: DataFrame, value: str, q: float, window: int, min_periods: int, out: str, keys: Keys = ("asset",), date: str = "date") -> DataFrame:
-    w = rows_frame(keys, date, window)
-    return df.withColumn(out, gated(F.percentile(value, q).over(w), F.col(value), w, min_periods))
+    """Linear-interpolated quantile of the trailing frame."""
+    return order.trailing_order(df, value, window, order.quantile(q, min_periods), out, keys, date)
 
 
 def trailing_drawdown(df: DataFrame, value: str, window: int, min_periods: int, out: str, keys: Keys = ("asset",), date: str = "date") -> DataFrame:
     """Value over its trailing maximum, minus 1."""
-    w = rows_frame(keys, date, window)
-    return df.withColumn(out, gated(div(F.col(value), F.max(value).over(w)) - 1, F.col(value), w, min_periods))
+    m = roll.rolling_fold(df, F.col(value), window, keys, date, F.max, F.greatest)
+    return roll.done(m.withColumn(out, F.when(roll.count() >= min_periods, div(F.col(value), roll.folded()) - 1)))
 
 
 def trailing_product(df: DataFrame, ret: str, window: int, out: str, keys: Keys = ("asset",), date: str = "date", min_periods: int | None = None) -> DataFrame:
     """Compounded return over the frame."""
-    w = rows_frame(keys, date, window)
-    return df.withColumn(out, gated(F.product(1 + F.col(ret)).over(w) - 1, F.col(ret), w, window if min_periods is None else min_periods))
+    m = roll.rolling_fold(df, 1 + F.col(ret), window, keys, date, F.product, lambda a, b: a * b)
+    return roll.done(m.withColumn(out, F.when(roll.count() >= (window if min_periods is None else min_periods), roll.folded() - 1)))
 
 
 def trailing_zscore(df: DataFrame, value: str, window: int = 252, min_periods: int | None = None, out: str = "z", keys: Keys = ("asset",), date: str = "date") -> DataFrame:
@@ -81,10 +76,6 @@ def trailing_zscore(df: DataFrame, value: str, window: int = 252, min_periods: i
     return roll.done(roll.rolling_moments(df, value, window, keys, date).withColumn(out, F.when(roll.count() >= mp, z)))
 
 
-def trailing_mean(df: DataFrame, value: str, window: int, min_periods: int, out: str, keys: Keys = ("asset",), date: str = "date") -> DataFrame:
-    return roll.done(roll.rolling_moments(df, value, window, keys, date).withColumn(out, F.when(roll.count() >= min_periods, roll.mean())))
-
-
 def cumulative(df: DataFrame, value: str, out: str, keys: Keys = ("asset",), date: str = "date") -> DataFrame:
     return df.withColumn(out, F.sum(value).over(rows_frame(keys, date, None)))
 

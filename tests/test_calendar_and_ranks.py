@@ -5,7 +5,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from panelspark.functions import calendar as cal
+from panelspark.functions.orderstat import WaveletMatrix
 from panelspark.functions.ranking import cross_quantile, cross_rank
 from panelspark.operators import cross_section as xs
 from panelspark.operators import trailing as tr
@@ -180,3 +184,56 @@ def test_rolling_moments_ignore_what_left_the_window(spark):
                 g = got[name].iloc[i]
                 if not np.isnan(e) and not (name == "skew" and len(part) < 3):
                     assert g is not None and np.isclose(float(g), e, rtol=1e-6, atol=1e-13), (name, window, i)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([0.0, -1.0, 2.5, 2.5, 7.0, 1e300, float("inf")]), min_size=1, max_size=60), st.data())
+def test_order_statistics_of_any_range(x, data):
+    x = np.array(x)
+    m = WaveletMatrix(x)
+    lo = data.draw(st.integers(0, len(x) - 1))
+    hi = data.draw(st.integers(lo + 1, len(x)))
+    k = data.draw(st.integers(0, hi - lo - 1))
+    one = lambda *v: [np.array([i]) for i in v]
+    own = data.draw(st.integers(0, len(x) - 1))
+    less, same = m.below(*one(lo, hi, m.rank[own]))
+    assert (less[0], same[0]) == ((x[lo:hi] < x[own]).sum(), (x[lo:hi] == x[own]).sum())
+    assert m.smallest(*one(lo, hi, k))[0] == np.sort(x[lo:hi])[k]
+
+
+def test_trailing_order_and_folds_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for s in range(5):  # many ties, gaps, zeros and losses of everything; series longer than an Arrow batch and than the window
+        for t in range([1, 7, 50, 300, 40][s]):
+            v = None if rng.random() < 0.2 else float(rng.choice([-1.0, 0.0, 0.5, 1.0, 2.0, 3.25]))
+            rows.append((f"s{s}", t, v, "keep"))
+    df = spark.createDataFrame(rows, "k string, t int, v double, other string").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        for w, mp in ((1, 1), (2, 1), (10, 5), (64, 20), (400, 1)):
+            r = tr.trailing_quantile(tr.trailing_rank(df, "v", w, mp, "pct", ["k"], "t"), "v", 0.8, w, mp, "q", ["k"], "t")
+            r = tr.trailing_product(tr.trailing_drawdown(r, "v", w, mp, "dd", ["k"], "t"), "v", w, "prod", ["k"], "t", mp)
+            assert r.columns == ["k", "t", "v", "other", "pct", "q", "dd", "prod"]
+            for s, g in r.toPandas().groupby("k"):
+                g = g.sort_values("t")
+                v = g["v"].to_numpy()
+                for i, x in enumerate(g.itertuples()):
+                    f = v[max(0, i - w + 1) : i + 1]
+                    f = f[~np.isnan(f)]
+                    full = len(f) >= mp
+                    now = not np.isnan(v[i])
+                    exp = ((f < v[i]).sum() + ((f == v[i]).sum() + 1) / 2) / len(f) if full and now else None
+                    assert (np.isnan(x.pct) if exp is None else abs(x.pct - exp) < 1e-12) and (np.isnan(x.q) if not full else abs(x.q - np.quantile(f, 0.8)) < 1e-12)
+                    assert np.isnan(x.prod) if not full else abs(x.prod - (np.prod(1 + f) - 1)) <= 1e-9 * np.prod(np.abs(1 + f))
+                    assert np.isnan(x.dd) if not (full and now and f.max() != 0) else abs(x.dd - (v[i] / f.max() - 1)) < 1e-12
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_no_sliding_frame_is_planned(spark):
+    df = spark.createDataFrame([("a", 1, 1.0)], "k string, t int, v double")
+    for out in (tr.trailing_product(df, "v", 50, "p", ["k"], "t"), tr.trailing_drawdown(df, "v", 50, 1, "d", ["k"], "t"), tr.trailing_rank(df, "v", 50, 1, "r", ["k"], "t")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "specifiedwindowframe(RowFrame, -49, currentrow" not in plan and "collect_list" not in plan
+        assert plan.count("Exchange hashpartitioning") == 1  # all windows of a series share one shuffle
