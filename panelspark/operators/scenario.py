@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from panelspark.config import ANN_DAYS, COST_MULTIPLES, LAG_DAYS
 from panelspark.functions.calendar import calendar_index
 from panelspark.functions.stats import div
-from panelspark.operators.book import apply_daily, book_from_table, book_returns, rebalance_table, vol_target
+from panelspark.operators import holdings
+from panelspark.operators.book import book_from_table, book_returns
 from panelspark.operators.costs import roundtrip_cost
 from panelspark.operators.cross_section import divided_leg_size
 from panelspark.operators.performance import annual_ratio
@@ -42,13 +43,19 @@ def drop_top(tab: DataFrame, order: DataFrame, most: int = 5) -> DataFrame:
 
 
 def run_books(tab: DataFrame, panel: DataFrame, spreads: DataFrame | None, leg_size: Callable[[Column], Column] = divided_leg_size(5), keys: Sequence[str] = ("scenario",),
-              weighting: str = "inv_vol", cap: float = 0.40, **target) -> tuple[DataFrame, DataFrame]:
-    """(daily weights, tracks) of all scenarios of a rebalance table: gross, cost, net per date."""
+              weighting: str = "inv_vol", cap: float = 0.40, absent: DataFrame | None = None, **target) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(held names, steps, tracks) of all scenarios of a rebalance table: gross, cost, net per date."""
     keys = list(keys)
-    reb = book_from_table(tab, keys=keys, leg_size=leg_size, weighting=weighting, cap=cap)
-    unit = cut_lineage(apply_daily(cut_lineage(reb), panel, keys))
-    w = cut_lineage(vol_target(unit, panel, keys, **target))
-    return w, tracks_of(w, panel, spreads, keys)
+    reb = cut_lineage(book_from_table(tab, keys=keys, leg_size=leg_size, weighting=weighting, cap=cap, zeros=False))
+    return target_tracks(reb, panel, spreads, keys, absent, **target)
+
+
+def target_tracks(reb: DataFrame, panel: DataFrame, spreads: DataFrame | None, keys: Sequence[str] = ("scenario",), absent: DataFrame | None = None, **target) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(held names, steps, tracks) of staged held names, brought to a volatility target."""
+    by_date = cut_lineage(holdings.steps(reb, panel, keys))
+    unit = cut_lineage(holdings.day_returns(reb, by_date, panel, keys, absent=absent))
+    by_date = cut_lineage(holdings.targeted(unit, by_date, keys, **target))
+    return reb, by_date, holdings.tracks(reb, by_date, unit, spreads, keys)
 
 
 def tracks_of(weights: DataFrame, panel: DataFrame, spreads: DataFrame | None, keys: Sequence[str] = ("scenario",)) -> DataFrame:

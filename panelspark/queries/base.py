@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.stats import div
-from panelspark.operators import book, convert, costs
+from panelspark.operators import book, convert, costs, holdings
 from panelspark.operators.cross_section import adaptive_leg_size, divided_leg_size, equal_leg_weights
 from panelspark.session import cut_lineage
 from panelspark.sources import tables
@@ -57,23 +57,25 @@ def sample_books(spark: SparkSession, sf: str) -> DataFrame:
     return equal_leg_weights(s, ["strategy", "month_end"], "carry_signal", adaptive_leg_size, "realized")
 
 
-def unit_book(spark: SparkSession, sf: str, **kw) -> tuple[DataFrame, DataFrame]:
-    """Daily panel and daily unit weights of the sorted book."""
+def unit_book(spark: SparkSession, sf: str, **kw) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Daily panel, rebalance weights of the sorted book (staged), and the label in force on each date."""
     p = staged_daily(spark, sf)
-    return p, book.apply_daily(book.sorted_book(p, n_buckets=BUCKETS, **kw), p)
+    reb = cut_lineage(book.sorted_book(p, n_buckets=BUCKETS, **kw))
+    return p, reb, cut_lineage(holdings.steps(reb, p))
 
 
-def target_book(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    p, w = unit_book(spark, sf)
-    return p, cut_lineage(book.vol_target(w, p))
+def unit_weights(spark: SparkSession, sf: str, **kw) -> DataFrame:
+    """Daily unit weights in full."""
+    _, reb, by_date = unit_book(spark, sf, **kw)
+    return holdings.day_weights(reb, by_date)
 
 
-def spreads(panel: DataFrame) -> DataFrame:
-    return costs.filled_spreads(costs.half_spreads(point_sides(panel)))
+def target_book(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Daily panel, rebalance weights, steps with the volatility target's scalar, unit returns."""
+    p, reb, by_date = unit_book(spark, sf)
+    unit = cut_lineage(holdings.day_returns(holdings.held(reb), by_date, p))
+    return p, reb, cut_lineage(holdings.targeted(unit, by_date)), unit
 
 
-def book_tracks(panel: DataFrame, weights: DataFrame) -> DataFrame:
-    """date, gross, cost, net of a weighted book."""
-    g = book.book_returns(weights, panel, out="gross")
-    c = costs.roundtrip_cost(weights, spreads(panel))
-    return g.join(c, "date", "left").withColumn("net", F.col("gross") - F.col("cost"))
+def spreads(panel: DataFrame) -> DataFrame:
+    return costs.filled_spreads(costs.half_spreads(point_sides(panel)))

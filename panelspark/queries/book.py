@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import calendar as cal
 from panelspark.functions.stats import div
 from panelspark.operators import book as bk
+from panelspark.operators import holdings
 from panelspark.operators import convert as cv
 from panelspark.operators import cross_section as xs
 from panelspark.operators import performance as pf
@@ -79,7 +80,7 @@ def _(spark, sf):
 
 @query("b4_daily_weights", "WITH " + (bs.legs("b") + bs.weights("b", raw="1.0::DOUBLE") + bs.daily("b"))[2:] + " SELECT date, asset, weight FROM bd", use="dp dense", floats="weight")
 def _(spark, sf):
-    return base.unit_book(spark, sf, weighting="equal")[1]
+    return base.unit_weights(spark, sf, weighting="equal")
 
 
 @query("f7_directional_filter", "WITH m AS (SELECT *, CASE WHEN count(xret) OVER w>=31 THEN sum(xret) OVER w END AS mom FROM dp WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW))" + bs.legs("b", src="m", filt="mom") + bs.weights("b") + " SELECT label, asset, weight FROM bw", use="dp", floats="weight")
@@ -148,7 +149,8 @@ def _(spark, sf):
 
 @query("b9_vol_target", "WITH " + bs.book("b")[2:] + " SELECT date, asset, weight FROM bvt", use="dp dense", floats="weight")
 def _(spark, sf):
-    return base.target_book(spark, sf)[1]
+    _, reb, by_date, _ = base.target_book(spark, sf)
+    return holdings.day_weights(reb, by_date)
 
 
 @query("b9_running_scalar", """WITH v AS (SELECT track, date, CASE WHEN count(ret) OVER w>=20 THEN least(greatest(0.1::DOUBLE/(stddev_samp(ret) OVER w*sqrt(252.0)),0.0),4.0) END AS s FROM bt WINDOW w AS (PARTITION BY track ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) SELECT track, date, coalesce(lag(s) OVER (PARTITION BY track ORDER BY date),0) AS scalar FROM v""", use="bt", floats="scalar")
@@ -198,7 +200,7 @@ def _(spark, sf):
 @query("b12_apply_scalar", "WITH " + (bs.legs("b") + bs.weights("b") + bs.daily("b") + _RANK)[2:] + """ SELECT w.date, asset, 'all' AS mode, weight*coalesce(CASE WHEN pct>0.8 THEN 0.5 ELSE 1.0 END,1) AS weight FROM bd w LEFT JOIN rd ON rd.date=w.date
  UNION ALL SELECT w.date, asset, 'long', CASE WHEN weight>0 THEN weight*coalesce(CASE WHEN pct>0.8 THEN 0.5 ELSE 1.0 END,1) ELSE weight END FROM bd w LEFT JOIN rd ON rd.date=w.date""", use="dp dense od", floats="weight")
 def _(spark, sf):
-    w = base.unit_book(spark, sf)[1]
+    w = base.unit_weights(spark, sf)
     s = bk.exposure_scalar(indicator(spark, sf), lookback=252).select("date", "scalar")
     a = bk.apply_scalar(w, s).withColumn("mode", F.lit("all"))
     return a.unionByName(bk.apply_scalar(w, s, long_only=True).withColumn("mode", F.lit("long"))).select("date", "asset", "mode", "weight")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.config import ROLL_COST_BPS
+from panelspark.operators import holdings
 from panelspark.operators import convert as cv
 from panelspark.operators import costs as cs
 from panelspark.plans import monthly as pm
@@ -18,19 +19,19 @@ _DW = """, dw AS (SELECT *, weight-lag(weight) OVER (PARTITION BY asset ORDER BY
 
 @query("c1_turnover_by_date", "WITH " + _BOOK + _DW + " SELECT date, avg(abs(d)) AS mean_abs, sum(abs(d0)) AS total FROM dw GROUP BY 1", use="dp dense", floats="mean_abs total")
 def _(spark, sf):
-    w = base.unit_book(spark, sf)[1]
+    w = base.unit_weights(spark, sf)
     total = cs.daily_turnover(w).select("date", F.col("turnover").alias("total"))
     return cs.mean_abs_turnover(w).withColumnRenamed("turnover", "mean_abs").join(total, "date")
 
 
 @query("c1_period_turnover", "WITH " + _BOOK + _DW + """, pp AS (SELECT last_day(date) AS label, sum(abs(d0))/2 AS o, sum(abs(weight)) AS g FROM dw GROUP BY 1) SELECT avg(o) AS turnover, count(*) AS periods FROM pp WHERE label>=(SELECT min(label) FROM pp WHERE g>0)""", use="dp dense", floats="turnover")
 def _(spark, sf):
-    return cs.period_turnover(base.unit_book(spark, sf)[1])
+    return cs.period_turnover(base.unit_weights(spark, sf))
 
 
 @query("c1_asset_turnover", "WITH " + _BOOK + _DW + " SELECT asset, sum(abs(d0)) AS turnover FROM dw GROUP BY 1", use="dp dense", floats="turnover")
 def _(spark, sf):
-    return cs.asset_turnover(base.unit_book(spark, sf)[1])
+    return cs.asset_turnover(base.unit_weights(spark, sf))
 
 
 TRADES = _SB + """, gm AS (SELECT s.strategy, s.asset, m.month_end FROM (SELECT strategy, asset, min(month_end) AS lo FROM wt GROUP BY 1,2) s JOIN (SELECT DISTINCT strategy, month_end FROM wt) m ON m.strategy=s.strategy AND m.month_end>=s.lo),
@@ -66,10 +67,14 @@ def _(spark, sf):
     return q.select("date", "asset", cs.bid_ask_unit_return(w).alias("unit_return"), cs.zero_cost_unit_return(w).alias("zero_cost"))
 
 
+def unit_costs(spark, sf):
+    p, reb, by_date = base.unit_book(spark, sf)
+    return holdings.trade_costs(holdings.trades(holdings.held(reb), by_date), by_date, base.spreads(p))
+
+
 @query("c5_roundtrip_cost", "WITH " + _BOOK + bs.HS + bs.costs("b", "bd", "kc") + " SELECT date, cost FROM kc", use="dp dense", floats="cost")
 def _(spark, sf):
-    p, w = base.unit_book(spark, sf)
-    return cs.roundtrip_cost(w, base.spreads(p))
+    return unit_costs(spark, sf)
 
 
 @query("c6_spread_table", "WITH " + bs.HS[2:] + " SELECT asset, median(hs_out)*1e4 AS outright_bp, median(hs_pts)*1e4 AS points_bp FROM hs GROUP BY 1", use="dense", floats="outright_bp points_bp", digits=5)
@@ -79,8 +84,7 @@ def _(spark, sf):
 
 @query("c6_cost_drag", "WITH " + _BOOK + bs.HS + bs.costs("b", "bd", "kc") + " SELECT avg(cost)*252 AS annual_drag FROM kc", use="dp dense", floats="annual_drag", digits=7)
 def _(spark, sf):
-    p, w = base.unit_book(spark, sf)
-    return cs.cost_drag(cs.roundtrip_cost(w, base.spreads(p)))
+    return cs.cost_drag(unit_costs(spark, sf))
 
 
 COSTED = TRADES + """, mr AS (SELECT strategy, month_end, sum(abs(dw)) AS turnover FROM td GROUP BY 1,2), pf AS (SELECT wt.strategy, wt.month_end, sum(weight*realized) AS gross, sum(abs(weight)) AS roll_notional FROM wt GROUP BY 1,2),

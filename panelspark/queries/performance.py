@@ -196,6 +196,6 @@ def _(spark, sf):
  SELECT last_day(date) AS month_end, count(*) FILTER (WHERE t>1e-12) AS trade_days, avg(net) AS avg_net FROM x GROUP BY 1""", use="dp dense", floats="avg_net")
 def _(spark, sf):
     from panelspark.operators.costs import weight_changes
-    w = base.unit_book(spark, sf)[1]
+    w = base.unit_weights(spark, sf)
     d = weight_changes(w).groupBy("date").agg(F.sum(F.abs("dw")).alias("t"), F.sum("weight").alias("net"))
     return d.groupBy(F.last_day("date").alias("month_end")).agg(F.count(F.when(F.col("t") > 1e-12, 1)).alias("trade_days"), F.avg("net").alias("avg_net"))

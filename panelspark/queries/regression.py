@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.stats import div
+from panelspark.operators import holdings
 from panelspark.operators import attribution as at
 from panelspark.operators import book as bk
 from panelspark.operators import cross_section as xs
@@ -146,22 +147,26 @@ _CON = (bs.book("b"))[2:] + """, cb AS (SELECT w.date, w.asset, bucket, weight,
 _AF = "contrib_total contrib_ann share_of_pnl carry_part_ann spot_part_ann risk_share avg_weight pct_long pct_short"
 
 
+def attributed(spark, sf):
+    p, reb, by_date, unit = base.target_book(spark, sf)
+    return holdings.attribution(holdings.contributions(holdings.held(reb), by_date, p), reb, by_date, unit, p)
+
+
 @query("g8_attribution", "WITH " + _CON + " SELECT * EXCLUDE (bucket) FROM ag", use="dp dense", floats=_AF, digits=6)
 def _(spark, sf):
-    p, w = base.target_book(spark, sf)
-    return at.attribution(at.contributions(w, p))
+    return attributed(spark, sf)
 
 
 @query("g9_attribution_by_group", "WITH " + _CON + " SELECT bucket, sum(contrib_ann) AS contrib_ann, sum(share_of_pnl) AS share_of_pnl, sum(risk_share) AS risk_share FROM ag GROUP BY 1", use="dp dense", floats="contrib_ann share_of_pnl risk_share", digits=6)
 def _(spark, sf):
-    p, w = base.target_book(spark, sf)
-    return at.group_attribution(at.attribution(at.contributions(w, p)), tb.conventions(spark, sf))
+    return at.group_attribution(attributed(spark, sf), tb.conventions(spark, sf))
 
 
 @query("g9_attribution_by_year", "WITH " + _CON + " SELECT bucket, CAST(year(date) AS INT) AS year, sum(c) AS contrib FROM cb GROUP BY 1,2", use="dp dense", floats="contrib", digits=7)
 def _(spark, sf):
-    p, w = base.target_book(spark, sf)
-    return at.yearly_attribution(at.contributions(w, p), tb.conventions(spark, sf))
+    p, reb, by_date, _ = base.target_book(spark, sf)
+    c = holdings.contributions(holdings.held(reb), by_date, p).select("date", "asset", "contrib").unionByName(holdings.idle_contributions(reb, by_date))
+    return at.yearly_attribution(c, tb.conventions(spark, sf))
 
 
 _FLAGS = _SB + _FRAME + """, fl AS (SELECT strategy, month_end, gross_return, row_number() OVER (PARTITION BY strategy ORDER BY gross_return, month_end)<=10 AS worst FROM pr), ct AS (SELECT wt.strategy, wt.asset, wt.month_end, basket, weight*realized AS c, gross_return AS g, worst FROM wt JOIN fl ON fl.strategy=wt.strategy AND fl.month_end=wt.month_end)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import book as bk
+from panelspark.operators import holdings
 from panelspark.operators import costs as cs
 from panelspark.operators import cross_section as xs
 from panelspark.operators import performance as pf
@@ -30,13 +31,14 @@ BOOK = bs.book("b") + bs.HS + trk("b", "bvt", "t")
 
 
 def staged_book(spark, sf):
-    p, w = base.target_book(spark, sf)
-    return p, w, cut_lineage(base.book_tracks(p, w))
+    p, reb, by_date, unit = base.target_book(spark, sf)
+    names = holdings.held(reb)
+    return p, names, by_date, cut_lineage(holdings.tracks(names, by_date, unit, base.spreads(p)))
 
 
 @query("z1_book_builder", "WITH " + BOOK[2:] + " SELECT date, gross, cost, net FROM t", use="dp dense", floats="gross cost net")
 def _(spark, sf):
-    return staged_book(spark, sf)[2]
+    return staged_book(spark, sf)[3]
 
 
 _LOO = """, lo AS (SELECT s.scenario, dp.* FROM dp JOIN (SELECT 'base' AS scenario, '' AS x UNION ALL SELECT DISTINCT 'ex_'||asset, asset FROM dp) s ON s.x<>dp.asset)""" + bs.book("b", "scenario", "lo") + bs.HS + trk("b", "bvt", "t", "scenario") + f""", sh AS (SELECT scenario, {_SH.format(c='gross')} AS gross_sharpe, {_SH.format(c='net')} AS net_sharpe, count(net) AS n_days FROM t GROUP BY 1)"""
@@ -46,7 +48,8 @@ def jackknife(spark, sf):
     p = base.staged_daily(spark, sf)
     tab = cut_lineage(bk.rebalance_table(p, "carry"))
     spreads = cut_lineage(base.spreads(p))
-    _, t = sc.run_books(sc.leave_one_out(tab), p, spreads, base.LEG_SIZE)
+    absent = tab.select("asset").distinct().select(F.concat(F.lit("ex_"), "asset").alias("scenario"), "asset")
+    *_, t = sc.run_books(sc.leave_one_out(tab), p, spreads, base.LEG_SIZE, absent=absent)
     return p, tab, spreads, cut_lineage(sc.against_base(cut_lineage(sc.ratio_table(t))))
 
 
@@ -64,7 +67,9 @@ def _(spark, sf):
     p, tab, spreads, j = jackknife(spark, sf)
     d = j.filter("scenario <> 'base'").select(F.lit(0).alias("_g"), F.substring("scenario", 4, 9).alias("asset"), "delta")
     order = xs.cross_rank(d, ["_g"], "delta", name="rank").drop("_g")
-    _, t = sc.run_books(sc.drop_top(tab, order), p, spreads, base.LEG_SIZE)
+    order = cut_lineage(order.select("asset", "rank"))
+    absent = sc.fan_out(order, [f"drop_{k}" for k in range(6)]).filter(F.col("rank") <= F.substring("scenario", 6, 9).cast("int")).select("scenario", "asset")
+    *_, t = sc.run_books(sc.drop_top(tab, order), p, spreads, base.LEG_SIZE, absent=absent)
     return sc.ratio_table(t)
 
 
@@ -103,12 +108,12 @@ _STRESS = f""", st AS (SELECT multiple, {_SH.format(c='(gross-cost*multiple)')}
 
 @query("z5_cost_stress", "WITH " + (BOOK + _STRESS)[2:] + " SELECT * FROM st", use="dp dense", floats="multiple net_sharpe annual_drag", digits=6)
 def _(spark, sf):
-    return sc.cost_stress(staged_book(spark, sf)[2])
+    return sc.cost_stress(staged_book(spark, sf)[3])
 
 
 @query("z5_break_even", "WITH " + (BOOK + _STRESS)[2:] + " SELECT min(multiple) FILTER (WHERE net_sharpe<=0) AS break_even, max(multiple) AS largest_tested FROM st", use="dp dense", floats="break_even largest_tested")
 def _(spark, sf):
-    return sc.break_even(sc.cost_stress(staged_book(spark, sf)[2]))
+    return sc.break_even(sc.cost_stress(staged_book(spark, sf)[3]))
 
 
 _LAG = BOOK + """, cx AS (SELECT date, row_number() OVER (ORDER BY date) AS t FROM (SELECT DISTINCT date FROM bvt)), dl AS (SELECT CAST(k AS VARCHAR) AS scenario, c2.date, w.asset, w.weight FROM bvt w JOIN cx c1 ON c1.date=w.date CROSS JOIN (SELECT unnest([0,1,2,3,5]) AS k) JOIN cx c2 ON c2.t=c1.t+k)""" + trk("e", "dl", "v", "scenario")
@@ -116,15 +121,15 @@ _LAG = BOOK + """, cx AS (SELECT date, row_number() OVER (ORDER BY date) AS t FR
 
 @query("z6_lag_stress", "WITH " + _LAG[2:] + f" SELECT scenario, {_SH.format(c='gross')} AS gross_sharpe, {_SH.format(c='net')} AS net_sharpe, count(net) AS n_days FROM v WHERE date BETWEEN (SELECT min(date) FROM v WHERE scenario='0' AND net IS NOT NULL) AND (SELECT max(date) FROM v WHERE scenario='0' AND net IS NOT NULL) GROUP BY 1", use="dp dense", floats="gross_sharpe net_sharpe", digits=6)
 def _(spark, sf):
-    p, w, _ = staged_book(spark, sf)
-    t = cut_lineage(sc.tracks_of(cut_lineage(sc.delay(w)), p, base.spreads(p)))
+    p, reb, by_date, _ = base.target_book(spark, sf)
+    t = cut_lineage(holdings.delayed_tracks(holdings.held(reb), by_date, p, base.spreads(p)))
     return sc.ratio_table(sc.common_window(t, t.filter("scenario = '0'")))
 
 
 @query("z7_scorecard", "WITH " + (BOOK + _STRESS)[2:] + f""" SELECT 'net sharpe' AS axis, {_SH.format(c='net')} AS value FROM t UNION ALL SELECT 'recent net sharpe', {_SH.format(c='net')} FROM t WHERE date>=DATE '1999-01-01' UNION ALL SELECT 'break-even multiple', min(multiple) FILTER (WHERE net_sharpe<=0) FROM st
  UNION ALL SELECT 'max drawdown', min(dd) FROM (SELECT w/max(w) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)-1 AS dd FROM (SELECT date, product(1+net) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS w FROM t WHERE net IS NOT NULL))""", use="dp dense", floats="value", digits=6)
 def _(spark, sf):
-    t = staged_book(spark, sf)[2]
+    t = staged_book(spark, sf)[3]
     one = lambda axis, df, c: df.select(F.lit(axis).alias("axis"), F.col(c).alias("value"))
     parts = [one("net sharpe", t.agg(pf.annual_ratio("net").alias("v")), "v"), one("recent net sharpe", t.filter("date >= '1999-01-01'").agg(pf.annual_ratio("net").alias("v")), "v"),
              one("break-even multiple", sc.break_even(sc.cost_stress(t)), "break_even"), one("max drawdown", pf.max_drawdown(t.withColumn("track", F.lit("book")), ret="net"), "max_drawdown")]
@@ -134,7 +139,7 @@ def _(spark, sf):
 @query("z8_reconciliation", "WITH " + BOOK[2:] + " SELECT date, gross AS a, gross+0.01 AS b, 0.01::DOUBLE AS abs_diff FROM t WHERE date>=DATE '2001-06-01' AND gross IS NOT NULL", use="dp dense", floats="a b abs_diff", digits=7)
 def _(spark, sf):
     """Rows planted to differ are found; equal rows are not."""
-    t = staged_book(spark, sf)[2].select("date", "gross")
+    t = staged_book(spark, sf)[3].select("date", "gross")
     moved = t.withColumn("gross", F.when(F.col("date") >= "2001-06-01", F.col("gross") + 0.01).otherwise(F.col("gross")))
     r = sc.reconcile(t, moved, ["date"], "gross", 1e-9)
     return r.select("date", F.col("_a").alias("a"), F.col("_b").alias("b"), "abs_diff")
