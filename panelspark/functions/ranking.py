@@ -3,8 +3,10 @@
 With ``splits=1`` a plain window ranks each date; right for universes of bounded size.  With
 more splits each date is cut into ordered cells by boundary rows, every cell is ranked in its
 own task, and the count of the cells before it is added.  Boundaries come from a hash-chosen
-set of assets, so they are the same on every recomputation; they only decide which task ranks
-a row.  Boundaries are (value, asset) pairs: a value shared by a third of all rows still splits.
+set of about ``per_cell`` assets a cell, however many a date has (its share follows from the
+date's row count), so what is gathered for a date is bounded.  The hash makes them the same on
+every recomputation; they only decide which task ranks a row.  Boundaries are (value, asset)
+pairs: a value shared by a third of all rows still splits.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ def cross_rank(
     name: str = "rn",
     count: str | None = None,
     splits: int = 1,
-    boundary_share: int = 64,
+    per_cell: int = 64,
 ) -> DataFrame:
     """Add ``name`` = 1..n in the order of (value, tiebreak) within ``by``; NULL values get NULL.
 
@@ -40,10 +42,13 @@ def cross_rank(
         out = df.withColumn(name, F.when(F.col(value).isNotNull(), F.row_number().over(order)))
         return out if count is None else out.withColumn(count, F.count(value).over(w))
 
-    df = cut_lineage(df)  # read three times below: boundaries, cell counts, ranks
+    df = cut_lineage(df)  # read four times below: row counts, boundaries, cell counts, ranks
     pair = F.struct(key.alias("k"), F.col(tiebreak).alias("a"))
+    live = df.filter(F.col(value).isNotNull())
+    share = live.groupBy(*by).agg((F.count(F.lit(1)) / F.lit(per_cell * splits)).cast("long").alias("__share"))
     cuts = (
-        df.filter(F.col(value).isNotNull() & (F.pmod(F.xxhash64(tiebreak), F.lit(boundary_share)) == 0))
+        live.join(share, by)
+        .filter(F.pmod(F.xxhash64(tiebreak, F.lit(splits)), F.greatest(F.col("__share"), F.lit(1))) == 0)
         .groupBy(*by)
         .agg(F.sort_array(F.collect_list(pair)).alias("__s"))
         .select(
@@ -84,6 +89,17 @@ def cross_rank(
     return out.drop("__cell", "__local", "__before", "__all")
 
 
+def global_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
+    """Add ``name`` = 0, 1, ... in one order over all rows, without one task that sees them all: ranges are sorted apart, and each adds
+    the number of rows in the ranges before it (one row per range).  The ranges are staged, so both passes see the same ones."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
+    before = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = before.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranged.withColumn(name, inside).join(before, "__range").withColumn(name, F.col(name) + F.col("__before") - 1).drop("__range", "__before")
+
+
 def cross_quantile(
     df: DataFrame,
     by: Sequence[str],

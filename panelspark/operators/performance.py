@@ -170,6 +170,26 @@ def tag_windows(df: DataFrame, windows: Sequence[tuple[str, str, str]], date: st
     return df.withColumn(name, F.explode(F.array_compact(F.array(*hits))))
 
 
+def tag_phases(df: DataFrame, windows: Sequence[tuple[str, str, str]], before: int = 3, date: str = "month_end") -> DataFrame:
+    """One copy of a row per window and phase: ``during``, or ``pre`` for the ``before`` months ahead of its first. Windows may overlap: a
+    month can be before one and inside another."""
+    hits = []
+    for n, a, b in windows:
+        start, month = F.lit(a).cast("date"), F.last_day(date)
+        for phase, hit in (("pre", (month < F.last_day(start)) & (month >= F.last_day(F.add_months(start, -before)))), ("during", F.col(date).between(start, F.lit(b).cast("date")))):
+            hits.append(F.when(hit, F.struct(F.lit(n).alias("window"), F.lit(phase).alias("phase"))))
+    return df.withColumn("_hit", F.explode(F.array_compact(F.array(*hits)))).select(*df.columns, "_hit.window", "_hit.phase")
+
+
+def phase_averages(df: DataFrame, values: Sequence[str], windows: Sequence[tuple[str, str, str]], keys: Keys = ("track",), before: int = 3, date: str = "month_end") -> DataFrame:
+    """Averages of each value ahead of and inside each window, their difference, and the number of months."""
+    t = tag_phases(df, windows, before, date)
+    when = lambda p, c: F.when(F.col("phase") == p, c)
+    out = t.groupBy(*keys, "window").agg(
+        *[F.countDistinct(when(p, F.col(date))).alias(f"n_{p}") for p in ("pre", "during")], *[F.avg(when(p, F.col(v))).alias(f"{v}_{p}") for v in values for p in ("pre", "during")])
+    return out.withColumns({f"{v}_change": F.col(f"{v}_during") - F.col(f"{v}_pre") for v in values})
+
+
 def window_stats(tracks: DataFrame, windows: Sequence[tuple[str, str, str]], keys: Keys = ("track",), date: str = "month_end", ret: str = "ret") -> DataFrame:
     """Compounded return, average, worst period and its date per named window."""
     t = tag_windows(tracks.filter(F.col(ret).isNotNull()), windows, date)

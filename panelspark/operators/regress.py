@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.config import ANN_DAYS
+from panelspark.functions.ranking import global_position
 from panelspark.functions.stats import div
 
 Keys = Sequence[str]
@@ -156,12 +157,9 @@ def newey_west(df: DataFrame, keys: Keys, y: str, xs: Sequence[str], lags: int =
 def in_blocks(df: DataFrame, first: str, second: str, lags: int, rows: int = 100_000) -> DataFrame:
     """Global order (first, second) cut into blocks of ``rows`` rows, each preceded by its ``lags`` context rows.
 
-    Positions come from a count per ``first`` value and its running total (one row per value), so
-    no task holds more than one block.
+    Positions come from ranges sorted apart (:func:`global_position`), so no task holds more than one range or block.
     """
-    w0 = Window.partitionBy(F.lit(0)).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
-    before = df.groupBy(first).agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(w0), F.lit(0))).drop("_c")
-    pos = df.withColumn("_i", F.row_number().over(Window.partitionBy(first).orderBy(second)) - 1).join(before, first).withColumn("_i", F.col("_i") + F.col("_before")).drop("_before")
+    pos = global_position(df, [first, second], "_i")
     blk = F.floor(F.col("_i") / rows)
     ahead = F.when(F.col("_i") % rows >= rows - lags, F.array(F.struct(blk.alias("b"), F.lit(False).alias("c")), F.struct((blk + 1).alias("b"), F.lit(True).alias("c"))))
     both = F.coalesce(ahead, F.array(F.struct(blk.alias("b"), F.lit(False).alias("c"))))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.stats import div
 from panelspark.operators import book, convert, costs, holdings
 from panelspark.operators.cross_section import adaptive_leg_size, divided_leg_size, equal_leg_weights
-from panelspark.session import cut_lineage
+from panelspark.session import checkpoint_dir, cut_lineage
 from panelspark.sources import tables
 
 # thirds: legs of the 25-name panel stay large enough for weights to differ under the cap
@@ -26,6 +28,11 @@ def monthly(spark: SparkSession, sf: str) -> DataFrame:
     return convert.next_month_return(q).withColumn("carry_signal", div(F.col("spot"), F.col("fwd")) - 1)
 
 
+def landing(spark: SparkSession) -> str:
+    """A new folder for files that a query writes and reads back, where driver and executors both see it."""
+    return f"{checkpoint_dir(spark)}/landed-{uuid.uuid4().hex}"
+
+
 def tracks(spark: SparkSession, sf: str) -> DataFrame:
     """date, track, ret: equal-weight daily return per bucket and overall."""
     p = daily(spark, sf).filter("xret is not null")

@@ -214,3 +214,17 @@ def _(spark, sf):
 def _(spark, sf):
     m = base.monthly(spark, sf).withColumn("lookback", F.explode(F.array(*map(F.lit, (21, 63, 252))))).withColumn("target", F.explode(F.array(F.lit(0.08), F.lit(0.10))))
     return m.select("month_end", "asset", "lookback", "target", (F.col("carry_signal") * F.col("target")).alias("scaled"))
+
+
+_LOOKBACKS = (3, 6, 12)
+
+
+@query("j10_lookback_grid", "WITH " + ", ".join(f"w{k} AS (SELECT month_end, asset, {k} AS lookback, CASE WHEN count(realized) OVER w>={k // 2} THEN sum(realized) OVER w END AS momentum FROM mp WINDOW w AS (PARTITION BY asset ORDER BY month_end ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW))" for k in _LOOKBACKS)
+       + " SELECT month_end, asset, lookback, target, momentum*target AS scaled FROM (" + " UNION ALL ".join(f"SELECT * FROM w{k}" for k in _LOOKBACKS) + ") CROSS JOIN (SELECT unnest([0.08::DOUBLE,0.1::DOUBLE]) AS target)", use="mp", floats="scaled target")
+def _(spark, sf):
+    """Lookback and target as data: one momentum column per lookback, unrolled into rows of the grid."""
+    m = base.monthly(spark, sf).select("month_end", "asset", "realized")
+    for k in _LOOKBACKS:
+        m = tr.momentum(m, "realized", k, out=f"_m{k}", date="month_end")
+    cells = F.array(*[F.struct(F.lit(k).alias("lookback"), F.lit(t).alias("target"), (F.col(f"_m{k}") * t).alias("scaled")) for k in _LOOKBACKS for t in (0.08, 0.10)])
+    return m.select("month_end", "asset", F.explode(cells).alias("c")).select("month_end", "asset", "c.*")

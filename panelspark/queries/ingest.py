@@ -29,7 +29,9 @@ _WIDE = "(SELECT date, a.asset, mid, bid, ask FROM (SELECT DISTINCT date FROM qd
 
 @query("s1_wide_scan", f"SELECT date, asset AS ticker, mid AS value FROM {_WIDE}", use="qd", floats="value")
 def _(spark, sf):
-    return sq.select_field(wide_frame(spark, sf), "PX_LAST")
+    path = f"{base.landing(spark)}/spots_wide.parquet"
+    sq.write_table(wide_frame(spark, sf), path)
+    return sq.load_wide(spark, path, "PX_LAST")
 
 
 @query("s2_long_scan", "SELECT date, ticker, field, CASE WHEN ticker LIKE 'N0%' THEN value END AS value FROM lq", use="lq", floats="value")
@@ -37,7 +39,14 @@ def _(spark, sf):
     raw = tb.long_quotes(spark, sf).select(
         F.col("date").cast("string").alias("date"), "ticker", "field",
         F.when(F.col("ticker").like("N0%"), F.col("value").cast("string")).otherwise("n/a").alias("value"))
-    return sq.to_long(raw)
+    path, out = base.landing(spark), None
+    for name, fmt, part in (("mids", "parquet", F.col("field") == "PX_LAST"), ("sides", "csv", F.col("field") != "PX_LAST")):  # one is found first, one is the fallback
+        sq.write_table(raw.filter(part), f"{path}/{name}.{fmt}", fmt)
+        one, status = sq.read_long(spark, f"{path}/{name}")
+        if status != fmt:
+            raise ValueError(status)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("s3_strict_scan", "SELECT date, ticker, field, value FROM lq WHERE field<>'PX_BID'", use="lq", floats="value")
@@ -57,11 +66,12 @@ def _(spark, sf):
 @query("s5_normalise_frame", """SELECT CAST(o_orderdate AS DATE) AS date, max_by(o_totalprice, o_orderkey) AS price__last, max_by(CAST(o_custkey AS DOUBLE), o_orderkey) AS cust
  FROM orders GROUP BY 1""", floats="price__last cust")
 def _(spark, sf):
-    o = tb.table(spark, sf, "orders")
-    latest = sq.keep_last(o.select(F.to_date("o_orderdate").alias("Order Date"), "o_orderkey", "o_totalprice", "o_custkey"), ["Order Date"], "o_orderkey")
-    return sq.normalise_frame(latest.select(
-        F.col("Order Date").cast("string").alias("Order Date"), F.col("o_totalprice").alias("('price', 'last')"),
-        F.col("o_custkey").cast("string").alias("cust"), F.lit("none").alias("junk")))
+    """The file holds orders by key; of those of one day the last row in the file stays."""
+    o = tb.table(spark, sf, "orders").orderBy("o_orderkey").select(
+        F.to_date("o_orderdate").cast("string").alias("Order Date"), F.col("o_totalprice").alias("('price', 'last')"), F.col("o_custkey").cast("string").alias("cust"), F.lit("none").alias("junk"))
+    path = f"{base.landing(spark)}/orders.parquet"
+    sq.write_table(o, path)
+    return sq.normalise_frame(sq.read_in_order(spark, path))
 
 
 @query("s6_detect_shape", f"SELECT 'wide' AS shape, date, asset||' Curncy' AS ticker, 'PX_BID' AS field, bid AS value FROM {_WIDE} UNION ALL SELECT 'long', date, ticker, field, value FROM lq", use="lq", floats="value")
@@ -122,16 +132,18 @@ def _(spark, sf):
        use="qd", floats=" ".join(f"{a}_last {a}_bid {a}_ask" for a in ASSETS))
 def _(spark, sf):
     lq = tb.long_quotes(spark, sf).filter("ticker not like '%1M %'")
-    role = F.when(F.col("field") == "PX_LAST", "last").when(F.col("field") == "PX_BID", "bid").otherwise("ask")
-    keyed = lq.withColumn("k", F.concat(sq.bare_ticker(F.col("ticker")), F.lit("_"), role))
-    return sq.pivot_last(keyed, "k", [f"{a}_{r}" for a in ASSETS for r in ("last", "bid", "ask")])
+    fields = {"last": "PX_LAST", "bid": "PX_BID", "ask": "PX_ASK"}
+    path = base.landing(spark)
+    sq.save_group(lq, path, "quotes", [f"{a} Curncy__{f}" for a in ASSETS for f in fields.values()])
+    wide = sq.read_parquet(spark, f"{path}/wide/quotes")
+    return wide.select("date", *[F.col(f"`{a} Curncy__{f}`").alias(f"{a}_{r}") for a in ASSETS for r, f in fields.items()])
 
 
 @query("s12_block_to_groups", f"""SELECT date, CASE WHEN asset<='N01' THEN 'low' ELSE 'high' END AS "group", asset AS ticker, mid AS value FROM {_WIDE} WHERE mid IS NOT NULL""", use="qd", floats="value")
 def _(spark, sf):
     """Landed sheet rows: unpivot, drop nulls, keep the last of duplicated keys, tag the group."""
     w = sq.select_field(wide_frame(spark, sf)).filter("value is not null")
-    return sq.union_dedupe([w, w], ["date", "ticker"]).withColumn("group", F.when(F.col("ticker") <= "N01", "low").otherwise("high"))
+    return sq.union_dedupe([w.withColumn("value", F.col("value") * 2), w], ["date", "ticker"]).withColumn("group", F.when(F.col("ticker") <= "N01", "low").otherwise("high"))
 
 
 @query("s13_option_manifest", """SELECT option_pair, code, tenor, option_pair||code||tenor||' Curncy' AS ticker FROM pairs CROSS JOIN (SELECT unnest(['V','25R','25B','10R','10B']) AS code) CROSS JOIN (SELECT unnest(['1W','1M','3M','6M','1Y']) AS tenor)""", use="pairs")
@@ -164,8 +176,12 @@ def _(spark, sf):
 
 @query("s18_result_table", "SELECT bucket, count(*) AS n_months, sum(spread) AS total_spread FROM mp0 GROUP BY 1", use="mp0", floats="total_spread", digits=4)
 def _(spark, sf):
-    """The table a result sink writes; the file round trip itself is covered by tests."""
-    return base.monthly(spark, sf).groupBy("bucket").agg(F.count(F.lit(1)).alias("n_months"), F.sum("spread").alias("total_spread"))
+    """Written by group as parquet, from there as CSV, and read back from both."""
+    path = base.landing(spark)
+    sq.write_table(base.monthly(spark, sf).select("bucket", "month_end", "asset", "spread"), f"{path}/months", partition_by=["bucket"])
+    months = spark.read.parquet(f"{path}/months")
+    sq.write_table(months.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_months"), F.sum("spread").alias("total_spread")), f"{path}/result", "csv")
+    return spark.read.schema("bucket string, n_months bigint, total_spread double").csv(f"{path}/result", header=True)
 
 
 @query("s19_filtered_scan", "SELECT date, ticker, value FROM lq WHERE ticker='N07 Curncy' AND field='PX_LAST'", use="lq", floats="value")

@@ -139,6 +139,17 @@ def _(spark, sf):
     return pf.window_stats(strategy_tracks(spark, sf), CRISES, ["strategy"])
 
 
+#: Windows that meet and overlap, besides the named ones.
+_PHASES = [*CRISES, ("late", "1998-02-01", "1998-06-30")]
+_PHASES_SQL = "(VALUES " + ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in _PHASES) + ") ph(win, a, b)"
+
+
+@query("m11_pre_and_during", "WITH " + (_SB + _FRAME)[2:] + f""", x AS (SELECT strategy, win, month_end, gross_return AS r, month_end BETWEEN a AND b AS inside FROM pr JOIN {_PHASES_SQL} ON month_end BETWEEN a AND b OR (month_end<last_day(a) AND month_end>=last_day(a - INTERVAL 3 MONTH)))
+ SELECT strategy, win AS "window", count(DISTINCT month_end) FILTER (NOT inside) AS n_pre, count(DISTINCT month_end) FILTER (inside) AS n_during, avg(r) FILTER (NOT inside) AS ret_pre, avg(r) FILTER (inside) AS ret_during, avg(r) FILTER (inside)-avg(r) FILTER (NOT inside) AS ret_change FROM x GROUP BY 1,2""", use="mp", floats="ret_pre ret_during ret_change")
+def _(spark, sf):
+    return pf.phase_averages(strategy_tracks(spark, sf), ["ret"], _PHASES, ["strategy"])
+
+
 @query("m11_modal_baskets", "WITH " + _SB[2:] + f""", n AS (SELECT strategy, win, asset, count(*) AS c FROM wt JOIN {CRISIS_SQL} ON month_end BETWEEN a AND b WHERE basket='long_high_carry' GROUP BY 1,2,3) SELECT strategy, win AS "window", arg_min(asset, (-c, asset)) AS modal_long FROM n GROUP BY 1,2""", use="mp")
 def _(spark, sf):
     w = base.sample_books(spark, sf).filter("basket = 'long_high_carry'")

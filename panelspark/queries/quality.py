@@ -45,6 +45,11 @@ def _(spark, sf):
     return ql.file_inventory(spark, sf, [f"{t}.parquet" for t in _FILES]).select("file", "n_rows", "n_columns", "status")
 
 
+@query("q4_column_inventory", " UNION ALL ".join(f"SELECT '{t}.parquet' AS file, column_name AS \"column\" FROM (DESCRIBE {t})" for t in _FILES))
+def _(spark, sf):
+    return ql.column_inventory(spark, sf, [f"{t}.parquet" for t in _FILES])
+
+
 _MAN = """, man AS (SELECT 'spots' AS "group", asset||' Curncy' AS ticker FROM dim UNION ALL SELECT 'forwards', asset||'1M Curncy' FROM dim WHERE asset>'N02' UNION ALL SELECT 'forwards', asset||'3M Curncy' FROM dim WHERE asset<'N04')"""
 
 

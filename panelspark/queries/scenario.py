@@ -6,16 +6,20 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import book as bk
 from panelspark.operators import holdings
+from panelspark.operators import jackknife as jk
 from panelspark.operators import costs as cs
 from panelspark.operators import cross_section as xs
 from panelspark.operators import performance as pf
 from panelspark.operators import regress as rg
 from panelspark.operators import scenario as sc
+from panelspark.operators import sweep as sw
 from panelspark.operators import trailing as tr
 from panelspark.queries import base, booksql as bs
+from panelspark.queries.cross_section import WIDE_SPLITS
 from panelspark.queries.registry import query
 from panelspark.queries.regression import nw1
 from panelspark.session import cut_lineage
+from panelspark.sources import tables as tb
 
 _SH = "avg({c})*sqrt(252.0)/stddev_samp({c})"
 
@@ -58,6 +62,20 @@ def _(spark, sf):
     return jackknife(spark, sf)[3]
 
 
+_WIDE = """, lv AS (SELECT month_end, asset, signal AS s, ret AS r FROM wp WHERE signal IS NOT NULL AND ret IS NOT NULL),
+ hi AS (SELECT month_end, count(*) AS n, list({'a': asset, 'r': r} ORDER BY s DESC, asset) AS h, list({'a': asset, 'r': r} ORDER BY s, asset) AS l FROM lv GROUP BY 1),
+ bs AS (SELECT month_end, CASE WHEN n//5>=2 THEN list_avg(list_transform(h[1:n//5], lambda e: e.r))-list_avg(list_transform(l[1:n//5], lambda e: e.r)) END AS b FROM hi),
+ cut AS (SELECT month_end, (n-1)//5 AS k, h[1:(n-1)//5+1] AS h, l[1:(n-1)//5+1] AS l FROM hi),
+ wo AS (SELECT lv.asset, lv.month_end, CASE WHEN k>=2 THEN list_avg(list_transform(list_filter(h, lambda e: e.a<>lv.asset)[1:k], lambda e: e.r))-list_avg(list_transform(list_filter(l, lambda e: e.a<>lv.asset)[1:k], lambda e: e.r)) END AS x FROM lv JOIN cut ON cut.month_end=lv.month_end),
+ tr AS (SELECT a.asset, CASE WHEN lv.asset IS NULL THEN bs.b ELSE wo.x END AS x FROM (SELECT DISTINCT asset FROM lv) a CROSS JOIN bs LEFT JOIN lv ON lv.asset=a.asset AND lv.month_end=bs.month_end LEFT JOIN wo ON wo.asset=a.asset AND wo.month_end=bs.month_end)"""
+
+
+@query("z2_jackknife_wide", "WITH " + _WIDE[2:] + " SELECT asset, avg(x)*sqrt(12.0)/stddev_samp(x) AS sharpe, avg(x)*sqrt(12.0)/stddev_samp(x)-(SELECT avg(b)*sqrt(12.0)/stddev_samp(b) FROM bs) AS delta, count(x) AS n FROM tr GROUP BY 1", use="wp", floats="sharpe delta", digits=6)
+def _(spark, sf):
+    """Every part of the growing universe left out once; rows stay linear in the parts."""
+    return jk.leave_one_out_ratios(tb.wide_monthly_panel(spark, sf), splits=WIDE_SPLITS)
+
+
 _DROP = _LOO + """, rk AS (SELECT asset, row_number() OVER (ORDER BY d, asset) AS rank FROM (SELECT substr(scenario,4) AS asset, net_sharpe-(SELECT net_sharpe FROM sh WHERE scenario='base') AS d FROM sh WHERE scenario<>'base')),
  dk AS (SELECT 'drop_'||CAST(k AS VARCHAR) AS scenario, dp.* FROM dp JOIN rk ON rk.asset=dp.asset JOIN (SELECT unnest([0,1,2,3,4,5]) AS k) ks ON rk.rank>ks.k)""" + bs.book("d", "scenario", "dk") + trk("d", "dvt", "u", "scenario")
 
@@ -84,25 +102,44 @@ _GSQL = [_sweep_sql(f"g{i}", n, **kw) for i, (n, kw) in enumerate(_GRID)]
 
 @query("z4_parameter_sweep", "WITH " + bs.HS[2:] + "".join(c for c, _ in _GSQL) + " " + " UNION ALL ".join(s for _, s in _GSQL), use="dp dense", floats="gross_sharpe net_sharpe net_maxdd", digits=6)
 def _(spark, sf):
-    from panelspark.functions.calendar import first_sunday
+    names = {"vw": "vol_window", "freq": "freq", "n": "n_buckets", "tgt": "target", "cap": "cap"}
+    points = [sw.named(n_buckets=base.BUCKETS) | {names[k]: v for k, v in kw.items() if k in names} | {"setting": n, "weighting": "equal" if "raw" in kw else "inv_vol"} for n, kw in _GRID]
     p = base.staged_daily(spark, sf)
-    spreads = cut_lineage(base.spreads(p))
-    shared = {}
-    tracks = None
-    for name, kw in _GRID:
-        vw, freq = kw.get("vw", 60), kw.get("freq", "M")
-        anchor = first_sunday(p) if freq == "2W" else None
-        if (vw, freq) not in shared:
-            shared[vw, freq] = cut_lineage(bk.rebalance_table(p, "carry", vol_window=vw, freq=freq, anchor=anchor))
-        reb = bk.book_from_table(shared[vw, freq], leg_size=xs.divided_leg_size(kw.get("n", base.BUCKETS)), cap=kw.get("cap", 0.40), weighting="equal" if "raw" in kw else "inv_vol")
-        w = bk.vol_target(cut_lineage(bk.apply_daily(reb, p)), p, target=kw.get("tgt", 0.10), window=vw, freq=freq, anchor=anchor)
-        w = w.select(F.lit(name).alias("setting"), "date", "asset", "weight")
-        tracks = w if tracks is None else tracks.unionByName(w)
-    t = cut_lineage(sc.tracks_of(cut_lineage(tracks), p, spreads, ["setting"]))
+    t = cut_lineage(sw.sweep_tracks(p, points, cut_lineage(base.spreads(p))))
     dd = pf.max_drawdown(t, ["setting"], ret="net").withColumnRenamed("max_drawdown", "net_maxdd")
     return sc.ratio_table(t, ["setting"]).join(dd, "setting")
 
 
+def _points_sql(points):
+    """Tracks of all settings and their ratios over the base setting's live span."""
+    key = {"vol_window": "vw", "target": "tgt", "freq": "freq", "n_buckets": "n", "cap": "cap"}
+    books = [bs.book(f"g{i}", **{key[k]: v for k, v in p.items() if k in key}) + trk(f"g{i}", f"g{i}vt", f"g{i}z") for i, p in enumerate(points)]
+    both = " UNION ALL ".join(f"SELECT '{p['setting']}' AS setting, * FROM g{i}z" for i, p in enumerate(points))
+    return "WITH " + bs.HS[2:] + "".join(books) + f""", az AS ({both}), sp AS (SELECT min(date) AS a, max(date) AS b FROM az WHERE setting='base' AND net IS NOT NULL), wz AS (SELECT az.* FROM az, sp WHERE date BETWEEN a AND b),
+ dz AS (SELECT setting, min(dd) AS net_maxdd FROM (SELECT setting, w/max(w) OVER (PARTITION BY setting ORDER BY date ROWS UNBOUNDED PRECEDING)-1 AS dd FROM (SELECT setting, date, product(1+net) OVER (PARTITION BY setting ORDER BY date ROWS UNBOUNDED PRECEDING) AS w FROM wz WHERE net IS NOT NULL)) GROUP BY 1)
+ SELECT wz.setting, {_SH.format(c='gross')} AS gross_sharpe, {_SH.format(c='net')} AS net_sharpe, count(net) AS n_days, avg(net)*252 AS net_return, max(net_maxdd) AS net_maxdd FROM wz LEFT JOIN dz ON dz.setting=wz.setting GROUP BY 1"""
+
+
+_ONE = sw.one_at_a_time(n_buckets=base.BUCKETS)
+_TWO = sw.one_at_a_time(n_buckets=base.BUCKETS)[:1] + sw.grid(n_buckets=base.BUCKETS)
+_RATIOS = "gross_sharpe net_sharpe net_return net_maxdd"
+
+
+def swept(spark, sf, points):
+    p = base.staged_daily(spark, sf)
+    return sw.window_ratios(cut_lineage(sw.sweep_tracks(p, points, cut_lineage(base.spreads(p)))))
+
+
+@query("z4_published_sweep", _points_sql(_ONE), use="dp dense", floats=_RATIOS, digits=6)
+def _(spark, sf):
+    return swept(spark, sf, _ONE)
+
+
+@query("z4_window_frequency_grid", _points_sql(_TWO), use="dp dense", floats=_RATIOS, digits=6)
+def _(spark, sf):
+    return swept(spark, sf, _TWO)
+
+
 _STRESS = f""", st AS (SELECT multiple, {_SH.format(c='(gross-cost*multiple)')} AS net_sharpe, avg(CASE WHEN gross IS NOT NULL THEN cost*multiple END)*252 AS annual_drag FROM t CROSS JOIN (SELECT unnest([1.0::DOUBLE,1.5::DOUBLE,2.0::DOUBLE,3.0::DOUBLE,5.0::DOUBLE]) AS multiple) GROUP BY 1)"""
 
 
@@ -149,7 +186,6 @@ def _(spark, sf):
 def _(spark, sf):
     """A trailing signal passes (0 rows differ); a signal that peeks at the next quote is caught."""
     from pyspark.sql import Window
-    from panelspark.sources import tables as tb
     q = cut_lineage(tb.quotes_daily(spark, sf).select("date", "asset", "mid"))
     w = Window.partitionBy("asset").orderBy("date")
     clean = sc.look_ahead(lambda d: tr.momentum(d, "mid", 20).select("date", "asset", "mom"), q, "1998-06-30")

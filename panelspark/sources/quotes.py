@@ -145,15 +145,25 @@ def safe_read(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
         return empty_long(spark), e.getCondition() or "unreadable"
 
 
-def normalise_frame(df: DataFrame) -> DataFrame:
+FILE_ORDER = ("_file", "_row")
+
+
+def read_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet file with the place of each row: file name and row number, from Spark's hidden file columns."""
+    return read_parquet(spark, path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def normalise_frame(df: DataFrame, order: Sequence[str] = FILE_ORDER) -> DataFrame:
     """Date-keyed numeric wide frame: bad dates dropped, last row per date kept, all-null columns removed.
 
-    The pruning reads one aggregate row (a count per column).
+    "Last" is by ``order``, columns that say where a row stood (see :func:`read_in_order`); they are not part of the result.  The pruning
+    reads one aggregate row (a count per column).
     """
-    dcol = date_column(df)
-    flat = {c: "__".join(parse_wide_name(c)) for c in df.columns if c != dcol}
-    out = df.select(date_of(df, dcol).alias("date"), *[to_double(F.col(f"`{c}`")).alias(n) for c, n in flat.items()])
-    out = keep_last(out.filter("date is not null").withColumn("_seq", F.monotonically_increasing_id()), ["date"], "_seq").drop("_seq")
+    df_cols = [c for c in df.columns if c not in order]
+    dcol = date_column(df.select(*[F.col(f"`{c}`") for c in df_cols]))
+    flat = {c: "__".join(parse_wide_name(c)) for c in df_cols if c != dcol}
+    out = df.select(date_of(df, dcol).alias("date"), *[to_double(F.col(f"`{c}`")).alias(n) for c, n in flat.items()], *order)
+    out = keep_last(out.filter("date is not null"), ["date"], *order).drop(*order)
     counts = out.agg(*[F.count(f"`{n}`").alias(n) for n in flat.values()]).first()
     return out.select("date", *[f"`{n}`" for n in flat.values() if counts[n]])
 

@@ -91,7 +91,7 @@ def test_split_rank_equals_plain_rank_with_hot_ties_and_nulls(spark, ascending):
     rows = [(int(i % 2), f"n{i:05d}", None if rng.random() < 0.1 else float(v[i])) for i in range(n)]
     df = spark.createDataFrame(rows, "g int, asset string, v double")
     a = cross_rank(df, ["g"], "v", ascending=ascending, count="n").toPandas()
-    b = cross_rank(df, ["g"], "v", ascending=ascending, count="n", splits=7, boundary_share=8).toPandas()
+    b = cross_rank(df, ["g"], "v", ascending=ascending, count="n", splits=7, per_cell=4).toPandas()
     key = ["g", "asset"]
     pd.testing.assert_frame_equal(a.sort_values(key).reset_index(drop=True)[[*key, "rn", "n"]].astype({"rn": float}),
                                   b.sort_values(key).reset_index(drop=True)[[*key, "rn", "n"]].astype({"rn": float}), check_dtype=False)
