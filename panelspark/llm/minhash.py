@@ -14,7 +14,9 @@
   shingles it is nearly the set itself). What is left is compared exactly.
 
 Null and wordless texts have empty sets and link with nothing. Rows with a null doc_id join their class but can't represent it; alone
-they have a null component. Repeated rows share their class. Other columns are ignored.
+they have a null component. Repeated rows share their class. Rows that repeat a doc_id with another text have a class of their own: classes
+are numbered by their smallest doc_id, of several that share it all but one by a negative number from their set's hash, and a component is
+named by the smallest doc_id of its classes. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,8 +66,8 @@ def _summary(size: int):
             sets = [shingles(t, size) for t in b.column(1).to_pylist()]
             sig = [signature(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([x.astype(np.uint16).tobytes() for x in sig], pa.binary()), pa.array([(x[:POSTED] * np.uint64(64) + np.arange(POSTED, dtype=np.uint64)).view(np.int64) if len(s) else np.zeros(0, np.int64) for x, s in zip(sig, sets, strict=True)], pa.list_(pa.int64()))],
-                names=["doc_id", "n", "set_key", "sig", "posts"],
+                [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([x.astype(np.uint16).tobytes() for x in sig], pa.binary()), pa.array([(x[:POSTED] * np.uint64(64) + np.arange(POSTED, dtype=np.uint64)).view(np.int64) if len(s) else np.zeros(0, np.int64) for x, s in zip(sig, sets, strict=True)], pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n", "set_key", "sig", "posts"],
             )
 
     return run
@@ -161,13 +163,24 @@ def _blocks(percent: int):
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id, kept), one row per input row; ``percent`` of at least 80."""
+    out = grouped(docs, size, percent)
+    same = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return out.select("doc_id", "n_shingles", "component_id", same.alias("kept"))
+
+
+def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, text) -> (doc_id, text_hash, n_shingles, component_id, root), one row per input row: the hash of the text, and the number
+    of the component itself, which differs between unlike texts that share a doc_id (NULL for texts that link with nothing)."""
     if percent < 80:
         raise ValueError("the counts of agreeing coordinates hold for 80 percent or more")
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = stage(docs.mapInArrow(_summary(size), "doc_id bigint, n bigint, set_key binary, sig binary, posts array<bigint>"))
-    named = rows.groupBy("set_key").agg(F.min("doc_id").alias("cls")).filter("set_key is not null and cls is not null")
-    reps = rows.join(named, "set_key").filter("doc_id = cls").select("cls", "set_key", "sig", "posts").dropDuplicates(["set_key"])
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    rows = stage(docs.mapInArrow(_summary(size), "doc_id bigint, text_hash bigint, n bigint, set_key binary, sig binary, posts array<bigint>"))
+    named = rows.groupBy("set_key").agg(F.min("doc_id").alias("first")).filter("set_key is not null and first is not null")
+    lead = named.groupBy("first").agg(F.min("set_key").alias("lead"), F.count("*").alias("c")).filter("c > 1")
+    other = -1 - F.shiftrightunsigned(F.xxhash64("set_key"), 1)
+    named = stage(named.join(lead, "first", "left").select("set_key", "first", F.when(F.col("set_key") != F.col("lead"), other).otherwise(F.col("first")).alias("cls")))
+    reps = rows.join(named, "set_key").filter("doc_id = first").select("cls", "first", "set_key", "sig", "posts").dropDuplicates(["set_key"])
     reps = stage(reps)
 
     posts = reps.select("cls", F.explode("posts").alias("token"))
@@ -186,9 +199,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         return two.select("a", "b", "sa", "sb").mapInArrow(_agree, "a bigint, b bigint, agree int").filter(F.col("agree") >= MATCHES)
 
     need = lists.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a < z").select("token")
-    need = stage(lists.join(need, "token").select("cls").distinct())
+    need = stage(lists.join(need, "token").select("cls").distinct().join(reps.select("cls", "first"), "cls"))
     need = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
-    sets = docs.join(need, docs["doc_id"] == need["cls"]).select("cls", "text").mapInArrow(_sets(size), "cls bigint, set_key binary, n bigint, fine binary, items binary")
+    sets = docs.join(need, docs["doc_id"] == need["first"]).select("cls", "text").mapInArrow(_sets(size), "cls bigint, set_key binary, n bigint, fine binary, items binary")
     sets = stage(sets.join(reps.select("cls", "set_key"), ["cls", "set_key"]).select("cls", "n", "fine", "items").dropDuplicates(["cls"]))
     items = sets.select("cls", "items")
 
@@ -231,7 +244,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     if final.limit(1).count():
         comp = components(links.unionByName(confirmed(final)))
 
-    whole = named.join(comp.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").select("set_key", F.coalesce("root", "cls").alias("component"))
-    out = rows.select("doc_id", "n", "set_key").join(whole, "set_key", "left")
-    comp_id = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp_id.alias("component_id"), F.coalesce(F.col("doc_id") == comp_id, comp_id.isNull()).alias("kept"))
+    whole = named.join(comp.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").select("set_key", "first", F.coalesce("root", "cls").alias("root"))
+    whole = whole.join(whole.groupBy("root").agg(F.min("first").alias("component")), "root").select("set_key", "root", "component")
+    out = rows.select("doc_id", "text_hash", "n", "set_key").join(whole, "set_key", "left")
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "root")

@@ -73,3 +73,14 @@ def test_edge_cases(spark):
 def test_chain_of_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 99), (99, 100), (50, 50)], "u long, v long")
     assert {r.u: r.v for r in components(e).collect()} == {i: 1 for i in range(2, 41)} | {100: 99}
+
+
+def test_unlike_texts_of_one_id_are_classes_of_their_own(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = b.replace("b3 ", "x ")
+    rows = [(5, a), (5, b), (7, a), (8, near), (9, b), (-4, "lonely text of some words"), (None, a), (None, None), (-4, "another lonely text of words")]
+    got = sorted(((str(r.doc_id), r.component_id, r.kept) for r in run(spark, rows, size=4)), key=str)
+    assert got == sorted([("5", 5, True), ("5", 5, True), ("7", 5, False), ("8", 5, False), ("9", 5, False), ("-4", -4, True), ("None", 5, False), ("None", None, True), ("-4", -4, True)], key=str)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    roots = {(r.doc_id, r.text_hash): r.root for r in minhash.grouped(docs, 4).collect()}
+    assert len(set(roots.values()) - {None}) == 4  # a, b with its near copy, and two lonely ones

@@ -71,3 +71,12 @@ def test_texts_that_no_language_fits_go(spark):
     assert not [t for k, t in enumerate(short) if 30_000 + k not in kept]
     unlabelled = spark.createDataFrame([(1, "some words", None, "x", 10), (2, "12 !!", None, "x", 5), (3, None, None, "x", 0)], table.schema)
     assert [r.doc_id for r in cp.keep_languages(spark, unlabelled, SF).collect()] == [1]
+
+
+def test_documents_are_ids_with_their_texts(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (7, a), (9, c), (9, c), (None, b), (None, "met only without an id, twice"), (None, "met only without an id, twice"), (11, None), (12, "")]
+    docs = spark.createDataFrame([(d, t, "en", "x", 0) for d, t in rows], schema)
+    got = sorted(((r.doc_id, r.text) for r in cp.drop_near_duplicates(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(5, a), (5, b), (9, c), (None, rows[6][1]), (None, rows[6][1]), (11, None), (12, "")], key=str)
