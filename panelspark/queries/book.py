@@ -18,6 +18,7 @@ from panelspark.queries import base, booksql as bs
 from panelspark.queries.convert import _P5, _P5SEL, SAMPLE_SQL
 from panelspark.queries.cross_section import OC_SQL, _K, legs_sql, option_carry
 from panelspark.queries.registry import query
+from panelspark.session import cut_lineage
 from panelspark.sources import tables as tb
 
 _SB = f""", sp AS (SELECT sample AS strategy, * EXCLUDE (sample) FROM ({SAMPLE_SQL})), lg AS (SELECT *, {_K} AS k FROM (SELECT *, row_number() OVER (PARTITION BY strategy, month_end ORDER BY carry_signal, asset) AS rn, count(*) OVER (PARTITION BY strategy, month_end) AS n FROM sp WHERE carry_signal IS NOT NULL AND realized IS NOT NULL)),
@@ -329,6 +330,16 @@ def _(spark, sf):
     return bk.sorted_book(base.daily(spark, sf), n_buckets=base.BUCKETS, weighting="mvo", cov_window=250).withColumn("weight", F.round("weight", 6))
 
 
+@query("b22_optimality", "WITH " + _B20[2:] + """ SELECT label, leg, max(k) AS n_names, 1.0::DOUBLE AS total, true AS within_cap, 0.0::DOUBLE AS gap FROM ss WHERE i=j AND m>=greatest(2*k,60) GROUP BY 1,2""", use="dp", floats="total gap", digits=5)
+def _(spark, sf):
+    """Every leg with enough complete rows is solved, within its cap, and no feasible change of its shares helps."""
+    p, legs = held_legs(spark, sf)
+    w = cut_lineage(bk.optimised_legs(legs, p, ["label"], "carry", "xret", "mvo", _COVW, 60, 0.4))
+    q = bk.leg_optimality(w, bk.leg_covariance(legs, p, ["label"], window=_COVW), legs, ["label"], "carry", 0.4)
+    limit = F.greatest(F.lit(0.4), 1 / F.col("n_names"))
+    return q.select("label", "leg", "n_names", "total", (F.col("largest") <= limit + 1e-9).alias("within_cap"), "gap")
+
+
 @query("j6_scalar_asof", "WITH " + _RANK[2:] + " SELECT date, pct FROM rd", use="od", floats="pct")
 def _(spark, sf):
     r = tr.trailing_rank(indicator(spark, sf), "value", 252)

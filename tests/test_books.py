@@ -3,6 +3,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelspark.operators import book as bk
@@ -157,3 +158,29 @@ def test_large_legs_have_covariances(spark):
     held = p.select(F.lit("2023-03-01").cast("date").alias("label"), "asset").distinct().withColumns({"leg": F.lit(1), "k": F.lit(9)})
     out = bk.leg_covariance(held, p, ["label"], window=12).toPandas()
     assert len(out) == 45 and (out["n_rows"] == 12).all()
+
+
+@pytest.mark.parametrize("tile", [2, 256])
+def test_tiled_covariance_is_the_shrunk_one(spark, tile):
+    p = panel(spark, days=60).withColumn("xret", F.when(~((F.col("asset") == "a3") & (F.dayofmonth("date") == 7)), F.col("xret")))
+    held = p.filter("asset <> 'a8'").select(F.lit("2023-03-10").cast("date").alias("label"), "asset").distinct().withColumns({"leg": F.lit(1), "k": F.lit(8)})
+    out = bk.leg_covariance(held, p, ["label"], window=30, tile=tile).toPandas()
+    wide = p.filter("asset <> 'a8' and date <= '2023-03-10'").toPandas().pivot(index="date", columns="asset", values="xret").tail(30).dropna()
+    s = pd.DataFrame(bk.shrink(wide.to_numpy()), wide.columns, wide.columns)
+    assert len(out) == 36 and (out["n_rows"] == len(wide)).all() and len(wide) < 30
+    assert np.allclose(out["cov"], [s.loc[i, j] for i, j in zip(out["asset_i"], out["asset_j"])], rtol=1e-9)
+
+
+def test_solved_legs_leave_no_gain(spark):
+    p = panel(spark)
+    held = p.filter("date = '2023-12-15'").select(F.col("date").alias("label"), "asset", "carry").withColumn("leg", F.when(F.col("asset") < "a5", 1).otherwise(-1))
+    held = held.withColumn("carry", F.col("leg") * F.abs("carry"))
+    w = bk.optimised_legs(held, p, ["label"], "carry", "xret", "mvo", 120, 60, 0.4)
+    cov = bk.leg_covariance(held, p, ["label"], window=120)
+    best = bk.leg_optimality(w, cov, held, ["label"], "carry", 0.4).toPandas()
+    assert best["n_names"].tolist() == [5, 4] or best["n_names"].tolist() == [4, 5]
+    assert np.allclose(best["total"], 1) and (best["largest"] <= 0.4 + 1e-9).all() and np.allclose(best["gap"], 0, atol=1e-6)
+    even = w.withColumn("_opt", 1 / F.count("asset").over(Window.partitionBy("label", "leg")))
+    assert (bk.leg_optimality(even, cov, held, ["label"], "carry", 0.4).toPandas()["gap"] > 1e-4).all()
+    few = bk.optimised_legs(held, p, ["label"], "carry", "xret", "mvo", 9, 5, 0.4).toPandas()  # nine rows do for four names, not for five
+    assert len(few) == 4
