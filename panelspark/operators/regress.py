@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from panelspark.config import ANN_DAYS
 from panelspark.functions.ranking import global_position
 from panelspark.functions.stats import div
+from panelspark.session import cut_lineage
 
 Keys = Sequence[str]
 
@@ -210,37 +211,114 @@ def spanning_pairs(tracks: DataFrame, pairs: Sequence[tuple[str, str]], track: s
     return out
 
 
-def principal_components(df: DataFrame, value: str, k: int = 3, top: int = 8, date: str = "date", asset: str = "asset", min_obs: int = 60) -> dict[str, DataFrame]:
+def _gram(df: DataFrame, column: str) -> np.ndarray:
+    """A'A of the rows ``column`` (arrays of one length): a partial product per partition, summed by entry."""
+    def run(batches):
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                a = np.stack(pdf[column].to_list())
+                total = a.T @ a if total is None else total + a.T @ a
+        if total is not None:
+            yield pd.DataFrame({"g": [total.ravel()]})
+
+    parts = df.select(column).mapInPandas(run, "g array<double>").select(F.posexplode("g").alias("i", "v"))
+    rows = parts.groupBy("i").agg(F.sum("v").alias("v")).collect()  # squared basis size, whatever the data
+    m = int(round(np.sqrt(len(rows))))
+    out = np.zeros(m * m)
+    for r in rows:
+        out[r["i"]] = r["v"]
+    return out.reshape(m, m)
+
+
+def _turned(column: str, matrix: np.ndarray):
+    @F.pandas_udf("array<double>")
+    def turn(v: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(v.to_list()) @ matrix))
+
+    return turn(column)
+
+
+def _times(cells: DataFrame, table: DataFrame, along: str, out: str, width: int) -> DataFrame:
+    """Sums over ``along`` of cell x row array, one array per ``out``."""
+    j = cells.join(table.select(along, F.col("_a")), along)
+    return j.groupBy(out).agg(F.array(*[F.sum(F.col("_x") * F.col("_a")[i]) for i in range(width)]).alias("_a"))
+
+
+def principal_components(df: DataFrame, value: str, k: int = 3, top: int = 8, date: str = "date", asset: str = "asset", min_obs: int = 60,
+                         spare: int = 8, rounds: int = 8, tol: float = 1e-7) -> dict[str, DataFrame]:
     """Explained variance, loadings and scores on complete dates.
 
-    The cross product is Spark's distributed row matrix (one row per date); the only local object
-    is the asset-by-asset matrix, as in any covariance-based decomposition.  Components are turned
-    so that they correlate positively with the average over assets.
+    A block Krylov method: the centred cells (date, asset, value) multiply a block of ``top + spare`` vectors by joins and sums, there and
+    back, the images extend an orthonormal basis kept as one short array per asset, and the small projected problem gives the components.
+    Neither a date nor an asset-by-asset matrix is ever in one place; the driver holds matrices of the basis size only. ``residual`` has, for
+    each component, the norm of (C v - lambda v) over the largest lambda; rounds end below ``tol`` or when the basis is complete.
+    Components are turned so that they correlate positively with the average over assets (that is, their loadings have a positive sum).
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
     spark = df.sparkSession
     ok = df.groupBy(asset).agg(F.count(value).alias("_n")).filter(F.col("_n") >= min_obs).select(asset)
-    live = df.filter(F.col(value).isNotNull()).join(ok, asset, "left_semi")
-    mean = live.groupBy(asset).agg(F.avg(value).alias("_m"))
-    width = ok.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows = live.groupBy(date).agg(F.sort_array(F.collect_list(F.struct(asset, value))).alias("_v"), F.avg(value).alias("_avg"))
-    rows = rows.filter(F.size("_v") == width)
-    mat = rows.select(date, "_avg", F.transform("_v", lambda s: s[asset]).alias("_names"), array_to_vector(F.transform("_v", lambda s: s[value])).alias("x")).persist()
-    first = mat.select("_names").first()
-    if first is None:
+    width = ok.count()
+    live = df.filter(F.col(value).isNotNull()).join(ok, asset, "left_semi").select(F.col(date).alias("date"), F.col(asset).cast("string").alias("asset"), F.col(value).cast("double").alias("_v"))
+    whole = live.groupBy("date").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") == width).select("date")
+    live = live.join(whole, "date", "left_semi")
+    cells = cut_lineage(live.join(live.groupBy("asset").agg(F.avg("_v").alias("_m")), "asset").select("date", "asset", (F.col("_v") - F.col("_m")).alias("_x")))
+    total = cells.agg(F.sum(F.col("_x") * F.col("_x"))).first()[0]
+    if total is None:
         raise ValueError("no date is complete for the selected assets")
-    names = first[0]
-    n = len(names)
-    model = PCA(k=min(top, n), inputCol="x", outputCol="s").fit(mat)
-    ev = model.explainedVariance.toArray()
-    load = model.pc.toArray()[:, :k]
-    proj = model.transform(mat).select(date, "_avg", vector_to_array("s").alias("s"))
-    centred = proj.agg(*[F.avg(F.col("s")[i]).alias(f"m{i}") for i in range(k)], *[F.corr(F.col("s")[i], F.col("_avg")).alias(f"c{i}") for i in range(k)]).first()
-    sign = [-1.0 if (centred[f"c{i}"] or 0.0) < 0 else 1.0 for i in range(k)]
-    scores = proj.select(date, *[((F.col("s")[i] - F.lit(centred[f"m{i}"])) * sign[i]).alias(f"pc{i + 1}") for i in range(k)])
-    cum = np.cumsum(ev)
-    explained = spark.createDataFrame([(f"PC{i + 1}", float(v), float(cum[i])) for i, v in enumerate(ev)], "component string, explained_variance double, cumulative_variance double")
-    loadings = spark.createDataFrame([(str(a), *[float(load[r, i] * sign[i]) for i in range(k)]) for r, a in enumerate(names)], ", ".join(["asset string"] + [f"pc{i + 1} double" for i in range(k)]))
-    return {"explained": explained, "loadings": loadings, "scores": scores}
+    b = min(top + spare, width)
+    start = F.array(*[F.xxhash64("asset", F.lit(i)) / F.lit(2.0**63) for i in range(b)])
+    new = cells.select("asset").distinct().select("asset", start.alias("_a"))
+    g = _gram(new, "_a")
+    lam, turn = np.linalg.eigh(g)
+    keep = lam > lam[-1] * 1e-10
+    new, size = cut_lineage(new.select("asset", _turned("_a", turn[:, keep] / np.sqrt(lam[keep])).alias("_a"))), int(keep.sum())
+    state = None
+    for step in range(rounds):
+        image = _times(cells, _times(cells, new, "asset", "date", size), "date", "asset", size)
+        both = new.withColumnRenamed("_a", "_q").join(image.withColumnRenamed("_a", "_c"), "asset")
+        if state is not None:
+            both = state.join(both.withColumnsRenamed({"_q": "_q2", "_c": "_c2"}), "asset").select("asset", F.concat("_q", "_q2").alias("_q"), F.concat("_c", "_c2").alias("_c"))
+        state = cut_lineage(both)
+        g = _gram(state.select(F.concat("_q", "_c").alias("_a")), "_a")
+        m = len(g) // 2
+        qq, qc, cc = g[:m, :m], g[:m, m:], g[m:, m:]
+        lam, y = np.linalg.eigh((qc + qc.T) / 2)
+        lam, y = lam[::-1][:top], y[:, ::-1][:, :top]
+        off = np.einsum("ij,ij->j", y, cc @ y) - 2 * lam * np.einsum("ij,ij->j", y, qc @ y) + lam**2 * np.einsum("ij,ij->j", y, qq @ y)
+        residual = np.sqrt(np.maximum(off, 0)) / lam[0]
+        if residual.max() < tol or m >= width:
+            break
+        # what the newest images add to the basis, twice orthogonalised
+        last = slice(m - size, m)
+        lift = np.zeros((2 * m, size))
+        lift[:m], lift[m:][last] = -qc[:, last], np.eye(size)
+        rest = lift.T @ g @ lift
+        lam_r, turn = np.linalg.eigh((rest + rest.T) / 2)
+        keep = lam_r > max(lam_r[-1], lam[0] ** 2 * 1e-12) * 1e-10
+        if not keep.any():
+            break
+        whole = state.select("asset", "_q", F.concat("_q", "_c").alias("_a"))
+        new = cut_lineage(whole.select("asset", "_q", _turned("_a", lift @ (turn[:, keep] / np.sqrt(lam_r[keep]))).alias("_a")))
+        g = _gram(new.select(F.concat("_q", "_a").alias("_a")), "_a")
+        cross, own = g[:m, m:], g[m:, m:] - g[:m, m:].T @ g[:m, m:]
+        lam_r, turn = np.linalg.eigh((own + own.T) / 2)
+        keep = lam_r > lam_r[-1] * 1e-6
+        fix = turn[:, keep] / np.sqrt(lam_r[keep])
+        new = cut_lineage(new.select("asset", F.concat("_q", "_a").alias("_a")).select("asset", _turned("_a", np.vstack([-cross @ fix, fix])).alias("_a")))
+        size = int(keep.sum())
+    k = min(k, len(lam))
+    raw = state.select("asset", _turned("_q", y[:, :k]).alias("_a"))
+    sums = raw.agg(*[F.sum(F.col("_a")[i]) for i in range(k)]).first()
+    turned = cut_lineage(raw.select("asset", F.array(*[F.col("_a")[i] * (-1.0 if sums[i] < 0 else 1.0) for i in range(k)]).alias("_a")))
+    columns = [F.col("_a")[i].alias(f"pc{i + 1}") for i in range(k)]
+    scores = _times(cells, turned, "asset", "date", k).select(F.col("date").alias(date), *columns)
+    share = np.maximum(lam, 0) / total if total else np.zeros(len(lam))
+    explained = spark.createDataFrame([(f"PC{i + 1}", float(v), float(c)) for i, (v, c) in enumerate(zip(share, np.cumsum(share)))], "component string, explained_variance double, cumulative_variance double")
+    left = spark.createDataFrame([(f"PC{i + 1}", float(v)) for i, v in enumerate(residual)], "component string, residual double")
+    return {"explained": explained, "loadings": turned.select("asset", *columns), "scores": scores, "residual": left}
+
+
+def component_correlations(scores: DataFrame, factors: DataFrame, names: Sequence[str], date: str = "date") -> DataFrame:
+    """Correlation of each component's scores with each factor (columns ``names``) on common dates."""
+    long = scores.unpivot([date], [c for c in scores.columns if c != date], "component", "score")
+    return factor_correlation(long.join(factors.select(date, *names), date), ["component"], "score", list(names))

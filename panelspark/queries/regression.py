@@ -135,10 +135,35 @@ def monthly_log_returns(spark, sf):
     return m.select(F.col("month_end").alias("date"), "asset", (F.ln("spot") - F.lag(F.ln("spot")).over(w)).alias("ret"))
 
 
-@query("g7_principal_components")
+_SQUARINGS = 24  # the matrix to the power of 2^24 is the first component's projector
+_G7 = f"""WITH lr AS (SELECT month_end AS date, asset, ln(spot)-lag(ln(spot)) OVER (PARTITION BY asset ORDER BY month_end) AS v FROM mp), oa AS (SELECT asset FROM lr WHERE v IS NOT NULL GROUP BY 1 HAVING count(*)>=60), lv AS (SELECT lr.* FROM lr JOIN oa ON oa.asset=lr.asset WHERE v IS NOT NULL),
+ wd AS (SELECT date FROM lv GROUP BY 1 HAVING count(*)=(SELECT count(*) FROM oa)), xc AS (SELECT lv.date, lv.asset, v-avg(v) OVER (PARTITION BY lv.asset) AS x FROM lv JOIN wd ON wd.date=lv.date),
+ cv AS (SELECT a.asset AS i, b.asset AS j, sum(a.x*b.x) AS c FROM xc a JOIN xc b ON a.date=b.date GROUP BY 1,2), cr AS (SELECT i, list(c ORDER BY j) AS r FROM cv GROUP BY 1), cm AS (SELECT list(r ORDER BY i) AS m, list(i ORDER BY i) AS names, len(list(i)) AS n FROM cr),
+ pc AS (WITH RECURSIVE z AS (SELECT 1 AS comp, 0 AS k, n, m AS c, m AS p FROM cm UNION ALL
+  SELECT comp+(k={_SQUARINGS})::INT, CASE WHEN k={_SQUARINGS} THEN 0 ELSE k+1 END, n, c2, list_transform(p2, lambda r: list_transform(r, lambda e: e/list_sum(list_transform(range(1,n+1), lambda i: p2[i][i])))) FROM
+   (SELECT comp, k, n, c2, CASE WHEN k={_SQUARINGS} THEN c2 ELSE list_transform(p, lambda r: list_transform(p, lambda s: list_dot_product(r,s))) END AS p2 FROM
+    (SELECT *, CASE WHEN k={_SQUARINGS} THEN list_transform(range(1,n+1), lambda i: list_transform(range(1,n+1), lambda j: c[i][j]-p[i][j]*list_sum(list_transform(range(1,n+1), lambda h: list_dot_product(c[h],p[h]))))) ELSE c END AS c2 FROM z WHERE comp<least(8,n) OR k<{_SQUARINGS})))
+  SELECT comp, list_sum(list_transform(range(1,n+1), lambda h: list_dot_product(c[h],p[h]))) AS lam, list_transform(p[big], lambda e: e/sqrt(list_dot_product(p[big],p[big]))) AS v FROM (SELECT *, list_position(list_transform(range(1,n+1), lambda i: p[i][i]), list_max(list_transform(range(1,n+1), lambda i: p[i][i]))) AS big FROM z WHERE k={_SQUARINGS})),
+ sg AS (SELECT comp, lam, list_transform(v, lambda e: CASE WHEN list_sum(v)<0 THEN -e ELSE e END) AS v FROM pc), ld AS (SELECT comp, unnest(names) AS asset, unnest(v) AS w FROM sg, cm)"""
+
+
+@query("g7_principal_components", _G7 + """ SELECT 'PC'||comp AS component, lam/t AS explained_variance, sum(lam) OVER (ORDER BY comp)/t AS cumulative_variance FROM sg, (SELECT sum(x*x) AS t FROM xc)""", use="mp", floats="explained_variance cumulative_variance", digits=6)
+def _(spark, sf):
+    return rg.principal_components(monthly_log_returns(spark, sf), "ret")["explained"]
+
+
+@query("g7_loadings", _G7 + """ SELECT asset, max(w) FILTER (WHERE comp=1) AS pc1, max(w) FILTER (WHERE comp=2) AS pc2, max(w) FILTER (WHERE comp=3) AS pc3 FROM ld GROUP BY 1""", use="mp", floats="pc1 pc2 pc3", digits=5)
+def _(spark, sf):
+    return rg.principal_components(monthly_log_returns(spark, sf), "ret")["loadings"]
+
+
+@query("g7_factor_correlations", _G7 + """, sc AS (SELECT date, comp, sum(x*w) AS score FROM xc JOIN ld ON ld.asset=xc.asset WHERE comp<=3 GROUP BY 1,2), lb AS (SELECT lr.date, lr.v, mp.bucket FROM lr JOIN mp ON mp.asset=lr.asset AND mp.month_end=lr.date), fa AS (SELECT date, avg(v) AS f_all, avg(v) FILTER (WHERE bucket='ASIA') AS f_asia FROM lb GROUP BY 1)
+ SELECT 'pc'||comp AS component, 'ALL' AS factor, count(*) AS n, corr(score, f_all) AS corr FROM sc JOIN fa ON fa.date=sc.date WHERE f_all IS NOT NULL GROUP BY 1 UNION ALL SELECT 'pc'||comp, 'ASIA', count(*), corr(score, f_asia) FROM sc JOIN fa ON fa.date=sc.date WHERE f_asia IS NOT NULL GROUP BY 1""", use="mp", floats="corr", digits=5)
 def _(spark, sf):
-    r = rg.principal_components(monthly_log_returns(spark, sf), "ret")
-    return r["explained"].select("component", F.round("explained_variance", 6).alias("explained_variance"), F.round("cumulative_variance", 6).alias("cumulative_variance"))
+    r = monthly_log_returns(spark, sf)
+    bucket = base.monthly(spark, sf).select(F.col("month_end").alias("date"), "asset", "bucket")
+    f = r.join(bucket, ["date", "asset"]).groupBy("date").agg(F.avg("ret").alias("ALL"), F.avg(F.when(F.col("bucket") == "ASIA", F.col("ret"))).alias("ASIA"))
+    return rg.component_correlations(rg.principal_components(r, "ret")["scores"], f, ["ALL", "ASIA"])
 
 
 _CON = (bs.book("b"))[2:] + """, cb AS (SELECT w.date, w.asset, bucket, weight, weight*xret AS c, weight*sret AS cs, weight*(xret-sret) AS cc FROM bvt w LEFT JOIN dp ON dp.date=w.date AND dp.asset=w.asset), bb AS (SELECT date, coalesce(sum(c),0) AS b FROM cb GROUP BY 1),

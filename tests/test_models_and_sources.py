@@ -82,6 +82,21 @@ def test_components_match_an_svd(spark):
     assert np.allclose(np.abs(r["loadings"].orderBy("asset").toPandas()["pc1"]), np.abs(vt[0]))
 
 
+def test_components_of_a_wide_universe_need_several_rounds(spark):
+    rng = np.random.default_rng(11)
+    scale = np.r_[6.0, 5.0, 4.0, 3.5, np.linspace(2.0, 0.5, 36)]
+    x = (rng.normal(size=(90, 40)) * scale) @ np.linalg.qr(rng.normal(size=(40, 40)))[0]
+    days = pd.bdate_range("2024-01-01", periods=90)
+    df = spark.createDataFrame([(d.date(), f"a{j:02d}", float(x[i, j])) for i, d in enumerate(days) for j in range(40)], "date date, asset string, v double")
+    r = rg.principal_components(df, "v", 2, top=3, spare=2)
+    c = x - x.mean(axis=0)
+    _, s, vt = np.linalg.svd(c, full_matrices=False)
+    assert np.allclose(r["explained"].toPandas()["explained_variance"], (s**2 / (s**2).sum())[:3], rtol=1e-9)
+    assert (r["residual"].toPandas()["residual"] < 1e-6).all()
+    got = r["loadings"].orderBy("asset").toPandas()[["pc1", "pc2"]].to_numpy().T
+    assert np.allclose(got, vt[:2] * np.sign(vt[:2].sum(axis=1, keepdims=True)), atol=1e-5)
+
+
 def test_logistic_fit_is_stationary_and_expanding_never_sees_the_future(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(60, 2))
