@@ -39,12 +39,17 @@ def state_features(track: DataFrame, factors: DataFrame, dispersion: DataFrame,
         F.when(F.coalesce(nxt, F.lit(0.0)) > 0, 1.0).otherwise(0.0).alias("target_next_positive"), nxt.alias("next_return"))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 100) -> np.ndarray:
-    """Ridge-penalised logistic fit by Newton steps; the intercept (first entry) is free."""
+def logistic_slope(x: np.ndarray, y: np.ndarray, b: np.ndarray, c: float = 1.0) -> np.ndarray:
+    """Gradient of the penalised loss of :func:`fit_logistic`."""
+    return np.column_stack([np.ones(len(x)), x]).T @ (1.0 / (1.0 + np.exp(-(b[0] + x @ b[1:]))) - y) + np.r_[0.0, b[1:] / c]
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 100, start: np.ndarray | None = None) -> np.ndarray:
+    """Ridge-penalised logistic fit by Newton steps from ``start``; the intercept (first entry) is free."""
     a = np.column_stack([np.ones(len(x)), x])
     pen = np.full(a.shape[1], 1.0 / c)
     pen[0] = 0.0
-    b = np.zeros(a.shape[1])
+    b = np.zeros(a.shape[1]) if start is None else start
 
     def loss(v):
         z = a @ v
@@ -65,40 +70,45 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 100
     return b
 
 
-def expanding_logistic(data: DataFrame, features: Sequence[str], target: str, min_train: int = 60, date: str = "month_end", keys: Sequence[str] = ()) -> DataFrame:
-    """Probability for every row from a fit on all earlier rows, with the coefficients used.
+def expanding_logistic(data: DataFrame, features: Sequence[str], target: str, min_train: int = 60, date: str = "month_end", keys: Sequence[str] = (), pieces: int = 8) -> DataFrame:
+    """Probability for every row from a fit on all earlier rows, with the coefficients used, the training rows' number and medians, and
+    ``residual``, the largest entry of the loss's gradient at the fit.
 
-    Each cut-off row receives its own training set by an equi-join on positions, and the fits run
-    as independent groups.  A group holds at most the rows of one series.
+    A series is cut into ``pieces`` runs of rows; a task fits the cut-offs of one run, each from the last one's coefficients, and gets the
+    rows up to the run's end. So a row is sent ``pieces`` times at most, however long the series. Nulls of a feature become its median over
+    the training rows; a feature without any value counts as constant. Cut-offs whose training targets are all alike are left out.
     """
     features, keys = list(features), list(keys)
     ks = keys or ["_k"]
     base = data if keys else data.withColumn("_k", F.lit(0))
     idx = base.select(*ks, date, target, *features).withColumn("_i", F.row_number().over(Window.partitionBy(*ks).orderBy(date)) - 1)
-    n = idx.groupBy(*ks).agg(F.max("_i").alias("_last"))
-    fan = idx.join(n, ks).withColumn("cut", F.explode(F.sequence(F.greatest(F.col("_i"), F.lit(min_train)), F.greatest(F.col("_last"), F.lit(min_train)))))
-    fan = fan.filter(F.col("cut") <= F.col("_last")).drop("_last")
+    n = idx.groupBy(*ks).agg((F.max("_i") + 1).alias("_len"))
+    own = F.expr(f"cast(_i * {pieces} div _len as int)")
+    fan = idx.join(n, ks).withColumn("_own", own).withColumn("_run", F.explode(F.sequence("_own", F.lit(pieces - 1)))).drop("_len")
     types = dict(fan.dtypes)
-    schema = ", ".join([f"{k} {types[k]}" for k in ks] + [f"{date} date, probability double", *[f"coef_{f} double" for f in features]])
+    columns = [*ks, date, "probability", "n_train", "residual", "intercept", *[f"coef_{f}" for f in features], *[f"med_{f}" for f in features]]
+    schema = ", ".join([f"{k} {types[k]}" for k in ks] + [f"{date} date, probability double, n_train long, residual double, intercept double", *[f"coef_{f} double" for f in features], *[f"med_{f} double" for f in features]])
 
     def run(key, pdf):
-        cut = int(key[-1])
-        pdf = pdf.sort_values("_i")
-        test, train = pdf[pdf["_i"] == cut], pdf[(pdf["_i"] < cut) & pdf[target].notna()]
-        cols = [c.split()[0] for c in schema.split(", ")]
-        if train[target].nunique() < 2 or test.empty:
-            return pd.DataFrame(columns=cols, dtype=object)
-        x = train[features].to_numpy(dtype=float)
-        med = np.nanmedian(x, axis=0)
-        fill = lambda m: np.where(np.isfinite(m), m, med)
-        x = fill(x)
-        mu, sd = x.mean(axis=0), x.std(axis=0)
-        sd[sd == 0] = 1.0
-        b = fit_logistic((x - mu) / sd, train[target].to_numpy(dtype=float))
-        z = b[0] + ((fill(test[features].to_numpy(dtype=float)) - mu) / sd) @ b[1:]
-        row = {k: [v] for k, v in zip(ks, key)}
-        row |= {date: [test[date].iloc[0]], "probability": 1.0 / (1.0 + np.exp(-z)), **{f"coef_{f}": [b[i + 1]] for i, f in enumerate(features)}}
-        return pd.DataFrame(row)[cols]
-
-    out = fan.groupBy(*ks, "cut").applyInPandas(lambda key, pdf: run(key, pdf), schema)
+        pdf = pdf.sort_values("_i").reset_index(drop=True)
+        raw, y = pdf[features].to_numpy(dtype=float), pdf[target].to_numpy(dtype=float)
+        rows, b = [], None
+        for cut in pdf.index[(pdf["_own"] == key[-1]) & (pdf["_i"] >= min_train)]:
+            use = np.flatnonzero(~np.isnan(y[:cut]))
+            t = y[use]
+            if not len(t) or (t == t[0]).all():
+                continue
+            x = raw[use]
+            med = pd.DataFrame(x).median().to_numpy()
+            fill = lambda m: np.where(np.isfinite(m), m, np.nan_to_num(med))  # noqa: B023, E731
+            x = fill(x)
+            mu, sd = x.mean(axis=0), x.std(axis=0)
+            sd[sd == 0] = 1.0
+            x = (x - mu) / sd
+            b = fit_logistic(x, t, start=b)
+            z = b[0] + ((fill(raw[cut]) - mu) / sd) @ b[1:]
+            rows.append((*key[:-1], pdf[date][cut], 1.0 / (1.0 + np.exp(-z)), len(t), np.abs(logistic_slope(x, t, b)).max(), *b, *[None if np.isnan(m) else m for m in med]))
+        return pd.DataFrame(rows, columns=columns) if rows else pd.DataFrame(columns=columns, dtype=object)
+
+    out = fan.groupBy(*ks, "_run").applyInPandas(lambda key, pdf: run(key, pdf), schema)
     return out if keys else out.drop("_k")

@@ -95,14 +95,28 @@ def _(spark, sf):
     return rg.ols(oc.select("sample", F.col("realized").alias("y"), (F.col("atm_vol") / 1000).alias("x")), ["sample"], "y", ["x"])
 
 
-@query("g3_pooled_ols_interaction")
+def ols_sql(src: str, model: str, y: str, xs_: list[str]) -> str:
+    """Least squares of any number of regressors: the augmented cross products, swept once per variable."""
+    q = len(xs_) + 1
+    names = ", ".join(f"'{x}'" for x in ["const", *xs_])
+    live = " AND ".join(f"{c} IS NOT NULL" for c in [y, *xs_])
+    return f"""(WITH RECURSIVE o AS (SELECT [1.0::DOUBLE, {', '.join(f'{c}::DOUBLE' for c in [*xs_, y])}] AS z FROM {src} WHERE {live}), e AS (SELECT i, j, sum(z[i]*z[j]) AS v FROM o, range(1,{q + 2}) a(i), range(1,{q + 2}) b(j) GROUP BY 1,2),
+  s AS (SELECT 1 AS k, list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM e GROUP BY 1) UNION ALL
+   SELECT k+1, list_transform(range(1,{q + 2}), lambda i: list_transform(range(1,{q + 2}), lambda j: CASE WHEN i=k AND j=k THEN 1/m[k][k] WHEN i=k THEN m[k][j]/m[k][k] WHEN j=k THEN -m[i][k]/m[k][k] ELSE m[i][j]-m[i][k]*m[k][j]/m[k][k] END)) FROM s WHERE k<={q})
+  SELECT 'All' AS pool, '{model}' AS model, [{names}][h] AS variable, m[h][{q + 1}] AS coefficient, m[h][{q + 1}]/sqrt(m[{q + 1}][{q + 1}]/(n-{q})*m[h][h]) AS t_stat, n AS n_obs FROM s, (SELECT count(*) AS n FROM o), range(1,{q + 1}) c(h) WHERE k={q + 1})"""
+
+
+_G3 = {"simple": ["carry_signal", "atm_vol", "bad_skew25"], "interaction": ["carry_signal", "atm_vol", "bad_skew25", "carry_x_bad_skew"]}
+
+
+@query("g3_pooled_ols_interaction", "WITH " + OC_SQL[2:] + ", x AS (SELECT *, carry_signal*bad_skew25 AS carry_x_bad_skew FROM oc) SELECT * FROM (" + " UNION ALL ".join("SELECT * FROM " + ols_sql("x", m, "realized", v) for m, v in _G3.items()) + ")", use="mp ol pairs", floats="coefficient t_stat", digits=6)
 def _(spark, sf):
     oc = option_carry(spark, sf).withColumn("carry_x_bad_skew", F.col("carry_signal") * F.col("bad_skew25")).withColumn("pool", F.lit("All"))
     out = None
-    for name, xs_ in (("simple", ["carry_signal", "atm_vol", "bad_skew25"]), ("interaction", ["carry_signal", "atm_vol", "bad_skew25", "carry_x_bad_skew"])):
+    for name, xs_ in _G3.items():
         one = rg.ols(oc, ["pool"], "realized", xs_).withColumn("model", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    return out.withColumns({c: F.round(c, 6) for c in ("coefficient", "t_stat")})
+    return out
 
 
 _UIP = "a0 AS (SELECT asset, month_end, ln(next_spot/spot) AS y, ln(spot/fwd) AS x FROM mp WHERE next_spot IS NOT NULL)"
@@ -243,4 +257,13 @@ def _(spark, sf):
 @query("g13_expanding_logistic")
 def _(spark, sf):
     out = md.expanding_logistic(features(spark, sf), _FEATS, "target_next_positive", 36)
+    out = out.select("month_end", "probability", *[f"coef_{f}" for f in _FEATS])
     return out.withColumns({c: F.round(c, 6) for c, t in out.dtypes if t == "double"})
+
+
+@query("g13_fits", "WITH " + _G12[2:] + f""", tq AS (SELECT month_end, row_number() OVER (ORDER BY month_end)-1 AS i, count(target_next_positive) OVER b AS n_train, 0.0::DOUBLE AS residual, min(target_next_positive) OVER b AS lo, max(target_next_positive) OVER b AS hi, {', '.join(f'median({f}) OVER b AS med_{f}' for f in _FEATS)} FROM sf WINDOW b AS (ORDER BY month_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT * EXCLUDE (i, lo, hi) FROM tq WHERE i>=36 AND lo<hi""", use="bt om dp", floats=" ".join(["residual", *[f"med_{f}" for f in _FEATS]]))
+def _(spark, sf):
+    """Which months are fitted, on how many rows and medians, and that every fit is stationary."""
+    out = md.expanding_logistic(features(spark, sf), _FEATS, "target_next_positive", 36)
+    return out.select("month_end", "n_train", "residual", *[f"med_{f}" for f in _FEATS])

@@ -111,6 +111,12 @@ def test_logistic_fit_is_stationary_and_expanding_never_sees_the_future(spark):
     early = md.expanding_logistic(df.filter("month_end <= '2022-06-30'"), ["f", "g"], "t", 30).orderBy("month_end").toPandas()
     assert len(full) == 30 and full["probability"].between(0, 1).all()
     assert np.allclose(full["probability"].head(len(early)), early["probability"])
+    assert (full["residual"] < 1e-8).all() and full["n_train"].tolist() == list(range(30, 60))
+    one = md.expanding_logistic(df, ["f", "g"], "t", 30, pieces=1).orderBy("month_end").toPandas()
+    assert np.allclose(full["probability"], one["probability"], atol=1e-9)
+    void = md.expanding_logistic(df.withColumn("h", F.lit(None).cast("double")), ["f", "g", "h"], "t", 30).orderBy("month_end").toPandas()
+    assert np.allclose(full["probability"], void["probability"], atol=1e-9) and (void["coef_h"] == 0).all() and void["med_h"].isna().all()
+    assert md.expanding_logistic(df.limit(0), ["f", "g"], "t", 30).count() == 0
     # one cut by hand
     xs = pd.DataFrame(x, columns=["f", "g"])
     xs.loc[xs.index % 9 == 0, "f"] = np.nan
