@@ -13,7 +13,7 @@ FIELD_PRIORITY = {"PX_LAST": 0, "PX_BID": 1, "PX_ASK": 2}
 TICKER_SUFFIXES = ("Curncy", "Index", "Comdty")
 TENORS = ("1W", "1M", "3M", "6M", "12M")
 TENOR_MONTHS = {"1M": 1, "3M": 3, "6M": 6, "12M": 12}
-TICKER_PATTERN = r"^([A-Z0-9]{3})(1W|1M|3M|6M|12M)?\s+CURNCY__(PX_LAST|PX_BID|PX_ASK)$"
+TICKER_PATTERN = rf"^([A-Z0-9]{{3}})({'|'.join(TENORS)})?\s+CURNCY__({'|'.join(FIELD_ROLES)})$"
 
 # --- fixed values: option ticker pieces ---
 OPTION_TYPES = ("V", "25R", "25B", "10R", "10B")

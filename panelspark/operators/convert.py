@@ -125,14 +125,12 @@ def forward_panel(quotes: DataFrame, conv: DataFrame) -> DataFrame:
     )
 
 
+RETURN_KINDS = {"excess": "rx", "spot": "log_spot - lag(log_spot) OVER (PARTITION BY asset ORDER BY date)"}
+
+
 def currency_return(panel: DataFrame, kind: str = "excess") -> DataFrame:
-    """``excess`` (forward-implied) or ``spot`` return of a :func:`forward_panel`."""
-    if kind == "excess":
-        return panel.select("date", "asset", F.col("rx").alias("ret"))
-    if kind == "spot":
-        w = Window.partitionBy("asset").orderBy("date")
-        return panel.select("date", "asset", (F.col("log_spot") - F.lag("log_spot").over(w)).alias("ret"))
-    raise ValueError(f"unknown kind {kind!r}")
+    """Return of a :func:`forward_panel`, by one of ``RETURN_KINDS``: forward-implied or spot."""
+    return panel.select("date", "asset", F.expr(RETURN_KINDS[kind]).alias("ret"))
 
 
 # --- monthly panel -----------------------------------------------------------------------------

@@ -92,15 +92,20 @@ def sign_flips(df: DataFrame, value: str, keys: Keys = ("asset",), date: str = "
     return df.withColumn("_p", prev).filter(F.col(value).isNotNull() & (F.col("_p").isNull() | (s != F.col("_p")))).drop("_p").withColumn("sign", s)
 
 
-def pairwise_rolling_corr(df: DataFrame, value: str, window: int = 126, min_obs: int = 80, date: str = "date", asset: str = "asset", block: int | None = None, tiles: int = 1) -> DataFrame:
+def tile_count(df: DataFrame, asset: str, size: int = 256) -> int:
+    """Tiles of about ``size`` assets, from the number of assets."""
+    return df.select(asset).distinct().count() // size + 1
+
+
+def pairwise_rolling_corr(df: DataFrame, value: str, window: int = 126, min_obs: int = 80, date: str = "date", asset: str = "asset", block: int | None = None, tiles: int | None = None) -> DataFrame:
     """Average pairwise correlation over each trailing window; assets need ``min_obs`` values in it.
 
     Dates are cut into blocks; each block also receives the ``window - 1`` dates before it, so a
     row is shuffled at most twice per tile.  Inside a block correlations come from masked matrix
     products; no row pair is ever emitted, only a sum and a count per date.  Assets are hashed into
-    ``tiles``; a task sees the assets of one tile pair, so a large universe splits over tasks.
+    ``tiles`` (of 256 by default); a task sees the assets of one tile pair, so a large universe splits over tasks.
     """
-    block = block or window
+    block, tiles = block or window, tiles or tile_count(df, asset)
     idx = df.join(calendar_index(df, date), date)
     reach = 1 + (window - 2 + block) // block
     tagged = idx.filter(F.col(value).isNotNull()).select(
@@ -153,15 +158,15 @@ def pairwise_rolling_corr(df: DataFrame, value: str, window: int = 126, min_obs:
     return out.join(calendar_index(df, date), "t").select(date, "avg_corr")
 
 
-def pair_moments(df: DataFrame, value: str, keys: Keys = (), date: str = "date", asset: str = "asset", tiles: int = 1, block_days: int = 366, diagonal: bool = False) -> DataFrame:
+def pair_moments(df: DataFrame, value: str, keys: Keys = (), date: str = "date", asset: str = "asset", tiles: int | None = None, block_days: int = 366, diagonal: bool = False) -> DataFrame:
     """Pairwise-complete n, correlation and covariance for asset pairs i < j (i <= j with ``diagonal``).
 
-    Blocked cross products: assets are hashed into ``tiles``, dates into blocks; each task
+    Blocked cross products: assets are hashed into ``tiles`` (of 256 by default), dates into blocks; each task
     multiplies one tile pair of one date block and emits one partial row per pair, which are then
     summed.  Values are centred per asset first.  The traffic is pairs times date blocks, not
     pairs times dates.
     """
-    keys = list(keys)
+    keys, tiles = list(keys), tiles or tile_count(df, asset)
     live = df.filter(F.col(value).isNotNull())
     mean = live.groupBy(*keys, asset).agg(F.avg(value).alias("_m"))
     live = live.join(mean, [*keys, asset]).select(

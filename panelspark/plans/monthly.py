@@ -17,7 +17,7 @@ def names(basket: str):
     return F.array_join(F.sort_array(F.collect_list(F.when(F.col("basket") == basket, F.col("asset")))), ", ")
 
 
-def strategy_frame(weights: DataFrame, keys: Sequence[str] = ("strategy",), ret: str = "realized", month: str = "month_end", with_names: bool = True) -> DataFrame:
+def strategy_frame(weights: DataFrame, keys: Sequence[str] = ("strategy",), ret: str = "realized", month: str = "month_end", with_names: bool = False) -> DataFrame:
     """One row per (strategy, month): return, notional, concentration, leg size, baskets."""
     w = F.col("weight")
     hhi = F.sum(w * w)

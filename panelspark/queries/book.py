@@ -113,7 +113,7 @@ _FRAME = """, pr AS (SELECT strategy, month_end, sum(weight*realized) AS gross_r
 
 @query("b7_monthly_strategy", "WITH " + (_SB + _FRAME)[2:] + " SELECT * FROM pr", use="mp", floats="gross_return roll_notional hhi effective_n")
 def _(spark, sf):
-    return pm.strategy_frame(base.sample_books(spark, sf))
+    return pm.strategy_frame(base.sample_books(spark, sf), with_names=True)
 
 
 @query("b7_monthly_strategy_options", f"""WITH u AS (SELECT *, count(*) OVER (PARTITION BY month_end) AS n, row_number() OVER (PARTITION BY month_end ORDER BY carry_signal, asset) AS rn FROM mp
