@@ -1,17 +1,22 @@
 """Text scoring by a hierarchical Pitman-Yor model.
 
-Tokens are words (A-Z lower-cased) and one end per text. Words sit in one restaurant whose base measure spells them byte by byte; the
+Tokens are words (A-Z lower-cased) and one end per text. Each preceding word has a restaurant of its own (the end of a text is the context
+of the next text's first word); all of them share one parent, the word restaurant, whose base measure spells words byte by byte. The
 spelling is a hierarchy of restaurants for the preceding bytes (three, two, one, none), each with the restaurant of the shorter context
 as parent, the last with the uniform distribution. The end is the empty word. Preceding bytes are grouped to classes (letters by
 themselves; see ``CLASS``), so the spelling has at most 2^14 contexts and its tables a fixed size whatever the corpus.
 
 Seating is sampled by Gibbs sweeps. In each, Spark re-seats the customers of every word given the spelling and the tables of the last
 sweep, and sums the tables by cell of the spelling (the customers of its deepest restaurants); the driver then re-seats the spelling,
-whose size is fixed. Large groups are seated in blocks of an eighth of those already seated. Predictive probabilities of the last
-``KEEP`` sweeps are averaged. Discounts follow from the numbers of cells with one and two customers; the strength is 1.
+whose size is fixed, and Spark the contexts, whose tables are the word restaurant's customers of the next sweep. A pair of words seen once
+has one table, so only pairs seen more often are seated. Large groups are seated in blocks of an eighth of those already seated.
+Predictive probabilities of the last ``KEEP`` sweeps are averaged. Discounts follow from the numbers of cells with one and two customers;
+the strength is 1.
 
 Data flow: texts become blocks (a list of distinct words, and texts as numbers into it), written once. Words are counted over all blocks
-by one aggregation; each word's count and probability return to the blocks that hold it by a join on the word.
+by one aggregation; each word's count and probability return to the blocks that hold it by a join on the word. The distinct pairs of a
+block (words as 64-bit hashes) meet those of other blocks in one shuffle; only pairs that a block can't count by itself return to it, since
+a pair learnt once was learnt in the block that has it. A context's customers are its own tokens, so its total is its word's count.
 
 Null text counts as empty (its only token is the end). Rows where ``learn`` is null are scored and not learnt from; repeated rows count
 again. Other columns are ignored. A word that the training texts lack has no customers, so its probability is its own spelling times what
@@ -29,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import ship, slices, stage
@@ -123,16 +128,31 @@ def spelled(words: list[bytes], log_prob: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.add.reduceat(log_prob[cells], np.cumsum(size) - size) if len(words) else np.zeros(0), cells, size
 
 
-def _blocks(batches):
+def pairs_of(ids: np.ndarray, learns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (preceding word << 32 | word) of a block, the pair of each token, how often each is learnt. Every text ends with the
+    end, so the token before a text's first one is an end."""
+    codes, pair = np.unique(np.roll(ids, 1).astype(np.int64) << 32 | ids, return_inverse=True)
+    return codes, pair, np.bincount(pair[learns], minlength=len(codes))
+
+
+def _blocks(limit: int):
+    return lambda batches: _blocks_of(batches, limit)
+
+
+def _blocks_of(batches, limit: int):
     base, number = TaskContext.get().partitionId() << 32, itertools.count()
 
     def row():
         flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
         sizes = np.array([len(x) for x in ids])
-        tf = np.bincount(flat[np.repeat(np.array(learns, bool), sizes)], minlength=len(local))
+        learnt = np.repeat(np.array(learns, bool), sizes)
+        tf = np.bincount(flat[learnt], minlength=len(local))
+        codes, _, times = pairs_of(flat, learnt)
+        once = codes[times == 1]
+        ones_w, ones_u = (np.bincount(x, minlength=len(local)) for x in (once & 0xFFFFFFFF, once >> 32))
         return pa.RecordBatch.from_arrays(
-            [pa.array([base + next(number)], pa.int64()), pa.array([list(local)], pa.list_(pa.binary())), pa.array([tf], pa.list_(pa.int64())), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([flat.astype("<u4").tobytes()], pa.binary())],
-            names=["block", "words", "tf", "docs", "sizes", "ids"],
+            [pa.array([base + next(number)], pa.int64()), pa.array([list(local)], pa.list_(pa.binary())), *(pa.array([x], pa.list_(pa.int64())) for x in (tf, ones_w, ones_u)), pa.array([learns], pa.list_(pa.bool_())), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([flat.astype("<u4").tobytes()], pa.binary())],
+            names=["block", "words", "tf", "ones_w", "ones_u", "learns", "docs", "sizes", "ids"],
         )
 
     def fresh():
@@ -146,7 +166,7 @@ def _blocks(batches):
             docs.append(doc)
             learns.append(bool(learn))
             count += len(words)
-            if count >= BLOCK_TOKENS:
+            if count >= limit:
                 yield row()
                 local, ids, docs, learns, count = fresh()
     if docs:
@@ -157,11 +177,24 @@ def _rng(words: list[bytes], sweep: int):
     return np.random.default_rng([xxhash.xxh3_64_intdigest(words[0]), len(words), sweep])
 
 
+def _pairs(batches):
+    for b in slices(batches, 1):
+        block, words, learns, sizes, ids = (b.column(i)[0].as_py() for i in range(5))
+        codes, _, tf = pairs_of(np.frombuffer(ids, "<u4"), np.repeat(np.array(learns, bool), sizes))
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed=42) for w in words), np.uint64, len(words)).view(np.int64)  # as xxhash64 of Spark
+        for k in range(0, len(codes), 50_000):
+            some = codes[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(some), block)), pa.array(np.arange(k, k + len(some), dtype=np.int32)), pa.array(hashes[some >> 32]), pa.array(hashes[some & 0xFFFFFFFF]), pa.array(tf[k : k + 50_000].astype(np.int32))],
+                names=["block", "pair", "u", "w", "tf"],
+            )
+
+
 def _reseat(sent, sweep: int):
     """Sums of tables by cell; cell -1 has all tables of the words."""
 
     def run(batches):
-        log_prob, tables, discount = sent.value
+        log_prob, tables, discount, _ = sent.value
         total, sums = 0, np.zeros(1 << (LEVELS[3] + 8))
         for b in slices(batches, 50_000):
             words, c = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), np.int64)
@@ -175,83 +208,170 @@ def _reseat(sent, sweep: int):
     return run
 
 
-def _word_scores(sent, n: int):
-    """log10 of the averaged predictive probability of each word."""
+def _log_probs(words, c, sample, sweep: int) -> np.ndarray:
+    """Natural log of each word's probability in the word restaurant."""
+    log_prob, tables, discount, n = sample
+    base = spelled(words, log_prob)[0].astype(float)
+    t = seat(c, np.exp(base), tables, discount, _rng(words, 1000 + sweep))
+    own = np.log(c - discount * t, out=np.full(len(words), -np.inf), where=c > 0)
+    return np.logaddexp(own, base + np.log(STRENGTH + discount * tables)) - np.log(STRENGTH + n)  # logs: a long word's spelling is below the least float
+
+
+def _word_probs(sent, sweep: int):
+    """(w, h, c) -> (h, lp)."""
 
     def run(batches):
         for b in slices(batches, 50_000):
-            words, c = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), np.int64)
-            p = np.full(len(words), -np.inf)
-            for k, (log_prob, tables, discount) in enumerate(sent.value):
-                base = spelled(words, log_prob)[0].astype(float)
-                t = seat(c, np.exp(base), tables, discount, _rng(words, 1000 + k))
-                own = np.log(c - discount * t, out=np.full(len(words), -np.inf), where=c > 0)
-                p = np.logaddexp(p, np.logaddexp(own, base + np.log(STRENGTH + discount * tables)) - np.log(STRENGTH + n))  # logs: a long word's spelling is below the least float
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((p - np.log(len(sent.value))) / np.log(10))], names=["w", "c", "lp"])
+            lp = _log_probs(b.column(0).to_pylist(), b.column(2).to_numpy(zero_copy_only=False), sent.value, sweep)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(lp)], names=["h", "lp"])
 
     return run
 
 
-def _text_scores(n: int, v: int):
-    """Rows (block, at, c, lp, docs, sizes, ids) in any order: of each block its texts (at = -1) and its words' counts and scores.
-    A task holds the few blocks that are hashed to it."""
+def _seat_pairs(discount: float, sweep: int):
+    """(u, w, c, ts, lp, tables of u) -> (u, w, c, ts) with the new number of tables last."""
 
-    def texts(head, at, c, lp):
-        counts, scores = np.zeros(len(at), np.int64), np.zeros(len(at))
-        counts[at], scores[at] = c, lp
-        base = np.log10((counts + 1) / (n + v + 1))
-        docs, sizes, ids = head
+    def run(batches):
+        for b in slices(batches, 50_000):
+            if not b.num_rows:
+                continue
+            u, w, c, lp, tables = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5))
+            rng = np.random.default_rng([int(u[0]) & 0xFFFFFFFF, int(w[0]) & 0xFFFFFFFF, len(u), sweep])
+            t = seat(c, np.exp(lp), tables, discount, rng)
+            ts = np.column_stack([b.column(3).flatten().to_numpy().reshape(-1, KEEP)[:, 1:], t])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(list(ts), pa.list_(pa.int64()))], names=["u", "w", "c", "ts"])
+
+    return run
+
+
+def _word_scores(sent):
+    """(w, c, cs, tus) -> (w, c, p): of each sample kept the natural log of the word's probability, then of each the tables of its context."""
+
+    def run(batches):
+        for b in slices(batches, 50_000):
+            words = b.column(0).to_pylist()
+            cs, tus = (b.column(i).flatten().to_numpy().reshape(-1, KEEP) for i in (2, 3))
+            p = np.column_stack([*(_log_probs(words, cs[:, k], x, k) for k, x in enumerate(sent.value)), tus])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(p), pa.list_(pa.float64()))], names=["w", "c", "p"])
+
+    return run
+
+
+def _text_scores(n: int, v: int, discount: float):
+    """Rows (block, at, pair, c, p, learns, docs, sizes, ids) in any order: of each block its texts (at = -1), its words' counts, scores and
+    context tables, and counts and tables of those pairs (at = -2) that it can't tell itself. A task holds the few blocks hashed to it."""
+
+    def texts(head, words, pairs):
+        learns, docs, sizes, ids = head
         ids, sizes = np.frombuffer(ids, "<u4"), np.array(sizes)
+        counts, p = np.zeros(len(words[0]), np.int64), np.zeros((len(words[0]), 2 * KEEP))
+        counts[words[0]], p[words[0]] = words[1], words[2]
+        codes, of, c = pairs_of(ids, np.repeat(np.array(learns, bool), sizes))
+        t = np.repeat(np.minimum(c, 1)[:, None], KEEP, axis=1).astype(float)
+        c[pairs[0]], t[pairs[0]] = pairs[1], pairs[2]
+        u, w = codes >> 32, codes & 0xFFFFFFFF
+        lp = np.full(len(codes), -np.inf)
+        for k in range(KEEP):
+            own = np.log(c - discount * t[:, k], out=np.full(len(codes), -np.inf), where=c > 0)
+            lp = np.logaddexp(lp, np.logaddexp(own, p[w, k] + np.log(STRENGTH + discount * p[u, KEEP + k])) - np.log(STRENGTH + counts[u]))
+        lp = (lp - np.log(KEEP)) / np.log(10)
         first = np.cumsum(sizes) - sizes
-        total = lambda x: np.add.reduceat(x[ids], first)
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(total((counts > 0).astype(np.int64))), pa.array(total(base)), pa.array(total(scores))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        total = lambda x: np.add.reduceat(x, first)
+        base = np.log10((counts + 1) / (n + v + 1))
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(total((counts > 0).astype(np.int64)[ids])), pa.array(total(base[ids])), pa.array(total(lp[of]))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     def run(batches):
-        heads, rows = {}, defaultdict(list)
+        heads, rows = {}, defaultdict(lambda: ([], []))
         for b in slices(batches, 50_000):
-            block, at, c, lp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            block, at, pair, c = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             for k in np.unique(block).tolist():
                 mine = block == k
-                for h in np.flatnonzero(mine & (at < 0)).tolist():
-                    heads[k] = tuple(b.column(i)[h].as_py() for i in (4, 5, 6))
-                words = np.flatnonzero(mine & (at >= 0))
-                rows[k].append((at[words].astype(np.int32), c[words].astype(np.int64), lp[words].astype(float)))
+                for h in np.flatnonzero(mine & (at == -1)).tolist():
+                    heads[k] = tuple(b.column(i)[h].as_py() for i in (5, 6, 7, 8))
+                for kind, (which, key, width) in enumerate(((mine & (at >= 0), at, 2 * KEEP), (mine & (at == -2), pair, KEEP))):
+                    here = np.flatnonzero(which)
+                    if len(here):
+                        rows[k][kind].append((key[here].astype(np.int32), c[here].astype(np.int64), b.column(4).take(pa.array(here)).flatten().to_numpy().reshape(-1, width)))
+        empty = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, KEEP)))
         for k, head in heads.items():
-            yield texts(head, *(np.concatenate(x) for x in zip(*rows.pop(k), strict=True)))
+            words, pairs = rows.pop(k)
+            yield texts(head, *(tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else empty for parts in (words, pairs)))
 
     return run
 
 
-def score(docs: DataFrame, learn: Column, sweeps: int = SWEEPS) -> DataFrame:
+def _discount(one: int, two: int) -> float:
+    return min(max(one / (one + 2 * two), 0.05), 0.95) if one else 0.5
+
+
+def _level(words: DataFrame, multi: DataFrame) -> DataFrame:
+    """Words with their customers in the word restaurant (cs) and the tables of their own context (tus), of each sample kept."""
+
+    def tables(key, name):
+        return multi.groupBy(F.col(key).alias("h")).agg(F.array(*[F.sum(F.col("ts")[j]) for j in range(KEEP)]).alias(name))
+
+    def plus(ones, name):
+        return F.transform(F.coalesce(name, F.array_repeat(F.lit(0).cast("bigint"), KEEP)), lambda x: x + F.col(ones))
+
+    joined = words.join(tables("w", "mw"), "h", "left").join(tables("u", "mu"), "h", "left")
+    return joined.select("w", "h", "c", plus("ones_w", "mw").alias("cs"), plus("ones_u", "mu").alias("tus"), F.col("mw").isNotNull().alias("multi"))
+
+
+def score(docs: DataFrame, learn: Column, sweeps: int = SWEEPS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, text) -> doc_id, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score; log10 of whole texts."""
     spark = docs.sparkSession
     ship(spark)
-    blocks = stage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), "text").mapInArrow(_blocks, "block bigint, words array<binary>, tf array<bigint>, docs array<bigint>, sizes array<bigint>, ids binary"))
-    counts = blocks.select(F.explode(F.arrays_zip("words", "tf")).alias("x")).groupBy(F.col("x.words").alias("w")).agg(F.sum("x.tf").alias("c"))
-    counts = stage(counts)
-    n, v, one, two = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.expr("count_if(c > 0)"), F.expr("count_if(c = 1)"), F.expr("count_if(c = 2)")).first()
-    discount = min(max(one / (one + 2 * two), 0.05), 0.95) if one else 0.5
-
-    spelling, tables, rng, samples = Spelling(), float(v), np.random.default_rng(10), []
+    schema = "block bigint, words array<binary>, tf array<bigint>, ones_w array<bigint>, ones_u array<bigint>, learns array<boolean>, docs array<bigint>, sizes array<bigint>, ids binary"
+    blocks = stage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), "text").mapInArrow(_blocks(block_tokens), schema))
+    counts = stage(
+        blocks.select(F.explode(F.arrays_zip("words", "tf", "ones_w", "ones_u")).alias("x"))
+        .groupBy(F.col("x.words").alias("w"))
+        .agg(F.sum("x.tf").alias("c"), F.sum("x.ones_w").alias("ones_w"), F.sum("x.ones_u").alias("ones_u"))
+    )
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.expr("count_if(c > 0)")).first()
+
+    pairs = blocks.select("block", "words", "learns", "sizes", "ids").mapInArrow(_pairs, "block bigint, pair int, u bigint, w bigint, tf int")
+    seen = stage(pairs.withColumn("c", F.sum("tf").over(Window.partitionBy("u", "w"))).filter("c > 1 or (c = 1 and tf = 0)"))
+    multi = stage(seen.filter("c > 1").groupBy("u", "w").agg(F.first("c").alias("c")).select("*", F.array_repeat(F.lit(1).cast("bigint"), KEEP).alias("ts")))
+    words = counts.withColumn("h", F.xxhash64("w"))
+    for key in "wu":  # learnt once in a block, more often in all
+        less = seen.filter("c > 1 and tf = 1").groupBy(F.col(key).alias("h")).agg(F.count("*").alias("less"))
+        words = words.join(less, "h", "left").withColumn(f"ones_{key}", F.col(f"ones_{key}") - F.coalesce("less", F.lit(0))).drop("less")
+    words = stage(words)
+    pair_discount = _discount(words.agg(F.coalesce(F.sum("ones_w"), F.lit(0))).first()[0], multi.filter("c = 2").count())
+
+    spelling, tables, rng, samples = Spelling(), None, np.random.default_rng(10), []
+    last = F.col("cs")[KEEP - 1]
     for k in range(sweeps):
+        level = stage(_level(words, multi))
+        customers, known, one, two = level.select(last.alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)), F.expr("count_if(c > 0)"), F.expr("count_if(c = 1)"), F.expr("count_if(c = 2)")).first()
+        tables = float(known) if tables is None else tables
         log_prob = np.log(spelling.prob[3]).astype(np.float32).ravel()
-        sent = spark.sparkContext.broadcast((log_prob, tables, discount))
-        got = counts.filter("c > 0").mapInArrow(_reseat(sent, k), "cell bigint, t double").groupBy("cell").agg(F.sum("t").alias("t")).toArrow()  # a row for each cell of the spelling
+        samples.append((log_prob, tables, _discount(one, two), customers))
+        sent = spark.sparkContext.broadcast(samples[-1])
+        if k + 1 == sweeps:
+            break
+        got = level.filter(last > 0).select("w", last).mapInArrow(_reseat(sent, k), "cell bigint, t double").groupBy("cell").agg(F.sum("t").alias("t")).toArrow()  # a row for each cell of the spelling
         cell, t = np.array(got.column(0), np.int64), np.array(got.column(1), float)
-        customers = np.zeros(1 << (LEVELS[3] + 8), np.int64)
-        customers[cell[cell >= 0]] = np.rint(t[cell >= 0]).astype(np.int64)
+        sums = np.zeros(1 << (LEVELS[3] + 8), np.int64)
+        sums[cell[cell >= 0]] = np.rint(t[cell >= 0]).astype(np.int64)
         tables = float(t[cell == -1].sum())
-        samples.append((log_prob, tables, discount))
-        if k + 1 < sweeps:
-            spelling.sweep(customers, rng)
+        spelling.sweep(sums, rng)
+        probs = level.filter("multi").select("w", "h", last).mapInArrow(_word_probs(sent, k), "h bigint, lp double").withColumnRenamed("h", "w")
+        contexts = level.select(F.col("h").alias("u"), F.col("tus")[KEEP - 1].alias("tables"))
+        multi = stage(multi.join(probs, "w").join(contexts, "u").select("u", "w", "c", "ts", "lp", "tables").mapInArrow(_seat_pairs(pair_discount, k), "u bigint, w bigint, c bigint, ts array<bigint>"))
+    samples = [samples[0]] * (KEEP - len(samples)) + samples
     sent = spark.sparkContext.broadcast(samples[-KEEP:])
-    scores = counts.mapInArrow(_word_scores(sent, n), "w binary, c bigint, lp double")
+    scores = level.select("w", "c", "cs", "tus").mapInArrow(_word_scores(sent), "w binary, c bigint, p array<double>")
 
+    none = {"learns": "array<boolean>", "docs": "array<bigint>", "sizes": "array<bigint>", "ids": "binary"}
+    nulls = [F.lit(None).cast(kind).alias(name) for name, kind in none.items()]
     posts = blocks.select("block", F.posexplode("words").alias("at", "w"))
-    back = posts.join(scores, "w").select("block", "at", "c", "lp", F.lit(None).cast("array<bigint>").alias("docs"), F.lit(None).cast("array<bigint>").alias("sizes"), F.lit(None).cast("binary").alias("ids"))
-    heads = blocks.select("block", F.lit(-1).alias("at"), F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("double").alias("lp"), "docs", "sizes", "ids")
+    of_words = posts.join(scores, "w").select("block", "at", F.lit(-1).alias("pair"), "c", "p", *nulls)
+    of_pairs = seen.drop("tf").join(multi.drop("c"), ["u", "w"], "left").select("block", F.lit(-2).alias("at"), "pair", "c", F.coalesce("ts", F.array_repeat(F.lit(1).cast("bigint"), KEEP)).cast("array<double>").alias("p"), *nulls)
+    heads = blocks.select("block", F.lit(-1).alias("at"), F.lit(-1).alias("pair"), F.lit(0).cast("bigint").alias("c"), F.lit(None).cast("array<double>").alias("p"), *none)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count())
-    out = heads.unionByName(back).repartition(parts, "block").mapInArrow(_text_scores(n, v), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = heads.unionByName(of_words).unionByName(of_pairs).repartition(parts, "block").mapInArrow(_text_scores(n, v, pair_discount), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 

@@ -62,6 +62,49 @@ def spelled_unigram(train, held):
     return sum(math.log10((c[w] + 1) / (n + v + 1)) + (0 if c[w] else sum(math.log10((b[x] + 1) / m) for x in [*w, 10])) for t in held for w in tokens(t))
 
 
+def test_pairs_of_a_block():
+    ids, learns = np.array([0, 1, 0, 2, 3, 1, 2], np.uint32), np.array([True, True, True, True, False, False, False])  # texts 0 1 0 2 and 3 1 2; 2 is the end
+    codes, pair, times = lm.pairs_of(ids, learns)
+    named = [(int(c) >> 32, int(c) & 0xFFFFFFFF) for c in codes]
+    assert [named[k] for k in pair] == [(2, 0), (0, 1), (1, 0), (0, 2), (2, 3), (3, 1), (1, 2)]
+    assert {p: int(t) for p, t in zip(named, times, strict=True) if t} == {(2, 0): 1, (0, 1): 1, (1, 0): 1, (0, 2): 1}
+
+
+def test_hash_is_sparks(spark):
+    import xxhash
+
+    words = [b"", b"a", "über".encode(), b"z" * 100]
+    got = spark.createDataFrame([(w,) for w in words], "w binary").select("w", F.xxhash64("w").alias("h")).collect()
+    assert {bytes(r.w): r.h & (1 << 64) - 1 for r in got} == {w: xxhash.xxh64_intdigest(w, seed=42) for w in words}
+
+
+def test_next_words_by_counts(spark):
+    """Texts of one word: about the shares of their two pairs, whatever the block size, and all together below 1."""
+    rng = np.random.default_rng(3)
+    train = [(d, " ".join(rng.choice(["ka", "lo", "mi", "nu"], 30))) for d in range(60)]
+    ask = {1000: "", 1001: "ka", 1002: "lo", 1003: "mi", 1004: "nu", 1005: "xy"}
+    follows = Counter(p for _, t in train for ws in [["", *t.split(), ""]] for p in zip(ws, ws[1:], strict=False))
+    of = Counter(w for _, t in train for w in tokens(t))
+    docs = spark.createDataFrame(train + list(ask.items()), "doc_id long, text string")
+    for size in (4_000_000, 100):
+        got = {r.doc_id: 10**r.score for r in lm.score(docs.repartition(3), F.col("doc_id") < 1000, block_tokens=size).collect()}
+        assert sum(got[d] for d in ask) < 1 and 0 < got[1005] < min(got[d] for d in (1001, 1002, 1003, 1004))
+        for d in (1001, 1002, 1003, 1004):
+            share = follows["", ask[d]] / of[b""] * follows[ask[d], ""] / of[ask[d].encode()]
+            assert abs(got[d] / share - 1) < 0.5
+
+
+def test_words_in_order_score_better(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(7)
+    cycle = [(10_000_000 + d, " ".join(f"w{(k * 7 + d) % 50} v{(k * 7 + d) % 50}" for k in range(40))) for d in range(40)]
+    mixed = [(20_000_000 + d - 10_000_000, " ".join(rng.permutation(t.split()))) for d, t in cycle]
+    learn = (F.col("doc_id") < 20_000_000) & (F.col("doc_id") % 2 == 0)
+    got = {r.doc_id: r.score for r in lm.score(docs.unionByName(spark.createDataFrame(cycle + mixed, docs.schema)), learn).collect()}
+    odd = [d for d, _ in cycle if d % 2]
+    assert all(got[d] > got[d + 10_000_000] + 20 for d in odd)  # held out, same words
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "a B  b"), (3, "a B  b"), (None, "b c"), (5, "z" * 3000), (6, " \n")]
     docs = spark.createDataFrame([(a, b, 0.0) for a, b in rows], "doc_id long, text string, score double")
