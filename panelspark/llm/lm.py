@@ -122,10 +122,17 @@ class Spelling:
             self.prob[k] = predictive(parent, counts[k], self.tables[k], discounts[k])
 
 
-def spelled(words: list[bytes], log_prob: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def packed(prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logs of the distinct rows of ``prob`` and the row of each context: one without customers has its parent's."""
+    rows, at = np.unique(np.ascontiguousarray(np.log(prob).astype(np.float32)).view("V1024").ravel(), return_inverse=True)
+    return rows.view(np.float32).reshape(-1, 256), at.astype(np.uint16)
+
+
+def spelled(words: list[bytes], log_prob: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log-probability of spelling each word; cells and sizes."""
     cells, size = cells_of(words)
-    return np.add.reduceat(log_prob[cells], np.cumsum(size) - size) if len(words) else np.zeros(0), cells, size
+    rows, at = log_prob
+    return np.add.reduceat(rows[at[cells >> 8], cells & 255], np.cumsum(size) - size) if len(words) else np.zeros(0), cells, size
 
 
 def pairs_of(ids: np.ndarray, learns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -346,11 +353,10 @@ def score(docs: DataFrame, learn: Column, sweeps: int = SWEEPS, block_tokens: in
         level = stage(_level(words, multi))
         customers, known, one, two = level.select(last.alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)), F.expr("count_if(c > 0)"), F.expr("count_if(c = 1)"), F.expr("count_if(c = 2)")).first()
         tables = float(known) if tables is None else tables
-        log_prob = np.log(spelling.prob[3]).astype(np.float32).ravel()
-        samples.append((log_prob, tables, _discount(one, two), customers))
-        sent = spark.sparkContext.broadcast(samples[-1])
+        samples.append((packed(spelling.prob[3]), tables, _discount(one, two), customers))
         if k + 1 == sweeps:
             break
+        sent = spark.sparkContext.broadcast(samples[-1])
         got = level.filter(last > 0).select("w", last).mapInArrow(_reseat(sent, k), "cell bigint, t double").groupBy("cell").agg(F.sum("t").alias("t")).toArrow()  # a row for each cell of the spelling
         cell, t = np.array(got.column(0), np.int64), np.array(got.column(1), float)
         sums = np.zeros(1 << (LEVELS[3] + 8), np.int64)
@@ -360,6 +366,7 @@ def score(docs: DataFrame, learn: Column, sweeps: int = SWEEPS, block_tokens: in
         probs = level.filter("multi").select("w", "h", last).mapInArrow(_word_probs(sent, k), "h bigint, lp double").withColumnRenamed("h", "w")
         contexts = level.select(F.col("h").alias("u"), F.col("tus")[KEEP - 1].alias("tables"))
         multi = stage(multi.join(probs, "w").join(contexts, "u").select("u", "w", "c", "ts", "lp", "tables").mapInArrow(_seat_pairs(pair_discount, k), "u bigint, w bigint, c bigint, ts array<bigint>"))
+        sent.destroy()  # what was made with it is written
     samples = [samples[0]] * (KEEP - len(samples)) + samples
     sent = spark.sparkContext.broadcast(samples[-KEEP:])
     scores = level.select("w", "c", "cs", "tus").mapInArrow(_word_scores(sent), "w binary, c bigint, p array<double>")

@@ -29,6 +29,8 @@ def test_spelling_is_a_distribution_and_seats_are_counts():
         s.sweep(customers, rng)
         for p, t in zip(s.prob, s.tables, strict=True):
             assert np.allclose(p.sum(axis=1), 1) and (p > 0).all() and (t >= 0).all()
+        rows, at = lm.packed(s.prob[3])
+        assert np.array_equal(rows[at], np.log(s.prob[3]).astype(np.float32)) and len(rows) < 30
     c = rng.integers(1, 5000, 300)
     t = lm.seat(c, np.full(300, 0.3), 50.0, 0.6, rng)
     assert (t >= 1).all() and (t <= c).all()
