@@ -311,17 +311,23 @@ def _discount(one: int, two: int) -> float:
     return min(max(one / (one + 2 * two), 0.05), 0.95) if one else 0.5
 
 
-def _level(words: DataFrame, multi: DataFrame) -> DataFrame:
-    """Words with their customers in the word restaurant (cs) and the tables of their own context (tus), of each sample kept."""
+def _tables(multi: DataFrame, key: str, name: str) -> DataFrame:
+    return multi.groupBy(F.col(key).alias("h")).agg(F.array(*[F.sum(F.col("ts")[j]) for j in range(KEEP)]).alias(name))
+
 
-    def tables(key, name):
-        return multi.groupBy(F.col(key).alias("h")).agg(F.array(*[F.sum(F.col("ts")[j]) for j in range(KEEP)]).alias(name))
+def _level(words: DataFrame, multi: DataFrame | None = None) -> DataFrame:
+    """Words with their customers in the word restaurant (cs) and the tables of their own context (tus), of each sample kept."""
+    none = F.array_repeat(F.lit(0).cast("bigint"), KEEP)
+    words = words.withColumn("h", F.xxhash64("w"))
+    if multi is None:
+        words = words.select("*", none.alias("mw"), none.alias("mu"))
+    else:
+        words = words.join(_tables(multi, "w", "mw"), "h", "left").join(_tables(multi, "u", "mu"), "h", "left")
 
     def plus(ones, name):
-        return F.transform(F.coalesce(name, F.array_repeat(F.lit(0).cast("bigint"), KEEP)), lambda x: x + F.col(ones))
+        return F.transform(F.coalesce(name, none), lambda x: x + F.col(ones))
 
-    joined = words.join(tables("w", "mw"), "h", "left").join(tables("u", "mu"), "h", "left")
-    return joined.select("w", "h", "c", plus("ones_w", "mw").alias("cs"), plus("ones_u", "mu").alias("tus"), F.col("mw").isNotNull().alias("multi"))
+    return words.select("w", "c", plus("ones_w", "mw").alias("cs"), plus("ones_u", "mu").alias("tus"))
 
 
 def score(docs: DataFrame, learn: Column, sweeps: int = SWEEPS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -330,27 +336,27 @@ def score(docs: DataFrame, learn: Column, sweeps: int = SWEEPS, block_tokens: in
     ship(spark)
     schema = "block bigint, words array<binary>, tf array<bigint>, ones_w array<bigint>, ones_u array<bigint>, learns array<boolean>, docs array<bigint>, sizes array<bigint>, ids binary"
     blocks = stage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), "text").mapInArrow(_blocks(block_tokens), schema))
-    counts = stage(
+    words = (
         blocks.select(F.explode(F.arrays_zip("words", "tf", "ones_w", "ones_u")).alias("x"))
         .groupBy(F.col("x.words").alias("w"))
         .agg(F.sum("x.tf").alias("c"), F.sum("x.ones_w").alias("ones_w"), F.sum("x.ones_u").alias("ones_u"))
+        .withColumn("h", F.xxhash64("w"))
     )
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.expr("count_if(c > 0)")).first()
-
     pairs = blocks.select("block", "words", "learns", "sizes", "ids").mapInArrow(_pairs, "block bigint, pair int, u bigint, w bigint, tf int")
     seen = stage(pairs.withColumn("c", F.sum("tf").over(Window.partitionBy("u", "w"))).filter("c > 1 or (c = 1 and tf = 0)"))
     multi = stage(seen.filter("c > 1").groupBy("u", "w").agg(F.first("c").alias("c")).select("*", F.array_repeat(F.lit(1).cast("bigint"), KEEP).alias("ts")))
-    words = counts.withColumn("h", F.xxhash64("w"))
     for key in "wu":  # learnt once in a block, more often in all
-        less = seen.filter("c > 1 and tf = 1").groupBy(F.col(key).alias("h")).agg(F.count("*").alias("less"))
-        words = words.join(less, "h", "left").withColumn(f"ones_{key}", F.col(f"ones_{key}") - F.coalesce("less", F.lit(0))).drop("less")
-    words = stage(words)
-    pair_discount = _discount(words.agg(F.coalesce(F.sum("ones_w"), F.lit(0))).first()[0], multi.filter("c = 2").count())
+        again = seen.filter("c > 1").groupBy(F.col(key).alias("h")).agg(F.count_if(F.expr("tf = 1")).alias(f"again_{key}"))
+        words = words.join(again, "h", "left").withColumn(f"ones_{key}", F.col(f"ones_{key}") - F.coalesce(f"again_{key}", F.lit(0)))
+    words = stage(words.select("w", "c", "ones_w", "ones_u", F.expr("again_w is not null or again_u is not null").alias("moves")))
+    n, v, ones = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.expr("count_if(c > 0)"), F.coalesce(F.sum("ones_w"), F.lit(0))).first()
+    pair_discount = _discount(ones, multi.filter("c = 2").count())
 
     spelling, tables, rng, samples = Spelling(), None, np.random.default_rng(10), []
-    last = F.col("cs")[KEEP - 1]
+    last, still = F.col("cs")[KEEP - 1], _level(words.filter("not moves"))  # words of pairs learnt once keep their customers
     for k in range(sweeps):
-        level = stage(_level(words, multi))
+        moving = stage(_level(words.filter("moves"), multi))
+        level = still.unionByName(moving)
         customers, known, one, two = level.select(last.alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)), F.expr("count_if(c > 0)"), F.expr("count_if(c = 1)"), F.expr("count_if(c = 2)")).first()
         tables = float(known) if tables is None else tables
         samples.append((packed(spelling.prob[3]), tables, _discount(one, two), customers))
@@ -363,8 +369,9 @@ def score(docs: DataFrame, learn: Column, sweeps: int = SWEEPS, block_tokens: in
         sums[cell[cell >= 0]] = np.rint(t[cell >= 0]).astype(np.int64)
         tables = float(t[cell == -1].sum())
         spelling.sweep(sums, rng)
-        probs = level.filter("multi").select("w", "h", last).mapInArrow(_word_probs(sent, k), "h bigint, lp double").withColumnRenamed("h", "w")
-        contexts = level.select(F.col("h").alias("u"), F.col("tus")[KEEP - 1].alias("tables"))
+        hashed = moving.withColumn("h", F.xxhash64("w"))
+        probs = hashed.filter(last > 0).select("w", "h", last).mapInArrow(_word_probs(sent, k), "h bigint, lp double").withColumnRenamed("h", "w")
+        contexts = hashed.select(F.col("h").alias("u"), F.col("tus")[KEEP - 1].alias("tables"))
         multi = stage(multi.join(probs, "w").join(contexts, "u").select("u", "w", "c", "ts", "lp", "tables").mapInArrow(_seat_pairs(pair_discount, k), "u bigint, w bigint, c bigint, ts array<bigint>"))
         sent.destroy()  # what was made with it is written
     samples = [samples[0]] * (KEEP - len(samples)) + samples
