@@ -87,6 +87,27 @@ def densify(
     return x.select(*keys, F.get(days, F.col("__pos")).alias(date), *static, *[F.when(here, F.col(c)).alias(c) for c in rest])
 
 
+def densify_books(df: DataFrame, keys: Sequence[str], date: str = "month_end", full: bool = True) -> DataFrame:
+    """One row per (key, asset) and date of the key's own calendar; measures are NULL where the book lacks the asset.
+
+    ``full=False`` starts an asset at its own first date. Each row fills the positions up to the asset's next one. Both joins are on
+    (key, date), so a book that holds most of all rows is spread over its dates; the calendars have a row per key and date.
+    """
+    keys = list(keys)
+    by = Window.partitionBy(*(keys or [F.lit(0)]))
+    own = df.filter(F.col(date).isNotNull()).select(*keys, date).distinct()
+    own = own.select("*", F.row_number().over(by.orderBy(date)).alias("_t"), F.count(F.lit(1)).over(by).cast("int").alias("_n"))
+    w = Window.partitionBy(*keys, "asset").orderBy("_t")
+    x = df.join(own, [*keys, date])
+    first = F.when(F.lag("_t").over(w).isNull(), F.lit(1)).otherwise(F.col("_t")) if full else F.col("_t")
+    x = x.withColumn("_lo", first).withColumn("_hi", F.greatest(F.coalesce(F.lead("_t").over(w) - 1, F.col("_n")), F.col("_t")))
+    rest = [c for c in df.columns if c not in (*keys, "asset", date)]
+    here = F.col("_pos") == F.col("_t")
+    x = x.withColumn("_pos", F.explode(F.sequence("_lo", "_hi")))
+    x = x.select(*keys, "asset", F.col("_pos"), *[F.when(here, F.col(c)).alias(c) for c in rest])
+    return x.join(own.select(*keys, date, F.col("_t").alias("_pos")), [*keys, "_pos"]).select(*keys, "asset", date, *rest)
+
+
 def densify_monthly(
     df: DataFrame, keys: Sequence[str] = ("asset",), month: str = "month_end", static: Sequence[str] = ()
 ) -> DataFrame:

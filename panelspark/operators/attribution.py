@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.config import ANN_DAYS, LONG_BASKET, MONTHS_PER_YEAR, SHORT_BASKET
+from panelspark.functions.calendar import densify_books
 from panelspark.functions.stats import div
 from panelspark.operators.performance import compounded_stats
 
@@ -88,9 +89,7 @@ def composition(weights: DataFrame, keys: Keys = ("strategy",), warn_at: float =
 def selection_frequency(weights: DataFrame, keys: Keys = ("strategy",), month: str = "month_end", window: int = 36, min_periods: int = 12) -> DataFrame:
     """Trailing share of months an asset is long (short), on a grid where an absent month counts as not held."""
     keys = list(keys)
-    months = weights.select(*keys, month).distinct()
-    names = weights.select(*keys, "asset").distinct()
-    grid = names.join(months, keys).join(weights.select(*keys, "asset", month, "basket"), [*keys, "asset", month], "left")
+    grid = densify_books(weights.select(*keys, "asset", month, "basket"), keys, month)
     flag = lambda b: F.coalesce((F.col("basket") == b).cast("double"), F.lit(0.0))
     w = Window.partitionBy(*keys, "asset").orderBy(month).rowsBetween(-(window - 1), 0)
     ok = F.count(F.lit(1)).over(w) >= min_periods

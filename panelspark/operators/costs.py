@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.config import ANN_DAYS, LONG_BASKET, SHORT_BASKET
-from panelspark.functions.calendar import densify_monthly, forward_fill, period_label
+from panelspark.functions.calendar import densify_books, densify_monthly, forward_fill, period_label
 from panelspark.functions.stats import div
 
 Keys = Sequence[str]
@@ -50,13 +50,8 @@ def asset_turnover(weights: DataFrame, keys: Keys = (), date: str = "date") -> D
 
 def rebalancing_trades(weights: DataFrame, keys: Keys = (), month: str = "month_end") -> DataFrame:
     """Trades against last month's weights on the book's own month grid (absent = 0 weight)."""
-    keys = list(keys)
-    months = weights.select(*keys, month).distinct()
-    first = weights.groupBy(*keys, "asset").agg(F.min(month).alias("_lo"))
     # each name is followed from its first month on; earlier months hold no weight and trade nothing
-    grid = first.join(months, keys) if keys else first.withColumn("_k", F.lit(0)).join(months.withColumn("_k", F.lit(0)), "_k").drop("_k")
-    grid = grid.filter(F.col(month) >= F.col("_lo")).drop("_lo")
-    return weight_changes(grid.join(weights, [*keys, "asset", month], "left"), keys, month)
+    return weight_changes(densify_books(weights, keys, month, full=False), keys, month)
 
 
 def monthly_rebalancing(trades: DataFrame, keys: Keys = (), month: str = "month_end") -> DataFrame:

@@ -27,6 +27,27 @@ def wide(pdf):
     return pdf.pivot(index="date", columns="asset", values="v").sort_index()
 
 
+@pytest.mark.parametrize("keys", [["book"], []])
+@pytest.mark.parametrize("full", [True, False])
+def test_books_fill_their_own_calendar(spark, keys, full):
+    rng = np.random.default_rng(11)
+    months = [d.date() for d in pd.date_range("2023-01-31", periods=9, freq="ME")]
+    rows = [("big", a, m, 1.0, "x") for a in "abcdefgh" for m in months if rng.random() < 0.5] + [("small", "a", months[2], 2.0, None), ("small", "z", months[7], 3.0, "y")]
+    if not keys:
+        rows = [r for r in rows if r[0] == "big"]
+    df = spark.createDataFrame([*rows, ("big", "a", None, 9.0, "x")], "book string, asset string, month_end date, weight double, basket string")
+    got = {(r.book if keys else "big", r.asset, r.month_end): (r.weight, r.basket) for r in cal.densify_books(df if keys else df.drop("book"), keys, full=full).collect()}
+    held = {r[:3]: r[3:] for r in rows}
+    exp = {}
+    for book in {r[0] for r in rows}:
+        own = sorted({r[2] for r in rows if r[0] == book})
+        for asset in {r[1] for r in rows if r[0] == book}:
+            first = min(r[2] for r in rows if r[:2] == (book, asset))
+            exp |= {(book, asset, m): held.get((book, asset, m), (None, None)) for m in own if full or m >= first}
+    assert got == exp
+    assert cal.densify_books(df.limit(0), ["book"], full=full).count() == 0
+
+
 def test_densify_has_every_date_of_every_asset(spark):
     pdf = gappy()
     out = cal.densify(spark.createDataFrame(pdf)).toPandas()
