@@ -1,7 +1,7 @@
 """Licence notices by an exact set-similarity join between templates and blocks of text; DataFrame functions only.
 
-A text is cut into blocks of ``BLOCK`` words at every ``BLOCK / 2`` words, so that any notice of up to BLOCK / 2 words lies whole in a
-block. A template is found in a block that holds at least ``threshold`` of its distinct words (containment). Words that no template has
+A text is cut into blocks at every half block, so that any notice of up to half a block lies whole in one. A block has ``BLOCK`` words,
+or twice the words of the longest template if that is more. A template is found in a block that holds at least ``threshold`` of its distinct words (containment). Words that no template has
 can't count, so sets are taken over the templates' words, ordered by their number of places in all texts, rarest first. With need =
 ceil(threshold * size): a block must hold one of a template's first (size - need + 1) words among its own first (held - need + 1) words
 (prefix), hold at least need words (length), and the words from the meeting place on must suffice on both sides (positions). What is
@@ -68,8 +68,8 @@ def notices(texts: DataFrame, threshold: float = THRESHOLD, templates: dict[str,
     probe = F.broadcast(spark.createDataFrame(index, "r int, template int, label string, i int, size int, need int, ranks array<int>"))
 
     maybe = texts.filter(F.expr(f"arrays_overlap(words, {_sql_array(sorted(prefix))})"))
-    half = BLOCK // 2
-    blocks = maybe.select("key", F.explode(F.expr(f"transform(sequence(0, greatest(size(words) - {half} - 1, 0) div {half}), k -> slice(words, cast(k as int) * {half} + 1, {BLOCK}))")).alias("block"))
+    half = max(BLOCK // 2, *(len(t.split()) for ts in (templates or TEMPLATES).values() for t in ts))
+    blocks = maybe.select("key", F.explode(F.expr(f"transform(sequence(0, greatest(size(words) - {half} - 1, 0) div {half}), k -> slice(words, cast(k as int) * {half} + 1, {2 * half}))")).alias("block"))
     held = blocks.select("key", F.expr(f"sort_array(transform(array_intersect(block, {_sql_array(order)}), w -> cast(array_position({_sql_array(order)}, w) as int) - 1))").alias("held")).filter(F.size("held") >= least)
     met = (
         held.select("key", "held", F.posexplode(F.expr(f"slice(held, 1, size(held) - {least} + 1)")).alias("j", "r"))

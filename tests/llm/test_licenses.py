@@ -51,3 +51,12 @@ def test_query_on_whole_table_and_plan(spark):
     same(rows, df.collect())
     plan = df._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_long_templates_are_found_wherever_they_lie(spark):
+    long, short = " ".join(f"word{k}" for k in range(100)), "licensed under some terms"
+    filler = lambda n: " ".join(f"plain{k}" for k in range(n))
+    rows = [(str(k), f"{filler(k)} {long} {filler(57)}".split()) for k in (0, 1, 31, 64, 99, 100, 101, 163, 250)]
+    rows += [("half", f"{filler(40)} {' '.join(long.split()[:79])}".split()), ("most", f"{filler(130)} {' '.join(long.split()[20:])}".split()), ("both", f"{long} {filler(300)} {short}".split())]
+    got = {r.key: (r.found, r.best) for r in lc.notices(spark.createDataFrame(rows, "key string, words array<string>"), templates={"long": [long], "short": [short]}).collect()}
+    assert got == {k: (["long"], 1.0) for k, _ in rows if k.isdigit()} | {"most": (["long"], 0.8), "both": (["long", "short"], 1.0)}
