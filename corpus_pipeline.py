@@ -16,7 +16,7 @@ NO_ID = -(1 << 63)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this share of belief no language is accepted; a clear text is near 1.
 LEAST_SCORE = 0.3
-#: A text fits no language where its mean log-probability a letter is below the low quantile of the training sample times
+#: A text fits no language where its mean log-probability a letter is below the low quantile of all labelled texts times
 #: FIT + 1 / sqrt(words): a few words vary more. Clean texts are near 1 times, other languages at 2.7 or more.
 FIT = 2.0
 
@@ -27,12 +27,12 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = langid.train(docs, F.lit(True))
     if not model[0]:
         return docs.filter(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
-    low = langid.low_fits(docs, F.lit(True), model)
+    out = stage(langid.predict(docs, model, keep=tuple(COLUMNS), fit=True))
+    low = langid.low_fits(out.filter("lang is not null and doc_id is not null"))
     bound = F.lit(None).cast("double")
     for lang, x in low.items():
         bound = F.when(F.col("lang_pred") == lang, x).otherwise(bound)
     fits = F.coalesce(F.col("fit") >= bound * (FIT + 1 / F.sqrt("n_words")), F.lit(True))
-    out = langid.predict(docs, model, keep=tuple(COLUMNS), fit=True)
     return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & fits).select(COLUMNS)
 
 

@@ -3,9 +3,10 @@
 A word (letters only, lower-cased, with a mark at its start, cut after ``LONGEST`` characters) can be split into vocabulary pieces in
 many ways; its probability in a language is the sum over all of them of the product of piece probabilities, by the forward algorithm.
 A single character that the vocabulary lacks counts as one unknown piece. Piece probabilities are fitted by expectation maximisation
-(forward-backward) on the words of at most ``SAMPLE`` training documents per language, those with the smallest hash of their id: a
-bounded sample, while every text is scored whole. A text's score is the softmax over languages of its log-probability divided by the
-square root of its number of words.
+(forward-backward) on the words of all training documents: each distinct word of a language is one row with its count and its lattice,
+every round sums the expected counts in tasks, and only a number for each piece and language comes to the driver. Expected counts are
+summed as integers (2^-16 of an occurrence), so the model does not depend on how rows are dealt. A text's score is the softmax over
+languages of its log-probability divided by the square root of its number of words.
 
 Texts that are null or have no letter get ``und`` and score 0, and so does every text where nothing could be learnt (no training rows).
 Rows with a null id are scored and never learnt from. Repeated rows stay; other columns are ignored.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,16 @@ import sentencepiece
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import held, ship, slices
+from panelspark.llm.common import held, ship, slices, stage
 
 VOCABULARY = "piece_bpe_32k.model"
-SAMPLE, ROUNDS, LONGEST, WIDEST = 400, 4, 24, 10
+ROUNDS, LONGEST, WIDEST = 4, 24, 10
 LOW = 0.05
+#: Expected count that each piece has beforehand, at least this share of the language's pieces, so that no word's probability vanishes.
+PRIOR, LEAST_SHARE = 0.01, 1e-8
+#: A task hands on the words it has counted when it holds so many.
+COUNTED = 1 << 18
+_UNIT = 1 << 16
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -90,37 +97,24 @@ def word_scores(words: list[str], vocab: dict[str, int], prob: np.ndarray) -> np
     return out
 
 
-def fit(counts: dict[str, dict[str, int]], vocab: dict[str, int], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """{language: {word: count}} -> languages and piece probabilities [piece, language], a row of zeros last."""
-    langs, size = sorted(counts), len(vocab) + 1
-    prob = np.zeros((size + 1, len(langs)))
-    for j, lang in enumerate(langs):
-        groups: dict[int, list] = {}
-        for w, c in counts[lang].items():
-            for k in range(0, len(w), LONGEST):
-                groups.setdefault(len(w[k : k + LONGEST]), []).append((w[k : k + LONGEST], c))
-        ready = [(lattice([w for w, _ in g], vocab)[0], np.array([c for _, c in g], float)) for _, g in sorted(groups.items())]
-        p = np.full((size + 1, 1), 1 / size)
-        p[-1] = 0
-        for _ in range(rounds):
-            got = np.zeros(size)
-            for pieces, c in ready:
-                a = forward(pieces, p)[:, :, 0]
-                n = pieces.shape[1]
-                b = np.zeros_like(a)
-                b[:, n] = 1
-                for s in range(n - 1, -1, -1):
-                    for w in range(min(WIDEST, n - s)):
-                        b[:, s] += p[pieces[:, s, w], 0] * b[:, s + w + 1]
-                for s in range(n):
-                    for w in range(min(WIDEST, n - s)):
-                        ids = pieces[:, s, w]
-                        share = a[:, s] * p[ids, 0] * b[:, s + w + 1] / a[:, n] * c
-                        ok = ids >= 0
-                        got += np.bincount(ids[ok], share[ok], size)
-            p[:size, 0] = (got + 0.01) / (got.sum() + 0.01 * size)
-        prob[:, j] = p[:, 0]
-    return langs, prob
+def expected(pieces: np.ndarray, lang: np.ndarray, count: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """Expected number of uses of each piece, [language, piece] flattened, in integer units of 1 / _UNIT, for words of one length.
+    prob [language, piece] has a zero at the end of each language, for -1."""
+    words, n, _ = pieces.shape
+    size = prob.shape[1]
+    at = pieces % size + (lang * size)[:, None, None]
+    q = prob.ravel().take(at)
+    a, b = np.zeros((words, n + 1)), np.zeros((words, n + 1))
+    a[:, 0] = b[:, n] = 1
+    for s in range(n):
+        w = min(WIDEST, n - s)
+        a[:, s + 1 : s + 1 + w] += a[:, s, None] * q[:, s, :w]
+    for s in range(n - 1, -1, -1):
+        w = min(WIDEST, n - s)
+        b[:, s] = (q[:, s, :w] * b[:, s + 1 : s + 1 + w]).sum(axis=1)
+        q[:, s, :w] *= a[:, s, None] * b[:, s + 1 : s + 1 + w]
+    q *= (count / a[:, n])[:, None, None]
+    return np.bincount(at.ravel(), np.rint(q * _UNIT).ravel(), prob.size)
 
 
 class _Scores:
@@ -167,41 +161,84 @@ def _predict(name: str, model, path: str, keep: list[str], text: int, fit: bool)
     return run
 
 
-def _sample_words(batches):
+def _counted(batches):
+    counts: dict[str, Counter] = {}
+
+    def rows():
+        cut = [(lang, w[k : k + LONGEST], n) for lang, c in counts.items() for w, n in c.items() for k in range(0, len(w), LONGEST)]
+        counts.clear()
+        for k in range(0, len(cut), 8192):
+            cols = zip(*cut[k : k + 8192], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "w", "n"])
+
     for b in slices(batches, 256):
-        langs, words = [], []
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            w = words_of(text)
-            langs += [lang] * len(w)
-            words += w
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string())], names=["lang", "w"])
-
-
-def _sampled(docs: DataFrame, learn, sample: int) -> DataFrame:
-    """Rows (doc_id, lang, text) to learn from."""
-    rows = docs.filter(learn).filter("lang is not null and doc_id is not null")
-    ids = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(256)).alias("salt"))
-    for keys in (["lang", "salt"], ["lang"]):  # a language may hold most rows: first within salts, then among what they keep
-        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
-        ids = ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample).drop("r")
-    ids = ids.select("doc_id", "lang").distinct()
-    return rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text")
-
-
-def train(docs: DataFrame, learn, vocab_path: str | None = None, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Fit on rows of (doc_id, text, lang) where ``learn`` holds, at most ``sample`` for each language."""
-    ship(docs.sparkSession)
-    words = _sampled(docs, learn, sample).select("lang", "text").mapInArrow(_sample_words, "lang string, w string")
-    counts: dict = {}
-    for r in words.groupBy("lang", "w").count().collect():  # words of the bounded sample
-        counts.setdefault(r.lang, {})[r.w] = r["count"]
-    return fit(counts, vocabulary(vocab_path or public_tokenizers.path(VOCABULARY)))
-
-
-def low_fits(docs: DataFrame, learn, model: tuple[list[str], np.ndarray], vocab_path: str | None = None, sample: int = SAMPLE) -> dict[str, float]:
-    """Language -> the ``LOW`` quantile of ``fit`` (see ``predict``) among the rows that ``train`` learns from."""
-    fits = predict(_sampled(docs, learn, sample), model, vocab_path, fit=True).filter("lang_pred <> 'und'")
-    return {r.lang_pred: r.low for r in fits.groupBy("lang_pred").agg(F.percentile("fit", F.lit(LOW)).alias("low")).collect()}  # a row for each language
+            counts.setdefault(lang, Counter()).update(words_of(text))
+        if sum(map(len, counts.values())) >= COUNTED:
+            yield from rows()
+    yield from rows()
+
+
+def _lattices(path: str):
+    def run(batches):
+        vocab = held(("vocabulary", path), lambda: vocabulary(path))
+        for b in slices(batches, 1024):
+            pieces, sizes = lattice(b.column(1).to_pylist(), vocab)
+            raw = [pieces[i, :n].astype("<i4").tobytes() for i, n in enumerate(sizes.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary())], names=["lang", "n", "size", "pieces"])
+
+    return run
+
+
+def _expected(model):
+    def run(batches):
+        langs, prob = model.value
+        number, got = {x: j for j, x in enumerate(langs)}, np.zeros(prob.size)
+        for b in batches:
+            lang = np.array([number[x] for x in b.column(0).to_pylist()], np.int64)
+            count, sizes = b.column(1).to_numpy(), b.column(2).to_numpy()
+            raw = b.column(3).to_pylist()
+            for n in np.unique(sizes).tolist():
+                all_of = np.flatnonzero(sizes == n)
+                for k in range(0, len(all_of), 4096):
+                    at = all_of[k : k + 4096]
+                    pieces = np.frombuffer(b"".join([raw[i] for i in at]), "<i4").reshape(len(at), n, WIDEST)
+                    got += expected(pieces, lang[at], count[at], prob)
+        at = np.flatnonzero(got)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(got[at].astype(np.int64))], names=["piece", "uses"])
+
+    return run
+
+
+def train(docs: DataFrame, learn, vocab_path: str | None = None, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
+    """Fit on all rows of (doc_id, text, lang) where ``learn`` holds: languages, and piece probabilities [piece, language] with a row of
+    zeros last."""
+    spark = docs.sparkSession
+    ship(spark)
+    path = vocab_path or public_tokenizers.path(VOCABULARY)
+    rows = docs.filter(learn).filter("lang is not null and doc_id is not null").select("lang", "text")
+    words = rows.mapInArrow(_counted, "lang string, w string, n bigint").groupBy("lang", "w").agg(F.sum("n").alias("n"))
+    words = stage(words.mapInArrow(_lattices(path), "lang string, n bigint, size int, pieces binary").sortWithinPartitions("size"))
+    langs, size = sorted(r.lang for r in words.select("lang").distinct().collect()), len(vocabulary(path)) + 1
+    prob = np.full((len(langs), size + 1), 1 / size)
+    prob[:, size] = 0
+    for _ in range(rounds if langs else 0):
+        sent = spark.sparkContext.broadcast((langs, prob))
+        sums = words.mapInArrow(_expected(sent), "piece bigint, uses bigint").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
+        got = np.zeros(prob.size)
+        got[sums.column("piece").to_numpy()] = sums.column("uses").to_numpy()
+        got = got.reshape(prob.shape)[:, :size] / _UNIT
+        total = got.sum(axis=1, keepdims=True)
+        prior = np.maximum(PRIOR, LEAST_SHARE * total)
+        prob[:, :size] = (got + prior) / (total + prior * size)
+        sent.destroy()
+    return langs, prob.T.copy()
+
+
+def low_fits(scored: DataFrame) -> dict[str, float]:
+    """Language -> the ``LOW`` quantile of ``fit`` (see ``predict``) over all given rows, fits taken to three decimals and counted."""
+    fits = scored.filter("lang_pred <> 'und'").groupBy("lang_pred", F.round("fit", 3).alias("fit")).agg(F.count("*").alias("n"))
+    return {r.lang_pred: r.low for r in fits.groupBy("lang_pred").agg(F.percentile("fit", F.lit(LOW), F.col("n")).alias("low")).collect()}  # a row for each language
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab_path: str | None = None, keep: tuple[str, ...] = ("doc_id",), fit: bool = False) -> DataFrame:

@@ -50,3 +50,41 @@ def test_edge_cases(spark):
     empty = langid.train(docs.limit(0), F.lit(True))
     assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
     assert len(langid.vocabulary(public_tokenizers.path(langid.VOCABULARY))) > 10_000
+
+
+def test_models_and_bounds_come_from_all_rows(spark):
+    few = [(i, "aba ab" if i % 2 else "ba abab", "x") for i in range(900)] + [(900 + i, "bab", "y") for i in range(600)]
+    rare = [(2000 + i, f"b{'a' * (i % 5)}", "x") for i in range(20)]
+    docs = spark.createDataFrame([*few, *rare], "doc_id long, text string, lang string").repartition(7)
+    vocab = langid.vocabulary(public_tokenizers.path(langid.VOCABULARY))
+    size = len(vocab) + 1
+
+    def cuts(m):
+        if not m:
+            yield []
+        for k in range(1, min(len(m), langid.WIDEST) + 1):
+            i = vocab.get(m[:k], 0 if k == 1 else None)
+            if i is not None:
+                yield from ([i, *rest] for rest in cuts(m[k:]))
+
+    langs, prob = langid.train(docs, F.lit(True))
+    assert langs == ["x", "y"] and prob.shape == (size + 1, 2) and not prob[size].any()
+    for j, lang in enumerate(langs):
+        p = np.full(size, 1 / size)
+        for _ in range(langid.ROUNDS):
+            got = np.zeros(size)
+            for _, text, own in [*few, *rare]:
+                for w in text.split() if own == lang else ():
+                    ways = list(cuts("▁" + w))
+                    mass = np.array([p[c].prod() for c in ways])
+                    for c, m in zip(ways, mass / mass.sum(), strict=True):
+                        np.add.at(got, c, m)
+            prior = max(langid.PRIOR, langid.LEAST_SHARE * got.sum())
+            p = (got + prior) / (got.sum() + prior * size)
+        assert np.allclose(prob[:size, j], p, rtol=1e-3, atol=1e-9)
+    again = langid.train(docs.repartition(3, "text"), F.lit(True))
+    assert (again[1] == prob).all()
+
+    fits = [(f"l{i % 2}", float(-1 - (i * 37 % 1000) / 1000)) for i in range(2000)]
+    low = langid.low_fits(spark.createDataFrame([*fits, ("und", -9.0)], "lang_pred string, fit double"))
+    assert low.keys() == {"l0", "l1"} and all(abs(low[k] - np.quantile([f for x, f in fits if x == k], langid.LOW)) < 2e-3 for k in low)
