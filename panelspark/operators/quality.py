@@ -206,10 +206,17 @@ def month_coverage(panel: DataFrame, value: str) -> DataFrame:
 
 
 def asset_month_coverage(panel: DataFrame, value: str, stale_months: int = 2) -> DataFrame:
-    """Months present, missing against a hole-free month range, and a stale end, per asset."""
+    """Months present, missing against a hole-free month range, and a stale end, per asset.
+
+    Months are bits of words of 64 months, so a task holds a word for each asset and stretch, and no list of (asset, month) pairs."""
     seen = panel.filter(F.col(value).isNotNull())
     last = seen.agg(F.max("month_end").alias("m")).scalar()
-    per = seen.groupBy("asset").agg(F.min("month_end").alias("first_month"), F.max("month_end").alias("last_month"), F.countDistinct("month_end").alias("months"))
+    month = F.year("month_end") * 12 + F.month("month_end")
+    bit = F.expr("shiftleft(1L, cast(pmod(_month, 64) as int))")
+    words = seen.select("asset", "month_end", month.alias("_month")).groupBy("asset", F.floor(F.col("_month") / 64).alias("_word")).agg(
+        F.min("month_end").alias("first_month"), F.max("month_end").alias("last_month"), F.bit_or(bit).alias("_bits"))
+    per = words.groupBy("asset").agg(
+        F.min("first_month").alias("first_month"), F.max("last_month").alias("last_month"), F.coalesce(F.sum(F.bit_count("_bits")), F.lit(0)).cast("long").alias("months"))
     expect = F.months_between("last_month", "first_month").cast("int") + 1
     return per.select(
         "asset", "first_month", "last_month", "months", (expect - F.col("months")).cast("long").alias("missing_months"),

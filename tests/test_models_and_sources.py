@@ -182,3 +182,20 @@ def test_user_ticker_list(spark, tmp_path):
     (tmp_path / "t.csv").write_text("ticker\n B \nA\n\nB\n")
     got = [r["item"] for r in sq.read_ticker_csv(spark, str(tmp_path / "t.csv")).orderBy("pos").collect()]
     assert got == ["B", "A"]
+
+
+def test_months_are_counted_without_a_list_of_pairs(spark, capsys):
+    from panelspark.operators import quality as ql
+
+    ends = [(pd.Timestamp("1966-01-31") + pd.offsets.MonthEnd(k)).date() for k in range(200)]
+    rows = [(a, ends[k], 1.0) for a in range(6) for k in range(a, 200, a + 1) for _ in range(1 + k % 2)] + [(9, ends[5], None), (1, ends[0], None)]
+    panel = spark.createDataFrame(rows, "asset long, month_end date, mid double")
+    out = ql.asset_month_coverage(panel, "mid")
+    got = {r.asset: (r.first_month, r.last_month, r.months, r.missing_months, r.stale_end) for r in out.collect()}
+    exp = {}
+    for a in range(6):
+        own = list(range(a, 200, a + 1))
+        exp[a] = (ends[own[0]], ends[own[-1]], len(own), own[-1] - own[0] + 1 - len(own), own[-1] < 197)
+    assert got == exp
+    out.explain()
+    assert "distinct" not in capsys.readouterr().out
