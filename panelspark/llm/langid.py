@@ -54,19 +54,63 @@ def has_letter(words: list[str]) -> bool:
     return any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w)
 
 
-def lattice(words: list[str], vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+class Finder:
+    """Numbers of the vocabulary's pieces among all substrings of many words at once; substrings are told apart by 64-bit hashes."""
+
+    _BASE, _BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
+
+    def __init__(self, vocab: dict[str, int]):
+        hashes = np.zeros(len(vocab), np.uint64)
+        by_width: dict[int, list] = {}
+        for i, p in enumerate(vocab):
+            by_width.setdefault(len(p), []).append((i, p))
+        for width, group in by_width.items():
+            h = np.zeros((len(group), 1), np.uint64)
+            codes = self.codes([p for _, p in group], width)
+            for k in range(width):
+                h = self.longer(h, codes[:, k : k + 1])
+            hashes[[i for i, _ in group]] = h[:, 0]
+        order = np.argsort(hashes)
+        self.keys, self.numbers = hashes[order], np.fromiter(vocab.values(), np.int32, len(vocab))[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.slot(self.keys)] = True
+
+    @staticmethod
+    def codes(words: list[str], size: int) -> np.ndarray:
+        return np.array(words, f"U{max(size, 1)}").view(np.uint32).reshape(len(words), -1)[:, :size].astype(np.uint64) + np.uint64(1)
+
+    def longer(self, h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return (h ^ codes) * self._BASE
+
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return (h ^ (h << np.uint64(23))) >> self._BITS
+
+    def numbers_of(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(h.size, -1, np.int32)
+        flat = h.ravel()
+        may = np.flatnonzero(self.seen[self.slot(flat)])
+        at = np.minimum(np.searchsorted(self.keys, flat[may]), len(self.keys) - 1)
+        hit = self.keys[at] == flat[may]
+        out[may[hit]] = self.numbers[at[hit]]
+        return out.reshape(h.shape)
+
+
+def lattice(words: list[str], vocab: dict[str, int] | Finder) -> tuple[np.ndarray, np.ndarray]:
     """Piece numbers [word, start, width - 1] (-1: no such piece), and lengths."""
+    finder = vocab if isinstance(vocab, Finder) else Finder(vocab)
     marked = ["▁" + w[:LONGEST] for w in words]
-    n = np.array([len(m) for m in marked])
-    out = np.full((len(marked), n.max(initial=0), WIDEST), -1, np.int32)
-    get = vocab.get
-    for i, m in enumerate(marked):
-        size = len(m)
-        row = [[get(m[a:b], -1) for b in range(a + 1, min(a + WIDEST, size) + 1)] for a in range(size)]
-        for a, r in enumerate(row):
-            if r[0] < 0:
-                r[0] = 0
-            out[i, a, : len(r)] = r
+    n = np.array([len(m) for m in marked], np.int64)
+    longest = int(n.max(initial=0))
+    out = np.full((len(marked), longest, WIDEST), -1, np.int32)
+    codes = finder.codes(marked, longest)
+    h = np.zeros((len(marked), longest), np.uint64)
+    for w in range(1, min(WIDEST, longest) + 1):
+        h = finder.longer(h[:, : longest - w + 1], codes[:, w - 1 :])
+        found = finder.numbers_of(h)
+        found[np.arange(w, longest + 1) > n[:, None]] = -1
+        out[:, : longest - w + 1, w - 1] = found
+    inside = np.arange(longest) < n[:, None]
+    out[:, :, 0][inside & (out[:, :, 0] < 0)] = 0
     return out, n
 
 
@@ -81,7 +125,7 @@ def forward(pieces: np.ndarray, prob: np.ndarray) -> np.ndarray:
     return a
 
 
-def word_scores(words: list[str], vocab: dict[str, int], prob: np.ndarray) -> np.ndarray:
+def word_scores(words: list[str], vocab: dict[str, int] | Finder, prob: np.ndarray) -> np.ndarray:
     """Log-probability of each word in each language; words longer than LONGEST are the sum of their cuts."""
     cuts = [[w[k : k + LONGEST] for k in range(0, len(w), LONGEST)] for w in words]
     flat = [c for cs in cuts for c in cs]
@@ -141,7 +185,7 @@ class _Scores:
 
 def _predict(name: str, model, path: str, keep: list[str], text: int, fit: bool):
     def run(batches):
-        scores, langs = held(name, lambda: (_Scores(vocabulary(path), model.value[1]), model.value[0]))
+        scores, langs = held(name, lambda: (_Scores(Finder(vocabulary(path)), model.value[1]), model.value[0]))
         for b in slices(batches, 256):
             docs = [words_of(t) for t in b.column(text).to_pylist()]
             pred, best, fits, sizes = [], [], [], []
@@ -165,11 +209,14 @@ def _counted(batches):
     counts: dict[str, Counter] = {}
 
     def rows():
-        cut = [(lang, w[k : k + LONGEST], n) for lang, c in counts.items() for w, n in c.items() for k in range(0, len(w), LONGEST)]
+        for lang, c in counts.items():
+            for w in [w for w in c if len(w) > LONGEST]:
+                n = c.pop(w)
+                for k in range(0, len(w), LONGEST):
+                    c[w[k : k + LONGEST]] += n
+            for b in slices([pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["w", "n"])], 8192):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * b.num_rows, pa.string()), *b.columns], names=["lang", "w", "n"])
         counts.clear()
-        for k in range(0, len(cut), 8192):
-            cols = zip(*cut[k : k + 8192], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "w", "n"])
 
     for b in slices(batches, 256):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -181,11 +228,16 @@ def _counted(batches):
 
 def _lattices(path: str):
     def run(batches):
-        vocab = held(("vocabulary", path), lambda: vocabulary(path))
-        for b in slices(batches, 1024):
-            pieces, sizes = lattice(b.column(1).to_pylist(), vocab)
-            raw = [pieces[i, :n].astype("<i4").tobytes() for i, n in enumerate(sizes.tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary())], names=["lang", "n", "size", "pieces"])
+        finder = held(("finder", path), lambda: Finder(vocabulary(path)))
+        for b in batches:
+            words = b.column(1).to_pylist()
+            lengths = np.array([len(w) for w in words], np.int64)
+            for n in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == n)
+                pieces, sizes = lattice([words[i] for i in at], finder)
+                raw = [p.tobytes() for p in pieces.astype("<i4")]
+                own = pa.array(at)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(2).take(own), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary())], names=["lang", "n", "size", "pieces"])
 
     return run
 

@@ -88,3 +88,12 @@ def test_models_and_bounds_come_from_all_rows(spark):
     fits = [(f"l{i % 2}", float(-1 - (i * 37 % 1000) / 1000)) for i in range(2000)]
     low = langid.low_fits(spark.createDataFrame([*fits, ("und", -9.0)], "lang_pred string, fit double"))
     assert low.keys() == {"l0", "l1"} and all(abs(low[k] - np.quantile([f for x, f in fits if x == k], langid.LOW)) < 2e-3 for k in low)
+
+
+def test_lattices_hold_every_piece():
+    vocab = langid.vocabulary(public_tokenizers.path(langid.VOCABULARY))
+    words = ["", "a", "information", "straße", "ß" * 30, "日本語", "ılĞ", "𝒳𝒴z", "the" * 8]
+    got, sizes = langid.lattice(words, vocab)
+    for i, m in enumerate("▁" + w[: langid.LONGEST] for w in words):
+        exp = {(a, b - a - 1): vocab.get(m[a:b], -1 if b > a + 1 else 0) for a in range(len(m)) for b in range(a + 1, min(a + langid.WIDEST, len(m)) + 1)}
+        assert sizes[i] == len(m) and {k: v for k, v in np.ndenumerate(got[i]) if v >= 0} == {k: v for k, v in exp.items() if v >= 0}
