@@ -75,3 +75,15 @@ def test_variants_of_a_line():
     hashes = [lines.word_hashes(t) for t in texts]
     near = [set(k) for k in lines.halves(np.concatenate(hashes), np.array([len(x) for x in hashes])).tolist()]
     assert all(near[0] & k for k in near[1:5]) and not near[0] & near[5]
+
+
+def test_halves_of_bytes_meet_as_those_of_words_do():
+    r = random.Random(3)
+    found = [[r.choice("ab") * r.randrange(1, 3) for _ in range(r.randrange(1, 7))] for _ in range(400)]
+    sizes = np.array([len(w) for w in found])
+    raw = np.frombuffer("".join(" ".join(w) + "\n" for w in found).encode(), np.uint8)
+    ends = np.flatnonzero((raw == 32) | (raw == 10))
+    got = lines.halves(raw, sizes, np.concatenate([[0], ends[:-1] + 1]), ends)
+    exp = [[(k, m, tuple(x)) for n, m in enumerate((len(w), len(w) - 1)) for k, x in enumerate((w[: m // 2], w[len(w) - (m - m // 2) :]))] for w in found]
+    pairs = {(int(g), e) for a, b in zip(got, exp, strict=True) for g, e in zip(a, b, strict=True)}
+    assert len({g for g, _ in pairs}) == len({e for _, e in pairs}) == len(pairs)
