@@ -3,7 +3,8 @@
 A text is cut where its tokenizer always begins anew, whatever stands around, so chunks can be encoded apart and most are met again:
 
 * ``word`` (lower case, white space dropped): before and after every space and line feed; neither composes with its neighbours.
-* ``byte`` (a pre-token may begin with one space): before every space that stands between two characters that aren't white space.
+* ``byte`` (a pre-token may begin with one space): before every space, before and after every line feed, that stands between two
+  characters that aren't white space. Chunks after a space are remembered without it, in a table of their own.
 
 A chunk of letters with marks of punctuation at its end is two pre-tokens for either and is put together from both. A chunk of composed
 Latin letters is one pre-token, which the library's model takes as it is: what stands before the model (normalising, splitting) is most
@@ -15,6 +16,7 @@ is encoded as a whole.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from array import array
 
@@ -39,6 +41,34 @@ def byte_letters() -> list[str]:
     return out
 
 
+#: White space but the space and the line feed.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+
+class Spaced(dict):
+    """chunk -> bytes of its ids after a space, or of its ids if it begins with a line feed; emptied when full."""
+
+    def __init__(self, plain: Chunks):
+        super().__init__()
+        self.plain = plain
+
+    def __missing__(self, chunk: str) -> bytes:
+        plain = self.plain
+        if chunk.isascii() and chunk.isalpha():
+            v = array(plain.code, [t.id for t in plain.model.tokenize(plain.space + chunk)]).tobytes()
+        elif chunk[:1] == "\n":
+            v = plain.feed + plain[chunk[1:]]
+        elif (word := chunk.rstrip(MARKS)) != chunk and word.isascii() and word.isalpha():
+            v = self[word] + plain[chunk[len(word) :]]
+        else:
+            v = plain.ids(" " + chunk)
+        if len(self) >= plain.LIMIT:
+            self.clear()
+        if len(chunk) <= 64:
+            self[chunk] = v
+        return v
+
+
 class Chunks(dict):
     """chunk -> bytes of its ids; emptied when full, so its memory is bounded."""
 
@@ -51,48 +81,54 @@ class Chunks(dict):
         self.library.encode_special_tokens = plain
         self.model = self.library.model
         self.letters = dict(enumerate(byte_letters()))
+        self.space = self.letters[0x20]
         added = self.library.get_added_tokens_decoder().values()
         self.added = [a.content for a in added if not (plain and a.special)]
         self.normalized = any(a.normalized and not (plain and a.special) for a in added)  # such a token can be met in texts that don't spell it
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = self.dtype.char  # of the array module: native and little-endian
         self.kind = kind
+        self.spaced, self.feed = Spaced(self), self.direct("\n")
 
     def direct(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        word = chunk.rstrip(MARKS)
-        letters = word.removeprefix(" ") if self.kind == "byte" else word
-        if not chunk:
-            v = b""
-        elif not letters.isalpha() or not letters.isascii() and (max(letters) >= LATIN or "\u0130" in letters or not unicodedata.is_normalized("NFC", letters)):
-            v = self.direct(chunk)
-        elif word != chunk:
-            v = self[word] + self[chunk[len(word) :]]
-        elif self.kind == "word" and letters != (low := letters.lower()):
-            v = self[low]
-        else:
-            raw = chunk if letters is chunk and chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)
-            v = array(self.code, [t.id for t in self.model.tokenize(raw)]).tobytes()
+        v = self.ids(chunk)
         if len(self) >= self.LIMIT:
             self.clear()
         if len(chunk) <= 64:
             self[chunk] = v
         return v
 
+    def ids(self, chunk: str) -> bytes:
+        word = chunk.rstrip(MARKS)
+        letters = word.removeprefix(" ") if self.kind == "byte" else word
+        if not chunk:
+            return b""
+        if not letters.isalpha() or not letters.isascii() and (max(letters) >= LATIN or "\u0130" in letters or not unicodedata.is_normalized("NFC", letters)):
+            return self.direct(chunk)
+        if word != chunk:
+            marks = self[chunk[len(word) :]]
+            return (self.spaced[letters] if letters is not word else self[word]) + marks
+        if self.kind == "word" and letters != (low := letters.lower()):
+            return self[low]
+        if letters.isascii():
+            raw = chunk if letters is chunk else self.space + letters
+        else:
+            raw = chunk.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(raw)]).tobytes()
+
     def encode(self, text: str) -> bytes:
         if self.normalized or any(a in text for a in self.added):
             return self.direct(text)
         get = self.__getitem__
         if self.kind == "word":
             return b"".join(map(get, text.replace("\n", " ").split(" ")))
-        parts = text.split(" ")
-        if "" in parts or any(map(self._edge, parts)):
-            return self._careful(parts)
-        out = [get(parts[0])]
-        out.extend(map(get, map(" ".__add__, parts[1:])))
-        return b"".join(out)
+        first, *parts = text.replace("\n", " \n").split(" ")
+        if len(parts) + 1 != len(text.split()) or any(map(text.__contains__, OTHER_SPACE)):  # white space at an edge or beside other
+            return self._careful(text.split(" "))
+        return get(first) + b"".join(map(self.spaced.__getitem__, parts))
 
     @staticmethod
     def _edge(part: str) -> bool:

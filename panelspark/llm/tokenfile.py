@@ -5,9 +5,10 @@ the id range), ``segment`` (number inside it), ``first`` (ids of the part before
 
     magic "TIDB", version, id of the document end (u32 each), documents, blocks, ids a block (u32 each),
     per document: doc_id (i64), 1 if the id is null (u8), ids (u64), per block: ids, 16-bit words, crc32 of its ids as little-endian
-    u32 (u32 each), crc32 of all of the above (u32), then the words of the blocks.
+    u32 (u32 each), bytes that follow (u32), deflated shares of the ids for order 0 (those of the segment's ids that no other order
+    predicts: how many, the ids as u16, their shares as u32), crc32 of all of the above (u32), then the words of the blocks.
 
-All little-endian. Every block is coded from a fresh state and checked when read. Null text counts as empty (its only id is the end).
+All little-endian. Every block is coded from a fresh state, read with nothing but those shares, and checked when read. Null text counts as empty (its only id is the end).
 Order: null ids first, then ascending, equal ids by the text's hash. Other columns are ignored.
 """
 
@@ -34,30 +35,38 @@ _HEAD = struct.Struct("<4sIIIII")
 
 def pack_segment(docs: list[int | None], sizes: list[int], ids: np.ndarray, end: int = END, block: int = coder.BLOCK) -> bytes:
     parts = [ids[k : k + block] for k in range(0, len(ids), block)]
-    words = coder.encode(parts)
+    share, words = coder.encode_shared(parts)
     table = np.zeros(len(docs), [("d", "<i8"), ("z", "u1"), ("n", "<u8")])
     table["d"], table["z"], table["n"] = [d or 0 for d in docs], [d is None for d in docs], sizes
     index = np.array([(len(p), len(w), zlib.crc32(p.astype("<u4").tobytes())) for p, w in zip(parts, words, strict=True)], "<u4").reshape(-1, 3)
-    head = _HEAD.pack(b"TIDB", 1, end, len(docs), len(parts), block) + table.tobytes() + index.tobytes()
+    met = np.flatnonzero(share)
+    shares = zlib.compress(struct.pack("<I", len(met)) + met.astype("<u2").tobytes() + share[met].astype("<u4").tobytes())
+    head = _HEAD.pack(b"TIDB", 2, end, len(docs), len(parts), block) + table.tobytes() + index.tobytes() + struct.pack("<I", len(shares)) + shares
     return b"".join([head, struct.pack("<I", zlib.crc32(head)), *(w.astype("<u2").tobytes() for w in words)])
 
 
 def unpack_segment(blob: bytes) -> tuple[list[int | None], list[int], np.ndarray]:
     magic, version, _, n_docs, n_blocks, _ = _HEAD.unpack_from(blob)
-    if magic != b"TIDB" or version != 1:
+    if magic != b"TIDB" or version != 2:
         raise ValueError("not a token-id segment")
     kind = np.dtype([("d", "<i8"), ("z", "u1"), ("n", "<u8")])
     table = np.frombuffer(blob, kind, n_docs, _HEAD.size)
     at = _HEAD.size + n_docs * kind.itemsize
     index = np.frombuffer(blob, "<u4", 3 * n_blocks, at).reshape(-1, 3)
     at += 12 * n_blocks
-    if struct.unpack_from("<I", blob, at)[0] != zlib.crc32(blob[:at]):
+    size = struct.unpack_from("<I", blob, at)[0] if at + 4 <= len(blob) else len(blob)
+    at += 4 + size
+    if at + 4 > len(blob) or struct.unpack_from("<I", blob, at)[0] != zlib.crc32(blob[:at]):
         raise ValueError("damaged segment header")
+    shares = zlib.decompress(blob[at - size : at])
+    n_met = struct.unpack_from("<I", shares)[0]
+    share = np.zeros(1 << 16, np.int64)
+    share[np.frombuffer(shares, "<u2", n_met, 4)] = np.frombuffer(shares, "<u4", n_met, 4 + 2 * n_met)
     words, at = [], at + 4
     for _, w, _ in index.tolist():
         words.append(np.frombuffer(blob, "<u2", w, at))
         at += 2 * w
-    parts = coder.decode(words, index[:, 0].tolist())
+    parts = coder.decode(words, index[:, 0].tolist(), share)
     for k, (p, (_, _, crc)) in enumerate(zip(parts, index.tolist(), strict=True)):
         if zlib.crc32(p.astype("<u4").tobytes()) != crc:
             raise ValueError(f"damaged block {k}")
