@@ -41,8 +41,8 @@ def byte_letters() -> list[str]:
     return out
 
 
-#: White space but the space and the line feed.
-OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+#: White space beside other, or other than the space and the line feed.
+LOOSE = ["  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 
 
 class Spaced(dict):
@@ -125,9 +125,9 @@ class Chunks(dict):
         get = self.__getitem__
         if self.kind == "word":
             return b"".join(map(get, text.replace("\n", " ").split(" ")))
-        first, *parts = text.replace("\n", " \n").split(" ")
-        if len(parts) + 1 != len(text.split()) or any(map(text.__contains__, OTHER_SPACE)):  # white space at an edge or beside other
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, LOOSE)):
             return self._careful(text.split(" "))
+        first, *parts = text.replace("\n", " \n").split(" ")
         return get(first) + b"".join(map(self.spaced.__getitem__, parts))
 
     @staticmethod

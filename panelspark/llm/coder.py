@@ -157,7 +157,7 @@ def _model(sizes: np.ndarray, ids: np.ndarray | None, coders: Coders, others: np
         missed[t, :k] = no
         outcome = np.add(not2, no, dtype=np.int64)
         low = mix * not2
-        low[no] = bound2[no]
+        np.copyto(low, bound2, where=no)
         size = bound2
         np.copyto(size, mix, where=hit2)
         np.copyto(size, whole, where=no)
