@@ -1,11 +1,12 @@
 """Near-duplicate vectors by a subspace pigeonhole join.
 
 Two unit vectors with cosine of at least c are at a squared distance of at most 2 - 2c. After a fixed rotation the coordinates are split
-into ``BLOCKS`` blocks; in at least one of them the squared distance is at most the block's share of that budget. Each block is joined by
-range: vectors are filed in a grid over the block's first two coordinates with cells as wide as the share's root, so partners lie in the
-same cell or one beside it; cells are cut into chunks of about ``CHUNK`` vectors, and each pair of chunks is one unit of work. Pairs
-within the block's budget are verified by their cosine in double precision and counted in the first block whose budget they meet.
-Units return the sum of links of each vector and a spanning forest, never the pairs.
+into ``BLOCKS`` blocks; in at least one of them the squared distance is at most the block's share of that budget. Vectors lie in tiles of
+up to ``CHUNK``, a row each, and each pair of tiles is one unit of work: a product of the tile table with itself whose tasks read the
+staged tiles, so nothing is copied for it on disk. Within a pair of tiles each block is joined by range: both sides are sorted by the
+block's first coordinate, and strips meet what lies within the share's root. Pairs within the block's budget are verified by their
+cosine in double precision and counted in the first block whose budget they meet. Units return the sum of links of each vector and a
+spanning forest, never the pairs.
 
 Equal vectors are one class (each links with all others of it). Null, empty and zero vectors, those with null or non-finite
 components and rows with a null id link with nothing; vectors of different lengths don't link. Repeated rows count as vectors of their
@@ -25,8 +26,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import ship, slices, stage
 from panelspark.llm.components import components
 
-BLOCKS, CHUNK, STRIP = 4, 4096, 256
-_STEPS = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))  # a cell and half of those around it
+BLOCKS, CHUNK, CHUNK_BYTES, STRIP, WIDTH = 4, 16_384, 1 << 22, 256, 1024
 
 
 @lru_cache(maxsize=8)
@@ -43,8 +43,9 @@ def budget(cosine: float, dim: int) -> float:
     return (2 - 2 * cosine) / len(spans(dim)) * (1 + 1e-9) + 1e-12
 
 
-def unit(raw: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(-1, dim)
+def unit(raw, dim: int) -> np.ndarray:
+    """Vectors as 4-byte numbers where these hold them exactly, else as 8-byte ones."""
+    x = np.frombuffer(raw[1:], "<f4" if raw[0] == 4 else "<f8").reshape(-1, dim).astype(float)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -55,99 +56,119 @@ def _classes(batches):
             x = np.array(v, float) if v and None not in v else np.zeros(0)
             scale = np.abs(x).max(initial=0)
             ok = len(x) and np.isfinite(x).all() and scale > 0
-            raws.append((x / scale if not 1e-100 < scale < 1e100 else x).astype("<f8").tobytes() if ok else None)
             keys.append(xxhash.xxh3_128_digest(x.astype("<f8").tobytes()) if ok else None)
             dims.append(len(x))
+            x = x / scale if ok and not 1e-100 < scale < 1e100 else x
+            with np.errstate(over="ignore", invalid="ignore"):
+                short = x.astype("<f4")
+            raws.append((short if (short == x).all() else x.astype("<f8")).tobytes() if ok else None)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(raws, pa.binary())], names=["vec_id", "key", "dim", "vec"])
 
 
-def _homes(cosine: float):
+def _tiles(rows: int, size: int):
+    """(cls, size, dim, vec) -> tiles of vectors of one length and precision, named by one of their classes."""
+
     def run(batches):
+        held = {}
+
+        def tile(kind):
+            cls, sizes, raws = held.pop(kind)
+            dim, wide = kind
+            arrays = [pa.array([x], t) for x, t in ((cls[0], pa.int64()), (dim, pa.int32()), (np.array(cls, "<i8").tobytes(), pa.binary()), (np.array(sizes, "<i8").tobytes(), pa.binary()), (b"".join([bytes([wide]), *raws]), pa.binary()))]
+            return pa.RecordBatch.from_arrays(arrays, names=["tile", "dim", "cls", "size", "vec"])
+
         for b in slices(batches, 1024):
-            cls, dims = np.array(b.column(0).to_pylist(), np.int64), np.array(b.column(1).to_pylist())
-            raw = b.column(2).to_pylist()
-            out = [[] for _ in range(5)]
-            for dim in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == dim)
-                z = unit([raw[i] for i in at], dim) @ rotation(dim)
-                width = np.sqrt(budget(cosine, dim))
-                for k, (lo, hi) in enumerate(spans(dim)):
-                    cell = np.floor(z[:, [lo, min(lo + 1, hi - 1)]] / width).astype(np.int32)
-                    for col, v in zip(out, (cls[at], np.full(len(at), dim, np.int32), np.full(len(at), k, np.int32), cell[:, 0], cell[:, 1]), strict=True):
-                        col.append(v)
-            kinds = (np.int64, *[np.int32] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*c, np.zeros(0, t)])) for c, t in zip(out, kinds, strict=True)], names=["cls", "dim", "block", "x", "y"])
+            for c, n, dim, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                kind = dim, len(raw) // dim
+                mine = held.setdefault(kind, ([], [], []))
+                for x, v in zip(mine, (c, n, raw), strict=True):
+                    x.append(v)
+                if len(mine[0]) >= min(rows, max(1, size // len(raw))):
+                    yield tile(kind)
+        for kind in list(held):
+            yield tile(kind)
 
     return run
 
 
-def join_chunks(left: tuple, right: tuple | None, dim: int, block: int, cosine: float):
-    """Chunks (ids, weights, raw vectors), or one with itself: sums of links of both, and a forest of (high id, low id)."""
-    ids = np.concatenate([left[0], right[0]]) if right else left[0]
-    weight = np.concatenate([left[1], right[1]]) if right else left[1]
-    u = unit(left[2] + (right[2] if right else []), dim)
-    z = u @ rotation(dim)
+def join_tiles(left: tuple, right: tuple | None, dim: int, cosine: float):
+    """Tiles (ids, weights, unit vectors, the same rotated), or one with itself: sums of links of both, and a forest of (high id, low id)."""
+    ids, weight, u, z = (np.concatenate(x) for x in zip(left, right, strict=True)) if right else left
     parts, share = spans(dim), budget(cosine, dim)
-    lo, hi = parts[block]
-    n, first = len(left[0]), len(left[0]) if right else 0
     total = np.zeros(len(ids))
     label = np.arange(len(ids))
-    sub = z[:, lo:hi].astype(np.float32)
-    norm = (sub * sub).sum(axis=1)
-    for s in range(0, n, STRIP):
-        e = min(s + STRIP, n)
-        begin = first or s  # against itself: only what follows
-        far = norm[s:e, None] + norm[None, begin:] - 2 * (sub[s:e] @ sub[begin:].T)
-        a, b = np.nonzero(far <= share + 1e-5)
-        a, b = a + s, b + begin
-        if not first:
-            a, b = a[a < b], b[a < b]
-        for k in range(0, len(a), 1 << 15):
-            p, q = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
-            ok = np.einsum("ij,ij->i", u[p], u[q]) >= cosine
-            p, q = p[ok], q[ok]
-            d = (z[p] - z[q]) ** 2
-            met = np.stack([d[:, x:y].sum(axis=1) <= share for x, y in parts], axis=1)
-            mine = met.argmax(axis=1) == block
-            mine &= met[:, block]
-            p, q = p[mine], q[mine]
-            total += np.bincount(p, weight[q], len(ids)) + np.bincount(q, weight[p], len(ids))
-            while True:  # smallest label over the links so far
-                low = np.minimum(label[p], label[q])
-                before = label.copy()
-                np.minimum.at(label, label[p], low)
-                np.minimum.at(label, label[q], low)
-                label = label[label]
-                if (label == before).all() and (label[p] == label[q]).all():
-                    break
+
+    def link(pairs, block):
+        nonlocal label
+        p, q = (np.concatenate([*x, np.zeros(0, int)]) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int),) * 2
+        mine = np.zeros(len(p), bool)
+        for k in range(0, len(p), 1 << 14):
+            a, b = p[k : k + (1 << 14)], q[k : k + (1 << 14)]
+            met = np.stack([((z[a, x:y] - z[b, x:y]) ** 2).sum(axis=1) <= share for x, y in parts], axis=1)
+            mine[k : k + (1 << 14)] = (np.einsum("ij,ij->i", u[a], u[b]) >= cosine) & (met.argmax(axis=1) == block) & met[:, block]
+        p, q = p[mine], q[mine]
+        if not len(p):
+            return
+        total[:] += np.bincount(p, weight[q], len(ids)) + np.bincount(q, weight[p], len(ids))
+        while True:  # smallest label over the links so far
+            low = np.minimum(label[p], label[q])
+            before = label.copy()
+            np.minimum.at(label, label[p], low)
+            np.minimum.at(label, label[q], low)
+            label = label[label]
+            if (label == before).all() and (label[p] == label[q]).all():
+                break
+
+    for block, (lo, hi) in enumerate(parts):
+        near = np.argsort(z[: len(left[0]), lo])
+        other = len(left[0]) + np.argsort(z[len(left[0]) :, lo]) if right else near
+        sub = z[:, lo:hi].astype(np.float32)
+        norm, one = (sub * sub).sum(axis=1, keepdims=True), np.ones((len(ids), 1), np.float32)
+        rows = np.hstack([sub, norm, one])[near]
+        columns = np.ascontiguousarray(np.hstack([-2 * sub, one, norm])[other].T)  # their product with the rows is the squared distance
+        at, width = z[other, lo], np.sqrt(share) + 1e-9
+        held, waiting = [], 0
+        for s in range(0, len(near), STRIP):
+            e = min(s + STRIP, len(near))
+            begin, end = np.searchsorted(at, [z[near[s], lo] - width, z[near[e - 1], lo] + width], "left").tolist()
+            begin = begin if right else s  # against itself: only what follows
+            for k in range(begin, end, WIDTH):
+                stop = min(k + WIDTH, end)
+                far = rows[s:e] @ columns[:, k:stop]
+                found = np.flatnonzero(far <= share + 1e-5)
+                a, b = np.divmod(found, stop - k)
+                a, b = a + s, b + k
+                if not right:
+                    a, b = a[a < b], b[a < b]
+                held.append((near[a], other[b]))
+                waiting += len(a)
+                if waiting >= 1 << 15:
+                    link(held, block)
+                    held, waiting = [], 0
+        link(held, block)
     joined = np.flatnonzero(label != np.arange(len(ids)))
     linked = np.flatnonzero(total)
     return ids[linked], total[linked], ids[joined], ids[label[joined]]
 
 
 def _units(cosine: float):
+    """Pairs of tiles -> (u, v, links): links of u where v is null, else a link of the forest."""
+
     def run(batches):
-        key, sides = None, ([], [])
-
-        def emit():
-            left, right = (tuple((np.array([r[0] for r in s], np.int64), np.array([r[1] for r in s], float), [r[2] for r in s])) for s in sides)
-            self_join = key[2:4] == key[4:6] and key[6] == key[7]
-            if not len(left[0]) or not (self_join or len(right[0])):
-                return None
-            ids, total, u, v = join_chunks(left, None if self_join else right, key[0], key[1], cosine)
+        name, left = None, None
+        for b in slices(batches, 1):
+            first, second, dim = (b.column(i)[0].as_py() for i in (0, 1, 2))
+
+            def tile(k, b=b, dim=dim):
+                ids, size, vec = (b.column(i)[0].as_buffer() for i in range(k, k + 3))
+                u = unit(memoryview(vec), dim)
+                return np.frombuffer(ids, "<i8"), np.frombuffer(size, "<i8").astype(float), u, u @ rotation(dim)
+
+            if name != first:
+                name, left = first, tile(3)
+            ids, total, u, v = join_tiles(left, None if first == second else tile(6), dim, cosine)
             none = [None] * len(ids)
-            return pa.RecordBatch.from_arrays([pa.array([*ids.tolist(), *u.tolist()], pa.int64()), pa.array([*none, *v.tolist()], pa.int64()), pa.array([*total.astype(np.int64).tolist(), *[None] * len(u)], pa.int64())], names=["u", "v", "links"])
-
-        for b in slices(batches, 2048):
-            cols = [b.column(i).to_pylist() for i in range(12)]
-            for *k, side, cls, size, vec in zip(*cols, strict=True):
-                if key != tuple(k):
-                    if key is not None and (out := emit()) is not None:
-                        yield out
-                    key, sides = tuple(k), ([], [])
-                sides[side].append((cls, size, vec))
-        if key is not None and (out := emit()) is not None:
-            yield out
+            yield pa.RecordBatch.from_arrays([pa.array([*ids.tolist(), *u.tolist()], pa.int64()), pa.array([*none, *v.tolist()], pa.int64()), pa.array([*total.astype(np.int64).tolist(), *[None] * len(u)], pa.int64())], names=["u", "v", "links"])
 
     return run
 
@@ -156,34 +177,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     """(vec_id, embedding) -> (vec_id, n_links, component_id, kept), one row per input row."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = stage(vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInArrow(_classes, "vec_id bigint, key binary, dim int, vec binary"))
-    valid = rows.filter("key is not null and vec_id is not null")
-    named = valid.groupBy("key").agg(F.min("vec_id").alias("cls"), F.count("*").alias("size"))
-    reps = stage(valid.join(named, "key").filter("vec_id = cls").dropDuplicates(["key"]).select("cls", "size", "dim", "vec"))
-    homes = stage(reps.select("cls", "dim", "vec").mapInArrow(_homes(cosine), "cls bigint, dim int, block int, x int, y int"))
-
-    at = ["dim", "block", "x", "y"]
-    cells = homes.groupBy(*at).agg(F.expr(f"cast((count(*) - 1) div {CHUNK} + 1 as int)").alias("n"))
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _STEPS])).alias("s")
-    around = cells.select(*at, F.col("n").alias("nl"), steps).select("dim", "block", F.col("x").alias("lx"), F.col("y").alias("ly"), "nl", (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"))
-    pairs = stage(around.join(cells, at).select("dim", "block", "lx", "ly", "nl", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("n").alias("nr")))
-    filed = homes.join(reps.select("cls", "size", "vec"), "cls")
-    chunk = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
-    same = "lx = rx and ly = ry"
-    unit_key = ["dim", "block", "lx", "ly", "rx", "ry", "i", "j"]
-    left = filed.withColumnsRenamed({"x": "lx", "y": "ly"}).join(pairs, ["dim", "block", "lx", "ly"]).withColumn("i", chunk("nl"))
-    left = left.withColumn("j", F.explode(F.expr(f"case when {same} then sequence(i, nr - 1) else sequence(0, nr - 1) end"))).withColumn("side", F.lit(0))
-    right = filed.withColumnsRenamed({"x": "rx", "y": "ry"}).join(pairs, ["dim", "block", "rx", "ry"]).withColumn("j", chunk("nr"))
-    right = right.withColumn("i", F.explode(F.expr(f"case when not ({same}) then sequence(0, nl - 1) when j > 0 then sequence(0, j - 1) end"))).withColumn("side", F.lit(1))
-    columns = [*unit_key, "side", "cls", "size", "vec"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    work = left.select(columns).unionByName(right.select(columns)).repartition(parts, *unit_key).sortWithinPartitions(*unit_key)
-    found = stage(work.mapInArrow(_units(cosine), "u bigint, v bigint, links bigint"))
+    hashed = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInArrow(_classes, "vec_id bigint, key binary, dim int, vec binary")
+    rows = stage(hashed.select("vec_id", "key"))
+    own = F.col("vec_id").isNotNull()
+    named = rows.filter(own & F.col("key").isNotNull()).groupBy("key").agg(F.min("vec_id").alias("cls"), F.count("*").alias("size"))
+    classes = hashed.filter(own & F.col("key").isNotNull()).groupBy("key").agg(F.min("vec_id").alias("cls"), F.count("*").alias("size"), *[F.first(c).alias(c) for c in ("dim", "vec")])
+    tiles = stage(classes.select("cls", "size", "dim", "vec").mapInArrow(_tiles(CHUNK, CHUNK_BYTES), "tile bigint, dim int, cls binary, size binary, vec binary"))
+
+    left, right = (tiles.select(*[F.col(c).alias(f"{side}_{c}") for c in tiles.columns]) for side in "lr")
+    pairs = left.join(right, F.expr("l_tile <= r_tile and l_dim - r_dim = 0"))  # no equality of columns: that would send all tiles to one task
+    pairs = pairs.select("l_tile", "r_tile", "l_dim", *[f"{side}_{c}" for side in "lr" for c in ("cls", "size", "vec")])
+    found = stage(pairs.mapInArrow(_units(cosine), "u bigint, v bigint, links bigint"))
 
     links = found.filter("v is null").groupBy(F.col("u").alias("cls")).agg(F.sum("links").alias("links"))
     comp = components(found.filter("v is not null").select("u", "v")).select(F.col("u").alias("cls"), F.col("v").alias("root"))
-    classes = named.join(links, "cls", "left").join(comp, "cls", "left").select("key", F.coalesce("root", "cls").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n"))
-    own = F.col("vec_id").isNotNull()
-    out = rows.select("vec_id", "key").join(classes, "key", "left")
+    linked = named.join(links, "cls", "left").join(comp, "cls", "left").select("key", F.coalesce("root", "cls").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n"))
+    out = rows.select("vec_id", "key").join(linked, "key", "left")
     comp_id = F.when(own, F.coalesce("component", "vec_id"))
     return out.select("vec_id", F.when(own, F.coalesce("n", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"), comp_id.alias("component_id"), (~own | (F.col("vec_id") == comp_id)).alias("kept"))

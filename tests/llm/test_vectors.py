@@ -48,3 +48,25 @@ def test_edge_cases(spark):
     out = run(spark, [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0])])
     assert sorted((str(r.vec_id), r.n_links, r.kept) for r in out) == [("1", 1, True), ("1", 1, True), ("None", 0, True)]
     assert run(spark, []) == []
+
+
+def test_pairs_of_tiles_are_not_shuffled(spark, monkeypatch):
+    """Vectors meet as pairs of staged tiles: no exchange by key copies them, however many tiles there are; also twice as many unlike rows."""
+    plans = []
+    real = vectors.stage
+
+    def stage(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(vectors, "stage", stage)
+    monkeypatch.setattr(vectors, "CHUNK", 16)
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((90, 24))
+    v = [*base, *(base[:45] + 0.25 * rng.standard_normal((45, 24))), *base[:9] * 1e200]  # the last ones need double precision
+    rows = [(int(i), x.tolist()) for i, x in enumerate(v)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(docs).collect()}
+    assert got == brute([(i, (np.array(x) / np.abs(x).max()).tolist()) for i, x in rows])
+    assert sum(n > 0 for n, _ in got.values()) > 50
+    assert "hashpartitioning" not in plans[-1] and len(plans) == 3
