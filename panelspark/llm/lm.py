@@ -13,10 +13,12 @@ has one table, so only pairs seen more often are seated. Large groups are seated
 Predictive probabilities of the last ``KEEP`` sweeps are averaged. Discounts follow from the numbers of cells with one and two customers;
 the strength is 1.
 
-Data flow: texts become blocks (a list of distinct words, and texts as numbers into it), written once. Words are counted over all blocks
-by one aggregation; each word's count and probability return to the blocks that hold it by a join on the word. The distinct pairs of a
-block (words as 64-bit hashes) meet those of other blocks in one shuffle; only pairs that a block can't count by itself return to it, since
-a pair learnt once was learnt in the block that has it. A context's customers are its own tokens, so its total is its word's count.
+Data flow: texts become blocks (numbered distinct words, texts as numbers), written once. A word's 64-bit hash names its part. Each block
+sends each part one row of packed arrays: its words there with their counts, and its distinct pairs whose second word is there. Parts
+count words and pairs and keep the pairs learnt more than once; in a sweep they send the tables of each context to the group of parts
+that has the context's word and get the sums back, so no row of its own is made for a pair. The few words with more than half a part's share of
+all tokens (``hot``) have their pairs dealt by the first word; their customers are summed by Spark and known to all parts. In the end each
+part answers each block in the order in which it asked.
 
 Null text counts as empty (its only token is the end). Rows where ``learn`` is null are scored and not learnt from; repeated rows count
 again. Other columns are ignored. A word that the training texts lack has no customers, so its probability is its own spelling times what
@@ -26,6 +28,7 @@ event for all such words.) With nothing to learn from, bytes are spelled uniform
 
 from __future__ import annotations
 
+import gc
 import itertools
 import math
 from collections import defaultdict
@@ -34,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import ship, slices, stage
@@ -58,15 +61,28 @@ BITS = (6, 5, 3)
 LEVELS = (0, 6, 11, 14)  # bits of the contexts
 
 
+def joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the words, and their bytes."""
+    return np.fromiter(map(len, words), np.int64, len(words)), np.frombuffer(b"".join(words), np.uint8)
+
+
 def cells_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Cell (context of three bytes, byte) of every byte of the words and their ends; lengths of the words with ends."""
-    size = np.array([len(w) + 1 for w in words])
-    flat = np.frombuffer(b"".join(b"   " + w + b"\n" for w in words), np.uint8)
+    return _cells(*joined(words))
+
+
+def _cells(lens: np.ndarray, blob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = lens + 1
+    ends = np.cumsum(size + 3) - 1
+    flat = np.full(int(ends[-1]) + 1 if len(lens) else 0, _START, np.uint8)
+    flat[ends] = _END
     own = np.ones(len(flat), bool)
-    first = np.cumsum(size + 3) - size - 3
     for k in range(3):
-        own[first + k] = False
+        own[ends - lens - 3 + k] = False
     at = np.flatnonzero(own)
+    text = np.ones(len(at), bool)
+    text[np.cumsum(size) - 1] = False
+    flat[at[text]] = blob
     context = CLASS[0][flat[at - 1]] << 8 | CLASS[1][flat[at - 2]] << 3 | CLASS[2][flat[at - 3]]
     return context << 8 | flat[at], size
 
@@ -128,20 +144,92 @@ def packed(prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows.view(np.float32).reshape(-1, 256), at.astype(np.uint16)
 
 
-def spelled(words: list[bytes], log_prob: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-probability of spelling each word; cells and sizes."""
-    cells, size = cells_of(words)
+def spelled(words: tuple[np.ndarray, np.ndarray], log_prob: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probability of spelling each of the joined words; cells and sizes."""
+    cells, size = _cells(*words)
     rows, at = log_prob
-    return np.add.reduceat(rows[at[cells >> 8], cells & 255], np.cumsum(size) - size) if len(words) else np.zeros(0), cells, size
+    return np.add.reduceat(rows[at[cells >> 8], cells & 255], np.cumsum(size) - size) if len(size) else np.zeros(0), cells, size
 
 
-def pairs_of(ids: np.ndarray, learns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs (preceding word << 32 | word) of a block, the pair of each token, how often each is learnt. Every text ends with the
-    end, so the token before a text's first one is an end."""
-    codes, pair = np.unique(np.roll(ids, 1).astype(np.int64) << 32 | ids, return_inverse=True)
+def pairs_of(ids: np.ndarray, learns: np.ndarray, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (preceding word << 32 | word, or ``codes``) of a block, the pair of each token, how often each is learnt. Every text
+    ends with the end, so the token before a text's first one is an end."""
+    codes, pair = np.unique(np.roll(ids, 1).astype(np.int64) << 32 | ids if codes is None else codes, return_inverse=True)
     return codes, pair, np.bincount(pair[learns], minlength=len(codes))
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Numbers from 0 on as planes of bytes, as many as the largest needs (hashes: all eight), and floats in 4 bytes; compressed."""
+    head, body = [len(arrays)], []
+    for x in arrays:
+        if x.dtype.kind == "f":
+            head += [len(x), 0]
+            body.append(x.astype("<f4").tobytes())
+        else:
+            width = 8 if x.dtype == np.uint64 else max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+            head += [len(x), width]
+            body.append(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    raw = b"".join([np.array(head, "<i8").tobytes(), *body])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    count = int(np.frombuffer(raw, "<i8", 1)[0])
+    at, out = 8 + 16 * count, []
+    for n, width in np.frombuffer(raw, "<i8", 2 * count, 8).reshape(-1, 2).tolist():
+        if width:
+            x = np.zeros((n, 8), np.uint8)
+            x[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+            out.append(x.view("<u8").ravel() if width == 8 else x.view("<i8").ravel())
+        else:
+            out.append(np.frombuffer(raw, "<f4", n, at).astype(float))
+        at += n * (width or 4)
+    return out
+
+
+#: Kinds of rows that parts and blocks exchange.
+BLOCK, WORDS, PAIRS, ASKS, STATE, TABLES, MOVING, SENT, SENT_LAST, ANSWER, ONES, HOT, STAT, CELLS = range(14)
+ROW = "part int, kind int, at bigint, nums array<bigint>, data binary"
+RANGES = 64  # of cells of the spelling
+BLOCK_SCHEMA = "block bigint, docs array<bigint>, text binary, words binary, n bigint, top array<binary>, times array<bigint>"
+
+
+def _row(part: int, kind: int, at: int = 0, nums=None, data: bytes | None = None) -> pa.RecordBatch:
+    kinds = ((part, pa.int32()), (kind, pa.int32()), (at, pa.int64()), (nums and [int(x) for x in nums], pa.list_(pa.int64())), (data, pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in kinds], names=["part", "kind", "at", "nums", "data"])
+
+
+def _by_part(run):
+    """run(part, rows by kind: (at, data) in order of at) for the parts of a task."""
+
+    def tasks(batches):
+        held = defaultdict(lambda: defaultdict(list))
+        for b in slices(batches, 64):
+            for part, kind, at, data in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+                held[part][kind].append((at, data))
+        for part in sorted(held):
+            rows = held.pop(part)
+            for x in rows.values():
+                x.sort(key=lambda r: r[0])
+            yield from run(part, rows)
+
+    return tasks
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed=42) for w in words), np.uint64, len(words))
+
+
+def _split(lens: np.ndarray, blob: np.ndarray) -> list[bytes]:
+    raw, ends = blob.astype(np.uint8).tobytes(), np.cumsum(lens).tolist()
+    return [raw[e - n : e] for e, n in zip(ends, lens.tolist(), strict=True)]
+
+
+def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
 def _blocks(limit: int):
     return lambda batches: _blocks_of(batches, limit)
 
@@ -150,17 +238,17 @@ def _blocks_of(batches, limit: int):
     base, number = TaskContext.get().partitionId() << 32, itertools.count()
 
     def row():
-        flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
-        sizes = np.array([len(x) for x in ids])
-        learnt = np.repeat(np.array(learns, bool), sizes)
-        tf = np.bincount(flat[learnt], minlength=len(local))
-        codes, _, times = pairs_of(flat, learnt)
-        once = codes[times == 1]
-        ones_w, ones_u = (np.bincount(x, minlength=len(local)) for x in (once & 0xFFFFFFFF, once >> 32))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([base + next(number)], pa.int64()), pa.array([list(local)], pa.list_(pa.binary())), *(pa.array([x], pa.list_(pa.int64())) for x in (tf, ones_w, ones_u)), pa.array([learns], pa.list_(pa.bool_())), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([flat.astype("<u4").tobytes()], pa.binary())],
-            names=["block", "words", "tf", "ones_w", "ones_u", "learns", "docs", "sizes", "ids"],
-        )
+        flat, names = np.concatenate([*ids, np.zeros(0, np.uint32)]), list(local)
+        sizes, learnt = np.array([len(x) for x in ids]), np.array(learns, bool)
+        by_hash = np.argsort(_hashes(names))
+        rank, common = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+        rank[by_hash] = np.arange(len(names))
+        by_times = np.argsort(-np.bincount(flat, minlength=len(names)), kind="stable")
+        common[by_times] = np.arange(len(names))  # small numbers for frequent words
+        tf = np.bincount(flat[np.repeat(learnt, sizes)], minlength=len(names))
+        top = by_times[:2000]
+        kinds = ((base + next(number), pa.int64()), (docs, pa.list_(pa.int64())), (pack(common[flat], rank[by_times], sizes, learnt), pa.binary()), (pack(*joined([names[i] for i in by_hash]), tf[by_hash]), pa.binary()), (len(flat), pa.int64()), ([names[i] for i in top], pa.list_(pa.binary())), (tf[top], pa.list_(pa.int64())))
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in kinds], names=["block", "docs", "text", "words", "n", "top", "times"])
 
     def fresh():
         return defaultdict(itertools.count().__next__), [], [], [], 0
@@ -180,129 +268,288 @@ def _blocks_of(batches, limit: int):
         yield row()
 
 
-def _rng(words: list[bytes], sweep: int):
-    return np.random.default_rng([xxhash.xxh3_64_intdigest(words[0]), len(words), sweep])
+class Coded:
+    """A block's tokens (words numbered by hash) and its distinct pairs: by part, word and preceding word; then those of hot words."""
 
+    def __init__(self, text: bytes, hashes: np.ndarray, parts: int, hot: np.ndarray):
+        common, rank, self.sizes, learns = unpack(text)
+        self.ids = rank[common]
+        self.before = np.roll(self.ids, 1)
+        n, part = len(hashes), _part_of(hashes, parts)
+        word = self.ids.copy()
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
+            some = np.flatnonzero((hot[at] == hashes)[self.ids])
+            word[some] = n + part[self.before[some]] * len(hot) + at[self.ids[some]]
+        codes, self.pair, self.tf = pairs_of(self.ids, np.repeat(learns.astype(bool), self.sizes), word << 32 | self.before)
+        self.word, self.context = codes >> 32, codes & 0xFFFFFFFF
+        self.words_at = np.searchsorted(part, np.arange(parts + 1))
+        self.pairs_at = np.searchsorted(self.word, self.words_at)
+        self.hot_at = np.searchsorted(self.word, n + np.arange(parts + 1) * len(hot))
 
-def _pairs(batches):
-    for b in slices(batches, 1):
-        block, words, learns, sizes, ids = (b.column(i)[0].as_py() for i in range(5))
-        codes, _, tf = pairs_of(np.frombuffer(ids, "<u4"), np.repeat(np.array(learns, bool), sizes))
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed=42) for w in words), np.uint64, len(words)).view(np.int64)  # as xxhash64 of Spark
-        for k in range(0, len(codes), 50_000):
-            some = codes[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(some), block)), pa.array(np.arange(k, k + len(some), dtype=np.int32)), pa.array(hashes[some >> 32]), pa.array(hashes[some & 0xFFFFFFFF]), pa.array(tf[k : k + 50_000].astype(np.int32))],
-                names=["block", "pair", "u", "w", "tf"],
-            )
 
-
-def _reseat(sent, sweep: int):
-    """Sums of tables by cell; cell -1 has all tables of the words."""
+def _ask(parts: int, hot: np.ndarray):
+    """Blocks -> rows for the parts."""
 
     def run(batches):
-        log_prob, tables, discount, _ = sent.value
-        total, sums = 0, np.zeros(1 << (LEVELS[3] + 8))
-        for b in slices(batches, 50_000):
-            words, c = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), np.int64)
-            base, cells, size = spelled(words, log_prob)
-            t = seat(c, np.exp(base), tables, discount, _rng(words, sweep))
-            total += int(t.sum())
-            sums += np.bincount(cells, np.repeat(t, size), len(sums))
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at])), pa.array(np.concatenate([[total], sums[at]]))], names=["cell", "t"])
+        for b in slices(batches, 1):
+            block, text, words = (b.column(i)[0].as_py() for i in range(3))
+            lens, blob, tf = unpack(words)
+            hashes, ends = _hashes(_split(lens, blob)), np.concatenate([[0], np.cumsum(lens)])
+            x = Coded(text, hashes, parts, hot)
+            ones = np.bincount(x.context[x.tf == 1], minlength=len(lens))
+            for p in range(parts):
+                (a, z), (c, d), (e, f) = (at[p : p + 2].tolist() for at in (x.words_at, x.pairs_at, x.hot_at))
+                if a == z and e == f:
+                    continue
+                both = lambda y, c=c, d=d, e=e, f=f: np.concatenate([y[c:d], y[e:f]])
+                counts = np.bincount(x.word[c:d] - a, minlength=z - a), np.bincount(x.word[e:f] - len(lens) - p * len(hot), minlength=len(hot))
+                yield _row(p, BLOCK, block, data=pack(lens[a:z], blob[ends[a] : ends[z]], tf[a:z], ones[a:z], *counts, hashes[both(x.context)], both(x.tf)))
 
     return run
 
 
-def _log_probs(words, c, sample, sweep: int) -> np.ndarray:
-    """Natural log of each word's probability in the word restaurant."""
-    log_prob, tables, discount, n = sample
-    base = spelled(words, log_prob)[0].astype(float)
-    t = seat(c, np.exp(base), tables, discount, _rng(words, 1000 + sweep))
-    own = np.log(c - discount * t, out=np.full(len(words), -np.inf), where=c > 0)
-    return np.logaddexp(own, base + np.log(STRENGTH + discount * tables)) - np.log(STRENGTH + n)  # logs: a long word's spelling is below the least float
-
-
-def _word_probs(sent, sweep: int):
-    """(w, h, c) -> (h, lp)."""
-
-    def run(batches):
-        for b in slices(batches, 50_000):
-            lp = _log_probs(b.column(0).to_pylist(), b.column(2).to_numpy(zero_copy_only=False), sent.value, sweep)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(lp)], names=["h", "lp"])
-
-    return run
+def _stats(c: np.ndarray) -> list[int]:
+    return [c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()]
+
+
+def _groups(parts: int) -> int:
+    """Sums of contexts are made by groups of parts, so that rows between them grow less than the square of the parts."""
+    return min(parts, 2 * math.isqrt(parts))
+
+
+def _to_groups(part: int, hashes: np.ndarray, parts: int, *arrays):
+    """Sorted hashes and what belongs to them, to the groups of their parts."""
+    groups = _groups(parts)
+    at = np.searchsorted(_part_of(hashes, parts) * groups // parts, np.arange(groups + 1)).tolist()
+    for g, (a, z) in enumerate(itertools.pairwise(at)):
+        if a < z:
+            yield _row(g, SENT, part, data=pack(hashes[a:z], *(x[a:z] for x in arrays)))
+
+
+def _count(parts: int, hot: np.ndarray):
+    """Of a part: counts of its words and pairs, what each block asks for, and the pairs learnt more than once with a table each."""
+
+    def run(part, rows):
+        got = [unpack(data) for _, data in rows[BLOCK]]
+        lens, blob, times, ones_u, _, _, u, tf = (np.concatenate(x) for x in zip(*got, strict=True))
+        names = _split(lens, blob)
+        hashes, first, at = np.unique(_hashes(names), return_index=True, return_inverse=True)
+        n, c, ones_u = len(hashes), *(np.bincount(at, x, len(hashes)).astype(np.int64) for x in (times, ones_u))
+        mine = np.split(at, np.cumsum([len(x[0]) for x in got])[:-1])
+        word = np.concatenate([np.concatenate([np.repeat(own, x[4]), n + np.repeat(np.arange(len(hot)), x[5])]) for own, x in zip(mine, got, strict=True)])
+        contexts, context = np.unique(u, return_inverse=True)
+        codes, pair = np.unique(word << 32 | context, return_inverse=True)
+        total = np.bincount(pair, tf, len(codes)).astype(np.int64)
+        ones_w = np.bincount(codes[total == 1] >> 32, minlength=n + len(hot))
+        many = total > 1
+        known, slot = np.unique(codes[many] & 0xFFFFFFFF, return_inverse=True)
+        again = np.bincount(context[(tf == 1) & many[pair]], minlength=len(contexts))[known]  # learnt once in a block, more often in all
+        word = codes[many] >> 32
+        moving = np.unique(word[word < n])
+        word = np.where(word < n, np.searchsorted(moving, word), len(moving) + word - n)
+        still = np.setdiff1d(np.flatnonzero(~np.isin(hashes, hot)), moving)
+        kept, shifts = joined([names[first[i]] for i in moving]), lambda x: np.diff(x, prepend=0)
+        yield _row(part, WORDS, part, data=pack(*joined([names[i] for i in first]), c, ones_u, ones_w[:n], moving, still))
+        yield _row(part, PAIRS, data=pack(total))
+        for (block, _), own, some in zip(rows[BLOCK], mine, np.split(pair, np.cumsum([len(x[6]) for x in got])[:-1]), strict=True):
+            yield _row(part, ASKS, block, data=pack(shifts(own), shifts(some)))
+        ts = np.ones(len(word), np.int64)
+        yield _row(part, STATE, data=pack(*kept, ones_w[moving], word, slot, total[many], contexts[known]))
+        yield _row(part, TABLES, data=pack(ts, ts))
+        per_word = np.bincount(word, minlength=len(moving) + len(hot))
+        cs = ones_w[moving] + per_word[: len(moving)]
+        yield _row(part, MOVING, nums=_stats(cs), data=pack(*kept, cs))
+        yield _row(part, STAT, nums=[c.sum(), (c > 0).sum(), (total == 1).sum(), (total == 2).sum(), *_stats(ones_w[still])])
+        for k in range(len(hot)):
+            yield _row(0, HOT, k, nums=[ones_w[n + k], per_word[len(moving) + k]])
+        yield from _to_groups(part, contexts[known], parts, np.bincount(slot, minlength=len(known)), again)
+
+    return _by_part(run)
+
+
+def _first_answers(group, rows):
+    """To each part that sent contexts: how often these stand before a word just once, and the sums of their tables."""
+    got = [unpack(data)[:4] for _, data in rows[WORDS]]
+    ones, hashes = np.concatenate([*(x[3] for x in got), np.zeros(0, np.int64)]), _hashes([w for x in got for w in _split(*x[:2])])
+    sums, sent = np.zeros(len(hashes), np.int64), []
+    for of, data in rows[SENT]:
+        h, t, again = unpack(data)
+        sent.append((of, at := np.searchsorted(hashes, h)))
+        sums[at] += t
+        ones[at] -= again
+    ends = np.cumsum([len(x[0]) for x in got]).tolist()
+    for (part, _), x, end in zip(rows[WORDS], got, ends, strict=True):
+        yield _row(part, ONES, data=pack(ones[end - len(x[0]) : end]))
+    for of, at in sent:
+        yield _row(of, ANSWER, group, data=pack(ones[at], sums[at]))
+
+
+def _sums_of(sent):
+    """Contexts, the sums of their tables, and the context of each one sent."""
+    hashes, at = np.unique(np.concatenate([x[0] for x in sent]), return_inverse=True)
+    return hashes, np.bincount(at, np.concatenate([x[1] for x in sent]), len(hashes)).astype(np.int64), at
+
+
+def _answers(group, rows):
+    sent = [unpack(data) for _, data in rows[SENT]]
+    _, sums, at = _sums_of(sent)
+    for (of, _), own in zip(rows[SENT], np.split(at, np.cumsum([len(x[0]) for x in sent])[:-1]), strict=True):
+        yield _row(of, ANSWER, group, data=pack(sums[own]))
+
+
+def _last_sums(parts: int):
+    """Of the two sweeps kept: the sums of contexts, to the parts of their words."""
+
+    def run(_, rows):
+        for kind, sent in rows.items():
+            hashes, sums, _ = _sums_of([unpack(data) for _, data in sent])
+            part = _part_of(hashes, parts)
+            for p in np.unique(part).tolist():
+                a, z = np.searchsorted(part, [p, p + 1]).tolist()
+                yield _row(p, kind, data=pack(hashes[a:z], sums[a:z]))
+
+    return _by_part(run)
 
 
-def _seat_pairs(discount: float, sweep: int):
-    """(u, w, c, ts, lp, tables of u) -> (u, w, c, ts) with the new number of tables last."""
+def _reseat(sent, sweep: int):
+    """Sums of tables by cell, packed by ranges of cells; and of all."""
 
     def run(batches):
-        for b in slices(batches, 50_000):
-            if not b.num_rows:
-                continue
-            u, w, c, lp, tables = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5))
-            rng = np.random.default_rng([int(u[0]) & 0xFFFFFFFF, int(w[0]) & 0xFFFFFFFF, len(u), sweep])
-            t = seat(c, np.exp(lp), tables, discount, rng)
-            ts = np.column_stack([b.column(3).flatten().to_numpy().reshape(-1, KEEP)[:, 1:], t])
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(list(ts), pa.list_(pa.int64()))], names=["u", "w", "c", "ts"])
+        log_prob, tables, discount, _ = sent.value[0]
+        total, sums = 0, np.zeros(1 << (LEVELS[3] + 8))
+        for b in slices(batches, 1):
+            part, kind, data = (b.column(i)[0].as_py() for i in (0, 1, 4))
+            lens, blob, c, *more = unpack(data)
+            if kind == WORDS:  # those of pairs learnt once keep their customers
+                own = np.zeros(len(lens), bool)
+                own[more[3]] = True
+                lens, blob, c = lens[own], blob[np.repeat(own, lens)], more[1][own]
+            some = c > 0
+            lens, blob, c = lens[some], blob[np.repeat(some, lens)], c[some]
+            base, cells, size = spelled((lens, blob.astype(np.uint8)), log_prob)
+            t = seat(c, np.exp(base), tables, discount, np.random.default_rng([part, kind, sweep]))
+            total += int(t.sum())
+            sums += np.bincount(cells, np.repeat(t, size), len(sums))
+        if total:
+            yield _row(0, STAT, nums=[total])
+            for k, x in enumerate(sums.astype(np.int64).reshape(RANGES, -1)):
+                at = np.flatnonzero(x)
+                if len(at):
+                    yield _row(k, CELLS, data=pack(at, x[at]))
 
     return run
 
 
-def _word_scores(sent):
-    """(w, c, cs, tus) -> (w, c, p): of each sample kept the natural log of the word's probability, then of each the tables of its context."""
+def _add_cells(part, rows):
+    sums = np.zeros((1 << (LEVELS[3] + 8)) // RANGES, np.int64)
+    for _, data in rows[CELLS]:
+        at, t = unpack(data)
+        sums[at] += t
+    at = np.flatnonzero(sums)
+    yield _row(part, CELLS, data=pack(at, sums[at]))
 
-    def run(batches):
-        for b in slices(batches, 50_000):
-            words = b.column(0).to_pylist()
-            cs, tus = (b.column(i).flatten().to_numpy().reshape(-1, KEEP) for i in (2, 3))
-            p = np.column_stack([*(_log_probs(words, cs[:, k], x, k) for k, x in enumerate(sent.value)), tus])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(p), pa.list_(pa.float64()))], names=["w", "c", "p"])
 
-    return run
+def _log_probs(words, c, sample, seed: list[int]) -> np.ndarray:
+    """Natural log of each word's probability in the word restaurant."""
+    log_prob, tables, discount, n = sample
+    base = spelled(words, log_prob)[0].astype(float)
+    t = seat(c, np.exp(base), tables, discount, np.random.default_rng(seed))
+    own = np.log(c - discount * t, out=np.full(len(c), -np.inf), where=c > 0)
+    return np.logaddexp(own, base + np.log(STRENGTH + discount * tables)) - np.log(STRENGTH + n)  # logs: a long word's spelling is below the least float
 
 
-def _text_scores(n: int, v: int, discount: float):
-    """Rows (block, at, pair, c, p, learns, docs, sizes, ids) in any order: of each block its texts (at = -1), its words' counts, scores and
-    context tables, and counts and tables of those pairs (at = -2) that it can't tell itself. A task holds the few blocks hashed to it."""
-
-    def texts(head, words, pairs):
-        learns, docs, sizes, ids = head
-        ids, sizes = np.frombuffer(ids, "<u4"), np.array(sizes)
-        counts, p = np.zeros(len(words[0]), np.int64), np.zeros((len(words[0]), 2 * KEEP))
-        counts[words[0]], p[words[0]] = words[1], words[2]
-        codes, of, c = pairs_of(ids, np.repeat(np.array(learns, bool), sizes))
-        t = np.repeat(np.minimum(c, 1)[:, None], KEEP, axis=1).astype(float)
-        c[pairs[0]], t[pairs[0]] = pairs[1], pairs[2]
-        u, w = codes >> 32, codes & 0xFFFFFFFF
-        lp = np.full(len(codes), -np.inf)
-        for k in range(KEEP):
-            own = np.log(c - discount * t[:, k], out=np.full(len(codes), -np.inf), where=c > 0)
-            lp = np.logaddexp(lp, np.logaddexp(own, p[w, k] + np.log(STRENGTH + discount * p[u, KEEP + k])) - np.log(STRENGTH + counts[u]))
+def _seat_pairs(sent, parts: int, discount: float, sweep: int):
+    """Of a part: its pairs seated anew, and what follows for contexts, words and hot words."""
+
+    def run(part, rows):
+        sample, hot, hot_cs = sent.value
+        lens, blob, ones_w, word, slot, c, contexts = unpack(rows[STATE][0][1])
+        before, last, *ones_u = unpack(rows[TABLES][0][1])
+        answers = [unpack(data) for _, data in rows[ANSWER]]
+        *first, tables = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in zip(*answers, strict=True)) if answers else (np.zeros(0, np.int64),) * 2
+        ones_u = first[0] if first else ones_u[0]
+        words, n = (lens, blob.astype(np.uint8)), len(lens)
+        lp = np.concatenate([_log_probs(words, ones_w + np.bincount(word, last, n + len(hot_cs)).astype(np.int64)[:n], sample, [1, part, sweep]), _log_probs(hot, hot_cs, sample, [2, sweep])])
+        t = seat(c, np.exp(lp[word]), (ones_u + tables)[slot], discount, np.random.default_rng([3, part, sweep]))
+        per_word = np.bincount(word, t, n + len(hot_cs)).astype(np.int64)
+        cs = ones_w + per_word[:n]
+        yield _row(part, TABLES, data=pack(last, t, ones_u))
+        yield _row(part, MOVING, nums=_stats(cs), data=pack(*words, cs))
+        for k, x in enumerate(per_word[n:].tolist()):
+            yield _row(0, HOT, k, nums=[0, x])
+        yield from _to_groups(part, contexts, parts, np.bincount(slot, t, len(contexts)).astype(np.int64))
+
+    return _by_part(run)
+
+
+def _reply(sent, hot: np.ndarray):
+    """Of a part: to each block that asked, its words' counts, tables as contexts and log-probabilities, its pairs' counts and tables."""
+
+    def run(part, rows):
+        samples, hot_cs = sent.value
+        lens, blob, c, _, ones_w, moving, _ = unpack(rows[WORDS][0][1])
+        words = lens, blob.astype(np.uint8)
+        hashes, ones_u, total = _hashes(_split(*words)), unpack(rows[ONES][0][1])[0], unpack(rows[PAIRS][0][1])[0]
+        word, ts = unpack(rows[STATE][0][1])[3], unpack(rows[TABLES][0][1])[:KEEP]
+        at = np.minimum(np.searchsorted(hot, hashes), max(len(hot) - 1, 0))
+        here = np.flatnonzero(hot[at] == hashes) if len(hot) else np.zeros(0, int)
+        tables, log_probs, seated = [], [], []
+        for k, kind in enumerate((SENT, SENT_LAST)):
+            cs, tus, t = ones_w.copy(), ones_u.copy(), np.minimum(total, 1)
+            cs[moving] += np.bincount(word, ts[k], len(moving)).astype(np.int64)[: len(moving)]
+            cs[here] = hot_cs[k][at[here]]
+            log_probs.append(_log_probs(words, cs, samples[k], [4, part, k]))
+            for _, data in rows[kind]:
+                h, x = unpack(data)
+                tus[np.searchsorted(hashes, h)] += x
+            tables.append(tus)
+            t[total > 1] = ts[k]
+            seated.append(t)
+        for block, data in rows[ASKS]:
+            w, p = (np.cumsum(x) for x in unpack(data))
+            yield _row(part, ANSWER, block, data=pack(c[w], *(x[w] for x in (*tables, *log_probs)), total[p], *(x[p] for x in seated)))
+
+    return _by_part(run)
+
+
+def _text_scores(parts: int, hot: np.ndarray, n: int, v: int, discount: float):
+    """Rows (block, part, data, docs, text, words), a block's text (part -1) before its parts' answers."""
+
+    def texts(docs, text, words, answers):
+        hashes = _hashes(_split(*unpack(words)[:2]))
+        x = Coded(text, hashes, parts, hot)
+        got = [(p, unpack(data)) for p, data in answers]
+        counts, *scores = (np.concatenate([y[k] for _, y in got]) for k in range(1 + 2 * KEEP))
+        c, *ts = (np.zeros(len(x.word), np.int64) for _ in range(1 + KEEP))
+        for p, y in got:
+            (a, z), (e, f) = (at[p : p + 2].tolist() for at in (x.pairs_at, x.hot_at))
+            for to, own in zip((c, *ts), y[1 + 2 * KEEP :], strict=True):
+                to[a:z], to[e:f] = own[: z - a], own[z - a :]
+        w, u = np.zeros(len(c), np.int64), x.context
+        w[x.pair] = x.ids
+        lp = np.full(len(c), -np.inf)
+        for k, t in enumerate(ts):
+            own = np.log(c - discount * t, out=np.full(len(c), -np.inf), where=c > 0)
+            lp = np.logaddexp(lp, np.logaddexp(own, scores[KEEP + k][w] + np.log(STRENGTH + discount * scores[k][u])) - np.log(STRENGTH + counts[u]))
         lp = (lp - np.log(KEEP)) / np.log(10)
-        first = np.cumsum(sizes) - sizes
-        total = lambda x: np.add.reduceat(x, first)
+        first = np.cumsum(x.sizes) - x.sizes
+        total = lambda y: np.add.reduceat(y, first)
         base = np.log10((counts + 1) / (n + v + 1))
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(total((counts > 0).astype(np.int64)[ids])), pa.array(total(base[ids])), pa.array(total(lp[of]))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(x.sizes, pa.int64()), pa.array(total((counts > 0).astype(np.int64)[x.ids])), pa.array(total(base[x.ids])), pa.array(total(lp[x.pair]))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     def run(batches):
-        heads, rows = {}, defaultdict(lambda: ([], []))
-        for b in slices(batches, 50_000):
-            block, at, pair, c = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            for k in np.unique(block).tolist():
-                mine = block == k
-                for h in np.flatnonzero(mine & (at == -1)).tolist():
-                    heads[k] = tuple(b.column(i)[h].as_py() for i in (5, 6, 7, 8))
-                for kind, (which, key, width) in enumerate(((mine & (at >= 0), at, 2 * KEEP), (mine & (at == -2), pair, KEEP))):
-                    here = np.flatnonzero(which)
-                    if len(here):
-                        rows[k][kind].append((key[here].astype(np.int32), c[here].astype(np.int64), b.column(4).take(pa.array(here)).flatten().to_numpy().reshape(-1, width)))
-        empty = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, KEEP)))
-        for k, head in heads.items():
-            words, pairs = rows.pop(k)
-            yield texts(head, *(tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else empty for parts in (words, pairs)))
+        head, answers = None, []
+        for b in slices(batches, 1):
+            _, part, data, docs, text, words = (b.column(i)[0].as_py() for i in range(6))
+            if part < 0:
+                if head:
+                    yield texts(*head, answers)
+                head, answers = (docs, text, words), []
+            else:
+                answers.append((part, data))
+        if head:
+            yield texts(*head, answers)
 
     return run
 
@@ -311,81 +558,84 @@ def _discount(one: int, two: int) -> float:
     return min(max(one / (one + 2 * two), 0.05), 0.95) if one else 0.5
 
 
-def _tables(multi: DataFrame, key: str, name: str) -> DataFrame:
-    return multi.groupBy(F.col(key).alias("h")).agg(F.array(*[F.sum(F.col("ts")[j]) for j in range(KEEP)]).alias(name))
-
-
-def _level(words: DataFrame, multi: DataFrame | None = None) -> DataFrame:
-    """Words with their customers in the word restaurant (cs) and the tables of their own context (tus), of each sample kept."""
-    none = F.array_repeat(F.lit(0).cast("bigint"), KEEP)
-    words = words.withColumn("h", F.xxhash64("w"))
-    if multi is None:
-        words = words.select("*", none.alias("mw"), none.alias("mu"))
-    else:
-        words = words.join(_tables(multi, "w", "mw"), "h", "left").join(_tables(multi, "u", "mu"), "h", "left")
+def _sums(rows: DataFrame, kind: int, width: int) -> list[int]:
+    return list(rows.filter(F.col("kind") == kind).agg(*[F.coalesce(F.sum(F.col("nums")[k]), F.lit(0)) for k in range(width)]).first())
 
-    def plus(ones, name):
-        return F.transform(F.coalesce(name, none), lambda x: x + F.col(ones))
 
-    return words.select("w", "c", plus("ones_w", "mw").alias("cs"), plus("ones_u", "mu").alias("tus"))
+def _release(spark) -> None:
+    """Shuffle files of finished jobs go when the driver's garbage is collected; what they led to is staged."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def score(docs: DataFrame, learn: Column, sweeps: int = SWEEPS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, text) -> doc_id, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score; log10 of whole texts."""
     spark = docs.sparkSession
     ship(spark)
-    schema = "block bigint, words array<binary>, tf array<bigint>, ones_w array<bigint>, ones_u array<bigint>, learns array<boolean>, docs array<bigint>, sizes array<bigint>, ids binary"
-    blocks = stage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), "text").mapInArrow(_blocks(block_tokens), schema))
-    words = (
-        blocks.select(F.explode(F.arrays_zip("words", "tf", "ones_w", "ones_u")).alias("x"))
-        .groupBy(F.col("x.words").alias("w"))
-        .agg(F.sum("x.tf").alias("c"), F.sum("x.ones_w").alias("ones_w"), F.sum("x.ones_u").alias("ones_u"))
-        .withColumn("h", F.xxhash64("w"))
-    )
-    pairs = blocks.select("block", "words", "learns", "sizes", "ids").mapInArrow(_pairs, "block bigint, pair int, u bigint, w bigint, tf int")
-    seen = stage(pairs.withColumn("c", F.sum("tf").over(Window.partitionBy("u", "w"))).filter("c > 1 or (c = 1 and tf = 0)"))
-    multi = stage(seen.filter("c > 1").groupBy("u", "w").agg(F.first("c").alias("c")).select("*", F.array_repeat(F.lit(1).cast("bigint"), KEEP).alias("ts")))
-    for key in "wu":  # learnt once in a block, more often in all
-        again = seen.filter("c > 1").groupBy(F.col(key).alias("h")).agg(F.count_if(F.expr("tf = 1")).alias(f"again_{key}"))
-        words = words.join(again, "h", "left").withColumn(f"ones_{key}", F.col(f"ones_{key}") - F.coalesce(f"again_{key}", F.lit(0)))
-    words = stage(words.select("w", "c", "ones_w", "ones_u", F.expr("again_w is not null or again_u is not null").alias("moves")))
-    n, v, ones = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.expr("count_if(c > 0)"), F.coalesce(F.sum("ones_w"), F.lit(0))).first()
-    pair_discount = _discount(ones, multi.filter("c = 2").count())
+    blocks = stage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), "text").mapInArrow(_blocks(block_tokens), BLOCK_SCHEMA))
+    count, size = blocks.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count)
+    top = blocks.select(F.explode(F.arrays_zip("top", "times")).alias("x")).groupBy("x.top").agg(F.sum("x.times").alias("c"))
+    names = [bytes(r[0]) for r in top.filter(F.col("c") * 2 * parts > size).select("top").collect()]  # under 2 * parts words
+    hot = np.sort(_hashes(names))
+    hot_words = joined(sorted(names, key=lambda w: xxhash.xxh64_intdigest(w, seed=42)))
+
+    def meet(rows, run, number=parts):
+        return rows.repartitionById(number, F.col("part")).mapInArrow(run, ROW)
+
+    def kinds(rows, *some):
+        return rows.filter(F.col("kind").isin(*some))
+
+    def hot_sums(rows):
+        out = np.zeros((2, len(hot)), np.int64)
+        for k, ones, t in kinds(rows, HOT).groupBy("at").agg(F.sum(F.col("nums")[0]), F.sum(F.col("nums")[1])).collect():
+            out[:, k] = ones, t
+        return out
+
+    made = stage(meet(blocks.select("block", "text", "words").mapInArrow(_ask(parts, hot), ROW), _count(parts, hot)))
+    groups = _groups(parts)
+    grouped = kinds(made, WORDS).withColumn("part", F.expr(f"cast(part * {groups} div {parts} as int)"))
+    answers = stage(meet(grouped.unionByName(kinds(made, SENT)), _by_part(_first_answers), groups))
+    _release(spark)
+    n, v, ones, twos, *still = _sums(made, STAT, 8)
+    pair_discount = _discount(ones, twos)
+    hot_ones, t = hot_sums(made)
+    hot_cs, sent_tables, now = [hot_ones + t] * KEEP, [kinds(made, SENT)] * KEEP, made
+    known_ones, asked = kinds(answers, ONES), kinds(answers, ANSWER)
 
     spelling, tables, rng, samples = Spelling(), None, np.random.default_rng(10), []
-    last, still = F.col("cs")[KEEP - 1], _level(words.filter("not moves"))  # words of pairs learnt once keep their customers
     for k in range(sweeps):
-        moving = stage(_level(words.filter("moves"), multi))
-        level = still.unionByName(moving)
-        customers, known, one, two = level.select(last.alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)), F.expr("count_if(c > 0)"), F.expr("count_if(c = 1)"), F.expr("count_if(c = 2)")).first()
+        customers, known, one, two = (a + b + c for a, b, c in zip(still, _sums(now, MOVING, 4), map(int, _stats(hot_cs[-1])), strict=True))
         tables = float(known) if tables is None else tables
         samples.append((packed(spelling.prob[3]), tables, _discount(one, two), customers))
         if k + 1 == sweeps:
             break
-        sent = spark.sparkContext.broadcast(samples[-1])
-        got = level.filter(last > 0).select("w", last).mapInArrow(_reseat(sent, k), "cell bigint, t double").groupBy("cell").agg(F.sum("t").alias("t")).toArrow()  # a row for each cell of the spelling
-        cell, t = np.array(got.column(0), np.int64), np.array(got.column(1), float)
-        sums = np.zeros(1 << (LEVELS[3] + 8), np.int64)
-        sums[cell[cell >= 0]] = np.rint(t[cell >= 0]).astype(np.int64)
-        tables = float(t[cell == -1].sum())
-        spelling.sweep(sums, rng)
-        hashed = moving.withColumn("h", F.xxhash64("w"))
-        probs = hashed.filter(last > 0).select("w", "h", last).mapInArrow(_word_probs(sent, k), "h bigint, lp double").withColumnRenamed("h", "w")
-        contexts = hashed.select(F.col("h").alias("u"), F.col("tus")[KEEP - 1].alias("tables"))
-        multi = stage(multi.join(probs, "w").join(contexts, "u").select("u", "w", "c", "ts", "lp", "tables").mapInArrow(_seat_pairs(pair_discount, k), "u bigint, w bigint, c bigint, ts array<bigint>"))
+        sent = spark.sparkContext.broadcast((samples[-1], hot_words, hot_cs[-1]))
+        cells = stage(kinds(made, WORDS).unionByName(kinds(now, MOVING)).mapInArrow(_reseat(sent, k), ROW))
+        sums = np.zeros((RANGES, (1 << (LEVELS[3] + 8)) // RANGES), np.int64)
+        for r in meet(kinds(cells, CELLS), _by_part(_add_cells), RANGES).collect():  # of fixed size
+            at, t = unpack(r.data)
+            sums[r.part, at] = t
+        some = hot_cs[-1] > 0
+        base, at, lens = spelled((hot_words[0][some], hot_words[1][np.repeat(some, hot_words[0])]), samples[-1][0])
+        t = seat(hot_cs[-1][some], np.exp(base), tables, samples[-1][2], rng)
+        np.add.at(sums.reshape(-1), at, np.repeat(t, lens))
+        tables = float(_sums(cells, STAT, 1)[0] + t.sum())
+        spelling.sweep(sums.reshape(-1), rng)
+        if k:
+            asked = meet(sent_tables[-1], _by_part(_answers), groups)
+        now = stage(meet(kinds(made, STATE).unionByName(kinds(now, TABLES)).unionByName(asked), _seat_pairs(sent, parts, pair_discount, k)))
+        hot_cs, sent_tables = [*hot_cs[1:], hot_ones + hot_sums(now)[1]], [*sent_tables[1:], kinds(now, SENT)]
         sent.destroy()  # what was made with it is written
+        _release(spark)
     samples = [samples[0]] * (KEEP - len(samples)) + samples
-    sent = spark.sparkContext.broadcast(samples[-KEEP:])
-    scores = level.select("w", "c", "cs", "tus").mapInArrow(_word_scores(sent), "w binary, c bigint, p array<double>")
-
-    none = {"learns": "array<boolean>", "docs": "array<bigint>", "sizes": "array<bigint>", "ids": "binary"}
-    nulls = [F.lit(None).cast(kind).alias(name) for name, kind in none.items()]
-    posts = blocks.select("block", F.posexplode("words").alias("at", "w"))
-    of_words = posts.join(scores, "w").select("block", "at", F.lit(-1).alias("pair"), "c", "p", *nulls)
-    of_pairs = seen.drop("tf").join(multi.drop("c"), ["u", "w"], "left").select("block", F.lit(-2).alias("at"), "pair", "c", F.coalesce("ts", F.array_repeat(F.lit(1).cast("bigint"), KEEP)).cast("array<double>").alias("p"), *nulls)
-    heads = blocks.select("block", F.lit(-1).alias("at"), F.lit(-1).alias("pair"), F.lit(0).cast("bigint").alias("c"), F.lit(None).cast("array<double>").alias("p"), *none)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count())
-    out = heads.unionByName(of_words).unionByName(of_pairs).repartition(parts, "block").mapInArrow(_text_scores(n, v, pair_discount), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    sent = spark.sparkContext.broadcast((samples[-KEEP:], hot_cs))
+    of_parts = kinds(made, WORDS, PAIRS, ASKS, STATE).unionByName(kinds(now, TABLES)).unionByName(known_ones)
+    last_sums = meet(sent_tables[0].unionByName(sent_tables[1].withColumn("kind", F.lit(SENT_LAST))), _last_sums(parts), groups)
+    of_parts = of_parts.unionByName(last_sums)
+    replies = meet(of_parts, _reply(sent, hot)).select(F.col("at").alias("block"), "part", "data", *[F.lit(None).cast(t).alias(c) for c, t in (("docs", "array<bigint>"), ("text", "binary"), ("words", "binary"))])
+    heads = blocks.select("block", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("data"), "docs", "text", "words")
+    out = heads.unionByName(replies).repartition(parts, "block").sortWithinPartitions("block", "part").mapInArrow(_text_scores(parts, hot, n, v, pair_discount), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 

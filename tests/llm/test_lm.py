@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from panelspark.llm import lm
@@ -129,3 +130,62 @@ def test_unseen_words_are_spelled(spark):
     got = {r.doc_id: r for r in lm.score(docs.unionByName(more), (F.col("doc_id") >= 0) & learn).collect()}
     assert len(held) > 5 and all(got[-1 - d].n_tokens == got[d].n_tokens and got[-1 - d].score < got[d].score for d, _ in held)
     assert got[-100_002].score < got[-100_001].score - 300  # every byte counts
+
+
+def test_packed_numbers_come_back():
+    arrays = [np.array([0, 300, 2]), np.zeros(0, np.int64), np.array([5, 1 << 63], np.uint64), np.zeros(0, np.uint64), np.array([0.5, -np.inf]), np.array([True, False])]
+    got = lm.unpack(lm.pack(*arrays))
+    assert [x.tolist() for x in got] == [x.tolist() for x in arrays] and got[3].dtype == np.uint64
+
+
+def test_parts_count_all_words_and_pairs(monkeypatch):
+    """Blocks asking parts, with a hot word: counts of words and learnt pairs as by hand, and each block gets its own in its order."""
+    monkeypatch.setattr(lm, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    rng, parts, hot = np.random.default_rng(2), 5, np.sort(lm._hashes([b"a", b"b"]))
+    docs = [(d, d % 4 > 0, " ".join(rng.choice([*"aaaabbcdefghij", *(f"w{k}" for k in range(40))], 25))) for d in range(30)]
+    table = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*docs, strict=True)], names=["doc_id", "learn", "text"])
+    blocks = list(lm._blocks_of([table], 200))
+    rows = [r for b in blocks for r in lm._ask(parts, hot)([b.select(["block", "text", "words"])])]
+    made = [r for p in range(parts) for r in lm._count(parts, hot)([r for r in rows if r.column(0)[0].as_py() == p])]
+    of = {}
+    for r in made:
+        of.setdefault(r.column(1)[0].as_py(), []).append((r.column(0)[0].as_py(), r.column(2)[0].as_py(), r.column(3)[0].as_py(), r.column(4)[0].as_py()))
+    learnt = [["", *t.split(), ""] for _, y, t in docs if y]
+    words, pairs = Counter(w.encode() for t in learnt for w in t[1:]), Counter((u.encode(), w.encode()) for t in learnt for u, w in zip(t, t[1:], strict=False))
+    names, counts, totals = {}, {}, {p: lm.unpack(data)[0] for p, _, _, data in of[lm.PAIRS]}
+    for p, _, _, data in of[lm.WORDS]:
+        lens, blob, c = lm.unpack(data)[:3]
+        names[p], counts[p] = lm._split(lens, blob), c
+    assert {w: n for p in names for w, n in zip(names[p], counts[p].tolist(), strict=True) if n} == dict(words)
+    stats = np.sum([nums for _, _, nums, _ in of[lm.STAT]], axis=0)
+    assert stats[:4].tolist() == [sum(words.values()), len(words), sum(n == 1 for n in pairs.values()), sum(n == 2 for n in pairs.values())]
+    ones = {k: sum(nums[0] for _, at, nums, _ in of[lm.HOT] if at == k) for k in range(2)}
+    assert ones == {k: sum(n == 1 for (_, w), n in pairs.items() if lm._hashes([w])[0] == h) for k, h in enumerate(hot)}
+    assert len(blocks) > 3
+    for b in blocks:
+        block, text, data = (b.column(k)[0].as_py() for k in (0, 2, 3))
+        own = lm._split(*lm.unpack(data)[:2])
+        x = lm.Coded(text, lm._hashes(own), parts, hot)
+        asks = {p: [np.cumsum(y) for y in lm.unpack(d)] for p, at, _, d in of[lm.ASKS] if at == block}
+        assert [names[p][k] for p in sorted(asks) for k in asks[p][0]] == own
+        got = np.full(len(x.word), -1)
+        for p, (_, some) in asks.items():
+            (a, z), (e, f) = x.pairs_at[p : p + 2], x.hot_at[p : p + 2]
+            got[a:z], got[e:f] = totals[p][some][: z - a], totals[p][some][z - a :]
+        assert {(own[u], own[w]): got[k] for u, w, k in zip(x.before, x.ids, x.pair, strict=True)} == {(own[u], own[w]): pairs[own[u], own[w]] for u, w in zip(x.before, x.ids, strict=True)}
+
+
+def test_no_row_for_each_pair_or_word(spark, monkeypatch):
+    """What is staged are packed rows: a few for each block and part, whatever the numbers of words and pairs."""
+    rows, real = [], lm.stage
+
+    def stage(df):
+        out = real(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(lm, "stage", stage)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    out = lm.score(docs, F.col("doc_id") % 2 == 0)
+    assert out.count() == 200 and sum(len(tokens(r.text)) for r in docs.collect()) > 20_000
+    assert len(rows) > 5 and max(rows) < 500
