@@ -154,7 +154,15 @@ def spelled(words: tuple[np.ndarray, np.ndarray], log_prob: tuple[np.ndarray, np
 def pairs_of(ids: np.ndarray, learns: np.ndarray, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs (preceding word << 32 | word, or ``codes``) of a block, the pair of each token, how often each is learnt. Every text
     ends with the end, so the token before a text's first one is an end."""
-    codes, pair = np.unique(np.roll(ids, 1).astype(np.int64) << 32 | ids if codes is None else codes, return_inverse=True)
+    codes = np.roll(ids, 1).astype(np.int64) << 32 | ids if codes is None else codes
+    order = np.argsort(codes)
+    codes = codes[order]
+    new = np.ones(len(codes), bool)
+    np.not_equal(codes[1:], codes[:-1], out=new[1:])
+    pair = np.empty(len(codes), np.int32)
+    pair[order] = np.cumsum(new, dtype=np.int32) - 1
+    del order  # blocks are long: no more arrays than needed at a time
+    codes = codes[new]
     return codes, pair, np.bincount(pair[learns], minlength=len(codes))
 
 
@@ -200,6 +208,12 @@ def _row(part: int, kind: int, at: int = 0, nums=None, data: bytes | None = None
     return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in kinds], names=["part", "kind", "at", "nums", "data"])
 
 
+def _hot_rows(ones: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+    n = len(ones)
+    columns = pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, HOT, np.int32)), pa.array(np.arange(n)), pa.array(np.column_stack([ones, t]).tolist(), pa.list_(pa.int64())), pa.nulls(n, pa.binary())
+    return pa.RecordBatch.from_arrays(list(columns), names=["part", "kind", "at", "nums", "data"])
+
+
 def _by_part(run):
     """run(part, rows by kind: (at, data) in order of at) for the parts of a task."""
 
@@ -273,16 +287,22 @@ class Coded:
 
     def __init__(self, text: bytes, hashes: np.ndarray, parts: int, hot: np.ndarray):
         common, rank, self.sizes, learns = unpack(text)
-        self.ids = rank[common]
-        self.before = np.roll(self.ids, 1)
+        self.ids = rank.astype(np.int32)[common]
+        del common
+        before = np.roll(self.ids, 1)
         n, part = len(hashes), _part_of(hashes, parts)
-        word = self.ids.copy()
+        codes = self.ids.astype(np.int64)
         if len(hot):
             at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
             some = np.flatnonzero((hot[at] == hashes)[self.ids])
-            word[some] = n + part[self.before[some]] * len(hot) + at[self.ids[some]]
-        codes, self.pair, self.tf = pairs_of(self.ids, np.repeat(learns.astype(bool), self.sizes), word << 32 | self.before)
-        self.word, self.context = codes >> 32, codes & 0xFFFFFFFF
+            codes[some] = n + part[before[some]] * len(hot) + at[self.ids[some]]
+            del some
+        codes <<= 32
+        codes |= before
+        del before
+        learnt = np.repeat(learns.astype(bool), self.sizes)
+        codes, self.pair, self.tf = pairs_of(self.ids, learnt, codes)
+        self.word, self.context = codes >> 32, (codes & 0xFFFFFFFF).astype(np.int32)
         self.words_at = np.searchsorted(part, np.arange(parts + 1))
         self.pairs_at = np.searchsorted(self.word, self.words_at)
         self.hot_at = np.searchsorted(self.word, n + np.arange(parts + 1) * len(hot))
@@ -361,8 +381,7 @@ def _count(parts: int, hot: np.ndarray):
         cs = ones_w[moving] + per_word[: len(moving)]
         yield _row(part, MOVING, nums=_stats(cs), data=pack(*kept, cs))
         yield _row(part, STAT, nums=[c.sum(), (c > 0).sum(), (total == 1).sum(), (total == 2).sum(), *_stats(ones_w[still])])
-        for k in range(len(hot)):
-            yield _row(0, HOT, k, nums=[ones_w[n + k], per_word[len(moving) + k]])
+        yield _hot_rows(ones_w[n:], per_word[len(moving) :])
         yield from _to_groups(part, contexts[known], parts, np.bincount(slot, minlength=len(known)), again)
 
     return _by_part(run)
@@ -476,8 +495,7 @@ def _seat_pairs(sent, parts: int, discount: float, sweep: int):
         cs = ones_w + per_word[:n]
         yield _row(part, TABLES, data=pack(last, t, ones_u))
         yield _row(part, MOVING, nums=_stats(cs), data=pack(*words, cs))
-        for k, x in enumerate(per_word[n:].tolist()):
-            yield _row(0, HOT, k, nums=[0, x])
+        yield _hot_rows(np.zeros(len(hot_cs), np.int64), per_word[n:])
         yield from _to_groups(part, contexts, parts, np.bincount(slot, t, len(contexts)).astype(np.int64))
 
     return _by_part(run)
@@ -519,14 +537,15 @@ def _text_scores(parts: int, hot: np.ndarray, n: int, v: int, discount: float):
     def texts(docs, text, words, answers):
         hashes = _hashes(_split(*unpack(words)[:2]))
         x = Coded(text, hashes, parts, hot)
-        got = [(p, unpack(data)) for p, data in answers]
-        counts, *scores = (np.concatenate([y[k] for _, y in got]) for k in range(1 + 2 * KEEP))
-        c, *ts = (np.zeros(len(x.word), np.int64) for _ in range(1 + KEEP))
-        for p, y in got:
+        own, (c, *ts) = [], (np.zeros(len(x.word), np.int64) for _ in range(1 + KEEP))
+        for p, data in answers:
+            y = unpack(data)
+            own.append(y[: 1 + 2 * KEEP])
             (a, z), (e, f) = (at[p : p + 2].tolist() for at in (x.pairs_at, x.hot_at))
-            for to, own in zip((c, *ts), y[1 + 2 * KEEP :], strict=True):
-                to[a:z], to[e:f] = own[: z - a], own[z - a :]
-        w, u = np.zeros(len(c), np.int64), x.context
+            for to, new in zip((c, *ts), y[1 + 2 * KEEP :], strict=True):
+                to[a:z], to[e:f] = new[: z - a], new[z - a :]
+        counts, *scores = (np.concatenate(k) for k in zip(*own, strict=True))
+        w, u = np.zeros(len(c), np.int32), x.context
         w[x.pair] = x.ids
         lp = np.full(len(c), -np.inf)
         for k, t in enumerate(ts):
@@ -573,7 +592,7 @@ def score(docs: DataFrame, learn: Column, sweeps: int = SWEEPS, block_tokens: in
     spark = docs.sparkSession
     ship(spark)
     blocks = stage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), "text").mapInArrow(_blocks(block_tokens), BLOCK_SCHEMA))
-    count, size = blocks.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    count, size, each = blocks.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.expr("coalesce(max(block & 4294967295), 0) + 1")).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count)
     top = blocks.select(F.explode(F.arrays_zip("top", "times")).alias("x")).groupBy("x.top").agg(F.sum("x.times").alias("c"))
     names = [bytes(r[0]) for r in top.filter(F.col("c") * 2 * parts > size).select("top").collect()]  # under 2 * parts words
@@ -635,7 +654,7 @@ def score(docs: DataFrame, learn: Column, sweeps: int = SWEEPS, block_tokens: in
     of_parts = of_parts.unionByName(last_sums)
     replies = meet(of_parts, _reply(sent, hot)).select(F.col("at").alias("block"), "part", "data", *[F.lit(None).cast(t).alias(c) for c, t in (("docs", "array<bigint>"), ("text", "binary"), ("words", "binary"))])
     heads = blocks.select("block", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("data"), "docs", "text", "words")
-    out = heads.unionByName(replies).repartition(parts, "block").sortWithinPartitions("block", "part").mapInArrow(_text_scores(parts, hot, n, v, pair_discount), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = heads.unionByName(replies).repartitionById(parts, F.expr(f"cast(pmod(shiftright(block, 32) * {each} + (block & 4294967295), {parts}) as int)")).sortWithinPartitions("block", "part").mapInArrow(_text_scores(parts, hot, n, v, pair_discount), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 

@@ -149,7 +149,8 @@ def test_parts_count_all_words_and_pairs(monkeypatch):
     made = [r for p in range(parts) for r in lm._count(parts, hot)([r for r in rows if r.column(0)[0].as_py() == p])]
     of = {}
     for r in made:
-        of.setdefault(r.column(1)[0].as_py(), []).append((r.column(0)[0].as_py(), r.column(2)[0].as_py(), r.column(3)[0].as_py(), r.column(4)[0].as_py()))
+        for k in range(r.num_rows):
+            of.setdefault(r.column(1)[k].as_py(), []).append(tuple(r.column(i)[k].as_py() for i in (0, 2, 3, 4)))
     learnt = [["", *t.split(), ""] for _, y, t in docs if y]
     words, pairs = Counter(w.encode() for t in learnt for w in t[1:]), Counter((u.encode(), w.encode()) for t in learnt for u, w in zip(t, t[1:], strict=False))
     names, counts, totals = {}, {}, {p: lm.unpack(data)[0] for p, _, _, data in of[lm.PAIRS]}
@@ -172,7 +173,7 @@ def test_parts_count_all_words_and_pairs(monkeypatch):
         for p, (_, some) in asks.items():
             (a, z), (e, f) = x.pairs_at[p : p + 2], x.hot_at[p : p + 2]
             got[a:z], got[e:f] = totals[p][some][: z - a], totals[p][some][z - a :]
-        assert {(own[u], own[w]): got[k] for u, w, k in zip(x.before, x.ids, x.pair, strict=True)} == {(own[u], own[w]): pairs[own[u], own[w]] for u, w in zip(x.before, x.ids, strict=True)}
+        assert {(own[u], own[w]): got[k] for u, w, k in zip(np.roll(x.ids, 1), x.ids, x.pair, strict=True)} == {(own[u], own[w]): pairs[own[u], own[w]] for u, w in zip(np.roll(x.ids, 1), x.ids, strict=True)}
 
 
 def test_no_row_for_each_pair_or_word(spark, monkeypatch):
